@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .decontam import contaminated
 from .exact import exact_dedup
+from .langid import language_id
 from .lines import line_dedup
 from .mixing import label_weights, mix
+from .quality import quality_scores
 from .simhash import simhash_dedup
 from .substring import substring_dedup
 from .suffix import suffix_dedup
@@ -25,6 +28,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir))
 
@@ -33,10 +40,18 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir))
 
@@ -47,7 +62,19 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_token_counts, op4_suffix_dedup, op5_substring_dedup, op7_exact_dedup, op9_line_dedup, op10_mix_sources)}
+    every = (
+        op1_simhash_dedup,
+        op2_token_counts,
+        op3_language_id,
+        op4_suffix_dedup,
+        op5_substring_dedup,
+        op6_quality,
+        op7_exact_dedup,
+        op8_decontaminate,
+        op9_line_dedup,
+        op10_mix_sources,
+    )
+    return {f.__name__: f for f in every}
 
 
 OP7 = r"""
