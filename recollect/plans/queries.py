@@ -1,9 +1,357 @@
-"""Registered queries."""
+"""The registered queries over the driver's tables. Their SQL twins are in oracle.py."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
+from datetime import datetime
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..config import AS_OF, Filters
+from ..functions import scoring as S
+from ..functions import text as T
+from ..operators import context, dml, forgetting, monitoring, search, stats
+from ..sources import memory as M
+from . import oracle
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+c = F.col
+
+
+def query(f):
+    _queries[f.__name__] = f
+    return f
+
+
+def _on_memories(name: str, f) -> None:
+    _queries[name] = lambda spark, d: f(M.memory_item(spark, d))
+
+
+#: Query vectors: the first three embeddings. Filters of the filtered searches.
+SOME = Filters(types=("semantic", "episodic"))
+THRESHOLD = 0.15
+
+
+def vectors(spark, d):
+    e = M.memory_embedding(spark, d).where(c("memory_id").isin("mem_0", "mem_1", "mem_2"))
+    return e.select(F.concat(F.lit("q"), (F.substring("memory_id", 5, 9).cast("int") + 1).cast("string")).alias("query_id"), c("embedding").alias("vector"))
+
+
+def embedded(spark, d):
+    """Embeddings of existing memories."""
+    return M.memory_embedding(spark, d).join(M.memory_item(spark, d).select(c("id").alias("memory_id")), "memory_id", "left_semi")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    one = M.queries_table(spark).where("query_id = 'q1'")
+    return search.text_search(M.memory_item(spark, d), one, AS_OF, SOME, 10).select("query_id", "rank", "id", "type", "score", "recall_reason")
+
+
+# Scans and filters
+_on_memories("mem_scan_unpinned", lambda m: m.where("not pinned").select("id", "type", "importance", "created_at", "view_count", "cite_count", "edit_count"))
+_on_memories("mem_lookup_ids", lambda m: search.apply_filters(m, Filters(ids=("mem_3", "mem_17", "mem_199", "mem_x"))).select("id", "type", "content", "pinned"))
+_on_memories("filter_type_scope_pinned", lambda m: search.apply_filters(m, Filters(types=("semantic", "working"), scopes=("team",), pinned=False)).select("id", "type", "privacy_scope"))
+_on_memories("filter_time_range", lambda m: search.apply_filters(m, Filters(time_from=datetime(2023, 6, 1), time_to=datetime(2023, 12, 1))).select("id", "created_at"))
+_on_memories("filter_tags_any", lambda m: search.apply_filters(m, Filters(tags=("fr", "src3"))).select("id", F.array_join("tags", ",").alias("tags")))
+_on_memories("filter_importance_range", lambda m: search.apply_filters(m, Filters(importance_min=0.3, importance_max=0.6)).select("id", "importance"))
+_on_memories("recent_days", lambda m: m.where(S.age_days(c("created_at"), AS_OF) <= 30).select("id", "created_at"))
+_on_memories("related_by_tag", lambda m: search.related_by_tag(m, ("mem_5", "mem_8")))
+_on_memories("like_search", lambda m: search.like_search(m, "tion", Filters(types=("semantic",))).select("id", "type"))
+_on_memories("like_search_leaky", lambda m: search.like_search(m, "src1", Filters(types=("semantic",)), leaky=True).select("id", "type"))
+
+
+# Full text
+@query
+def tokens_clean(spark, d):
+    return M.queries_table(spark).select("query_id", T.clean_query(c("query")).alias("cleaned"), T.normal_query(c("query")).alias("normal"))
+
+
+_on_memories("postings", search.postings)
+_on_memories("doc_lengths", lambda m: search.doc_lengths(search.postings(m)))
+
+
+@query
+def fts_match_and(spark, d):
+    m = M.memory_item(spark, d)
+    return search.fts_match(search.postings(m), M.queries_table(spark), m)
+
+
+@query
+def fts_bm25_topk(spark, d):
+    m = M.memory_item(spark, d)
+    out = search.bm25(search.postings(m), M.queries_table(spark)).withColumn("bm25", F.round("bm25", 6))
+    return search.top(out, 30, F.desc("bm25"), "id")
+
+
+def _ranked(hits):
+    return hits.select("query_id", "rank", "id", F.round("relevance", 5).alias("relevance"), F.round("recency", 5).alias("recency"), "importance_score", F.round("usage", 5).alias("usage"), F.round("dup", 5).alias("dup"), F.round("score", 5).alias("score"), "recall_reason")
+
+
+@query
+def text_search_batch(spark, d):
+    return _ranked(search.text_search(M.memory_item(spark, d), M.queries_table(spark), AS_OF, SOME, 10))
+
+
+@query
+def text_search_counters(spark, d):
+    return _ranked(search.text_search(M.memory_item(spark, d), M.queries_table(spark), AS_OF, Filters(), 5, usage="counters"))
+
+
+@query
+def text_search_batch_usage(spark, d):
+    return _ranked(search.text_search(M.memory_item(spark, d), M.queries_table(spark), AS_OF, Filters(), 5, usage="batch"))
+
+
+@query
+def similar_logged_queries(spark, d):
+    return search.similar_queries(M.query_log(spark, d), 0.3).withColumn("overlap", F.round("overlap", 6))
+
+
+# Ranking features
+def feature(name, f):
+    _on_memories(name, lambda m: m.select("id", F.round(f(), 6).alias("value")))
+
+
+feature("rank_recency", lambda: S.recency(c("created_at"), c("type"), AS_OF))
+feature("rank_importance", lambda: S.importance(c("importance"), c("pinned"), c("type")))
+feature("rank_usage", lambda: S.usage(c("view_count"), c("cite_count"), c("edit_count")))
+feature("rank_bm25_simple", lambda: S.simple_bm25(F.lit("the of tion tion"), c("content")))
+feature("rank_tag_jaccard", lambda: S.tag_match(F.lit("fr src3 other"), c("tags")))
+feature("rank_title_hit", lambda: T.title_hit(F.lit("tion"), F.substring("content", 1, 20)))
+feature("calc_importance", lambda: S.content_importance(c("content"), F.size("tags"), c("type")))
+
+
+# Vectors
+@query
+def vector_topk(spark, d):
+    return search.vector_search(embedded(spark, d), vectors(spark, d), 10, THRESHOLD)
+
+
+@query
+def vector_topk_by_type(spark, d):
+    kept = search.apply_filters(M.memory_item(spark, d), Filters(types=("semantic",))).select(c("id").alias("memory_id"))
+    return search.vector_search(embedded(spark, d).join(kept, "memory_id", "left_semi"), vectors(spark, d), 10, THRESHOLD)
+
+
+@query
+def vector_l2_similarity(spark, d):
+    return search.vector_search(embedded(spark, d), vectors(spark, d), 5, -1.0, score="one_minus_l2")
+
+
+@query
+def vec_text_outer_union(spark, d):
+    v = search.vector_search(embedded(spark, d), vectors(spark, d), 20, THRESHOLD).select("query_id", c("memory_id").alias("id"), c("similarity").alias("vector_score"))
+    m = M.memory_item(spark, d)
+    t = search.bm25(search.postings(m), M.queries_table(spark)).select("query_id", "id", F.round("bm25", 6).alias("text_score"))
+    return search.outer_by_union(v, t)
+
+
+@query
+def embedding_missing(spark, d):
+    return M.memory_item(spark, d).join(M.memory_embedding(spark, d).select(c("memory_id").alias("id")), "id", "left_anti").select("id", "type")
+
+
+@query
+def word_hash_bucket(spark, d):
+    words = M.memory_item(spark, d).select(F.explode(T.embedding_tokens(c("content"))).alias("word")).distinct()
+    return words.select("word", T.string_hash(c("word")).alias("hash"), T.bucket(c("word")).alias("bucket"), F.round(T.word_idf(c("word")), 6).alias("idf"))
+
+
+_on_memories("light_embed_sparse", lambda m: search.light_embedding(m.select("id", "content")).withColumn("weight", F.round("weight", 6)))
+
+
+@query
+def light_similarity_topk(spark, d):
+    return search.light_similarity(M.memory_item(spark, d), M.queries_table(spark), 10)
+
+
+# Hybrid
+@query
+def adaptive_weights(spark, d):
+    return search.adaptive_weights(M.queries_table(spark)).select("query_id", F.round("vector_weight", 6).alias("vector_weight"), F.round("text_weight", 6).alias("text_weight"))
+
+
+@query
+def hybrid_topk(spark, d):
+    out = search.hybrid_search(M.memory_item(spark, d), embedded(spark, d), M.queries_table(spark), vectors(spark, d), AS_OF, SOME, 10, THRESHOLD)
+    return out.select("query_id", "rank", "id", F.round("text_score", 5).alias("text_score"), F.round("vector_score", 5).alias("vector_score"), F.round("final_score", 5).alias("final_score"))
+
+
+@query
+def search_stats(spark, d):
+    log = M.query_log(spark, d).select("query", F.lit(1).alias("text_hits"), (c("item_id") % 3).alias("vector_hits"))
+    return search.search_stats(log)
+
+
+# Forgetting and review
+_on_memories("forget_features", lambda m: forgetting.features(m.where("not pinned"), AS_OF).select("id", F.round("recency", 6).alias("recency"), F.round("usage", 6).alias("usage"), F.round("duplication_ratio", 6).alias("duplication_ratio"), "forget_score"))
+_on_memories("forget_candidates", lambda m: forgetting.reason(forgetting.features(m.where("not pinned"), AS_OF)).where("forget_score >= 0.6").select("id", "type", "forget_score", "reason"))
+_on_memories("cleanup_actions", lambda m: forgetting.cleanup(m, AS_OF, 0.6, 0.62).select("id", "forget_score", "soft", "hard", "review"))
+_on_memories("soft_candidates", lambda m: forgetting.cleanup(m, AS_OF, 0.6, 0.62).where("soft").select("id", "forget_score"))
+_on_memories("hard_candidates", lambda m: forgetting.cleanup(m, AS_OF, 0.6, 0.62).where("hard").select("id", "forget_score"))
+_on_memories("cleanup_summary", lambda m: forgetting.cleanup(m, AS_OF, 0.6, 0.62).agg(F.count(F.lit(1)).alias("total"), F.count_if("soft").alias("soft"), F.count_if("hard").alias("hard"), F.count_if("review").alias("review")))
+_on_memories("cleanup_next_version", lambda m: forgetting.apply_cleanup(m, forgetting.cleanup(m, AS_OF, 0.6, 0.62), AS_OF).select("id", "last_accessed", "pinned"))
+_on_memories("forgetting_stats", lambda m: forgetting.policy_stats(m, AS_OF))
+_on_memories("review_schedule", lambda m: forgetting.schedule(forgetting.review_rows(m), AS_OF).select("id", "next_interval", "next_review", "recall_probability", "needs_review", "priority"))
+_on_memories("preset_intervals", lambda m: forgetting.preset_intervals(m))
+
+
+@query
+def review_performance(spark, d):
+    s = forgetting.schedule(forgetting.review_rows(M.memory_item(spark, d)), AS_OF)
+    outcome = M.memory_item(spark, d).select("id", (F.substring("id", 5, 18).cast("long") % 3 != 0).alias("recalled"))
+    return forgetting.review_performance(s, outcome)
+
+
+@query
+def optimal_interval(spark, d):
+    f = M.feedback_event(spark, d)
+    h = f.select(c("memory_id").alias("id"), c("event_id").alias("seq"), c("event").isin("helpful", "used").alias("recalled"), F.lit(10).alias("current_interval"))
+    return forgetting.optimal_interval(h)
+
+
+# Statistics
+_on_memories("pin_stats", stats.pin_stats)
+_on_memories("type_stats", lambda m: stats.type_stats(m, AS_OF))
+_on_memories("wide_counts", stats.wide_counts)
+_on_memories("scope_stats", stats.scope_stats)
+_on_memories("popular_tags", stats.popular_tags)
+_on_memories("group_by_tags", stats.group_by_tags)
+_on_memories("pinned_list", lambda m: stats.pinned_list(m).select("id", "importance", "created_at"))
+_on_memories("unpin_candidates", lambda m: stats.lowest(m, True).select("id", "importance", "created_at"))
+_on_memories("delete_candidates", lambda m: stats.lowest(m, False).select("id", "importance", "created_at"))
+_on_memories("recommended_unpins", lambda m: stats.recommended_unpins(m, AS_OF).select("id", "importance", "age_days"))
+_on_memories("validate_memories", lambda m: stats.invalid_memories(m.withColumn("importance", c("importance") * 1.5)))
+_queries["embedding_dim_stats"] = lambda spark, d: stats.dim_stats(M.memory_embedding(spark, d))
+_queries["embedding_dim_hist"] = lambda spark, d: stats.dim_histogram(M.memory_embedding(spark, d))
+_queries["embedding_model_stats"] = lambda spark, d: stats.model_stats(M.memory_embedding(spark, d))
+_queries["embedding_invalid"] = lambda spark, d: stats.invalid_vectors(M.memory_embedding(spark, d), 512)
+_queries["connectivity_stats"] = lambda spark, d: stats.connectivity(M.memory_item(spark, d), M.memory_embedding(spark, d))
+_queries["feedback_recent"] = lambda spark, d: stats.recent_feedback(M.feedback_event(spark, d), ("helpful", "edited", "neglected")).select("event", "n", "memory_id", "event_id", "score")
+_queries["constraint_violations"] = lambda spark, d: stats.violations(M.memory_item(spark, d), M.memory_embedding(spark, d), M.memory_link(spark, d), M.feedback_event(spark, d))
+_queries["query_latency"] = lambda spark, d: stats.latency_stats(M.query_log(spark, d))
+
+
+# Changes
+def _ids(spark, step, extra="mem_none"):
+    return spark.range(0, 120, step).select(F.concat(F.lit("mem_"), c("id").cast("string")).alias("id")).union(spark.createDataFrame([(extra,)], "id string"))
+
+
+_queries["pin_batch"] = lambda spark, d: dml.batch_result(dml.pin_status(M.memory_item(spark, d), _ids(spark, 4)))
+_queries["unpin_batch"] = lambda spark, d: dml.batch_result(dml.unpin_status(M.memory_item(spark, d), _ids(spark, 17)))
+_queries["forget_batch"] = lambda spark, d: dml.batch_result(dml.forget_status(M.memory_item(spark, d), _ids(spark, 3)))
+
+
+@query
+def pin_next_version(spark, d):
+    m = M.memory_item(spark, d)
+    return dml.set_pinned(m, dml.pin_status(m, _ids(spark, 4)), AS_OF).select("id", "pinned", "last_accessed")
+
+
+@query
+def hard_delete_cascade(spark, d):
+    m = M.memory_item(spark, d)
+    gone = dml.forget_status(m, _ids(spark, 3), hard=True, confirm=True).where("status = 'hard_deleted'")
+    tables = {"memory_item": (m, ("id",)), "memory_embedding": (M.memory_embedding(spark, d), ("memory_id",)), "memory_link": (M.memory_link(spark, d), ("source_id", "target_id")), "feedback_event": (M.feedback_event(spark, d), ("memory_id",))}
+    out = None
+    for name, df in dml.cascade(tables, gone).items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_on_memories("change_tags", lambda m: dml.change_tags(m, ("new", "en"), ("src1",)).select("id", F.array_join("tags", ",").alias("tags")))
+
+
+@query
+def upsert_embedding(spark, d):
+    e = M.memory_embedding(spark, d).select("memory_id", "model", "created_at")
+    new = e.where(F.substring("memory_id", 5, 18).cast("long") % 2 == 0).withColumn("model", F.lit("model_new"))
+    return dml.upsert(e, new, "memory_id", "created_at")
+
+
+@query
+def update_memories(spark, d):
+    m = M.memory_item(spark, d).select("id", "type", "importance")
+    new = m.where("type = 'working'").select("id", F.lit(0.9).alias("importance")).union(spark.createDataFrame([("mem_new", 0.4)], "id string, importance double"))
+    return dml.update_memory(m, new)
+
+
+@query
+def link_dedup(spark, d):
+    links = M.memory_link(spark, d)
+    return dml.add_links(links, links.limit(10)).groupBy("relation_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def memory_links(spark, d):
+    return dml.memory_links(M.memory_link(spark, d))
+
+
+@query
+def tag_bridge(spark, d):
+    tags, pairs = dml.tag_tables(M.memory_item(spark, d))
+    return pairs.join(tags, "tag_id")
+
+
+@query
+def feedback_append(spark, d):
+    rows = M.memory_item(spark, d).where("pinned").select(c("id").alias("memory_id"), (c("importance") > 0.5).alias("helpful"), c("importance").alias("score"))
+    return dml.feedback_rows(rows, AS_OF)
+
+
+_on_memories("working_ttl_cleanup", lambda m: dml.expired_working(m, AS_OF).select("id", "created_at"))
+_on_memories("export_csv", context.csv_lines)
+_on_memories("export_markdown", context.markdown)
+
+
+# Monitoring
+_queries["errors_by_hour"] = lambda spark, d: monitoring.errors_by_hour(M.error_log(spark, d))
+_queries["errors_by_severity"] = lambda spark, d: monitoring.error_counts(M.error_log(spark, d), "severity")
+_queries["errors_by_category"] = lambda spark, d: monitoring.error_counts(M.error_log(spark, d), "category")
+_queries["error_resolution"] = lambda spark, d: monitoring.resolution_time(M.error_log(spark, d))
+_queries["error_search"] = lambda spark, d: monitoring.search_errors(M.error_log(spark, d), severity="high", time_from=datetime(2024, 1, 10), include_resolved=False, limit=20).select("id", "ts", "category")
+_queries["error_threshold_alerts"] = lambda spark, d: monitoring.error_alerts(M.error_log(spark, d), limits={"low": 2, "medium": 2, "high": 2, "critical": 1})
+_queries["alert_thresholds"] = lambda spark, d: monitoring.triggered(M.metric_stream(spark, d), monitoring.thresholds(spark)).select("id", "metric", "level", "value", "threshold")
+_queries["alert_counts"] = lambda spark, d: monitoring.triggered(M.metric_stream(spark, d), monitoring.thresholds(spark)).groupBy("metric", "level").agg(F.count(F.lit(1)).alias("n"))
+_queries["alert_cooldown"] = lambda spark, d: monitoring.cooled(monitoring.triggered(M.metric_stream(spark, d), monitoring.thresholds(spark))).select("id", "metric", "level")
+_queries["monitor_alerts"] = lambda spark, d: monitoring.first_active(M.metric_stream(spark, d)).withColumn("value", F.round("value", 6))
+_queries["metric_trend"] = lambda spark, d: monitoring.trend(M.metric_stream(spark, d))
+_queries["query_slow_topk"] = lambda spark, d: monitoring.slow_queries(M.query_log(spark, d))
+_queries["newest_errors"] = lambda spark, d: monitoring.newest(M.error_log(spark, d), 5, "severity").select("id", "severity", "ts")
+
+SQL_LOG = (
+    ("SELECT * FROM memory_item WHERE type = 'x' AND pinned = 1", 60),
+    ("SELECT id FROM memory_item WHERE type IN ('x') ORDER BY created_at", 15),
+    ("SELECT COUNT(*) FROM memory_item m JOIN memory_embedding e ON m.id = e.memory_id GROUP BY type", 5),
+    ("SELECT id FROM a UNION SELECT id FROM b WHERE importance > 0.5", 7),
+)
+_queries["query_complexity"] = lambda spark, d: monitoring.complexity(spark.createDataFrame(list(SQL_LOG), "query string, n bigint"))
+_queries["query_pattern_freq"] = lambda spark, d: monitoring.filter_columns(spark.createDataFrame(list(SQL_LOG), "query string, n bigint"))
+
+# Scalars and context
+_on_memories("extract_tags", lambda m: m.select("id", F.array_join(T.extracted_tags(c("content")), ",").alias("tags")))
+_on_memories("token_estimate", lambda m: m.select("id", T.quarter_tokens(c("content")).alias("quarter"), T.mixed_tokens(c("content")).alias("mixed")))
+_on_memories("relative_time", lambda m: m.select("id", T.relative_time(c("created_at"), AS_OF).alias("ago")))
+_on_memories("summarize_200", lambda m: m.select("id", T.summary(c("content")).alias("summary")))
+_on_memories("budget_summary", lambda m: m.select("id", T.budget_summary(c("content"), F.lit(60)).alias("summary")))
+_on_memories("format_bytes", lambda m: m.select("id", T.format_bytes(F.length("content").cast("double") * 1000).alias("shown")))
+
+
+def _hits(spark, d):
+    return search.text_search(M.memory_item(spark, d), M.queries_table(spark), AS_OF, Filters(importance_min=0.5), 10).withColumn("final_score", F.round("score", 5))
+
+
+_queries["inject_budget_fold"] = lambda spark, d: context.inject(_hits(spark, d), 400, 5)
+_queries["inject_prompt"] = lambda spark, d: context.prompt(context.inject(_hits(spark, d), 400, 5), M.memory_item(spark, d), M.queries_table(spark))
+_queries["context_compress"] = lambda spark, d: context.compress(_hits(spark, d), 1200, 10)
+_queries["wm_buffer_budget"] = lambda spark, d: context.within_budget(M.wm_buffer(spark, d).withColumn("token_budget", F.lit(300)))
+
+
+def queries() -> dict:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.oracle_sql()
