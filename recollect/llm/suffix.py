@@ -28,9 +28,9 @@ from .repeats import Hashes, joined, least, mix, ranges, runs, starts_inside
 LENGTH = 400
 GRAM = 8
 SLICE = 1 << 20
-SUFFIX = "t0 bigint, t1 int, t2 int, around bigint, row bigint, pos int"
-KEY = ["t0", "t1", "t2", "around", "row", "pos"]
-TOKENS = 3
+TOKENS = 5
+SUFFIX = "t0 bigint, t1 int, t2 int, t3 int, t4 int, around bigint, row bigint, pos int"
+KEY = ["t0", "t1", "t2", "t3", "t4", "around", "row", "pos"]
 
 
 class Layout:
@@ -59,7 +59,7 @@ class Layout:
         self.offsets = offsets
 
     def suffixes(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Each suffix's document, then t0, t1, t2, around, pos."""
+        """Each suffix's document, then the tokens, around and pos."""
         token = np.zeros(len(self.cuts) + TOKENS, np.uint64)
         same = self.cut_doc[1:] == self.cut_doc[:-1]
         token[: len(self.cuts) - 1 if len(self.cuts) else 0][same] = self.hashes.of(self.cuts[:-1][same], self.cuts[1:][same])
@@ -70,14 +70,15 @@ class Layout:
         low, high = self.windows[self.run_first], self.windows[self.run_end - 1] + self.grams
         around = mix(self.hashes.of(low, high) + (self.suffix - low).astype(np.uint64))
         doc = self.cut_doc[self.rank] if len(self.rank) else np.zeros(0, np.int64)
-        return doc, [t[0].view(np.int64), (t[1] >> np.uint64(32)).astype(np.uint32).view(np.int32), (t[2] >> np.uint64(32)).astype(np.uint32).view(np.int32), around.view(np.int64), (self.suffix - self.offsets[doc]).astype(np.int32)]
+        rest = [(x >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in t[1:]]
+        return doc, [t[0].view(np.int64), *rest, around.view(np.int64), (self.suffix - self.offsets[doc]).astype(np.int32)]
 
 
 def _suffixes(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, SLICE):
             doc, columns = Layout(*text_bytes(part.column("text")), length).suffixes()
-            columns.insert(4, part.column("row").to_numpy()[doc])
+            columns.insert(TOKENS + 1, part.column("row").to_numpy()[doc])
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], KEY)
 
     return run
@@ -111,8 +112,8 @@ def _compare(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.n
     same = np.ones(len(a[0]), bool)
     for x, y in zip(a[:TOKENS], b[:TOKENS], strict=True):
         same &= x == y
-        shared += same
-    whole = same & (a[3] == b[3])
+        shared += same & (x != 0)  # 0: the text has no further phrase
+    whole = same & (a[TOKENS] == b[TOKENS])
     return whole, np.where(whole, 0, shared)
 
 
@@ -148,7 +149,7 @@ def neighbours(suffixes: DataFrame) -> DataFrame:
         e = edges.select(*KEY, other)
         for c in KEY[:TOKENS]:
             same = same & F.col(c).eqNullSafe(F.col(f"o.{c}"))
-            n = n + same.cast("int")
+            n = n + (same & (F.col(c) != 0)).cast("int")
         whole = same & F.col("around").eqNullSafe(F.col("o.around"))
         # A bucket's own first and last row may be compared again here; that only finds what is true.
         both.append(e.where("o is not null").select("row", "pos", whole.alias("settled"), F.when(whole, 0).otherwise(n).alias("shared")))
@@ -248,11 +249,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     notes = neighbours(d.select("row", "text").mapInArrow(_suffixes(length), SUFFIX))
     notes = notes.groupBy("row").agg(F.collect_set(F.struct("pos", "settled", "shared")).alias("notes"))
     found = stored(d.join(notes, "row", "left").mapInArrow(_windows(length), FOUND), "suffix-windows")
+    # One exchange: no hash can have more than a small share of the rows, as a document asks for many windows.
     asked = found.where("hash is not null").select("hash", "row", "start")
-    twice = asked.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    hits = asked.join(twice, "hash").select("row", "start", (F.col("start") + length).alias("end"))
+    asked = asked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash")))
+    hits = asked.where("n > 1").select("row", "start", (F.col("start") + length).alias("end"))
     settled = found.where("hash is null and start is not null").select("row", "start", "end")
-    spans = hits.unionByName(settled).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = hits.unionByName(settled).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = stored(spans, "suffix-spans")
     result = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     rest = found.where("text is not null").select("row", "doc_id", "text").join(spans, "row", "left").select("doc_id", "text", "spans")
     done = rest.mapInArrow(_finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
