@@ -171,14 +171,17 @@ def adaptive_weights(queries: DataFrame, vector: float = 0.6, text: float = 0.4)
 
 
 def combine(text: DataFrame, vector: DataFrame, weights: DataFrame) -> DataFrame:
-    """Full outer join of text hits (query_id, id, text_score) and vector hits (query_id, id, vector_score), weighted."""
+    """Full outer join of text hits (query_id, id, text_score) and vector hits (query_id, id, vector_score), weighted.
+
+    Sums of rounded scores often end in an exact half; the small term makes all engines round these up.
+    """
     both = text.join(vector, ["query_id", "id"], "full_outer").join(weights, "query_id")
     t, v = F.coalesce("text_score", F.lit(0.0)), F.coalesce("vector_score", F.lit(0.0))
     reason = S.reasons((t > 0.7, "텍스트 매칭"), (v > 0.8, "벡터 유사도"), ((t > 0.5) & (v > 0.5), "하이브리드 매칭"), other="하이브리드 검색 결과")
     only = F.format_string("벡터 유사도: %.3f", v)
     return both.select(
         "query_id", "id", t.alias("text_score"), v.alias("vector_score"),
-        F.round(t * F.col("text_weight") + v * F.col("vector_weight"), 6).alias("final_score"),
+        F.round(t * F.col("text_weight") + v * F.col("vector_weight") + 1e-9, 6).alias("final_score"),
         F.when(F.col("text_score").isNull(), only).when(F.col("vector_score").isNotNull(), reason).otherwise(F.lit("텍스트 검색 결과")).alias("recall_reason"),
     )
 

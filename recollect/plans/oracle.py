@@ -1,5 +1,330 @@
-"""SQL twins."""
+"""SQL twins of the registered queries, for DuckDB. Common tables are put before a query by name."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+import re
+
+from ..config import CATEGORIES, HALF_LIFE_DAYS, METRICS, SEVERITIES, STOP_WORDS, TECHNICAL_QUERIES, TECHNICAL_WORDS, THRESHOLDS, TTL_HARD_DAYS, TTL_SOFT_DAYS
+from ..functions.text import ACCENTED, PLAIN
+from ..sources.memory import QUERIES
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _case(key: str, values: dict, other: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {float(v)}" for k, v in values.items()) + f" ELSE {other} END"
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
+STOP = _list(STOP_WORDS)
+
+
+def age(ts: str) -> str:
+    return f"((epoch_us({AS_OF}) - epoch_us({ts})) / 86400000000.0)"
+
+
+def recency() -> str:
+    return f"exp(-ln(2.0::DOUBLE) * {age('created_at')}::DOUBLE / ({_case('type', HALF_LIFE_DAYS, '30.0')})::DOUBLE)"
+
+
+def raw_usage() -> str:
+    return "(ln(1.0::DOUBLE + view_count) + 2 * ln(1.0::DOUBLE + cite_count) + 0.5::DOUBLE * ln(1.0::DOUBLE + edit_count))"
+
+
+IMPORTANCE = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, importance + CASE WHEN pinned THEN 0.2 ELSE 0.0 END::DOUBLE + (CASE type WHEN 'semantic' THEN 0.1 WHEN 'working' THEN -0.05 WHEN 'procedural' THEN 0.05 ELSE 0.0 END)::DOUBLE))"
+WHITE = "[ \\t\\n\\r\\f\\x0B]+"
+
+
+def words(x: str) -> str:
+    return f"regexp_split_to_array(lower({x}), '{WHITE}')"
+
+
+def jaccard(a: str, b: str) -> str:
+    return f"(len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))::DOUBLE)"
+
+
+def tokens(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(translate(lower(coalesce({x}, '')), '{ACCENTED}', '{PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+def bm25_simple(query: str, content: str) -> str:
+    # Words that a list lacks have no position, so the filter's length is the term's frequency.
+    return (
+        f"CASE WHEN {query} = '' OR {content} = '' THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, coalesce(list_sum(list_transform({words(query)}, lambda t: "
+        f"(CASE WHEN list_contains(cw, t) THEN ln(2.0::DOUBLE) * len(list_filter(cw, lambda w: w = t)) * 2.2::DOUBLE / (len(list_filter(cw, lambda w: w = t)) + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(cw) / 100.0::DOUBLE)) ELSE 0.0::DOUBLE END))), 0.0) / 10.0::DOUBLE) END"
+    )
+
+
+def tag_match(query: str, tags: str) -> str:
+    return f"CASE WHEN len({tags}) = 0 THEN 0.0::DOUBLE ELSE {jaccard(words(query), f'list_transform({tags}, lambda t: lower(t))')} END"
+
+
+TABLES = {
+    "used": """SELECT user_id AS doc_id, max(ts) AS last_accessed, count(*) FILTER (event_type = 'view') AS view_count,
+  count(*) FILTER (event_type = 'purchase') AS cite_count, count(*) FILTER (event_type = 'signup') AS edit_count FROM events GROUP BY user_id""",
+    "memory_item": f"""SELECT 'mem_' || d.doc_id AS id, d.doc_id AS n, ['working', 'episodic', 'semantic', 'procedural'][d.doc_id % 4 + 1] AS type, text AS content,
+  (((d.doc_id * 7) % 11) / 10.0)::DOUBLE AS importance, ['private', 'team', 'public'][d.doc_id % 3 + 1] AS privacy_scope,
+  {AS_OF} - to_hours((d.doc_id * 37) % 9600) AS created_at, last_accessed::TIMESTAMP AS last_accessed, d.doc_id % 17 = 0 AS pinned, [lang, source] AS tags, source,
+  coalesce(view_count, 0) AS view_count, coalesce(cite_count, 0) AS cite_count, coalesce(edit_count, 0) AS edit_count
+  FROM documents d LEFT JOIN used USING (doc_id)""",
+    "memory_embedding": f"SELECT 'mem_' || vec_id AS memory_id, vec_id AS n, embedding::DOUBLE[] AS embedding, len(embedding)::INT AS dim, 'model_' || (label % 3) AS model, {AS_OF} - to_minutes(vec_id) AS created_at FROM embeddings",
+    "embedded": "SELECT e.* FROM memory_embedding e WHERE EXISTS (SELECT 1 FROM memory_item m WHERE m.id = e.memory_id)",
+    "vectors": "SELECT 'q' || (n + 1) AS query_id, embedding AS vector FROM memory_embedding WHERE n < 3",
+    "feedback_event": "SELECT 'mem_' || user_id AS memory_id, CASE event_type WHEN 'view' THEN 'used' WHEN 'purchase' THEN 'helpful' WHEN 'signup' THEN 'edited' WHEN 'error' THEN 'not_helpful' WHEN 'click' THEN 'neglected' END AS event, value AS score, ts::TIMESTAMP AS created_at, event_id FROM events",
+    "memory_link": """SELECT 'mem_' || first AS source_id, 'mem_' || doc_id AS target_id, 'duplicates' AS relation_type FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id > first
+  UNION ALL SELECT 'mem_' || doc_id, 'mem_' || (doc_id // 2), 'derived_from' FROM documents WHERE doc_id % 2 = 0 AND doc_id > 0""",
+    "error_log": f"SELECT event_id AS id, ts::TIMESTAMP AS ts, {_list(SEVERITIES)}[event_id % 4 + 1] AS severity, {_list(CATEGORIES)}[event_id % 10 + 1] AS category, event_id % 5 = 0 AS resolved, CASE WHEN event_id % 5 = 0 THEN ts::TIMESTAMP + to_minutes(event_id % 60) END AS resolved_at FROM events WHERE event_type = 'error'",
+    "metric_stream": f"SELECT event_id AS id, ts::TIMESTAMP AS ts, {_list(METRICS)}[event_id % 6 + 1] AS metric, value FROM events WHERE event_type <> 'error'",
+    "thresholds": f"SELECT * FROM (VALUES {_values(THRESHOLDS)}) t(metric, level, threshold, op, duration, cooldown)",
+    "alerts": "SELECT id, ts, metric, level, value, threshold::DOUBLE AS threshold, cooldown FROM metric_stream JOIN thresholds USING (metric) WHERE CASE WHEN op = 'gt' THEN value > threshold ELSE value < threshold END",
+    "query_log": "SELECT item_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS query, ((item_id * 7) % 120)::DOUBLE AS time_ms FROM benchmark",
+    "queries": f"SELECT * FROM (VALUES {_values(QUERIES)}) t(query_id, query)",
+    "cleaned": f"SELECT query_id, query, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(trim(query), '{WHITE}', ' ', 'g'), '[^a-zA-Z0-9가-힣 ]', ' ', 'g'), ' '), lambda w: w <> '' AND NOT list_contains({STOP}, lower(w))), ' ') AS cleaned FROM queries",
+    "terms": f"SELECT DISTINCT query_id, unnest({tokens('cleaned')}) AS term FROM cleaned",
+    "need": "SELECT query_id, count(*) AS need FROM terms GROUP BY query_id",
+    "postings": f"SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({tokens("concat_ws(' ', content, array_to_string(tags, ' '), source)")}) AS term FROM memory_item) GROUP BY id, term",
+    "lengths": "SELECT id, sum(tf)::BIGINT AS dl FROM postings GROUP BY id",
+    "bm25": """SELECT query_id, id, sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))) AS bm25 FROM postings JOIN terms USING (term) JOIN lengths USING (id)
+  JOIN (SELECT term, greatest(ln((docs - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)), 1e-6) AS idf, any_value(mean) AS mean FROM postings, (SELECT count(*) AS docs, avg(dl) AS mean FROM lengths) GROUP BY term, docs) USING (term)
+  JOIN need USING (query_id) GROUP BY query_id, id, need HAVING count(*) = need""",
+    "features": f"""SELECT *, round(0.35::DOUBLE * (1 - recency) + 0.25::DOUBLE * (1 - usage) + 0.2::DOUBLE * duplication_ratio - 0.15::DOUBLE * importance - 0.3::DOUBLE * pinned::INT, 6) AS forget_score FROM (
+  SELECT *, {recency()} AS recency, greatest(coalesce(exp(-{age("last_accessed")}::DOUBLE / 30), 0.0), least(1.0::DOUBLE, {raw_usage()} / 10)) AS usage,
+    (count(*) OVER (PARTITION BY type) - 1) / (count(*) OVER ())::DOUBLE AS duplication_ratio FROM memory_item WHERE NOT pinned)""",
+    "schedule": f"""SELECT *, round((1 - recall_probability) + ln(next_interval + 1.0::DOUBLE) / 10, 6) AS priority, recall_probability <= 0.7 AS needs_review, last_review + to_days(next_interval::INT) AS next_review FROM (
+  SELECT *, round(exp(-{age("last_review")}::DOUBLE / next_interval), 6) AS recall_probability FROM (
+    SELECT id, n, coalesce(last_accessed, created_at) AS last_review, ceil(round(7 * (1 + 0.6::DOUBLE * importance + 0.4::DOUBLE * least(1.0::DOUBLE, {raw_usage()} / 10) + 0.5::DOUBLE * 0.5 - 0.7::DOUBLE * 0.1), 9))::BIGINT AS next_interval FROM memory_item))""",
+    "actions": f"""SELECT f.id, forget_score, forget_score >= 0.6 AND {age("created_at")} >= {_case("type", TTL_SOFT_DAYS, "1e9")} AS soft,
+  forget_score >= 0.62 AND {age("created_at")} >= {_case("type", TTL_HARD_DAYS, "1e9")} AS hard, needs_review AS review FROM features f JOIN schedule USING (id)""",
+    "vector_pairs": "SELECT query_id, memory_id, round(list_dot_product(vector, embedding) / (sqrt(list_dot_product(vector, vector)) * sqrt(list_dot_product(embedding, embedding))), 6) AS similarity FROM embedded, vectors",
+    "embed_words": f"SELECT id, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(content), '[^a-z0-9_ \\t\\n\\r\\f\\x0B가-힣]', ' ', 'g'), '{WHITE}'), lambda w: length(w) > 1 AND NOT list_contains({STOP}, w))) AS word FROM texts",
+    "word_stats": f"""SELECT id, word, n, abs(hash) % 512 AS bucket, n * idf AS tfidf, n * ln(CASE WHEN n > 3 THEN 0.8 WHEN regexp_matches(word, '^[0-9_가-힣]') AND length(word) > 2 THEN 1.3 WHEN regexp_matches(word, '{TECHNICAL_WORDS}') THEN 1.5 ELSE 1.0 END::DOUBLE) AS lf
+  FROM (SELECT id, word, count(*) AS n FROM embed_words GROUP BY id, word) JOIN word_hash USING (word)""",
+    "word_hash": """SELECT word, list_reduce(list_concat([0::BIGINT], list_transform(string_split(word, ''), lambda c: ord(c)::BIGINT)), lambda a, c: ((a * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS hash,
+  greatest(0.1::DOUBLE, (1.0 + CASE WHEN length(word) > 5 THEN 0.5 ELSE 0 END + CASE WHEN length(word) > 8 THEN 0.3 ELSE 0 END - CASE WHEN regexp_matches(word, '[0-9]') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(word, '[^a-zA-Z가-힣]') THEN 0.3 ELSE 0 END)::DOUBLE) AS idf
+  FROM (SELECT DISTINCT word FROM embed_words)""",
+    "cells": """SELECT id, bucket, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight FROM (
+  SELECT id, bucket, sum(tfidf) / sum(sum(n)) OVER (PARTITION BY id) * exp(sum(lf)) AS raw FROM word_stats GROUP BY id, bucket)""",
+    "weights": f"""SELECT query_id, v / (v + t) AS vector_weight, t / (v + t) AS text_weight FROM (SELECT query_id,
+  CASE WHEN technical THEN 0.8 WHEN phrase THEN 0.4 WHEN short THEN 0.7 ELSE 0.6 END::DOUBLE AS v, CASE WHEN technical THEN 0.2 WHEN phrase THEN 0.6000000000000001 WHEN short THEN 0.30000000000000004 ELSE 0.4 END::DOUBLE AS t FROM (
+    SELECT query_id, regexp_matches(q, '^({TECHNICAL_QUERIES})$') AS technical, len(string_split(q, ' ')) >= 3 AS phrase, length(q) <= 10 AS short FROM (
+      SELECT query_id, lower(trim(regexp_replace(query, '{WHITE}', ' ', 'g'))) AS q FROM queries)))""",
+    "gone": "SELECT 'mem_' || i AS id FROM range(0, 120, 3) t(i) JOIN memory_item m ON m.id = 'mem_' || i WHERE NOT pinned",
+}
+
+
+def text_search(where: str, limit: int, usage: str) -> str:
+    """Common tables candidates, features and ranked for one set of filters."""
+    use = {"constant": "ln(2.0::DOUBLE) / 10", "counters": f"CASE WHEN {raw_usage()} = 0 THEN 0.1 ELSE least(1.0::DOUBLE, {raw_usage()} / 10) END", "batch": f"CASE WHEN min({raw_usage()}) OVER q = max({raw_usage()}) OVER q THEN 0.5 ELSE ({raw_usage()} - min({raw_usage()}) OVER q) / (max({raw_usage()}) OVER q - min({raw_usage()}) OVER q + 1e-6) END"}[usage]
+    return f"""kept AS (SELECT * FROM memory_item WHERE {where}),
+candidates AS (
+  SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, created_at DESC, id) AS rn FROM (
+    SELECT query_id, id, bm25, created_at FROM bm25 JOIN kept USING (id)
+    UNION ALL SELECT query_id, id, 0.0, created_at FROM queries, kept WHERE query_id NOT IN (SELECT query_id FROM need)))
+  WHERE rn <= {3 * limit}),
+cand AS (SELECT c.rn, q.query_id, q.query, m.*, {words("content")} AS cw FROM candidates c JOIN kept m USING (id) JOIN queries q USING (query_id)),
+dups AS (SELECT a.query_id, a.id, max({jaccard("a.cw", "b.cw")}) AS dup FROM cand a JOIN cand b ON a.query_id = b.query_id AND b.rn < a.rn GROUP BY a.query_id, a.id),
+feats AS (SELECT query_id, id, rn, type, importance, content, CASE WHEN query = '' OR content = '' THEN 0.0 ELSE 0.3::DOUBLE * {bm25_simple("query", "content")} + 0.05::DOUBLE * {tag_match("query", "tags")} END AS relevance,
+  {recency()} AS recency, {IMPORTANCE} AS importance_score, {use} AS usage, coalesce(dup, 0.0) AS dup
+  FROM cand LEFT JOIN dups USING (query_id, id) WINDOW q AS (PARTITION BY query_id)),
+scored AS (SELECT *, round(0.5::DOUBLE * relevance + 0.2::DOUBLE * recency + 0.2::DOUBLE * importance_score + 0.1::DOUBLE * usage - 0.15::DOUBLE * dup, 6) AS score FROM feats),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rn) AS rank FROM scored QUALIFY rank <= {limit})"""
+
+
+RANKED = """SELECT query_id, rank, id, round(relevance, 5) AS relevance, round(recency, 5) AS recency, importance_score, round(usage, 5) AS usage, round(dup, 5) AS dup, score,
+  coalesce(nullif(concat_ws(', ', CASE WHEN relevance > 0.7 THEN '높은 관련성' END, CASE WHEN recency > 0.8 THEN '최근 생성' END, CASE WHEN importance_score > 0.8 THEN '높은 중요도' END, CASE WHEN score > 0.9 THEN '종합 점수 우수' END), ''), '일반 검색 결과') AS recall_reason FROM ranked"""
+SOME = "type IN ('semantic', 'episodic')"
+
+
+def sql(body: str, extra: str = "") -> str:
+    """body with the common tables that it names, and those that they name, before it."""
+    found: list[str] = []
+    open_: set[str] = set()
+
+    def need(text: str) -> None:
+        for name in TABLES:
+            if name not in found and name not in open_ and re.search(rf"(?:FROM|JOIN|,)\s+{name}(?!\w)", text):
+                open_.add(name)
+                need(TABLES[name])
+                found.append(name)
+
+    need(extra + body)
+    parts = [f"{n} AS ({TABLES[n]})" for n in found] + ([extra] if extra else [])
+    return (f"WITH {', '.join(parts)} " if parts else "") + body
+
+
+def top(table: str, columns: str, order: str, k: int, by: str = "query_id") -> str:
+    return f"SELECT {columns}, row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS rank FROM {table} QUALIFY rank <= {k}"
+
+
+def value(expression: str) -> str:
+    return f"SELECT id, round({expression}, 6) AS value FROM memory_item"
+
+
+CLEAN = {
+    "mem_scan_unpinned": "SELECT id, type, importance, created_at, view_count, cite_count, edit_count FROM memory_item WHERE NOT pinned",
+    "mem_lookup_ids": "SELECT id, type, content, pinned FROM memory_item WHERE id IN ('mem_3', 'mem_17', 'mem_199', 'mem_x')",
+    "filter_type_scope_pinned": "SELECT id, type, privacy_scope FROM memory_item WHERE type IN ('semantic', 'working') AND privacy_scope = 'team' AND NOT pinned",
+    "filter_time_range": "SELECT id, created_at FROM memory_item WHERE created_at BETWEEN TIMESTAMP '2023-06-01' AND TIMESTAMP '2023-12-01'",
+    "filter_tags_any": "SELECT id, array_to_string(tags, ',') AS tags FROM memory_item WHERE list_has_any(tags, ['fr', 'src3'])",
+    "filter_importance_range": "SELECT id, importance FROM memory_item WHERE importance BETWEEN 0.3::DOUBLE AND 0.6::DOUBLE",
+    "recent_days": f"SELECT id, created_at FROM memory_item WHERE created_at >= {AS_OF} - INTERVAL 30 DAYS",
+    "related_by_tag": "SELECT a.id, b.id AS related_id, count(*) AS shared FROM (SELECT DISTINCT id, unnest(tags) AS tag FROM memory_item) a JOIN (SELECT DISTINCT id, unnest(tags) AS tag FROM memory_item) b USING (tag) WHERE a.id IN ('mem_5', 'mem_8') GROUP BY a.id, b.id",
+    "like_search": "SELECT id, type FROM memory_item WHERE (content ILIKE '%tion%' OR array_to_string(tags, ',') ILIKE '%tion%' OR source ILIKE '%tion%') AND type = 'semantic'",
+    "like_search_leaky": "SELECT id, type FROM memory_item WHERE content ILIKE '%src1%' OR array_to_string(tags, ',') ILIKE '%src1%' OR source ILIKE '%src1%' AND type = 'semantic'",
+    "tokens_clean": f"SELECT query_id, cleaned, lower(trim(regexp_replace(query, '{WHITE}', ' ', 'g'))) AS normal FROM cleaned",
+    "postings": "SELECT * FROM postings",
+    "doc_lengths": "SELECT * FROM lengths",
+    "fts_match_and": "SELECT query_id, id FROM postings JOIN terms USING (term) JOIN need USING (query_id) GROUP BY query_id, id, need HAVING count(*) = need UNION ALL SELECT query_id, id FROM queries, memory_item WHERE query_id NOT IN (SELECT query_id FROM need)",
+    "fts_bm25_topk": top("(SELECT query_id, id, round(bm25, 6) AS bm25 FROM bm25)", "query_id, id, bm25", "bm25 DESC, id", 30),
+    "similar_logged_queries": f"""SELECT * FROM (SELECT a.q AS query, b.q AS other, round(len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w))::DOUBLE, 6) AS overlap FROM (
+      SELECT DISTINCT q, list_distinct(string_split(q, ' ')) AS w FROM (SELECT lower(trim(regexp_replace(query, '{WHITE}', ' ', 'g'))) AS q FROM query_log)) a JOIN (
+      SELECT DISTINCT q, list_distinct(string_split(q, ' ')) AS w FROM (SELECT lower(trim(regexp_replace(query, '{WHITE}', ' ', 'g'))) AS q FROM query_log)) b ON a.q < b.q) WHERE overlap >= 0.3""",
+    "rank_recency": value(recency()),
+    "rank_importance": value(IMPORTANCE),
+    "rank_usage": value(f"CASE WHEN {raw_usage()} = 0 THEN 0.1 ELSE least(1.0::DOUBLE, {raw_usage()} / 10) END"),
+    "rank_bm25_simple": f"SELECT id, round({bm25_simple("'the of tion tion'", 'content')}, 6) AS value FROM (SELECT *, {words('content')} AS cw FROM memory_item)",
+    "rank_tag_jaccard": value(tag_match("'fr src3 other'", "tags")),
+    "rank_title_hit": value("CASE WHEN lower(substr(content, 1, 20)) = 'tion' THEN 1.0 WHEN starts_with(lower(substr(content, 1, 20)), 'tion') THEN 0.5 WHEN contains(lower(substr(content, 1, 20)), 'tio') OR contains(lower(substr(content, 1, 20)), 'ion') THEN 0.2 ELSE 0.0 END"),
+    "calc_importance": value("greatest(0.0, least(1.0, 0.5 + CASE WHEN length(content) > 500 THEN 0.2 WHEN length(content) > 200 THEN 0.1 WHEN length(content) < 50 THEN -0.1 ELSE 0.0 END + CASE WHEN len(tags) > 5 THEN 0.2 WHEN len(tags) > 2 THEN 0.1 WHEN len(tags) = 0 THEN -0.1 ELSE 0.0 END + CASE type WHEN 'semantic' THEN 0.2 WHEN 'procedural' THEN 0.1 WHEN 'working' THEN -0.1 ELSE 0.0 END))::DOUBLE"),
+    "vector_topk": top("vector_pairs", "query_id, memory_id, similarity", "similarity DESC, memory_id", 10).replace("FROM vector_pairs", "FROM vector_pairs WHERE similarity >= 0.15"),
+    "vector_topk_by_type": top("(SELECT v.* FROM vector_pairs v JOIN memory_item m ON m.id = v.memory_id WHERE type = 'semantic' AND similarity >= 0.15)", "query_id, memory_id, similarity", "similarity DESC, memory_id", 10),
+    "vector_l2_similarity": top("(SELECT query_id, memory_id, round(greatest(0.0, 1 - list_distance(vector, embedding)), 6) AS similarity FROM embedded, vectors)", "query_id, memory_id, similarity", "similarity DESC, memory_id", 5),
+    "vec_text_outer_union": "SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.id, t.id) AS id, vector_score, text_score FROM (SELECT query_id, memory_id AS id, similarity AS vector_score, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, memory_id) AS rank FROM vector_pairs WHERE similarity >= 0.15 QUALIFY rank <= 20) v FULL JOIN (SELECT query_id, id, round(bm25, 6) AS text_score FROM bm25) t ON v.query_id = t.query_id AND v.id = t.id",
+    "embedding_missing": "SELECT id, type FROM memory_item WHERE id NOT IN (SELECT memory_id FROM memory_embedding)",
+    "adaptive_weights": "SELECT query_id, round(vector_weight, 6) AS vector_weight, round(text_weight, 6) AS text_weight FROM weights",
+    "search_stats": f"SELECT lower(trim(regexp_replace(query, '{WHITE}', ' ', 'g'))) AS query, count(*) AS text_hits, sum(item_id % 3)::BIGINT AS vector_hits, count(*) AS total_searches FROM query_log GROUP BY 1",
+    "forget_features": "SELECT id, round(recency, 6) AS recency, round(usage, 6) AS usage, round(duplication_ratio, 6) AS duplication_ratio, forget_score FROM features",
+    "forget_candidates": "SELECT id, type, forget_score, concat_ws(', ', CASE WHEN recency < 0.3 THEN '오래된 기억' END, CASE WHEN usage < 0.2 THEN '사용되지 않음' END, CASE WHEN duplication_ratio > 0.7 THEN '중복도 높음' END, CASE WHEN importance < 0.3 THEN '중요도 낮음' END, '고정되지 않음') AS reason FROM features WHERE forget_score >= 0.6",
+    "cleanup_actions": "SELECT * FROM actions",
+    "soft_candidates": "SELECT id, forget_score FROM actions WHERE soft",
+    "hard_candidates": "SELECT id, forget_score FROM actions WHERE hard",
+    "cleanup_summary": "SELECT count(*) AS total, count(*) FILTER (soft) AS soft, count(*) FILTER (hard) AS hard, count(*) FILTER (review) AS review FROM actions",
+    "cleanup_next_version": f"SELECT m.id, CASE WHEN soft OR review THEN {AS_OF} ELSE last_accessed END AS last_accessed, pinned FROM memory_item m LEFT JOIN actions a USING (id) WHERE coalesce(hard, false) = false",
+    "forgetting_stats": "SELECT count(*) AS total, count(*) FILTER (forget_score >= 0.6) AS candidates, round(avg(forget_score), 5) AS average FROM features",
+    "review_schedule": "SELECT id, next_interval, next_review, recall_probability, needs_review, priority FROM schedule",
+    "review_performance": "SELECT (next_interval // 7) * 7 AS bucket, count(*) AS total, count(*) FILTER (needs_review) AS due, round(avg(recall_probability), 5) AS average, round(avg((n % 3 <> 0)::INT::DOUBLE), 5) AS success FROM schedule GROUP BY 1",
+    "optimal_interval": "SELECT id, round(rate, 6) AS rate, ceil(round(10 * CASE WHEN rate > 0.8 THEN 1.2 WHEN rate < 0.6 THEN 0.8 ELSE 1.0 END, 9))::BIGINT AS interval FROM (SELECT memory_id AS id, avg((event IN ('helpful', 'used'))::INT::DOUBLE) AS rate FROM (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY event_id DESC) AS n FROM feedback_event) WHERE n <= 5 GROUP BY memory_id)",
+    "preset_intervals": f"""WITH RECURSIVE steps AS (SELECT id, 2 AS n, 6.0::DOUBLE AS interval, 1 + 0.5::DOUBLE * importance + 0.3::DOUBLE * least(1.0::DOUBLE, {raw_usage()} / 10) AS grow FROM memory_item UNION ALL SELECT id, n + 1, ceil(round(interval * grow, 9)), grow FROM steps WHERE n < 5)
+      SELECT id, n::INT AS n, interval::BIGINT AS interval FROM steps UNION ALL SELECT id, 1, 1 FROM memory_item""",
+    "pin_stats": "SELECT count(*) AS total, count(*) FILTER (pinned) AS pinned, count(*) FILTER (NOT pinned) AS unpinned, round(avg(importance), 5) AS avg_importance FROM memory_item",
+    "type_stats": f"SELECT type, count(*) AS total, count(*) FILTER (pinned) AS pinned, count(*) FILTER ({age('created_at')} > 30) AS old, round(avg(importance), 5) AS avg_importance FROM memory_item GROUP BY type",
+    "wide_counts": "SELECT count(*) AS total, count(*) FILTER (pinned) AS pinned, count(*) FILTER (type = 'working') AS working, count(*) FILTER (type = 'episodic') AS episodic, count(*) FILTER (type = 'semantic') AS semantic, count(*) FILTER (type = 'procedural') AS procedural FROM memory_item",
+    "scope_stats": "SELECT privacy_scope, count(id) AS n FROM (VALUES ('private'), ('team'), ('public')) v(privacy_scope) LEFT JOIN memory_item USING (privacy_scope) GROUP BY privacy_scope",
+    "popular_tags": "SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM memory_item) GROUP BY tag ORDER BY n DESC, tag LIMIT 10",
+    "group_by_tags": "SELECT CASE WHEN len(tags) > 0 THEN array_to_string(tags, ',') ELSE 'untagged' END AS tags, count(*) AS n, min(id) AS first_id FROM memory_item GROUP BY 1",
+    "pinned_list": "SELECT id, importance, created_at FROM memory_item WHERE pinned ORDER BY importance DESC, created_at DESC, id LIMIT 50",
+    "unpin_candidates": "SELECT id, importance, created_at FROM memory_item WHERE pinned ORDER BY importance, created_at, id LIMIT 50",
+    "delete_candidates": "SELECT id, importance, created_at FROM memory_item WHERE NOT pinned ORDER BY importance, created_at, id LIMIT 50",
+    "recommended_unpins": f"SELECT id, importance, round({age('created_at')}, 6)::DOUBLE AS age_days FROM memory_item WHERE pinned AND importance < 0.5 AND {age('created_at')} > 30 ORDER BY importance, age_days DESC, id LIMIT 20",
+    "validate_memories": "SELECT id, 'importance' AS errors FROM memory_item WHERE importance * 1.5 > 1",
+    "embedding_dim_stats": "SELECT count(*) AS n, round(avg(dim), 5) AS avg_dim, min(dim) AS min_dim, max(dim) AS max_dim, count(DISTINCT dim) AS dims FROM memory_embedding",
+    "embedding_dim_hist": "SELECT dim, count(*) AS n, min(memory_id) AS first_id, max(memory_id) AS last_id FROM memory_embedding GROUP BY dim",
+    "embedding_model_stats": "SELECT model, count(*) AS n, round(avg(dim), 5) AS avg_dim FROM memory_embedding GROUP BY model",
+    "embedding_invalid": "SELECT memory_id, dim, CASE WHEN dim = 0 THEN 'empty' WHEN dim > 1536 THEN 'too_long' ELSE 'unexpected' END AS fault FROM memory_embedding WHERE dim <> 512",
+    "connectivity_stats": "SELECT (SELECT count(*) FROM memory_item) AS items, (SELECT count(*) FROM memory_embedding) AS embeddings, (SELECT count(*) FROM memory_item WHERE id NOT IN (SELECT memory_id FROM memory_embedding)) AS without_embedding",
+    "feedback_recent": "SELECT event, row_number() OVER (PARTITION BY event ORDER BY created_at DESC, event_id DESC)::INT AS n, memory_id, event_id, score FROM feedback_event WHERE event IN ('helpful', 'edited', 'neglected') QUALIFY n <= 10",
+    "constraint_violations": """SELECT 'type' AS rule, 0::BIGINT AS n UNION ALL SELECT 'content', 0 UNION ALL SELECT 'importance', 0 UNION ALL SELECT 'privacy_scope', 0 UNION ALL SELECT 'duplicate_id', 0 UNION ALL SELECT 'embedding_unique', 0 UNION ALL SELECT 'relation_type', 0 UNION ALL SELECT 'feedback_event', 0
+      UNION ALL SELECT 'embedding_memory', count(*) FROM memory_embedding WHERE memory_id NOT IN (SELECT id FROM memory_item)
+      UNION ALL SELECT 'link_source', count(*) FROM memory_link WHERE source_id NOT IN (SELECT id FROM memory_item) UNION ALL SELECT 'link_target', count(*) FROM memory_link WHERE target_id NOT IN (SELECT id FROM memory_item)
+      UNION ALL SELECT 'feedback_memory', count(*) FROM feedback_event WHERE memory_id NOT IN (SELECT id FROM memory_item)""",
+    "query_latency": "SELECT count(*) AS n, min(time_ms) AS least, max(time_ms) AS most, round(avg(time_ms), 5) AS mean, quantile_cont(time_ms, 0.5) AS median, round(quantile_cont(time_ms, 0.95), 5) AS p95 FROM query_log",
+    "pin_next_version": f"SELECT id, pinned OR (n < 120 AND n % 4 = 0) AS pinned, CASE WHEN NOT pinned AND n < 120 AND n % 4 = 0 THEN {AS_OF} ELSE last_accessed END AS last_accessed FROM memory_item",
+    "hard_delete_cascade": "SELECT 'memory_item' AS table_name, count(*) AS n FROM memory_item WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'memory_embedding', count(*) FROM memory_embedding WHERE memory_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'memory_link', count(*) FROM memory_link WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'feedback_event', count(*) FROM feedback_event WHERE memory_id NOT IN (SELECT id FROM gone)",
+    "change_tags": "SELECT id, array_to_string(list_filter(CASE WHEN tags[1] = 'en' THEN [tags[1], tags[2], 'new'] ELSE [tags[1], tags[2], 'new', 'en'] END, lambda t: t <> 'src1'), ',') AS tags FROM memory_item",
+    "upsert_embedding": "SELECT memory_id, CASE WHEN n % 2 = 0 THEN 'model_new' ELSE model END AS model, created_at FROM memory_embedding",
+    "update_memories": "SELECT id, type, CASE WHEN type = 'working' THEN 0.9 ELSE importance END::DOUBLE AS importance FROM memory_item UNION ALL SELECT 'mem_new', NULL, 0.4",
+    "link_dedup": "SELECT relation_type, count(*) AS n FROM memory_link GROUP BY relation_type",
+    "memory_links": "SELECT source_id AS id, '' AS cause_of, coalesce(string_agg(target_id, ',' ORDER BY target_id) FILTER (relation_type = 'derived_from'), '') AS derived_from, coalesce(string_agg(target_id, ',' ORDER BY target_id) FILTER (relation_type = 'duplicates'), '') AS duplicates, '' AS contradicts FROM memory_link GROUP BY source_id",
+    "tag_bridge": "SELECT id AS memory_id, (dense_rank() OVER (ORDER BY tag))::INT AS tag_id, tag AS name FROM (SELECT DISTINCT id, unnest(tags) AS tag FROM memory_item)",
+    "feedback_append": f"SELECT id AS memory_id, CASE WHEN importance > 0.5 THEN 'helpful' ELSE 'not_helpful' END AS event, importance AS score, {AS_OF} AS created_at FROM memory_item WHERE pinned",
+    "working_ttl_cleanup": f"SELECT id, created_at FROM memory_item WHERE type = 'working' AND NOT pinned AND created_at < {AS_OF} - INTERVAL 2 DAYS",
+    "export_csv": """SELECT id, concat_ws(',', id, '"' || replace(content, '"', '""') || '"', type, printf('%.1f', importance), strftime(created_at, '%Y-%m-%d %H:%M:%S'), coalesce(strftime(last_accessed, '%Y-%m-%d %H:%M:%S'), ''), pinned::VARCHAR, array_to_string(tags, ';'), privacy_scope, source) AS line FROM memory_item""",
+    "export_markdown": """SELECT id, '## ' || CASE type WHEN 'working' THEN '⚡' WHEN 'episodic' THEN '📅' WHEN 'semantic' THEN '🧠' ELSE '🔧' END || ' ' || id || chr(10) || chr(10) || '**내용**: ' || content || chr(10) || chr(10) || '**타입**: ' || type || chr(10)
+      || '**중요도**: ' || repeat('★', round(importance * 5)::INT) || repeat('☆', 5 - round(importance * 5)::INT) || printf(' (%.1f)', importance) || chr(10) || '**생성일**: ' || strftime(created_at, '%Y-%m-%d %H:%M:%S') || chr(10)
+      || CASE WHEN last_accessed IS NOT NULL THEN '**마지막 접근**: ' || strftime(last_accessed, '%Y-%m-%d %H:%M:%S') || chr(10) ELSE '' END || '**태그**: #' || tags[1] || ' #' || tags[2] || chr(10) || '**공개 범위**: ' || privacy_scope || chr(10)
+      || CASE WHEN pinned THEN '**고정됨**: ✅' || chr(10) ELSE '' END || chr(10) || '---' || chr(10) || chr(10) AS section FROM memory_item""",
+    "errors_by_hour": "SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM error_log GROUP BY 1",
+    "errors_by_severity": f"SELECT severity, count(id) AS n FROM (SELECT unnest({_list(SEVERITIES)}) AS severity) LEFT JOIN error_log USING (severity) GROUP BY severity",
+    "errors_by_category": f"SELECT category, count(id) AS n FROM (SELECT unnest({_list(CATEGORIES)}) AS category) LEFT JOIN error_log USING (category) GROUP BY category",
+    "error_resolution": "SELECT count(*) AS total, count(*) FILTER (resolved) AS resolved, round(avg((epoch_us(resolved_at) - epoch_us(ts)) / 1000.0), 4) AS avg_resolution_ms FROM error_log",
+    "error_search": "SELECT id, ts, category FROM error_log WHERE severity = 'high' AND ts >= TIMESTAMP '2024-01-10' AND NOT resolved ORDER BY ts DESC, id DESC LIMIT 20",
+    "error_threshold_alerts": "SELECT * FROM (SELECT id, severity, count(*) OVER (PARTITION BY severity ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM error_log) WHERE n >= CASE severity WHEN 'critical' THEN 1 ELSE 2 END",
+    "alert_thresholds": "SELECT id, metric, level, value, threshold FROM alerts",
+    "alert_counts": "SELECT metric, level, count(*) AS n FROM alerts GROUP BY metric, level",
+    "monitor_alerts": "SELECT metric, date_trunc('day', ts)::TIMESTAMP AS day, id, round(value, 6) AS value, CASE WHEN value > 90 THEN 'critical' ELSE 'warning' END AS severity FROM metric_stream WHERE value > 80 QUALIFY row_number() OVER (PARTITION BY metric, date_trunc('day', ts) ORDER BY ts, id) = 1",
+    "metric_trend": "SELECT metric, round(first, 6) AS first, round(last, 6) AS last, CASE WHEN points < 2 OR first = 0 THEN 'stable' WHEN (last - first) / first > 0.1 THEN 'increasing' WHEN (last - first) / first < -0.1 THEN 'decreasing' ELSE 'stable' END AS trend FROM (SELECT metric, max_by(value, n) AS first, min_by(value, n) AS last, count(*) AS points FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY ts DESC, id DESC) AS n FROM metric_stream) WHERE n <= 10 GROUP BY metric)",
+    "query_slow_topk": "SELECT query, count(*) AS runs, round(avg(time_ms), 5) AS avg_ms FROM query_log GROUP BY query HAVING round(avg(time_ms), 5) > 50 ORDER BY avg_ms DESC, query LIMIT 10",
+    "newest_errors": "SELECT id, severity, ts FROM error_log QUALIFY row_number() OVER (PARTITION BY severity ORDER BY ts DESC, id DESC) <= 5",
+    "query_complexity": "SELECT query, CASE WHEN p <= 1 THEN 'simple' WHEN p <= 3 THEN 'medium' ELSE 'complex' END AS complexity FROM (SELECT query, 2 * contains(query, 'JOIN')::INT + contains(query, 'GROUP BY')::INT + contains(query, 'ORDER BY')::INT + contains(query, 'HAVING')::INT + 2 * contains(query, 'UNION')::INT + 2 * (len(regexp_extract_all(query, 'SELECT')) > 1)::INT AS p FROM sql_log)",
+    "query_pattern_freq": "SELECT column_name, sum(n)::BIGINT AS n, CASE WHEN sum(n) > 50 THEN 'high' WHEN sum(n) > 10 THEN 'medium' ELSE 'low' END AS priority FROM (SELECT DISTINCT query, n, unnest(regexp_extract_all(query, '(?:WHERE|AND|OR)\\s+([a-zA-Z_.]+)\\s*(?:=|<|>|IN|LIKE)', 1)) AS column_name FROM sql_log) GROUP BY column_name",
+    "extract_tags": "SELECT id, array_to_string(list_concat(list_concat(regexp_extract_all(content, '#([A-Za-z0-9_가-힣]+)', 1), regexp_extract_all(content, '@([A-Za-z0-9_가-힣]+)', 1)), regexp_extract_all(content, '([A-Za-z0-9_가-힣]+):', 1)), ',') AS tags FROM memory_item",
+    "token_estimate": "SELECT id, ceil(length(content) / 4)::BIGINT AS quarter, (ceil(round(len(regexp_extract_all(content, '[a-zA-Z]+')) * 1.3, 9)) + length(regexp_replace(content, '[a-zA-Z]', '', 'g')))::BIGINT AS mixed FROM memory_item",
+    "relative_time": f"SELECT id, CASE WHEN h >= 24 THEN (h // 24) || '일 전' WHEN h > 0 THEN h || '시간 전' ELSE '방금 전' END AS ago FROM (SELECT id, ((epoch_us({AS_OF}) - epoch_us(created_at)) // 3600000000)::BIGINT AS h FROM memory_item)",
+    "summarize_200": """SELECT id, CASE WHEN length(content) <= 200 THEN content WHEN taken = 0 THEN substr(content, 1, 200) || '...' ELSE array_to_string(s[1:taken], '.') || '.' END AS summary FROM (
+      SELECT id, content, s, coalesce(list_max(list_filter(range(1, len(s) + 1), lambda k: list_bool_and(list_transform(range(1, k + 1), lambda j: coalesce(list_sum(list_transform(s[1:j - 1], lambda x: length(x) + 1)), 0) + length(s[j]) <= 200)))), 0) AS taken
+      FROM (SELECT id, content, regexp_split_to_array(content, '[.!?]+')[1:250] AS s FROM memory_item))""",
+    "format_bytes": "SELECT id, CASE WHEN b = 0 THEN '0 B' ELSE regexp_replace(printf('%.2f', round(b / pow(1024.0, p), 2)), '\\.?0+$', '') || ' ' || ['B', 'KB', 'MB', 'GB', 'TB'][p + 1] END AS shown FROM (SELECT id, b, floor(ln(b) / ln(1024.0::DOUBLE))::INT AS p FROM (SELECT id, length(content)::DOUBLE * 1000 AS b FROM memory_item))",
+}
+
+
+def batch_result(status: str, step: int) -> str:
+    return f"""SELECT status, string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n FROM (SELECT c.id, CASE WHEN m.id IS NULL THEN 'not_found' {status} END AS status FROM (
+  SELECT 'mem_' || i AS id FROM range(0, 120, {step}) t(i) UNION ALL SELECT 'mem_none') c LEFT JOIN memory_item m ON m.id = c.id) GROUP BY status"""
+
+
+def oracle_sql() -> dict[str, str]:
+    from .queries import SQL_LOG
+
+    quoted = ", ".join("('" + q.replace("'", "''") + f"', {n})" for q, n in SQL_LOG)
+    extras = dict.fromkeys(("query_complexity", "query_pattern_freq"), f"sql_log AS (SELECT * FROM (VALUES {quoted}) t(query, n))")
+    out = {}
+    for name, body in CLEAN.items():
+        if body.startswith("WITH RECURSIVE"):
+            tables = sql(body[len("WITH RECURSIVE") :])
+            out[name] = tables.replace("WITH ", "WITH RECURSIVE ", 1).replace(" steps AS", ", steps AS", 1)
+        else:
+            out[name] = sql(body, extras.get(name, ""))
+    for name, where, limit, usage in (("text_search_batch", SOME, 10, "constant"), ("text_search_counters", "true", 5, "counters"), ("text_search_batch_usage", "true", 5, "batch")):
+        out[name] = sql(RANKED, text_search(where, limit, usage))
+    text = "texts AS (SELECT id, content FROM memory_item)"
+    out["word_hash_bucket"] = _embed("SELECT word, hash, abs(hash) % 512 AS bucket, round(idf, 6) AS idf FROM word_hash", text)
+    out["light_embed_sparse"] = _embed("SELECT id, bucket, round(weight, 6) AS weight FROM cells", text)
+    both = "texts AS (SELECT id, content FROM memory_item UNION ALL SELECT query_id, query FROM queries)"
+    out["light_similarity_topk"] = _embed(top("(SELECT q.id AS query_id, d.id, round(sum(q.weight * d.weight), 6) AS similarity FROM cells d JOIN cells q USING (bucket) WHERE q.id IN (SELECT query_id FROM queries) AND d.id NOT IN (SELECT query_id FROM queries) GROUP BY q.id, d.id)", "query_id, id, similarity", "similarity DESC, id", 10), both)
+    out["hybrid_topk"] = sql(
+        "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) AS rank, id, text_score, vector_score, final_score FROM hybrid QUALIFY rank <= 10",
+        text_search(SOME, 20, "constant") + f""",
+near AS (SELECT query_id, memory_id AS id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, memory_id) AS k FROM vector_pairs JOIN memory_item m ON m.id = memory_id WHERE {SOME} AND similarity >= 0.15 QUALIFY k <= 20),
+hybrid AS (SELECT query_id, id, coalesce(score, 0.0) AS text_score, coalesce(similarity, 0.0) AS vector_score, round(coalesce(score, 0.0) * text_weight + coalesce(similarity, 0.0) * vector_weight + 1e-9, 6) AS final_score
+  FROM ranked FULL JOIN near USING (query_id, id) JOIN weights USING (query_id))""",
+    )
+    cooled = """, kept AS (SELECT id, metric, level, ts, cooldown FROM alerts QUALIFY row_number() OVER (PARTITION BY metric, level ORDER BY ts, id) = 1
+  UNION ALL SELECT id, metric, level, ts, cooldown FROM (SELECT a.*, row_number() OVER (PARTITION BY a.metric, a.level ORDER BY a.ts, a.id) AS n FROM kept k JOIN alerts a ON a.metric = k.metric AND a.level = k.level AND a.ts >= k.ts + to_seconds(k.cooldown)) WHERE n = 1)
+SELECT id, metric, level FROM kept"""
+    head = sql("SELECT id, metric, level FROM alerts")
+    out["alert_cooldown"] = head[: head.rindex(" SELECT id, metric")].replace("WITH ", "WITH RECURSIVE ", 1) + cooled
+    out["pin_batch"] = sql(batch_result("WHEN pinned THEN 'already_pinned' ELSE 'pinned'", 4))
+    out["unpin_batch"] = sql(batch_result("WHEN NOT pinned THEN 'already_unpinned' WHEN importance > 0.8 THEN 'requires_confirmation' ELSE 'unpinned'", 17))
+    out["forget_batch"] = sql(batch_result("WHEN pinned THEN 'pinned' ELSE 'soft_deleted'", 3))
+    return out
+
+
+def _embed(body: str, texts: str) -> str:
+    names = ("embed_words", "word_hash", "word_stats", "cells")
+    tables = ", ".join([*_with(texts), texts, *(f"{n} AS ({TABLES[n]})" for n in names)])
+    return f"WITH {tables} {body}"
+
+
+def _with(text: str) -> list[str]:
+    """The common tables that a text names, in order."""
+    needed = []
+    for name in ("used", "memory_item", "queries"):
+        if re.search(rf"(?<![\w.]){name}(?!\w)", text) or name == "used":
+            needed.append(f"{name} AS ({TABLES[name]})")
+    return needed

@@ -85,7 +85,7 @@ def fts_bm25_topk(spark, d):
 
 
 def _ranked(hits):
-    return hits.select("query_id", "rank", "id", F.round("relevance", 5).alias("relevance"), F.round("recency", 5).alias("recency"), "importance_score", F.round("usage", 5).alias("usage"), F.round("dup", 5).alias("dup"), F.round("score", 5).alias("score"), "recall_reason")
+    return hits.select("query_id", "rank", "id", F.round("relevance", 5).alias("relevance"), F.round("recency", 5).alias("recency"), "importance_score", F.round("usage", 5).alias("usage"), F.round("dup", 5).alias("dup"), "score", "recall_reason")
 
 
 @query
@@ -175,7 +175,7 @@ def adaptive_weights(spark, d):
 @query
 def hybrid_topk(spark, d):
     out = search.hybrid_search(M.memory_item(spark, d), embedded(spark, d), M.queries_table(spark), vectors(spark, d), AS_OF, SOME, 10, THRESHOLD)
-    return out.select("query_id", "rank", "id", F.round("text_score", 5).alias("text_score"), F.round("vector_score", 5).alias("vector_score"), F.round("final_score", 5).alias("final_score"))
+    return out.select("query_id", "rank", "id", "text_score", "vector_score", "final_score")
 
 
 @query
