@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import query_complexity
-from .stats import N, zero_filled
+from .stats import n_rows, zero_filled
 
 
 def errors_by_hour(log: DataFrame) -> DataFrame:
-    return log.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(N.alias("n"))
+    return log.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(n_rows().alias("n"))
 
 
 def error_counts(log: DataFrame, key: str) -> DataFrame:
     values = C.SEVERITIES if key == "severity" else C.CATEGORIES
-    return zero_filled(log.groupBy(key).agg(N.alias("n")), key, values)
+    return zero_filled(log.groupBy(key).agg(n_rows().alias("n")), key, values)
 
 
 def resolution_time(log: DataFrame) -> DataFrame:
     ms = (F.unix_micros("resolved_at") - F.unix_micros("ts")) / 1000
-    return log.agg(N.alias("total"), F.count_if("resolved").alias("resolved"), F.round(F.avg(F.when(F.col("resolved"), ms)), 4).alias("avg_resolution_ms"))
+    return log.agg(n_rows().alias("total"), F.count_if("resolved").alias("resolved"), F.round(F.avg(F.when(F.col("resolved"), ms)), 4).alias("avg_resolution_ms"))
 
 
 def search_errors(log: DataFrame, severity=None, category=None, time_from=None, time_to=None, include_resolved=True, limit: int = 100) -> DataFrame:
@@ -98,14 +98,14 @@ def first_active(metrics: DataFrame, limit: float = 80.0) -> DataFrame:
 def trend(metrics: DataFrame, last: int = 10) -> DataFrame:
     w = Window.partitionBy("metric").orderBy(F.desc("ts"), F.desc("id"))
     r = metrics.withColumn("n", F.row_number().over(w)).where(F.col("n") <= last)
-    ends = r.groupBy("metric").agg(F.max_by("value", "n").alias("first"), F.min_by("value", "n").alias("last"), N.alias("points"))
+    ends = r.groupBy("metric").agg(F.max_by("value", "n").alias("first"), F.min_by("value", "n").alias("last"), n_rows().alias("points"))
     change = (F.col("last") - F.col("first")) / F.col("first")
     flat = (F.col("points") < 2) | (F.col("first") == 0)
     return ends.select("metric", F.round("first", 6).alias("first"), F.round("last", 6).alias("last"), F.when(flat, "stable").when(change > 0.1, "increasing").when(change < -0.1, "decreasing").otherwise("stable").alias("trend"))
 
 
 def slow_queries(log: DataFrame, ms: float = 50, limit: int = 10) -> DataFrame:
-    q = log.groupBy("query").agg(N.alias("runs"), F.round(F.avg("time_ms"), 5).alias("avg_ms"))
+    q = log.groupBy("query").agg(n_rows().alias("runs"), F.round(F.avg("time_ms"), 5).alias("avg_ms"))
     return q.where(F.col("avg_ms") > ms).orderBy(F.desc("avg_ms"), "query").limit(limit)
 
 

@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import scoring as S
 
-N = F.count(F.lit(1))
+def n_rows():
+    return F.count(F.lit(1))
 
 
 def pin_stats(m: DataFrame) -> DataFrame:
-    return m.agg(N.alias("total"), F.count_if("pinned").alias("pinned"), F.count_if(~F.col("pinned")).alias("unpinned"), F.round(F.avg("importance"), 5).alias("avg_importance"))
+    return m.agg(n_rows().alias("total"), F.count_if("pinned").alias("pinned"), F.count_if(~F.col("pinned")).alias("unpinned"), F.round(F.avg("importance"), 5).alias("avg_importance"))
 
 
 def type_stats(m: DataFrame, as_of, days: int = 30) -> DataFrame:
     old = S.age_days(F.col("created_at"), as_of) > days
-    return m.groupBy("type").agg(N.alias("total"), F.count_if("pinned").alias("pinned"), F.count_if(old).alias("old"), F.round(F.avg("importance"), 5).alias("avg_importance"))
+    return m.groupBy("type").agg(n_rows().alias("total"), F.count_if("pinned").alias("pinned"), F.count_if(old).alias("old"), F.round(F.avg("importance"), 5).alias("avg_importance"))
 
 
 def wide_counts(m: DataFrame) -> DataFrame:
-    return m.agg(N.alias("total"), F.count_if("pinned").alias("pinned"), *[F.count_if(F.col("type") == t).alias(t) for t in C.TYPES])
+    return m.agg(n_rows().alias("total"), F.count_if("pinned").alias("pinned"), *[F.count_if(F.col("type") == t).alias(t) for t in C.TYPES])
 
 
 def zero_filled(counts: DataFrame, key: str, values) -> DataFrame:
@@ -31,33 +32,33 @@ def zero_filled(counts: DataFrame, key: str, values) -> DataFrame:
 
 
 def scope_stats(m: DataFrame) -> DataFrame:
-    return zero_filled(m.groupBy("privacy_scope").agg(N.alias("n")), "privacy_scope", C.SCOPES)
+    return zero_filled(m.groupBy("privacy_scope").agg(n_rows().alias("n")), "privacy_scope", C.SCOPES)
 
 
 def popular_tags(m: DataFrame, limit: int = 10) -> DataFrame:
-    return m.select(F.explode("tags").alias("tag")).groupBy("tag").agg(N.alias("n")).orderBy(F.desc("n"), "tag").limit(limit)
+    return m.select(F.explode("tags").alias("tag")).groupBy("tag").agg(n_rows().alias("n")).orderBy(F.desc("n"), "tag").limit(limit)
 
 
 def group_by_tags(m: DataFrame) -> DataFrame:
     key = F.when(F.size("tags") > 0, F.array_join("tags", ",")).otherwise("untagged")
-    return m.groupBy(key.alias("tags")).agg(N.alias("n"), F.min("id").alias("first_id"))
+    return m.groupBy(key.alias("tags")).agg(n_rows().alias("n"), F.min("id").alias("first_id"))
 
 
 def dim_stats(e: DataFrame) -> DataFrame:
-    return e.agg(N.alias("n"), F.round(F.avg("dim"), 5).alias("avg_dim"), F.min("dim").alias("min_dim"), F.max("dim").alias("max_dim"), F.count_distinct("dim").alias("dims"))
+    return e.agg(n_rows().alias("n"), F.round(F.avg("dim"), 5).alias("avg_dim"), F.min("dim").alias("min_dim"), F.max("dim").alias("max_dim"), F.count_distinct("dim").alias("dims"))
 
 
 def dim_histogram(e: DataFrame) -> DataFrame:
-    return e.groupBy("dim").agg(N.alias("n"), F.min("memory_id").alias("first_id"), F.max("memory_id").alias("last_id"))
+    return e.groupBy("dim").agg(n_rows().alias("n"), F.min("memory_id").alias("first_id"), F.max("memory_id").alias("last_id"))
 
 
 def model_stats(e: DataFrame) -> DataFrame:
-    return e.groupBy("model").agg(N.alias("n"), F.round(F.avg("dim"), 5).alias("avg_dim"))
+    return e.groupBy("model").agg(n_rows().alias("n"), F.round(F.avg("dim"), 5).alias("avg_dim"))
 
 
 def connectivity(m: DataFrame, e: DataFrame) -> DataFrame:
-    lone = m.join(e.select(F.col("memory_id").alias("id")), "id", "left_anti").agg(N.alias("without_embedding"))
-    return m.agg(N.alias("items")).crossJoin(e.agg(N.alias("embeddings"))).crossJoin(lone)
+    lone = m.join(e.select(F.col("memory_id").alias("id")), "id", "left_anti").agg(n_rows().alias("without_embedding"))
+    return m.agg(n_rows().alias("items")).crossJoin(e.agg(n_rows().alias("embeddings"))).crossJoin(lone)
 
 
 def invalid_vectors(e: DataFrame, expected: int) -> DataFrame:
@@ -103,7 +104,7 @@ def violations(m: DataFrame, e: DataFrame, links: DataFrame, feedback: DataFrame
     ]
     out = None
     for name, rows in checks:
-        one = rows.agg(N.alias("n")).select(F.lit(name).alias("rule"), "n")
+        one = rows.agg(n_rows().alias("n")).select(F.lit(name).alias("rule"), "n")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -123,4 +124,4 @@ def invalid_memories(m: DataFrame) -> DataFrame:
 def latency_stats(log: DataFrame, value: str = "time_ms") -> DataFrame:
     """n, min, max, mean, median and 95th percentile by nearest rank from below, of all rows."""
     exact = lambda p: F.percentile(value, p)
-    return log.agg(N.alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), 5).alias("mean"), exact(0.5).alias("median"), F.round(exact(0.95), 5).alias("p95"))
+    return log.agg(n_rows().alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), 5).alias("mean"), exact(0.5).alias("median"), F.round(exact(0.95), 5).alias("p95"))
