@@ -46,7 +46,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished jobs now: it does so once the driver's JVM has collected their
-    plans, which a driver with much memory may not do for long, while executors' disks fill."""
+    plans, which a driver with much memory may not do for long, while executors' disks fill. A tiny job goes first, for
+    Spark's event queues hold on to the last event, and with it to the last plan."""
+    spark.range(1, numPartitions=1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

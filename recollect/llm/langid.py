@@ -119,12 +119,12 @@ def phrases(s: np.ndarray, at: np.ndarray, model: Model) -> np.ndarray:
 
 def fit(docs: DataFrame, per_language: int = 60, sample: int = 24_000) -> Model:
     """Learns from the texts of at most per_language documents a language, those whose doc_id hashes lowest, and at most
-    `sample` symbols of them. Held-out documents are not read."""
+    `sample` symbols of them, a sixteenth of that from one document. Held-out documents are not read."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
     ids = docs.sparkSession.createDataFrame(ids.collect(), "doc_id bigint, lang string")
-    rows = known.select("doc_id", "lang", F.substring("text", 1, sample).alias("text")).join(F.broadcast(ids), ["doc_id", "lang"]).collect()
+    rows = known.select("doc_id", "lang", F.substring("text", 1, sample // 16).alias("text")).join(F.broadcast(ids), ["doc_id", "lang"]).collect()
     rows.sort(key=lambda r: (r.lang, r.doc_id, r.text))
     langs = tuple(sorted({r.lang for r in rows}))
     text = {lang: [r.text for r in rows if r.lang == lang] for lang in langs}
