@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,6 +20,9 @@ CACHE = "digest string, n_tokens bigint"
 MEMO = 1_000_000
 #: Marks that end a word; none is a letter, digit or apostrophe, so the pre-tokenizer parts them from letters before them.
 MARKS = ".,;:!?#$%&*|"
+#: The separators U+001C to U+001F part words for str.split but are symbols for the tokenizer.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+WORDS = re.compile(r"(?:[^\s]|[\x1c-\x1f])+")
 
 _loaded: dict = {}
 
@@ -68,7 +72,7 @@ def count_tokens(texts: list[str], path: str) -> list[int]:
     after letters are pieces of their own, so a word's letters and its marks are counted apart.
     """
     tokenizer, memo = _counter(path)
-    words = [t.split() for t in texts]
+    words = [WORDS.findall(t) if SEPARATORS.search(t) else t.split() for t in texts]
     every = set().union(*words) if words else set()
     if len(memo) + len(every) > MEMO:
         memo.clear()

@@ -19,7 +19,7 @@ def test_token_counts(spark, frame, odd):
     more = [(50, "It's <|endoftext|>. x<|startoftext|>y don't, a.b. '' 's ABC!! ß."), (51, "é. İ. Σ. ª. 1234, a1b2")]
     cache = TokenCache(spark)
     got = {r["doc_id"]: r for r in token_counts(frame(odd + more), PATH, cache).collect()}
-    assert len(got) == len(odd) + 2
+    assert len(got) == len(odd) + len(more)
     for d, text in odd + more:
         n = len(t.encode(text or "", add_special_tokens=False))
         assert (got[d]["n_tokens"], got[d]["n_bytes"], got[d]["over_limit"]) == (n, len((text or "").encode()), n > 2048)
