@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, text_slices, texts
+from .common import scratch, stored, text_slices, texts
 
 MIN_CHARS = 10
 STRIP = b" \t\n\x0b\x0c\r"
@@ -35,6 +35,19 @@ class CuckooFilter:
         else:
             self.slots = np.frombuffer(blob, np.uint16).reshape(-1, SLOTS).copy()
 
+    @classmethod
+    def of(cls, keys: np.ndarray) -> CuckooFilter:
+        """A filter of these distinct keys. In a small one the kicks may find no place; it then starts again at twice the size."""
+        capacity = len(keys)
+        for _ in range(12):
+            new = cls(capacity)
+            try:
+                new.insert(keys)
+                return new
+            except OverflowError:
+                capacity = 2 * max(capacity, SLOTS)
+        raise OverflowError("more keys share one fingerprint and place than two buckets hold")
+
     def blob(self) -> bytes:
         return self.slots.tobytes()
 
@@ -128,21 +141,31 @@ def _insert(mine: pd.DataFrame, stored_filters: pd.DataFrame) -> pd.DataFrame:
     shared = mine[seen | (mine["n"].to_numpy() > 1)]
     out = pd.DataFrame({"shard": shared["shard"], "key": shared["key"], "blob": None})
     if len(fresh):
-        new = CuckooFilter(len(fresh))
-        new.insert(fresh)
-        out = pd.concat([out, pd.DataFrame({"shard": [shard], "key": [None], "blob": [new.blob()]})])
+        out = pd.concat([out, pd.DataFrame({"shard": [shard], "key": [None], "blob": [CuckooFilter.of(fresh).blob()]})])
     return out
 
 
-def _delete(gone: pd.DataFrame, stored_filters: pd.DataFrame) -> pd.DataFrame:
-    keys, out = _keys(gone["key"]), []
+def _delete(keyed: pd.DataFrame, stored_filters: pd.DataFrame) -> pd.DataFrame:
+    """keyed: a shard's keys, and whether any document still holds them.
+
+    A key that a filter only seemed to hold takes another key's fingerprint with it, so held keys that no filter has
+    any more are put into one of their own.
+    """
+    held = keyed["held"].to_numpy(bool)
+    keys = _keys(keyed["key"][~held])
+    left = _keys(keyed["key"][held])
+    lost, out = np.ones(len(left), bool), []
     for blob in stored_filters["blob"]:
         f = CuckooFilter(blob=blob)
         here = f.contains(keys)
         f.delete(keys[here])
         keys = keys[~here]
+        lost &= ~f.contains(left)
         out.append(f.blob())
-    return pd.DataFrame({"shard": stored_filters["shard"], "key": None, "blob": out})
+    if lost.any():
+        out.append(CuckooFilter.of(left[lost]).blob())
+    shard = int((stored_filters if len(stored_filters) else keyed)["shard"].iloc[0])
+    return pd.DataFrame({"shard": shard, "key": None, "blob": out})
 
 
 class LineIndex:
@@ -184,8 +207,9 @@ class LineIndex:
     def delete(self, doc_ids: DataFrame) -> None:
         """doc_ids: the documents to take away."""
         left = self._put(self.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("shard", "key", "doc_id"), "refs")
-        gone = self.refs.select("shard", "key").distinct().join(left, ["shard", "key"], "left_anti")
-        changed = gone.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_delete, "shard int, key binary, blob binary")
+        held = left.select("shard", "key").distinct().withColumn("held", F.lit(True))
+        keyed = self.refs.select("shard", "key").distinct().join(held, ["shard", "key"], "left").select("shard", "key", F.coalesce("held", F.lit(False)).alias("held"))
+        changed = keyed.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_delete, "shard int, key binary, blob binary")
         self.filters = self._put(changed.select("shard", "blob"), "filters")
         self.refs = left
 
@@ -193,7 +217,8 @@ class LineIndex:
         """doc_id, keys: the repeated keys whose lines a document loses, all in one array."""
         shared = self.shared.select("key").distinct()
         counted = self.refs.join(shared, "key", "left_semi").groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("owner"))
-        repeated = counted.where("n >= 2").select("key", "owner")
+        # Written out, so that both sides of the join below are plain exchanges and a hot line's rows can be split.
+        repeated = stored(counted.where("n >= 2").select("key", "owner"), "repeated-lines")
         lost = self.refs.select("key", "doc_id").join(repeated, "key").where("doc_id <> owner")
         return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
@@ -231,12 +256,18 @@ def line_dedup(docs: DataFrame, index: LineIndex | None = None, batches: int = 2
     in the one with the smallest doc_id, there all of them. Null or empty text is one empty line. Rows of a
     repeated doc_id are one document; a null doc_id never owns a line and is not counted as a document.
     """
-    index = index or LineIndex(docs.sparkSession)
+    index = index or LineIndex(docs.sparkSession, shards=shards_for(docs))
     fill(index, docs, batches)
     joined = docs.select("doc_id", "text").join(index.drops(), "doc_id", "left")
     return joined.mapInArrow(_rebuild(False), "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
 
 
+def shards_for(docs: DataFrame, least: int = 64, shard_bytes: int = 64 << 20) -> int:
+    """Shards enough for the lines of all texts, so that what a task holds of one does not grow with the input."""
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, -(-n_bytes // shard_bytes))
+
+
 def fill(index: LineIndex, docs: DataFrame, batches: int) -> None:
     cuts = docs.select("doc_id").dropna().approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     edges = [None, *sorted(set(cuts)), None]
@@ -248,7 +279,7 @@ def fill(index: LineIndex, docs: DataFrame, batches: int) -> None:
 
 def dedup_texts(docs: DataFrame, batches: int = 2) -> DataFrame:
     """docs with their repeated lines gone from text; every column stays."""
-    index = LineIndex(docs.sparkSession)
+    index = LineIndex(docs.sparkSession, shards=shards_for(docs))
     fill(index, docs, batches)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0).alias("x")]).alias("_rest"))

@@ -1,11 +1,12 @@
 import brute
 import numpy as np
+import pandas as pd
 import pytest
 
 from recollect.llm import queries as Q
 from recollect.llm.components import components
 from recollect.llm.exact import DigestIndex, digests, exact_dedup
-from recollect.llm.lines import CuckooFilter, LineIndex, line_dedup
+from recollect.llm.lines import CuckooFilter, LineIndex, _delete, line_dedup
 from recollect.llm.simhash import near_links, simhash_dedup
 from recollect.llm.substring import FingerprintIndex, dedup_batch, substring_dedup
 from recollect.llm.suffix import multikey_order, suffix_dedup
@@ -106,6 +107,20 @@ def test_cuckoo_filter():
     assert f.contains(keys[:10000]).mean() < 0.01
 
 
+def test_small_cuckoo_filters():
+    for seed in range(400):
+        keys = np.random.default_rng(seed).integers(0, 2**64, (seed % 40 + 1, 2), np.uint64, endpoint=False)
+        assert CuckooFilter.of(keys).contains(keys).all()
+
+
+def test_deletion_of_a_key_that_a_filter_only_seemed_to_hold():
+    own, other = (np.array([[0, (5 << 48) + i]], np.uint64) for i in (1, 2))
+    filters = pd.DataFrame({"shard": [3], "blob": [CuckooFilter.of(own).blob()]})
+    keyed = pd.DataFrame({"shard": 3, "key": [own.tobytes(), other.tobytes()], "held": [True, False]})
+    left = [CuckooFilter(blob=b) for b in _delete(keyed, filters)["blob"]]
+    assert any(f.contains(own).all() for f in left)
+
+
 def test_line_deletion_is_as_if_never_inserted(spark, frame, odd):
     index = LineIndex(spark, shards=4)
     some = [r for r in odd if r[0] in (2, 8)]
