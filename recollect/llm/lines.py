@@ -216,9 +216,10 @@ class LineIndex:
     def drops(self) -> DataFrame:
         """doc_id, keys: the repeated keys whose lines a document loses, all in one array."""
         shared = self.shared.select("key").distinct()
-        counted = self.refs.join(shared, "key", "left_semi").groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("owner"))
+        # Counted before the join, so that a hot line's references are summed up in the tasks that read them.
+        counted = self.refs.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
         # Written out, so that both sides of the join below are plain exchanges and a hot line's rows can be split.
-        repeated = stored(counted.where("n >= 2").select("key", "owner"), "repeated-lines")
+        repeated = stored(counted.join(shared, "key", "left_semi").select("key", "owner"), "repeated-lines")
         lost = self.refs.select("key", "doc_id").join(repeated, "key").where("doc_id <> owner")
         return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
