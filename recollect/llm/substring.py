@@ -87,7 +87,8 @@ class FingerprintIndex:
         fresh = batch.where("doc_id is not null").mapInArrow(_fingerprints(self.window), RUN)
         run = self._write(self._firsts(fresh), f"run-{len(self.runs)}-{scratch_name()}")
         history, self.runs = self.runs, [*self.runs, run]
-        every = run if not history else self._firsts(self._union(self.runs))
+        # Written out, so that a hot gram's rows can be split in the join with their owners.
+        every = run if not history else stored(self._firsts(self._union(self.runs)), "owners")
         # Grams whose windows differ from place to place: there single windows must be compared.
         mixed = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
         if history:
