@@ -155,7 +155,8 @@ def near_links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> D
         keys.append(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(signed))))
     d = prints.select("fp", F.explode(F.array(*keys)).alias("bucket"))
     counts = d.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    d = d.join(counts, "bucket")
+    # Written out, so that both sides of the join are plain exchanges and a hot bucket's rows can be split.
+    d = d.join(stored(counts, "buckets"), "bucket")
     parts = F.ceil(F.col("n") / chunk)
     d = d.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")))
     # A part meets every part once: (x, y) with x <= y; the lower one is side 0, the other side 1.
@@ -174,7 +175,8 @@ def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     # The component of a fingerprint that has no link is its own group.
     named = groups.join(roots, groups.fp == roots.node, "left").select("fp", "owner", F.coalesce("root", "fp").alias("root"))
     owners = named.groupBy("root").agg(F.min("owner").alias("component_id"))
-    named = named.join(owners, "root").select("fp", "component_id")
+    # Written out for the same reason: a hot fingerprint's rows.
+    named = stored(named.join(owners, "root").select("fp", "component_id"), "named")
     return d.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
