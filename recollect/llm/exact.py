@@ -70,8 +70,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batches: int
             part = part.where(F.col("doc_id") < high)
         index.add(part)
     sizes = d.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"))
-    # Read by path, not by table: both sides are then exchanged and a hot digest's rows can be split.
-    known = sizes.join(spark.read.schema(SCHEMA).parquet(index.path), "text_sha256")
+    # Written out, so that both sides of the last join are plain exchanges and a hot digest's rows can be split.
+    known = stored(sizes.join(spark.read.schema(SCHEMA).parquet(index.path), "text_sha256"), "digest-owners")
     return d.join(known, "text_sha256").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
