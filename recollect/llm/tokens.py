@@ -132,5 +132,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: TokenCache | None
     rows = stored(d.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "token-rows")
     misses = d.select("digest", "text").join(cache.read(), "digest", "left_anti").dropDuplicates(["digest"])
     cache.append(misses.mapInArrow(_encode(tokenizer_path), CACHE))
-    counts = cache.read().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written out, so that both sides of the join below are plain exchanges and a hot digest's rows can be split.
+    counts = stored(cache.read().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
