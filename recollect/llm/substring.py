@@ -82,8 +82,8 @@ class FingerprintIndex:
         first = F.min(F.struct("doc_id", "row", "pos")).alias("x")
         return rows.groupBy("gram", "around").agg(first).select("gram", "around", "x.doc_id", "x.row", "x.pos")
 
-    def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Adds a batch (doc_id, text, row) as a run; returns notes on its and the history's windows, see `notes`."""
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Adds a batch (doc_id, text, row) as a run; returns notes (row, pos, settled) on its and the history's windows."""
         fresh = batch.where("doc_id is not null").mapInArrow(_fingerprints(self.window), RUN)
         run = self._write(self._firsts(fresh), f"run-{len(self.runs)}-{scratch_name()}")
         history, self.runs = self.runs, [*self.runs, run]
@@ -93,15 +93,16 @@ class FingerprintIndex:
         mixed = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
         if history:
             mixed = mixed.join(run.select("gram"), "gram", "left_semi")
-        mixed = stored(mixed, "mixed-grams")
-        owners = every.select("gram", "around", F.col("doc_id").alias("owner"))
-        mine = fresh.join(owners, ["gram", "around"])
-        settled = mine.where("owner < doc_id").select("row", "pos", F.lit(True).alias("settled"))
-        asked = self._firsts(self._union([*history, run]) if history else run).join(mixed, "gram", "left_semi")
+        mixed = stored(mixed, "mixed-grams").withColumn("mixed", F.lit(True))
+        every = stored(every.join(mixed, "gram", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))), "owners")
+        owners = every.select("gram", "around", F.col("doc_id").alias("owner"), "mixed")
+        # An owner's own places, which may be many, are all compared; of the history one place of each entry will do.
+        mine = fresh.join(owners, ["gram", "around"]).where("owner < doc_id or mixed")
+        mine = mine.select("row", "pos", (F.col("owner") < F.col("doc_id")).alias("settled"))
         self.docs = batch if self.docs is None else self.docs.unionByName(batch)
         if len(self.runs) > self.most_runs:
             self.compact()
-        return settled, asked.select("row", "pos", F.lit(False).alias("settled"))
+        return mine.unionByName(every.where("mixed").select("row", "pos", F.lit(False).alias("settled")))
 
     def compact(self) -> None:
         """Merges all runs into one."""
@@ -209,8 +210,7 @@ def dedup_batch(index: FingerprintIndex, batch: DataFrame) -> DataFrame:
     batch = batch.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     batch = batch.withColumn("row", F.xxhash64("doc_id", "text"))
     past = index.docs
-    settled, asked = index.add(batch)
-    notes = settled.unionByName(asked).groupBy("row").agg(F.collect_set(F.struct("pos", "settled")).alias("notes"))
+    notes = index.add(batch).groupBy("row").agg(F.collect_set(F.struct("pos", "settled")).alias("notes"))
     notes = notes if past is None else stored(notes, "notes")
     now = batch.join(notes, "row", "left").withColumn("current", F.lit(True))
     if past is not None:

@@ -152,3 +152,20 @@ def test_fingerprint_index_over_batches(spark, frame, corpus):
         got += [tuple(r) for r in dedup_batch(index, frame(some[lo : lo + 20])).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
     assert len(index.runs) <= 2
     assert sorted(got) == sorted(brute.substring(some, 8))
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_passage_twice_in_one_document(spark, frame, apart):
+    """Both copies have the same surroundings, so the document owns them itself; a smaller doc_id has them in others."""
+    some = []
+    for k, n in enumerate((60, 80, 120)):
+        x, left, right, other, more = (" ".join(f"{c}{k}w{i}" for i in range(m)) for c, m in (("x", n), ("a", 70), ("b", 70), ("c", 70), ("d", 70)))
+        q = f"{other} {x} {more}"
+        some += [(k, f"{left} {x} {right}"), (10 + k, f"{q} {q}"), (20 + k, f"{q} one"), (20 + k, f"{q} two")]
+    index = FingerprintIndex(spark)
+    got = []
+    for part in [[r for r in some if r[0] < 10], [r for r in some if r[0] >= 10]] if apart else [some]:
+        got += rows(dedup_batch(index, frame(part)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert sorted(got) == sorted(brute.substring(some, 50))
+    own = frame([r for r in some if r[0] >= 20 or r[0] < 10])
+    check(substring_dedup(own, 50, batches=2), ("doc_id", "n_words", "n_removed", "kept_sha256"), brute.substring([tuple(r) for r in own.select("doc_id", "text").collect()], 50))
