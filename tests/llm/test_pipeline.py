@@ -1,9 +1,11 @@
 import brute
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as C
 from recollect.llm import decontam
+from recollect.llm.nearcopies import near_copies
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +44,42 @@ def test_odd_and_empty(spark, frame, odd, stage):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     assert f(spark, frame(odd).select(columns), SF).count() <= len(odd)
     assert f(spark, frame([]).select(columns), SF).count() == 0
+
+
+def near_rows():
+    """Texts with substituted words, on both sides of a five-word Jaccard of 0.8, blanks, and one large group."""
+    rng = np.random.default_rng(3)
+    out = [(900, None), (901, " "), (902, "two words"), (903, "Two  words"), (904, "two others")]
+    for k in range(90):
+        base = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(60, 500)))]
+        other = list(base)
+        for at in rng.choice(len(base), int(rng.integers(1, 1 + len(base) // 25)), replace=False):
+            other[at] = "new"
+        out += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+    for k in range(60):
+        base[int(rng.integers(0, 200))] = f"step{k}"
+        out.append((500 + k, " ".join(base)))
+    return out
+
+
+def plain_components(rows):
+    sets = [decontam.shingles(brute.WORD.findall((t or "").lower())) for _, t in rows]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                root = [root[j] if x == root[i] else x for x in root]
+    low = {}
+    for (d, _), x in zip(rows, root, strict=True):
+        low[x] = min(low.get(x, d), d)
+    return {d: low[x] for (d, _), x in zip(rows, root, strict=True)}
+
+
+def test_near_copies_by_jaccard(spark, frame):
+    rows = near_rows()
+    plain = plain_components(rows)
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    got = C.near_dedup(spark, frame(rows).select(columns), SF).collect()
+    assert {r["doc_id"] for r in got} == set(plain.values())
+    assert {r["doc_id"]: r["component_id"] for r in near_copies(frame(rows), chunk=7).collect()} == plain
