@@ -38,6 +38,12 @@ def vectors(spark, d):
     return e.select(F.concat(F.lit("q"), (F.substring("memory_id", 5, 9).cast("int") + 1).cast("string")).alias("query_id"), c("embedding").alias("vector"))
 
 
+def many_vectors(spark, d):
+    """Query vectors that grow with the table: every embedding whose id is divisible by 20."""
+    e = M.memory_embedding(spark, d).where(F.substring("memory_id", 5, 18).cast("long") % 20 == 0)
+    return e.select(c("memory_id").alias("query_id"), c("embedding").alias("vector"))
+
+
 def embedded(spark, d):
     """Embeddings of existing memories."""
     return M.memory_embedding(spark, d).join(M.memory_item(spark, d).select(c("id").alias("memory_id")), "memory_id", "left_semi")
@@ -134,6 +140,22 @@ def vector_topk_by_type(spark, d):
     return search.vector_search(embedded(spark, d).join(kept, "memory_id", "left_semi"), vectors(spark, d), 10, THRESHOLD)
 
 
+@query
+def vector_topk_many(spark, d):
+    return search.vector_search(embedded(spark, d), many_vectors(spark, d), 10, THRESHOLD).select("query_id", "memory_id", "similarity", "rank")
+
+
+@query
+def vector_topk_by_type_many(spark, d):
+    kind = M.memory_item(spark, d).where("type = 'semantic'").select(c("id").alias("memory_id"))
+    return search.vector_search(embedded(spark, d).join(kind, "memory_id", "left_semi"), many_vectors(spark, d), 10, THRESHOLD).select("query_id", "memory_id", "similarity", "rank")
+
+
+@query
+def vector_l2_similarity_many(spark, d):
+    return search.vector_search(embedded(spark, d), many_vectors(spark, d), 5, 0.0, "l2").select("query_id", "memory_id", "similarity", "rank")
+
+
 @query
 def vector_l2_similarity(spark, d):
     return search.vector_search(embedded(spark, d), vectors(spark, d), 5, -1.0, score="one_minus_l2")

@@ -1,5 +1,6 @@
 """Every registered query against its SQL twin, and the facade."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,22 @@ def test_engine(spark):
         e.recall(one, Filters(importance_min=0.9, importance_max=0.1))
     after, actions = e.cleanup(dry_run=False, hard=0.62)
     assert after.memories.count() == m.count() - actions.where("hard").count()
+
+
+@pytest.mark.parametrize("name", ["vector_topk_many", "vector_topk_by_type_many", "vector_l2_similarity_many"])
+def test_searches_by_every_twentieth_vector(spark, name):
+    kinds = {r["id"]: r["type"] for r in M.memory_item(spark, SF).select("id", "type").collect()}
+    every = {r["memory_id"]: np.array(r["embedding"]) for r in M.memory_embedding(spark, SF).collect()}
+    plain = {}
+    for q in (m for m in every if int(m[4:]) % 20 == 0):
+        hits = []
+        for m in every:
+            if m in kinds and ("type" not in name or kinds[m] == "semantic"):
+                a, b = every[q], every[m]
+                near = max(0.0, 1 - np.linalg.norm(a - b)) if "l2" in name else a @ b / np.sqrt((a @ a) * (b @ b))
+                hits += [(-round(near, 6), m)] if "l2" in name or round(near, 6) >= 0.15 else []
+        plain |= {(q, k + 1): h for k, h in enumerate(sorted(hits)[: 5 if "l2" in name else 10])}
+    got = {(r["query_id"], r["rank"]): (-r["similarity"], r["memory_id"]) for r in Q.queries()[name](spark, SF).collect()}
+    assert got.keys() == plain.keys() and len({q for q, _ in got}) > 3
+    assert all(abs(got[k][0] - plain[k][0]) < 2e-6 for k in got)
+    assert sum(got[k][1] != plain[k][1] for k in got) <= len(got) // 100
