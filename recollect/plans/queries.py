@@ -303,7 +303,7 @@ def update_memories(spark, d):
 @query
 def link_dedup(spark, d):
     links = M.memory_link(spark, d)
-    return dml.add_links(links, links.limit(10)).groupBy("relation_type").agg(F.count(F.lit(1)).alias("n"))
+    return dml.add_links(links, links).groupBy("relation_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

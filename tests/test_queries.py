@@ -83,3 +83,11 @@ def test_searches_by_every_twentieth_vector(spark, name):
     assert got.keys() == plain.keys() and len({q for q, _ in got}) > 3
     assert all(abs(got[k][0] - plain[k][0]) < 2e-6 for k in got)
     assert sum(got[k][1] != plain[k][1] for k in got) <= len(got) // 100
+
+
+def test_link_dedup_adds_every_link(spark, monkeypatch):
+    added = []
+    plain = Q.dml.add_links
+    monkeypatch.setattr(Q.dml, "add_links", lambda links, new: added.append(new.count()) or plain(links, new))
+    Q.queries()["link_dedup"](spark, SF).collect()
+    assert added == [M.memory_link(spark, SF).count()] and added[0] > 10
