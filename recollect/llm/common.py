@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +23,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets one of its
+    own; on a cluster a folder of one machine would lose data, so there it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="recollect-")
-        spark.sparkContext.setCheckpointDir(found)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
+        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -36,21 +39,60 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/recollect/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, **pairs: str) -> Iterator[None]:
+    """Session settings (dots as double underscores) for the writes inside, then as they were."""
+    names = {k.replace("__", "."): v for k, v in pairs.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def writing(spark: SparkSession):
+    """While this holds, Spark deletes a finished write's shuffle files at once and not when the driver collects garbage."""
+    return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
+#: Folders of stored tables that are still referred to.
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: its lineage ends there."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now: it does so once the driver's JVM has collected their
-    plans, which a driver with much memory may not do for long, while executors' disks fill. A tiny job goes first, for
-    Spark's event queues hold on to the last event, and with it to the last plan."""
-    spark.range(1, numPartitions=1).count()
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    with writing(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def finished(*tables: DataFrame) -> None:
+    """Deletes the folders of stored tables that nothing reads any more."""
+    for t in tables:
+        path = _folders.pop(t, None)
+        if path:
+            delete(t.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and (doc, twin), which names a row: its doc_id, or where that is null a hash of its text,
+    and 32 bits more that tell rows of one doc_id apart by their texts. Rows equal in both columns share a name."""
+    text = F.coalesce("text", F.lit(""))
+    both = F.xxhash64("doc_id", text)
+    return docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.xxhash64(text)).alias("doc"), F.shiftright(both, 32).cast("int").alias("twin"))
 
 
 def held_out(doc_id: Column) -> Column:

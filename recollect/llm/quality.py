@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,36 +78,59 @@ def weighted(raw: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches, SLICE):
-        rows = features(*text_bytes(part.column("text"))).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([r.tobytes() for r in rows], pa.binary())], ["label", "raw"])
+        rows = features(*text_bytes(part.column("text")))
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "label", "raw"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000, dims: int = 48, k: int = 25) -> Model:
-    """Learns from at most most_labelled rows, those whose doc_id hashes lowest, none of them held out.
-
-    labels: doc_id, quality. The sample is the only thing collected, as feature vectors of a fixed size.
-    """
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("label"))
-    ids = docs.select("doc_id").distinct().join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    ids = docs.sparkSession.createDataFrame(ids.collect(), "doc_id bigint, label int")
-    one = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    rows = one.select("text", "label").mapInArrow(_features, "label int, raw binary").toPandas()
-    if not len(rows):
-        return Model(np.ones(HASHED), np.zeros((HASHED + STYLE, 1)), np.zeros((0, 1)), np.zeros(0), 0.5, k)
-    raw = np.frombuffer(b"".join(rows["raw"]), np.float32).reshape(len(rows), -1)
-    label = rows["label"].to_numpy(np.float64)
-    idf = np.log((1 + len(raw)) / (1 + (raw[:, :HASHED] > 0).sum(0))) + 1
+def learn(raw: np.ndarray, label: np.ndarray, dims: int, k: int) -> Model:
+    """The model of labelled feature rows."""
+    if not len(raw):
+        return Model(np.ones(HASHED, np.float32), np.zeros((HASHED + STYLE, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5, k)
+    idf = (np.log((1 + len(raw)) / (1 + (raw[:, :HASHED] > 0).sum(0))) + 1).astype(np.float32)
     x = weighted(raw, idf)
-    values, axes = np.linalg.eigh(x.T @ x)
+    _, axes = np.linalg.eigh(x.T @ x)
     axes = axes[:, ::-1][:, :dims]
     # Signs of eigenvectors are free: fix them, so that reruns agree.
-    axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1, 1)
+    axes = (axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1, 1)).astype(np.float32)
     vectors = x @ axes
     norms = np.linalg.norm(vectors, axis=1)
     keep = norms > 1e-9
     return Model(idf, axes, vectors[keep] / norms[keep, None], label[keep], float(label.mean()), k)
 
 
+def _fit(most_labelled: int, dims: int, k: int):
+    """From all labelled rows of the sample, which are one partition, the pickled model. Rows that repeat a doc_id are
+    kept by their features' order, so no more than most_labelled are ever held beside one batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes, int]] = []
+        for b in batches:
+            ids = b.column("doc_id").to_pylist()
+            held += [(xxhash.xxh3_64_intdigest(str(d)), d, raw, label) for d, raw, label in zip(ids, b.column("raw").to_pylist(), b.column("label").to_pylist(), strict=True)]
+            held.sort()
+            del held[most_labelled:]
+        raw = np.frombuffer(b"".join(r[2] for r in held), np.float32).reshape(len(held), HASHED + STYLE)
+        label = np.array([r[3] for r in held], np.float64)
+        held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(raw, label, dims, k))], pa.binary())], ["model"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000, dims: int = 48, k: int = 25) -> Model:
+    """Learns from at most most_labelled rows, those whose doc_id hashes lowest, none of them held out.
+
+    labels: doc_id, quality. One task learns from the sample's feature vectors, which are of a fixed size; only the
+    model (about 1 MB) comes to the driver.
+    """
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("label"))
+    ids = docs.select("doc_id").distinct().join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
+    one = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = one.select("doc_id", "text", "label").mapInArrow(_features, "doc_id bigint, label int, raw binary").repartition(1)
+    found = rows.mapInArrow(_fit(most_labelled, dims, k), "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else learn(np.zeros((0, HASHED + STYLE), np.float32), np.zeros(0), dims, k)
+
+
 def score(raw: np.ndarray, model: Model, power: float = 20.0) -> np.ndarray:
     """Share of label 1 among the k nearest labelled vectors, each vote weighted by its cosine to a power."""
     out = np.full(len(raw), model.prior)
