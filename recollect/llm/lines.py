@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, text_slices, texts
+from .common import delete, finished, scratch, stored, text_slices, texts, writing
 
 MIN_CHARS = 10
 STRIP = b" \t\n\x0b\x0c\r"
@@ -169,58 +171,116 @@ def _delete(keyed: pd.DataFrame, stored_filters: pd.DataFrame) -> pd.DataFrame:
 
 
 class LineIndex:
-    """Which documents hold which line, and a filter over the lines.
+    """Which documents hold which line, and a filter over the lines. It lives in a folder and goes on where it ended.
 
-    * ``refs``: exact reference counts, one row (shard, key, doc_id) for a document and each line key it holds.
+    * ``refs``: exact reference counts, one row (shard, key, doc_id) for a document and each line key it holds, each
+      file sorted by shard, so that readers of some shards skip the rest.
     * ``filters``: per shard of the key space, cuckoo filters of the keys inserted so far. A batch adds a
       filter of the keys that no filter holds yet.
     * ``shared``: keys that were in more than one document, or that a filter held when they came again.
 
-    Only keys in ``shared`` can be repeated, so only they are looked up in the exact counts. A deletion takes
-    a document's references away; keys without any go from the filters. Later decisions are as if the
-    document had never been there.
+    The filters decide what is counted: references whose key is not in ``shared`` stand for lines of one document
+    and go no further. A deletion notes the references that go (``gone``) and rewrites the filters of their shards alone,
+    without the keys that no document holds any more. Later decisions are as if the document had never been
+    there. Changes are folders beside the old ones, named in a log, so one that fails half-way leaves the index as it was.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, shards: int = 64):
-        self.spark, self.shards = spark, shards
+        self.spark = spark
         self.path = path or scratch(spark, "lines")
-        self.refs: DataFrame = spark.createDataFrame([], REFS)
-        self.filters: DataFrame = spark.createDataFrame([], "shard int, blob binary")
-        self.shared: DataFrame = spark.createDataFrame([], "shard int, key binary")
-        self.version = 0
-
-    def _put(self, df: DataFrame, name: str) -> DataFrame:
-        self.version += 1
-        path = f"{self.path}/{name}-{self.version}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.log = self._read_log()
+        if not self.log:
+            self._note("made", shards)
+        self.shards = next(x for kind, x in self.log if kind == "made")
+
+    def _read_log(self) -> list[tuple[str, int]]:
+        """(kind, number) of every change so far: the number of shards, then the versions of folders."""
+        try:
+            rows = self.spark.read.schema("n bigint, kind string, number int").json(f"{self.path}/log").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        return [(r["kind"], r["number"]) for r in sorted(rows)]
+
+    def _note(self, *changes) -> None:
+        """Adds (kind, number, kind, number, ...) to the log at once."""
+        pairs = list(zip(changes[::2], changes[1::2], strict=True))
+        rows = [(len(self.log) + i, k, int(x)) for i, (k, x) in enumerate(pairs)]
+        self.spark.createDataFrame(rows, "n bigint, kind string, number int").coalesce(1).write.mode("append").json(f"{self.path}/log")
+        self.log += pairs
+
+    def _put(self, df: DataFrame, kind: str) -> tuple[int, DataFrame]:
+        version = 1 + max([x for k, x in self.log if k != "made"], default=0)
+        path = f"{self.path}/{kind}-{version}"
+        with writing(self.spark):
+            df.write.mode("overwrite").parquet(path)
+        return version, self.spark.read.schema(df.schema).parquet(path)
+
+    def _parts(self, kind: str, schema: str) -> list[tuple[int, DataFrame]]:
+        return [(x, self.spark.read.schema(schema).parquet(f"{self.path}/{kind}-{x}")) for k, x in self.log if k == kind]
+
+    def _all(self, parts: list[DataFrame], schema: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
+
+    @property
+    def refs(self) -> DataFrame:
+        """The references that no later deletion took away."""
+        gone = self._parts("gone", REFS)
+        out = []
+        for version, part in self._parts("refs", REFS):
+            later = [g for v, g in gone if v > version]
+            out.append(part.join(self._all(later, REFS).select("key", "doc_id"), ["key", "doc_id"], "left_anti").select("shard", "key", "doc_id") if later else part)
+        return self._all(out, REFS)
+
+    @property
+    def filters(self) -> DataFrame:
+        """Each shard's filters since it was last rewritten."""
+        schema = "shard int, blob binary"
+        every = self._all([p.withColumn("version", F.lit(v)) for v, p in self._parts("filters", schema)], schema + ", version int")
+        anew = [p.withColumn("since", F.lit(v)) for v, p in self._parts("rewritten", "shard int")]
+        if not anew:
+            return every.select("shard", "blob")
+        last = self._all(anew, "shard int, since int").groupBy("shard").agg(F.max("since").alias("since"))
+        return every.join(last, "shard", "left").where("version >= coalesce(since, 0)").select("shard", "blob")
+
+    @property
+    def shared(self) -> DataFrame:
+        return self._all([p for _, p in self._parts("shared", "shard int, key binary")], "shard int, key binary")
 
     def insert(self, docs: DataFrame) -> None:
-        new = self._put(line_keys(docs, self.shards), "refs")
+        version, new = self._put(line_keys(docs, self.shards).sortWithinPartitions("shard", "key"), "refs")
         counts = new.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("n"))
         seen = counts.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_insert, "shard int, key binary, blob binary")
-        out = self._put(seen, "batch")
-        self.refs = self.refs.unionByName(new)
-        self.filters = self.filters.unionByName(out.where("blob is not null").select("shard", "blob"))
-        self.shared = self.shared.unionByName(out.where("key is not null").select("shard", "key"))
+        out = stored(seen, "line-batch")
+        self._put(out.where("blob is not null").select("shard", "blob"), "filters")
+        self._put(out.where("key is not null").select("shard", "key"), "shared")
+        finished(out)
+        self._note("refs", version, "filters", version, "shared", version)
 
     def delete(self, doc_ids: DataFrame) -> None:
         """doc_ids: the documents to take away."""
-        left = self._put(self.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("shard", "key", "doc_id"), "refs")
-        held = left.select("shard", "key").distinct().withColumn("held", F.lit(True))
-        keyed = self.refs.select("shard", "key").distinct().join(held, ["shard", "key"], "left").select("shard", "key", F.coalesce("held", F.lit(False)).alias("held"))
-        changed = keyed.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_delete, "shard int, key binary, blob binary")
-        self.filters = self._put(changed.select("shard", "blob"), "filters")
-        self.refs = left
+        refs = self.refs
+        version, gone = self._put(refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").select("shard", "key", "doc_id"), "gone")
+        _, touched = self._put(gone.select("shard").distinct(), "rewritten")
+        mine = refs.join(touched, "shard", "left_semi")
+        held = mine.join(gone.select("key", "doc_id"), ["key", "doc_id"], "left_anti").select("shard", "key").distinct()
+        lost = gone.select("shard", "key").distinct().join(held, ["shard", "key"], "left_anti")
+        keyed = held.withColumn("held", F.lit(True)).unionByName(lost.withColumn("held", F.lit(False)))
+        filters = self.filters.join(touched, "shard", "left_semi")
+        changed = keyed.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_delete, "shard int, key binary, blob binary")
+        self._put(changed.select("shard", "blob"), "filters")
+        self._note("gone", version, "rewritten", version, "filters", version)
 
     def drops(self) -> DataFrame:
         """doc_id, keys: the repeated keys whose lines a document loses, all in one array."""
-        shared = self.shared.select("key").distinct()
-        # Counted before the join, so that a hot line's references are summed up in the tasks that read them.
-        counted = self.refs.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
-        # Written out, so that both sides of the join below are plain exchanges and a hot line's rows can be split.
-        repeated = stored(counted.join(shared, "key", "left_semi").select("key", "owner"), "repeated-lines")
-        lost = self.refs.select("key", "doc_id").join(repeated, "key").where("doc_id <> owner")
+        # Tables that are joined are written out, so that both sides are plain exchanges and a hot line's rows can be split.
+        shared = stored(self.shared.select("key").distinct(), "shared-lines")
+        refs = stored(self.refs.select("key", "doc_id").join(shared, "key", "left_semi"), "shared-refs")
+        counted = refs.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
+        repeated = stored(counted.select("key", "owner"), "repeated-lines")
+        finished(shared)
+        lost = refs.join(repeated, "key").where("doc_id <> owner")
         return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
@@ -255,11 +315,17 @@ def line_dedup(docs: DataFrame, index: LineIndex | None = None, batches: int = 2
 
     Lines whose key (stripped, A-Z in lower case, 10 code points or more) is in two documents or more stay only
     in the one with the smallest doc_id, there all of them. Null or empty text is one empty line. Rows of a
-    repeated doc_id are one document; a null doc_id never owns a line and is not counted as a document.
+    repeated doc_id are one document; a null doc_id never owns a line and is not counted as a document. A long
+    text is split in the one task that holds its row. Other columns are not read, so their names can't clash. An index
+    made here is deleted once the lines to drop are known.
     """
+    own = index is None
     index = index or LineIndex(docs.sparkSession, shards=shards_for(docs))
     fill(index, docs, batches)
-    joined = docs.select("doc_id", "text").join(index.drops(), "doc_id", "left")
+    drops = stored(index.drops(), "line-drops")
+    if own:
+        delete(docs.sparkSession, index.path)
+    joined = docs.select("doc_id", "text").join(drops, "doc_id", "left")
     return joined.mapInArrow(_rebuild(False), "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
 
 
@@ -279,12 +345,15 @@ def fill(index: LineIndex, docs: DataFrame, batches: int) -> None:
 
 
 def dedup_texts(docs: DataFrame, batches: int = 2) -> DataFrame:
-    """docs with their repeated lines gone from text; every column stays."""
+    """docs with their repeated lines gone from text; every column stays. Rows and cases are line_dedup's; a text that
+    loses nothing stays as it is, null included."""
     index = LineIndex(docs.sparkSession, shards=shards_for(docs))
     fill(index, docs, batches)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0).alias("x")]).alias("_rest"))
-    joined = packed.join(index.drops(), "doc_id", "left")
+    drops = stored(index.drops(), "line-drops")
+    delete(docs.sparkSession, index.path)
+    joined = packed.join(drops, "doc_id", "left")
     schema = "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string, text string, _rest " + packed.schema["_rest"].dataType.simpleString()
     out = joined.mapInArrow(_rebuild(True), schema)
     return out.select(*[F.col(f"_rest.`{c}`").alias(c) if c in rest else F.col(c) for c in docs.columns])

@@ -9,7 +9,7 @@ from recollect.llm.exact import DigestIndex, digests, exact_dedup
 from recollect.llm.lines import CuckooFilter, LineIndex, _delete, line_dedup
 from recollect.llm.simhash import near_links, simhash_dedup
 from recollect.llm.substring import FingerprintIndex, dedup_batch, substring_dedup
-from recollect.llm.suffix import multikey_order, suffix_dedup
+from recollect.llm.suffix import Splitters, multikey_order, suffix_dedup
 
 ORDER = lambda r: (r[0] is None, r)
 
@@ -94,6 +94,31 @@ def test_multikey_quicksort():
     assert (order == np.lexsort(columns[::-1])).all() or (np.stack(columns)[:, order] == np.stack(columns)[:, np.lexsort(columns[::-1])]).all()
 
 
+@pytest.mark.parametrize(("values", "buckets", "most"), [(3, 8, 10_000), (2**40, 64, 10_000), (2**40, 64, 5), (2, 40, 3)])
+def test_splitters_keep_the_order(monkeypatch, values, buckets, most):
+    """Buckets are ranges of the whole rows, also where a hot first token is split and where ranges are cut evenly."""
+    monkeypatch.setattr("recollect.llm.suffix.SPLITTERS", most)
+    rng = np.random.default_rng(values % 97)
+    first = rng.integers(0, values, 4000) if values < 100 else rng.integers(-(2**63), 2**63 - 1, 4000)
+    columns = [first, *(rng.integers(0, 5, 4000, np.int32) for _ in range(4)), rng.integers(-(2**62), 2**62, 4000), *(rng.integers(0, 2**20, 4000) for _ in range(4))]
+    s = Splitters([c[::7] for c in columns], buckets)
+    bucket = s.bucket(columns)
+    order = np.lexsort(columns[::-1])
+    assert (np.diff(bucket[order]) >= 0).all() and 0 <= bucket.min() and bucket.max() < s.buckets
+    assert np.bincount(bucket).max() < 4000 / min(buckets, 100) * 4
+
+
+def test_one_passage_in_thousands_of_rows(spark, frame):
+    """A 400-byte passage between differing texts: each window of its edge is alone but for the passage itself."""
+    rng = np.random.default_rng(4)
+    passage = "".join(map(chr, rng.integers(97, 123, 400)))
+    some = [(i, f"{i} {rng.integers(0, 2**60)} " * 9 + passage + f" {rng.integers(0, 2**60)} {i}" * 9) for i in range(3000)]
+    got = suffix_dedup(frame(some)).collect()
+    assert all(r["n_removed"] >= 400 for r in got) and len(got) == 3000
+    few = some[:40]
+    check(suffix_dedup(frame(few)), ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), brute.suffix(few, 400))
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**64, (20000, 2), np.uint64, endpoint=False)
@@ -135,12 +160,64 @@ def test_line_deletion_is_as_if_never_inserted(spark, frame, odd):
     assert {r["doc_id"] for r in index.drops().collect()} == {20}
 
 
+def test_line_index_goes_on_where_it_ended(spark, frame, odd):
+    """Batches, a deletion and a new batch, each through an index opened anew at the same path; the filters of shards
+    that a deletion does not touch stay as they are."""
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/line-index-test"
+    more = [(30 + i, "\n".join(f"line number {j} of some" for j in range(i, i + 40))) for i in range(6)]
+    LineIndex(spark, path, shards=8).insert(frame(more[:3]))
+    LineIndex(spark, path).insert(frame(more[3:] + [(50, "only here: a line\nand one more line")]))
+    before = {r["shard"]: bytes(r["blob"]) for r in LineIndex(spark, path).filters.collect() if r["shard"] is not None}
+    index = LineIndex(spark, path)
+    assert index.shards == 8
+    expected = {d for d, _, n, _ in brute.lines(more) if n}
+    assert {r["doc_id"] for r in index.drops().collect()} == expected
+    touched = {r["shard"] for r in index.refs.where("doc_id = 50").collect()}
+    assert len(touched) < 8
+    index.delete(spark.createDataFrame([(50,)], "doc_id bigint"))
+    index = LineIndex(spark, path)
+    after = {r["shard"]: bytes(r["blob"]) for r in index.filters.collect()}
+    assert all(after[k] == v for k, v in before.items() if k not in touched)
+    assert index.refs.where("doc_id = 50").count() == 0
+    index.delete(spark.createDataFrame([(30,)], "doc_id bigint"))
+    index.insert(frame([(50, more[0][1])]))
+    assert {r["doc_id"] for r in LineIndex(spark, path).drops().collect()} == {d for d, _, n, _ in brute.lines(more[1:] + [(50, more[0][1])]) if n}
+
+
+def test_filters_decide_which_lines_are_counted(spark, frame):
+    """References of keys that no filter held again are not read by the exact count."""
+    index = LineIndex(spark, shards=4)
+    index.insert(frame([(1, "a line that is shared\na line of one alone"), (2, "quite another line here")]))
+    index.insert(frame([(3, "a line that is shared\nand a new line to see")]))
+    assert index.refs.count() == 5 and index.shared.select("key").distinct().count() == 1
+    assert [(r["doc_id"], len(r["keys"])) for r in index.drops().collect()] == [(3, 1)]
+
+
 def test_digest_index_persists(spark, frame):
-    first = DigestIndex(spark, buckets=4)
+    first = DigestIndex(spark, buckets=4, most_files=2)
     first.add(digests(frame([(5, "a b"), (6, "c")])))
-    again = DigestIndex(spark, first.path, buckets=4)
+    again = DigestIndex(spark, first.path, most_files=2)
+    assert (again.buckets, again.files) == (4, 1)
     again.add(digests(frame([(1, "a  b"), (2, "d"), (3, "d")])))
     assert sorted(r["keep_id"] for r in again.owners().collect()) == [2, 5, 6]
+    again.add(digests(frame([(9, "e")])))  # the third file a bucket: compacted
+    assert again.version == 1 and again.files == 1
+    third = DigestIndex(spark, first.path)
+    assert third.version == 1 and sorted(r["keep_id"] for r in third.owners().collect()) == [2, 5, 6, 9]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_digest_index_is_neither_shuffled_nor_sorted(spark, frame):
+    index = DigestIndex(spark, buckets=6)
+    index.add(digests(frame([(i, f"text {i}") for i in range(300)])))
+    batch = digests(frame([(i, f"text {i}") for i in range(200, 400)])).selectExpr("text_sha256", "doc_id as keep_id")
+    with index._aligned():
+        plan = plan_of(index.new_texts(batch))
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1  # the batch's
 
 
 def test_fingerprint_index_over_batches(spark, frame, corpus):
