@@ -11,6 +11,7 @@ from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,49 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Log:
+    """What an index in a folder holds: (kind, number) of each change, in order, appended to one small JSON table."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        try:
+            rows = spark.read.schema("n bigint, kind string, number bigint").json(path).collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = []
+        self.rows: list[tuple[str, int]] = [(r["kind"], r["number"]) for r in sorted(rows)]
+
+    def add(self, *changes) -> None:
+        """Notes (kind, number, kind, number, ...) at once."""
+        pairs = [(k, int(x)) for k, x in zip(changes[::2], changes[1::2], strict=True)]
+        rows = [(len(self.rows) + i, k, x) for i, (k, x) in enumerate(pairs)]
+        self.spark.createDataFrame(rows, "n bigint, kind string, number bigint").coalesce(1).write.mode("append").json(self.path)
+        self.rows += pairs
+
+    def numbers(self, kind: str) -> list[int]:
+        return [x for k, x in self.rows if k == kind]
+
+
+def aligned(spark: SparkSession, buckets: int):
+    """While this holds, shuffles go to as many partitions as a table has buckets, its buckets of one file count as sorted,
+    and keys may be joined that only begin with the bucketed ones: joins with the table need no shuffle or sort of it."""
+    return settings(
+        spark,
+        spark__sql__shuffle__partitions=str(buckets),
+        spark__sql__legacy__bucketedTableScan__outputOrdering="true",
+        spark__sql__sources__bucketing__autoBucketedScan__enabled="false",
+        spark__sql__requireAllClusterKeysForCoPartition="false",
+    )
+
+
+def bucketed(spark: SparkSession, path: str, schema: str, keys: str, order: str, buckets: int) -> str:
+    """The name of a table over the files at path, bucketed by keys and sorted by order. Only the catalog knows it."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({order}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return name
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """doc_id, text (null: empty) and (doc, twin), which names a row: its doc_id, or where that is null a hash of its text,
     and 32 bits more that tell rows of one doc_id apart by their texts. Rows equal in both columns share a name."""

@@ -5,11 +5,17 @@ leading tokens are the hashes of its phrases. Two equal 400-byte windows contain
 on, so their suffixes share leading tokens and stand side by side in sorted order, or have only suffixes between
 them that share those tokens too.
 
-1. Sampled splitters range-partition the suffixes by leading tokens (ties by what surrounds them, then by place, so a hot
-   phrase is split over buckets). Buckets sort by multikey quicksort and compare neighbours; bucket edges are compared after.
+1. Splitters sampled from a few documents range-partition the suffixes by leading tokens (ties by what surrounds them, then
+   by place, so a hot phrase is split over buckets). Buckets sort by multikey quicksort and compare neighbours; bucket
+   edges are compared after.
 2. A suffix whose whole surroundings (all windows it stands for) equal a neighbour's settles those windows at once. Where
-   neighbours share tokens but not surroundings, a copy begins or ends: only there single windows are hashed.
-3. Those windows are counted by hash, and documents lose the union of all repeated windows.
+   neighbours share tokens but not surroundings, a copy begins or ends: only there single windows are digested.
+3. Those windows are counted by digest. What comes back to a document are its windows that are alone; the others that it
+   asked for are repeated, and it loses the union of all repeated windows.
+
+Surroundings and single windows are compared by 96 bits of an XXH3 digest of their very bytes, for shipping the bytes
+would multiply the input: of n strings two different ones are taken for equal with a chance of n * n / 2 ** 97, one in 2,000
+for the 10 ** 13 strings of 100 TB. Token hashes only choose what is compared.
 """
 
 from __future__ import annotations
@@ -19,25 +25,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes, text_slices, texts
+from .common import finished, identified, stored, text_bytes, text_slices, texts
 from .repeats import Hashes, joined, least, mix, ranges, runs, starts_inside
 
 LENGTH = 400
 GRAM = 8
 SLICE = 1 << 20
 TOKENS = 5
-SUFFIX = "t0 bigint, t1 int, t2 int, t3 int, t4 int, around bigint, row bigint, pos int"
-KEY = ["t0", "t1", "t2", "t3", "t4", "around", "row", "pos"]
+SUFFIX = "t0 bigint, t1 int, t2 int, t3 int, t4 int, around bigint, beyond int, doc bigint, twin int, pos int"
+KEY = ["t0", "t1", "t2", "t3", "t4", "around", "beyond", "doc", "twin", "pos"]
+AROUND = ["around", "beyond"]
+#: Text whose suffixes are one bucket (about as much again in memory, three times while it is sorted).
+BUCKET_BYTES = 64 << 20
+#: Suffixes sampled for each bucket, and splitters at most; beyond them ranges are cut evenly, so the driver's part is bounded.
+SAMPLED, SPLITTERS = 20, 10_000
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of each stretch's digest, as a long and an int column."""
+    view = memoryview(np.ascontiguousarray(data))
+    digest = xxhash.xxh3_128_digest
+    if seed is None:
+        found = [digest(view[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    else:
+        found = [digest(view[a:b], c) for a, b, c in zip(start.tolist(), end.tolist(), seed.tolist(), strict=True)]
+    both = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+    return both[:, 0].copy(), (both[:, 1] >> 32).astype(np.int32)
 
 
 class Layout:
     """Cuts, tokens and windows of some texts end to end. Windows are named by their first byte."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
-        self.length, self.grams = length, length - GRAM + 1
+        self.data, self.length, self.grams = data, length, length - GRAM + 1
         self.width = max(1, self.grams * 190 // 393)
         padded = np.zeros(len(data) + GRAM, np.uint8)
         padded[: len(data)] = data
@@ -67,19 +92,91 @@ class Layout:
         for i in range(1, TOKENS):  # no tokens of the next document
             ok = self.cut_doc[np.minimum(self.rank + i, len(self.cuts) - 1)] == self.cut_doc[self.rank] if len(self.rank) else np.zeros(0, bool)
             t.append(np.where(ok, token[self.rank + i], np.uint64(0)))
-        low, high = self.windows[self.run_first], self.windows[self.run_end - 1] + self.grams
-        around = mix(self.hashes.of(low, high) + (self.suffix - low).astype(np.uint64))
+        low, high = self.windows[self.run_first], self.windows[self.run_end - 1] + self.length
+        around, beyond = digests(self.data, low, high, self.suffix - low)
         doc = self.cut_doc[self.rank] if len(self.rank) else np.zeros(0, np.int64)
         rest = [(x >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in t[1:]]
-        return doc, [t[0].view(np.int64), *rest, around.view(np.int64), (self.suffix - self.offsets[doc]).astype(np.int32)]
+        return doc, [t[0].view(np.int64), *rest, around, beyond, (self.suffix - self.offsets[doc]).astype(np.int32)]
+
+
+def suffix_columns(part: pa.RecordBatch, length: int) -> list[np.ndarray]:
+    """The columns of KEY for all suffixes of some texts."""
+    doc, columns = Layout(*text_bytes(part.column("text")), length).suffixes()
+    columns[-1:-1] = [part.column("doc").to_numpy()[doc], part.column("twin").to_numpy()[doc]]
+    return columns
+
+
+class Splitters:
+    """Range bounds among suffixes, and the number of even ranges that each of theirs is cut into."""
+
+    def __init__(self, columns: list[np.ndarray], buckets: int):
+        order = np.lexsort(columns[::-1])
+        ranges_ = max(1, min(buckets, SPLITTERS, len(order) // 4))
+        at = order[np.arange(1, ranges_) * len(order) // ranges_]
+        self.columns = [c[at] for c in columns]
+        self.even = -(-buckets // ranges_)
+        self.buckets = ranges_ * self.even
+        # Rows of a range agree with its bounds up to the first column in which the bounds differ: there it is cut.
+        info = [np.iinfo(c.dtype) for c in columns]
+        low, high = ([np.r_[x, c] for x, c in zip([i.min for i in info], self.columns, strict=True)], [np.r_[c, x] for x, c in zip([i.max for i in info], self.columns, strict=True)])
+        differ = np.stack([a != b for a, b in zip(low, high, strict=True)])
+        self.cut = differ.argmax(0)
+        pick = lambda side: np.array([side[k][r] for r, k in enumerate(self.cut.tolist())], np.float64)
+        self.low, self.high = pick(low), pick(high)
+
+    def bucket(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Each suffix's bucket; buckets are in the suffixes' order."""
+        first = self.columns[0]
+        rank = np.searchsorted(first, columns[0], "right")
+        tie = np.flatnonzero(np.searchsorted(first, columns[0], "left") < rank)
+        if len(tie):  # as many splitters as are not above the row in all its columns
+            near = np.flatnonzero(np.isin(first, columns[0][tie]))
+            both = [np.r_[s[near], c[tie]] for s, c in zip(self.columns, columns, strict=True)]
+            mine = np.r_[np.zeros(len(near), int), np.ones(len(tie), int)]
+            order = np.lexsort([mine, *both[::-1]])
+            passed = np.cumsum(mine[order] == 0)
+            row = order[mine[order] == 1] - len(near)
+            value = columns[0][tie[row]]
+            rank[tie[row]] = np.searchsorted(first, value, "left") + passed[mine[order] == 1] - np.searchsorted(first[near], value, "left")
+        if self.even == 1:
+            return rank.astype(np.int32)
+        sub = np.zeros(len(rank), np.int64)
+        for k in np.unique(self.cut[rank]).tolist():
+            here = np.flatnonzero(self.cut[rank] == k)
+            r = rank[here]
+            share = (columns[k][here] - self.low[r]) / np.maximum(1.0, self.high[r] - self.low[r])
+            sub[here] = np.clip(share * self.even, 0, self.even - 1).astype(np.int64)
+        return (rank * self.even + sub).astype(np.int32)
+
+
+def _sample(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, SLICE):
+            columns = suffix_columns(part, length)
+            keep = np.arange(0, len(columns[0]), 8)
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], KEY)
+
+    return run
+
+
+def splitters(d: DataFrame, length: int) -> Splitters:
+    """Bounds for buckets of BUCKET_BYTES of text. The sample is whole documents, of about a kilobyte of text a bucket and no
+    fewer than 64, every eighth suffix of theirs: at most SAMPLED * SPLITTERS or so come to the driver."""
+    n, size = d.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    size = size or 0
+    buckets = max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    wanted = min(buckets, SPLITTERS) * SAMPLED * 8 * 48  # a suffix stands for 48 bytes
+    part = max(1, min(size // max(1, wanted), n // 64))
+    rows = d.where(F.pmod(F.xxhash64("doc", "twin"), F.lit(part)) == 0).mapInArrow(_sample(length), SUFFIX)
+    t = rows.toArrow()
+    return Splitters([t.column(c).to_numpy() for c in KEY], buckets)
 
 
-def _suffixes(length: int):
+def _suffixes(length: int, bounds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, SLICE):
-            doc, columns = Layout(*text_bytes(part.column("text")), length).suffixes()
-            columns.insert(TOKENS + 1, part.column("row").to_numpy()[doc])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], KEY)
+            columns = suffix_columns(part, length)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, bounds.value.bucket(columns))], [*KEY, "bucket"])
 
     return run
 
@@ -113,7 +210,7 @@ def _compare(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.n
     for x, y in zip(a[:TOKENS], b[:TOKENS], strict=True):
         same &= x == y
         shared += same & (x != 0)  # 0: the text has no further phrase
-    whole = same & (a[TOKENS] == b[TOKENS])
+    whole = same & (a[TOKENS] == b[TOKENS]) & (a[TOKENS + 1] == b[TOKENS + 1])
     return whole, np.where(whole, 0, shared)
 
 
@@ -134,10 +231,11 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], [*KEY, "settled", "shared", "edge"])
 
 
-def neighbours(suffixes: DataFrame) -> DataFrame:
-    """row, pos, settled, shared for suffixes that share leading tokens with one beside them in sorted order."""
-    buckets = suffixes.repartitionByRange(*KEY).mapInArrow(_bucket, f"{SUFFIX}, settled boolean, shared int, edge int")
-    out = stored(buckets, "suffix-buckets")
+def neighbours(suffixes: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """doc, twin, pos, settled, shared for suffixes that share leading tokens with one beside them in sorted order, and the
+    stored table behind it. suffixes: with their bucket."""
+    sorted_ = suffixes.repartitionById(buckets, "bucket").select(*KEY).mapInArrow(_bucket, f"{SUFFIX}, settled boolean, shared int, edge int")
+    out = stored(sorted_, "suffix-buckets")
     # One or two rows a bucket, so this window is as small as the number of buckets.
     order = Window.partitionBy(F.lit(1)).orderBy(*KEY)
     edges = out.where("edge = 1").select(*KEY)
@@ -150,73 +248,92 @@ def neighbours(suffixes: DataFrame) -> DataFrame:
         for c in KEY[:TOKENS]:
             same = same & F.col(c).eqNullSafe(F.col(f"o.{c}"))
             n = n + (same & (F.col(c) != 0)).cast("int")
-        whole = same & F.col("around").eqNullSafe(F.col("o.around"))
+        whole = same
+        for c in AROUND:
+            whole = whole & F.col(c).eqNullSafe(F.col(f"o.{c}"))
         # A bucket's own first and last row may be compared again here; that only finds what is true.
-        both.append(e.where("o is not null").select("row", "pos", whole.alias("settled"), F.when(whole, 0).otherwise(n).alias("shared")))
+        both.append(e.where("o is not null").select("doc", "twin", "pos", whole.alias("settled"), F.when(whole, 0).otherwise(n).alias("shared")))
     edge = both[0].unionByName(both[1]).where("settled or shared > 0")
-    return out.where("edge = 0").select("row", "pos", "settled", "shared").unionByName(edge)
+    return out.where("edge = 0").select("doc", "twin", "pos", "settled", "shared").unionByName(edge), out
+
+
+SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+FOUND = (
+    "doc bigint, twin int, hash bigint, more int, start int, doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
+    "text binary, settled array<struct<start:int,end:int>>, asked array<struct<start:int,end:int>>"
+)
+_TYPES = {
+    "doc": pa.int64(), "twin": pa.int32(), "hash": pa.int64(), "more": pa.int32(), "start": pa.int32(), "doc_id": pa.int64(), "n_bytes": pa.int64(),
+    "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "text": pa.binary(), "settled": SPAN, "asked": SPAN,
+}
+
+
+def _found(**given) -> pa.RecordBatch:
+    n = len(given["doc"])
+    return pa.RecordBatch.from_arrays([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in _TYPES.items()], list(_TYPES))
 
 
-FOUND = "row bigint, hash bigint, start int, `end` int, doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text binary"
+def _lists(doc: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> pa.Array:
+    """For each of n documents the list of its intervals; doc is in order."""
+    items = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), items)
+
+
+def flat(col: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Of a list column: how many items each row has (null: none), and all items end to end."""
+    n = np.array(pc.fill_null(pc.list_value_length(col), 0), np.int64)
+    return n, col.flatten()
 
 
 def _windows(length: int):
     """For each document with the notes on its suffixes: its final row, or where single windows are in question its text,
-    its settled intervals and those windows' hashes."""
+    its settled intervals, the ranges of those windows' starts and, a row each, their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, SLICE):
             data, offsets = text_bytes(part.column("text"))
-            row = part.column("row").to_numpy()
-            notes = part.column("notes")
-            n_notes = np.array([0 if x is None else x for x in notes.value_lengths().to_pylist()], np.int64)
-            flat = pa.concat_arrays([notes.flatten()]) if len(notes) else notes.flatten()
-            pos, settled, shared = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "settled", "shared"))
+            key, twin = part.column("doc").to_numpy(), part.column("twin").to_numpy()
+            n_notes, notes = flat(part.column("notes"))
+            pos, settled, shared = (notes.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "settled", "shared"))
             place = np.repeat(offsets[:-1], n_notes) + pos
-            asked = np.zeros(len(row), bool)
-            intervals = (np.zeros(0, np.int64),) * 2
+            start = end = doc = first = last = owner = np.zeros(0, np.int64)
             if len(place):
                 lay = Layout(data, offsets, length)
                 at = np.searchsorted(lay.suffix, place)
                 done, tokens = np.zeros(len(lay.suffix), bool), np.zeros(len(lay.suffix), np.int64)
                 np.logical_or.at(done, at, settled.astype(bool))
                 np.maximum.at(tokens, at, shared)
-                intervals = lay.windows[lay.run_first[done]], lay.windows[lay.run_end[done] - 1] + length
+                start, end = lay.windows[lay.run_first[done]], lay.windows[lay.run_end[done] - 1] + length
+                doc = np.searchsorted(offsets, start, "right") - 1
                 ask = tokens > 0
                 single = ranges(lay.run_first[ask], lay.run_end[ask])
                 t = np.repeat(tokens[ask], (lay.run_end - lay.run_first)[ask])
                 single = single[(t >= TOKENS) | (lay.phrases[single] <= t)]
                 p = lay.windows[single]
-                doc = np.searchsorted(offsets, p, "right") - 1
-                asked[doc] = True
                 if len(p):
-                    yield _found(row=row[doc], hash=lay.hashes.of(p, p + lay.grams).view(np.int64), start=(p - offsets[doc]).astype(np.int32))
-            start, end = intervals
-            doc = np.searchsorted(offsets, start, "right") - 1
-            open_ = asked[doc] if len(doc) else np.zeros(0, bool)
-            if open_.any():
-                d = doc[open_]
-                yield _found(row=row[d], start=(start[open_] - offsets[d]).astype(np.int32), end=(end[open_] - offsets[d]).astype(np.int32))
+                    own = np.searchsorted(offsets, p, "right") - 1
+                    hash_, more = digests(data, p, p + length)
+                    yield _found(doc=key[own], twin=twin[own], hash=hash_, more=more, start=(p - offsets[own]).astype(np.int32))
+                    new = np.r_[True, (p[1:] != p[:-1] + 1) | (own[1:] != own[:-1])]
+                    first, last, owner = p[new], p[np.r_[np.flatnonzero(new)[1:] - 1, len(p) - 1]] + 1, own[new]
+            asked = np.zeros(len(key), bool)
+            asked[owner] = True
             whole = texts(part.column("text"))
-            ids = part.column("doc_id").to_pylist()
-            out = [(row[i], ids[i], *_removed(whole[i], start[doc == i] - offsets[i], end[doc == i] - offsets[i])) if n_notes[i] else (row[i], ids[i], *_removed(whole[i], start[:0], end[:0])) for i in np.flatnonzero(~asked)]
-            if out:
-                yield _found(**dict(zip(("row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), map(list, zip(*out, strict=True)), strict=True)))
+            ids = part.column("doc_id")
+            final = np.flatnonzero(~asked)
+            if len(final):
+                a, b = np.searchsorted(doc, final, "left"), np.searchsorted(doc, final, "right")
+                out = [_removed(whole[i], start[x:y] - offsets[i], end[x:y] - offsets[i]) for i, x, y in zip(final.tolist(), a, b, strict=True)]
+                n, removed, count, sha = (list(x) for x in zip(*out, strict=True))
+                yield _found(doc=key[final], twin=twin[final], doc_id=ids.take(pa.array(final)), n_bytes=n, n_removed=removed, n_spans=count, kept_sha256=sha)
             again = np.flatnonzero(asked)
             if len(again):
-                yield _found(row=row[again], doc_id=[ids[i] for i in again], text=[whole[i] for i in again])
+                lists = [_lists(d, x - offsets[d], y - offsets[d], len(key)).take(pa.array(again)) for d, x, y in ((doc, start, end), (owner, first, last))]
+                yield _found(doc=key[again], twin=twin[again], doc_id=ids.take(pa.array(again)), text=[whole[i] for i in again], settled=lists[0], asked=lists[1])
 
     return run
 
 
-_TYPES = {"row": pa.int64(), "hash": pa.int64(), "start": pa.int32(), "end": pa.int32(), "doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "text": pa.binary()}
-
-
-def _found(**given) -> pa.RecordBatch:
-    n = len(given["row"])
-    return pa.RecordBatch.from_arrays([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in _TYPES.items()], list(_TYPES))
-
-
 def _removed(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[int, int, int, str]:
     """n_bytes, n_removed, n_spans, kept_sha256."""
     start, end = joined(start, end)
@@ -228,35 +345,52 @@ def _removed(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[int, int,
     return len(text), int((end - start).sum()), len(start), kept.hexdigest()
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in text_slices(batches):
-        spans = [[] if x is None else x for x in part.column("spans").to_pylist()]
-        out = [_removed(t, np.array([x["start"] for x in own], np.int64), np.array([x["end"] for x in own], np.int64)) for t, own in zip(texts(part.column("text")), spans, strict=True)]
-        n, removed, count, sha = (list(x) for x in zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _finish(length: int):
+    """From a document's settled intervals, the windows it asked for and those of them that are alone, its final row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, SLICE):
+            spans = []
+            for c in ("settled", "asked"):
+                n, items = flat(part.column(c))
+                spans.append((np.r_[0, np.cumsum(n)], items.field("start").to_numpy().astype(np.int64), items.field("end").to_numpy().astype(np.int64)))
+            n, alone = flat(part.column("alone"))
+            at, alone = np.r_[0, np.cumsum(n)], alone.to_numpy().astype(np.int64)
+            out = []
+            for i, text in enumerate(texts(part.column("text"))):
+                (a, start, end), (b, low, high) = spans
+                asked = ranges(low[b[i] : b[i + 1]], high[b[i] : b[i + 1]])
+                hit = np.setdiff1d(asked, alone[at[i] : at[i + 1]], assume_unique=True)
+                out.append(_removed(text, np.r_[start[a[i] : a[i + 1]], hit], np.r_[end[a[i] : a[i + 1]], hit + length]))
+            n, removed, count, sha = (list(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return run
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs.
 
     A byte goes if a string of `length` bytes that covers it starts anywhere else too, in any row, this one included.
-    Texts are UTF-8, null is empty; matches end with their text. Rows that repeat doc_id are documents like others. Other
-    columns are not read. Settled surroundings and windows are compared by 64-bit hashes, always together with equal
-    leading tokens or counted among windows of shared tokens.
+    Texts are UTF-8, null is empty; matches end with their text. Rows that repeat doc_id are documents like others; rows
+    that are equal in doc_id and text are each other's copies. Other columns are not read, so their names can't clash. A text
+    is one piece of work and takes about 150 times its size while it is looked at, so one of more than 10 MB or so
+    wants executors with more than 1.5 GB for each Python worker.
     """
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("row", F.xxhash64("doc_id", "text"))
-    notes = neighbours(d.select("row", "text").mapInArrow(_suffixes(length), SUFFIX))
-    notes = notes.groupBy("row").agg(F.collect_set(F.struct("pos", "settled", "shared")).alias("notes"))
-    found = stored(d.join(notes, "row", "left").mapInArrow(_windows(length), FOUND), "suffix-windows")
-    # One exchange: no hash can have more than a small share of the rows, as a document asks for many windows.
-    asked = found.where("hash is not null").select("hash", "row", "start")
-    asked = asked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash")))
-    hits = asked.where("n > 1").select("row", "start", (F.col("start") + length).alias("end"))
-    settled = found.where("hash is null and start is not null").select("row", "start", "end")
-    spans = hits.unionByName(settled).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    spans = stored(spans, "suffix-spans")
-    result = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    rest = found.where("text is not null").select("row", "doc_id", "text").join(spans, "row", "left").select("doc_id", "text", "spans")
-    done = rest.mapInArrow(_finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return found.where("kept_sha256 is not null").select(*result).unionByName(done)
+    spark = docs.sparkSession
+    d = identified(docs)
+    bounds = splitters(d, length)
+    shared = spark.sparkContext.broadcast(bounds)
+    suffixes = d.select("doc", "twin", "text").mapInArrow(_suffixes(length, shared), SUFFIX + ", bucket int")
+    notes, buckets = neighbours(suffixes, bounds.buckets)
+    notes = notes.groupBy("doc", "twin").agg(F.collect_set(F.struct("pos", "settled", "shared")).alias("notes"))
+    found = stored(d.join(notes, ["doc", "twin"], "left").mapInArrow(_windows(length), FOUND), "suffix-windows")
+    finished(buckets)
+    # Counts and least places are summed up in the tasks that read the windows, so a hot window is a row of each task.
+    place = F.shiftleft(F.col("twin").cast("long"), 32).bitwiseOR(F.col("start").cast("long"))
+    counted = found.where("hash is not null").groupBy("hash", "more").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"), F.min(place).alias("place"))
+    alone = counted.where("n = 1").select("doc", F.shiftright("place", 32).cast("int").alias("twin"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"))
+    alone = stored(alone.groupBy("doc", "twin").agg(F.collect_list("start").alias("alone")), "windows-alone")
+    rest = found.where("text is not null").select("doc", "twin", "doc_id", "text", "settled", "asked").join(alone, ["doc", "twin"], "left")
+    done = rest.select("doc_id", "text", "settled", "asked", "alone").mapInArrow(_finish(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return found.where("kept_sha256 is not null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").unionByName(done)
