@@ -153,7 +153,8 @@ def _sample(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, SLICE):
             columns = suffix_columns(part, length)
-            keep = np.arange(0, len(columns[0]), 8)
+            # By place and document, so that every suffix of texts that are copies of each other has its chance.
+            keep = np.flatnonzero(mix((columns[-1].astype(np.int64) + columns[-3] * 31).view(np.uint64)) % np.uint64(8) == 0)
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], KEY)
 
     return run
@@ -388,9 +389,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     finished(buckets)
     # Counts and least places are summed up in the tasks that read the windows, so a hot window is a row of each task.
     place = F.shiftleft(F.col("twin").cast("long"), 32).bitwiseOR(F.col("start").cast("long"))
-    counted = found.where("hash is not null").groupBy("hash", "more").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"), F.min(place).alias("place"))
-    alone = counted.where("n = 1").select("doc", F.shiftright("place", 32).cast("int").alias("twin"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"))
-    alone = stored(alone.groupBy("doc", "twin").agg(F.collect_list("start").alias("alone")), "windows-alone")
+    halves = []
+    for k in range(2):  # one half of the digests after the other, so that only one's shuffle is on disk at a time
+        counted = found.where(f"hash is not null and hash & 1 = {k}").groupBy("hash", "more").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"), F.min(place).alias("place"))
+        half = counted.where("n = 1").select("doc", F.shiftright("place", 32).cast("int").alias("twin"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"))
+        halves.append(stored(half, "windows-alone"))
+    alone = stored(halves[0].unionByName(halves[1]).groupBy("doc", "twin").agg(F.collect_list("start").alias("alone")), "windows-alone")
+    finished(*halves)
     rest = found.where("text is not null").select("doc", "twin", "doc_id", "text", "settled", "asked").join(alone, ["doc", "twin"], "left")
     done = rest.select("doc_id", "text", "settled", "asked", "alone").mapInArrow(_finish(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return found.where("kept_sha256 is not null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").unionByName(done)

@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 
 from recollect.llm import queries as Q
+from recollect.llm.common import aligned
 from recollect.llm.components import components
 from recollect.llm.exact import DigestIndex, digests, exact_dedup
 from recollect.llm.lines import CuckooFilter, LineIndex, _delete, line_dedup
@@ -220,15 +221,36 @@ def test_digest_index_is_neither_shuffled_nor_sorted(spark, frame):
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1  # the batch's
 
 
-def test_fingerprint_index_over_batches(spark, frame, corpus):
-    """Batches in any order of doc_id up to the end of the history; runs are compacted on the way."""
-    index = FingerprintIndex(spark, window=8, most_runs=2)
+def test_fingerprint_index_over_batches(spark, frame, corpus, monkeypatch):
+    """Batches in any order of doc_id up to the end of the history, each through an index opened anew; runs are compacted
+    on the way, and grams of several entries are split."""
+    monkeypatch.setattr("recollect.llm.substring.PART", 2)
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/fingerprint-index-test"
     some = corpus[:80]
     got = []
     for lo in range(0, 80, 20):
+        index = FingerprintIndex(spark, path, window=8, most_runs=1, docs=frame(some[:lo]) if lo else None)
         got += [tuple(r) for r in dedup_batch(index, frame(some[lo : lo + 20])).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
-    assert len(index.runs) <= 2
+        assert len(index.runs) <= 2
+        index.close()
     assert sorted(got) == sorted(brute.substring(some, 8))
+    with pytest.raises(ValueError):
+        FingerprintIndex(spark, path)
+
+
+def test_runs_are_merged_without_shuffle_or_sort(spark, frame, corpus):
+    """Of a run's tables neither is shuffled or sorted when a batch is joined with it."""
+    index = FingerprintIndex(spark, window=20)
+    dedup_batch(index, frame(corpus[:60]))
+    dedup_batch(index, frame(corpus[60:120]))
+    with aligned(spark, index.buckets):
+        grams = index.table("grams", 1).join(index.table("grams", 2).withColumnRenamed("n", "m").hint("merge"), "gram")
+        entries = index._parted(spark.createDataFrame([(1, 2, 3)], "gram bigint, around bigint, beyond int"), 1).join(index.table("entries", 1).hint("merge"), ["gram", "part", "around", "beyond"])
+        plan, other = plan_of(grams), plan_of(entries)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert other.count("Exchange hashpartitioning(gram") <= 2 and "SortMergeJoin" in other
+    last = other[other.rindex("SortMergeJoin") :] if "parts" in other else other
+    assert "Bucketed: true" in last
 
 
 @pytest.mark.parametrize("apart", [False, True])
