@@ -66,14 +66,12 @@ def title_hit(query: Column, title: Column) -> Column:
 def embedding_tokens(text: Column, stop_words=STOP_WORDS) -> Column:
     """Tokens of the hashed embedding: lower case, longer than one character, no stop words."""
     words = F.split(F.regexp_replace(F.lower(text), "[^a-z0-9_ \\t\\n\\r\\f\\x0B가-힣]", " "), WHITE)
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(_array(stop_words), w))
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*stop_words))
 
 
 def string_hash(word: Column) -> Column:
-    """The 31-multiplier hash of UTF-16 units below the surrogates, as a signed 32-bit number."""
-    wide = F.lit(2**32)
-    half = F.lit(2**31)
-    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda a, c: F.pmod(a * 31 + F.ascii(c) + half, wide) - half)
+    """The 31-multiplier hash of UTF-16 units as a signed 32-bit number, which is the JVM's own hash of a string."""
+    return F.reflect(F.lit("java.util.Objects"), F.lit("hashCode"), word).cast("long")
 
 
 def bucket(word: Column, dims: int = 512) -> Column:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Filters, RankWeights
+from ..config import STOP_WORDS, TYPES, Filters, RankWeights
 from ..functions import scoring as S
 from ..functions import text as T
+from ..storage import stored
 
 
 def apply_filters(memories: DataFrame, f: Filters) -> DataFrame:
@@ -40,14 +46,27 @@ def like_search(memories: DataFrame, query: str, filters: Filters = Filters(), l
     return memories.where(hits[0] | hits[1]).unionByName(inner.where(~F.coalesce(hits[0] | hits[1], F.lit(False))))
 
 
+def indexed(memories: DataFrame) -> DataFrame:
+    """id, term, tf, dl, head: the inverted index over content, tags and source. dl is the memory's number of tokens; one
+    of its rows is the head, so totals over memories need no grouping. Stored once, it serves every search."""
+    text = F.concat_ws(" ", "content", F.array_join("tags", " "), "source")
+    tokens = memories.select("id", T.search_tokens(text).alias("t"))
+    each = tokens.select("id", F.size("t").cast("long").alias("dl"), F.posexplode("t").alias("pos", "term"))
+    return each.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"), (F.min("pos") == 0).alias("head")).select("id", "term", "tf", "dl", "head")
+
+
+def stored_index(memories: DataFrame) -> DataFrame:
+    """The inverted index, written out in order of terms: searches read their terms' row groups."""
+    return stored(indexed(memories).sortWithinPartitions("term"), "postings")
+
+
 def postings(memories: DataFrame) -> DataFrame:
     """id, term, tf over content, tags and source."""
-    text = F.concat_ws(" ", "content", F.array_join("tags", " "), "source")
-    return memories.select("id", F.explode(T.search_tokens(text)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return indexed(memories).select("id", "term", "tf")
 
 
-def doc_lengths(posting: DataFrame) -> DataFrame:
-    return posting.groupBy("id").agg(F.sum("tf").alias("dl"))
+def doc_lengths(index: DataFrame) -> DataFrame:
+    return index.where("head").select("id", "dl")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -65,19 +84,18 @@ def fts_match(posting: DataFrame, queries: DataFrame, ids: DataFrame) -> DataFra
     return some.unionByName(queries.join(need, "query_id", "left_anti").select("query_id").crossJoin(ids.select("id")))
 
 
-def bm25(posting: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, id, bm25 of the memories that hold all terms of a query that has some."""
+def bm25(index: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, id, bm25 of the memories that hold all terms of a query that has some. index: as from indexed()."""
     terms = query_terms(queries)
     need = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    lengths = doc_lengths(posting)
-    total = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("mean"))
-    # Only postings of query terms go on: few, so they carry their lengths into the scores.
-    mine = posting.join(terms.select("term").distinct(), "term", "left_semi")
+    total = index.where("head").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("mean"))
+    # Only postings of query terms go on: few, and they carry their lengths into the scores.
+    mine = index.select("id", "term", "tf", "dl").join(terms.select("term").distinct(), "term", "left_semi")
     df = mine.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
     weights = df.crossJoin(F.broadcast(total)).select("term", "mean", idf.alias("idf"))  # total is one row
-    scored = mine.join(weights, "term").join(lengths, "id").select("id", "term", part.alias("part"))
+    scored = mine.join(weights, "term").select("id", "term", part.alias("part"))
     out = scored.join(terms, "term").groupBy("query_id", "id").agg(F.sum("part").alias("bm25"), F.count(F.lit(1)).alias("n"))
     return out.join(need, "query_id").where("n = need").select("query_id", "id", "bm25")
 
@@ -88,35 +106,49 @@ def top(df: DataFrame, k: int, *order, by=("query_id",), name: str = "rank") ->
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
-def text_candidates(memories: DataFrame, queries: DataFrame, filters: Filters, limit: int, best_first: bool = True) -> DataFrame:
-    """query_id, id, bm25, rn: three times limit matches of each query, filters first."""
-    kept = apply_filters(memories, filters)
-    posting = postings(memories)
-    scored = bm25(posting, queries).join(kept.select("id", "created_at"), "id")
-    terms = query_terms(queries).select("query_id").distinct()
-    every = queries.join(terms, "query_id", "left_anti").select("query_id")
-    plain = every.crossJoin(kept.select("id", "created_at")).select("id", "query_id", F.lit(0.0).alias("bm25"), "created_at")
-    both = scored.select("id", "query_id", "bm25", "created_at").unionByName(plain)
+def text_candidates(memories: DataFrame, queries: DataFrame, filters: Filters, limit: int, best_first: bool = True, index: DataFrame | None = None) -> DataFrame:
+    """query_id, id, bm25, rn: three times limit matches of each query, filters first.
+
+    A query without terms matches every memory alike, and with a filter of ids no query's text counts; all such queries
+    have the same candidates, which are cut before they meet the queries.
+    """
+    kept = apply_filters(memories, filters).select("id", "created_at")
+    every = queries.select("query_id")
+    if filters.ids is None:
+        terms = query_terms(queries).select("query_id").distinct()
+        every = every.join(terms, "query_id", "left_anti")
+        scored = bm25(stored_index(memories) if index is None else index, queries).join(kept, "id").select("id", "query_id", "bm25", "created_at")
+    newest = kept.orderBy(F.desc("created_at"), "id").limit(3 * limit)
+    plain = every.crossJoin(F.broadcast(newest)).select("id", "query_id", F.lit(0.0).alias("bm25"), "created_at")
+    both = plain if filters.ids is not None else scored.unionByName(plain)
     score = F.round("bm25", 6)
     return top(both, 3 * limit, score.desc() if best_first else score.asc(), F.desc("created_at"), "id", name="rn").drop("created_at")
 
 
-def duplication(candidates: DataFrame) -> DataFrame:
-    """query_id, id, dup: largest word Jaccard with any candidate of the query before it (by rn); candidates are cut before."""
-    words = candidates.select("query_id", "id", "rn", T.white_words(F.col("content")).alias("w"))
-    a, b = words.alias("a"), words.alias("b")
-    pairs = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("b.rn") < F.col("a.rn")))
-    best = pairs.groupBy("a.query_id", "a.id").agg(F.max(T.array_jaccard(F.col("a.w"), F.col("b.w"))).alias("dup"))
-    return candidates.select("query_id", "id").join(best, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("dup", F.lit(0.0)).alias("dup"))
+def with_duplication(candidates: DataFrame) -> DataFrame:
+    """candidates with dup: the largest word Jaccard with any candidate of the query before it (by rn), 0 for the first.
+
+    A query's candidates are cut before, so they are compared as one array of three times the limit, in one pass.
+    """
+    rest = [c for c in candidates.columns if c not in ("query_id", "rn")]
+    row = F.struct("rn", *rest, T.white_words(F.col("content")).alias("w"))
+    grouped = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("items"))
+
+    def one(x, i):
+        before = F.transform(F.slice("items", F.lit(1), i), lambda y: T.array_jaccard(x["w"], y["w"]))
+        return F.struct(*[x[c].alias(c) for c in ("rn", *rest)], F.coalesce(F.array_max(before), F.lit(0.0)).alias("dup"))
+
+    return grouped.select("query_id", F.inline(F.transform("items", one)))
 
 
-def text_search(memories: DataFrame, queries: DataFrame, as_of, filters: Filters = Filters(), limit: int = 10, usage: str = "constant", weights: RankWeights = RankWeights(), best_first: bool = True) -> DataFrame:
+def text_search(memories: DataFrame, queries: DataFrame, as_of, filters: Filters = Filters(), limit: int = 10, usage: str = "constant", weights: RankWeights = RankWeights(), best_first: bool = True, index: DataFrame | None = None) -> DataFrame:
     """The limit best memories of each query with their features, score, reason and rank.
 
-    usage: constant (as for one view), counters, or batch (counters scaled between the query's candidates).
+    usage: constant (as for one view), counters, or batch (counters scaled between the query's candidates). index: the stored
+    index over the memories; without it one is made for this search.
     """
-    c = text_candidates(memories, queries, filters, limit, best_first).join(memories, "id").join(queries, "query_id")
-    c = c.join(duplication(c), ["query_id", "id"])
+    c = text_candidates(memories, queries, filters, limit, best_first, index).join(memories, "id").join(queries, "query_id")
+    c = with_duplication(c.drop("bm25"))
     raw = S.raw_usage(F.col("view_count"), F.col("cite_count"), F.col("edit_count"))
     if usage == "batch":
         w = Window.partitionBy("query_id")
@@ -139,26 +171,82 @@ def text_search(memories: DataFrame, queries: DataFrame, as_of, filters: Filters
     return top(c, limit, F.desc("score"), "rn")
 
 
+def _matrix(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of an array column that have its most usual length (all of one table, as a rule), and those rows' numbers."""
+    n = np.array(pc.fill_null(pc.list_value_length(col), -1))
+    size = int(np.bincount(n[n >= 0]).argmax()) if (n >= 0).any() else 0
+    rows = np.flatnonzero(n == size)
+    return pc.take(col, pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), size), rows
+
+
+def _nearest(shared, limit: int, threshold: float, score: str):
+    """Of each batch the rows that may be among a query's limit best: blocked products with all query vectors of their size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = batch
+            while len(left):  # one size of vector after the other
+                e, rows = _matrix(left.column("embedding"))
+                names, q = shared.value.get(e.shape[1], ((), None))
+                if len(names):
+                    dot = e @ q.T
+                    ne, nq = (e * e).sum(1), (q * q).sum(1)
+                    if score == "cosine":
+                        norm = np.sqrt(ne)[:, None] * np.sqrt(nq)[None, :]
+                        s = np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
+                    else:
+                        s = np.maximum(0.0, 1 - np.sqrt(np.maximum(0.0, ne[:, None] + nq[None, :] - 2 * dot)))
+                    s = np.round(s, 6)
+                    k = min(limit, len(e))
+                    least = np.partition(s, len(e) - k, axis=0)[len(e) - k]  # ties stay for the final order
+                    i, j = np.nonzero((s >= least) & (s >= threshold))
+                    ids = left.column("memory_id").take(pa.array(rows[i]))
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(j)), ids, pa.array(s[i, j])], ["query_id", "memory_id", "similarity"])
+                rest = np.setdiff1d(np.arange(len(left)), rows)
+                left = left.take(pa.array(rest)) if len(rows) else left.slice(0, 0)
+
+    return run
+
+
 def vector_search(embeddings: DataFrame, queries: DataFrame, limit: int = 10, threshold: float = 0.7, score: str = "cosine", most_queries: int = 4096) -> DataFrame:
     """query_id, memory_id, similarity, rank: each query vector (query_id, vector) against all embeddings of its size.
 
-    One pass over the embeddings: the query set is a stated set, broadcast only after its count is found to be at most
-    most_queries; a larger set is cut into that many at a time by hash, each a pass of its own. Partial top-k runs
-    before the shuffle, so what moves is limit rows a query and task.
+    One pass over the embeddings as blocked matrix products: the query set is a stated set, broadcast while it has at most
+    most_queries vectors; a larger set is cut into that many at a time by hash, each a pass of its own. What moves is
+    limit rows a query and batch.
     """
-    n = queries.count()
-    if n > most_queries:
-        parts = -(-2 * n // most_queries)
-        out = None
-        for k in range(parts):
-            part = vector_search(embeddings, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k), limit, threshold, score, n)
-            out = part if out is None else out.unionByName(part)
+    spark = embeddings.sparkSession
+    parts = 1
+    rows = queries.select("query_id", "vector").limit(most_queries + 1).collect()
+    if len(rows) > most_queries:
+        parts = -(-2 * queries.count() // most_queries)
+    out = None
+    for k in range(parts):
+        if parts > 1:
+            rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k).select("query_id", "vector").collect()
+        by_size: dict[int, list] = {}
+        for r in rows:
+            if r["vector"] is not None:
+                by_size.setdefault(len(r["vector"]), []).append(r)
+        shared = spark.sparkContext.broadcast({n: ([r["query_id"] for r in own], np.array([r["vector"] for r in own], np.float64)) for n, own in by_size.items()})
+        hits = embeddings.select("memory_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_nearest(shared, limit, threshold, score), "query_id string, memory_id string, similarity double")
+        out = hits if out is None else out.unionByName(hits)
+    return top(out, limit, F.desc("similarity"), "memory_id")
+
+
+def find_similar(memories: DataFrame, embeddings: DataFrame, ids: DataFrame, limit: int = 5, threshold: float = 0.5, exclude_self: bool = False) -> DataFrame:
+    """id, similar_id, similarity, rank: for each given memory (id) the memories of its own type with the nearest embeddings.
+    The memory itself is among them unless exclude_self."""
+    typed = embeddings.join(memories.select(F.col("id").alias("memory_id"), "type"), "memory_id").select("memory_id", "embedding", "type")
+    asked = typed.join(ids.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").select(F.col("memory_id").alias("query_id"), F.col("embedding").alias("vector"), "type")
+    out = None
+    for t in TYPES:
+        one = vector_search(typed.where(F.col("type") == t), asked.where(F.col("type") == t), limit + 1 if exclude_self else limit, threshold)
+        out = one if out is None else out.unionByName(one)
+    out = out.select(F.col("query_id").alias("id"), F.col("memory_id").alias("similar_id"), "similarity", "rank")
+    if not exclude_self:
         return out
-    pairs = embeddings.join(F.broadcast(queries), F.size("embedding") == F.size("vector"))
-    a, b = F.col("vector"), F.col("embedding")
-    similarity = S.cosine(a, b) if score == "cosine" else F.greatest(F.lit(0.0), 1 - S.l2(a, b))
-    hits = pairs.select("query_id", "memory_id", F.round(similarity, 6).alias("similarity")).where(F.col("similarity") >= threshold)
-    return top(hits, limit, F.desc("similarity"), "memory_id")
+    return top(out.where("id <> similar_id").drop("rank"), limit, F.desc("similarity"), "similar_id", by=("id",))
 
 
 def adaptive_weights(queries: DataFrame, vector: float = 0.6, text: float = 0.4) -> DataFrame:
@@ -186,9 +274,9 @@ def combine(text: DataFrame, vector: DataFrame, weights: DataFrame) -> DataFrame
     )
 
 
-def hybrid_search(memories: DataFrame, embeddings: DataFrame, queries: DataFrame, vectors: DataFrame, as_of, filters: Filters = Filters(), limit: int = 10, threshold: float = 0.5, vector_weight: float = 0.6, text_weight: float = 0.4) -> DataFrame:
+def hybrid_search(memories: DataFrame, embeddings: DataFrame, queries: DataFrame, vectors: DataFrame, as_of, filters: Filters = Filters(), limit: int = 10, threshold: float = 0.5, vector_weight: float = 0.6, text_weight: float = 0.4, index: DataFrame | None = None) -> DataFrame:
     """Text search and vector search, each for twice the limit and with all filters, joined and weighted."""
-    text = text_search(memories, queries, as_of, filters, 2 * limit).select("query_id", "id", F.col("score").alias("text_score"))
+    text = text_search(memories, queries, as_of, filters, 2 * limit, index=index).select("query_id", "id", F.col("score").alias("text_score"))
     allowed = apply_filters(memories, filters).select(F.col("id").alias("memory_id"))
     near = vector_search(embeddings.join(allowed, "memory_id", "left_semi"), vectors, 2 * limit, threshold)
     near = near.select("query_id", F.col("memory_id").alias("id"), F.col("similarity").alias("vector_score"))
@@ -205,8 +293,9 @@ def outer_by_union(vector: DataFrame, text: DataFrame) -> DataFrame:
 
 def light_embedding(texts: DataFrame, dims: int = 512) -> DataFrame:
     """id, bucket, weight: the hashed, weighted and normalised embedding of each text (id, content), without its zeros."""
-    words = texts.select("id", F.explode(T.embedding_tokens(F.col("content"))).alias("word"))
-    per_word = words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = texts.select("id", F.explode(T.embedding_tokens(F.col("content"), ())).alias("word"))
+    # Stop words go after the count: each once a text.
+    per_word = words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n")).where(~F.col("word").isin(*STOP_WORDS))
     w = F.col("word")
     per_word = per_word.select("id", T.bucket(w, dims).alias("bucket"), "n", (F.col("n") * T.word_idf(w)).alias("tfidf"), (F.col("n") * F.log(T.keyword_factor(w, F.col("n")))).alias("log_factor"))
     total = F.sum(F.sum("n")).over(Window.partitionBy("id"))
@@ -245,10 +334,19 @@ def search_stats(log: DataFrame) -> DataFrame:
 
 
 def similar_queries(log: DataFrame, share: float = 0.6) -> DataFrame:
-    """Pairs of different logged queries that share at least this share of the longer one's words; joined by word."""
+    """Pairs of different logged queries that share at least this share of the longer one's words.
+
+    Queries meet on their rarest words only: of n words two queries that share k have one among the n - k + 1 rarest of each,
+    so very frequent words join nothing but queries that have nothing else.
+    """
     q = log.select(T.normal_query(F.col("query")).alias("q")).distinct()
     w = q.select("q", F.array_distinct(F.split("q", " ")).alias("w"))
-    e = w.select("q", F.size("w").alias("n"), F.explode("w").alias("word"))
-    pairs = e.alias("a").join(e.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.q") < F.col("b.q")))
-    both = pairs.groupBy(F.col("a.q").alias("query"), F.col("b.q").alias("other")).agg((F.count(F.lit(1)) / F.greatest(F.max("a.n"), F.max("b.n"))).alias("overlap"))
+    e = w.select("q", F.explode("w").alias("word"))
+    df = e.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    ordered = e.join(df, "word").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("by_df"))
+    prefix = F.size("by_df") - F.ceil(F.round(F.size("by_df") * share, 9)).cast("int") + 1
+    rare = ordered.select("q", F.transform("by_df", lambda x: x["word"]).alias("w"), F.explode(F.slice("by_df", F.lit(1), prefix)).alias("x")).select("q", "w", "x.word")
+    pairs = rare.alias("a").join(rare.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.q") < F.col("b.q")))
+    overlap = F.size(F.array_intersect("a.w", "b.w")) / F.greatest(F.size("a.w"), F.size("b.w"))
+    both = pairs.select(F.col("a.q").alias("query"), F.col("b.q").alias("other"), overlap.alias("overlap")).distinct()
     return both.where(F.col("overlap") >= share)

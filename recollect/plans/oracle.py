@@ -196,6 +196,10 @@ CLEAN = {
     "vector_topk_by_type": top("(SELECT v.* FROM vector_pairs v JOIN memory_item m ON m.id = v.memory_id WHERE type = 'semantic' AND similarity >= 0.15)", "query_id, memory_id, similarity", "similarity DESC, memory_id", 10),
     "vector_l2_similarity": top("(SELECT query_id, memory_id, round(greatest(0.0, 1 - list_distance(vector, embedding)), 6) AS similarity FROM embedded, vectors)", "query_id, memory_id, similarity", "similarity DESC, memory_id", 5),
     "vec_text_outer_union": "SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.id, t.id) AS id, vector_score, text_score FROM (SELECT query_id, memory_id AS id, similarity AS vector_score, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, memory_id) AS rank FROM vector_pairs WHERE similarity >= 0.15 QUALIFY rank <= 20) v FULL JOIN (SELECT query_id, id, round(bm25, 6) AS text_score FROM bm25) t ON v.query_id = t.query_id AND v.id = t.id",
+    "find_similar": """SELECT id, similar_id, similarity, rank FROM (SELECT q.memory_id AS id, e.memory_id AS similar_id, similarity, row_number() OVER (PARTITION BY q.memory_id ORDER BY similarity DESC, e.memory_id) AS rank FROM (
+      SELECT q.memory_id AS a, e.memory_id AS b, round(list_dot_product(q.embedding, e.embedding) / (sqrt(list_dot_product(q.embedding, q.embedding)) * sqrt(list_dot_product(e.embedding, e.embedding))), 6) AS similarity
+      FROM embedded q JOIN memory_item qm ON qm.id = q.memory_id, embedded e JOIN memory_item em ON em.id = e.memory_id WHERE q.n % 20 = 0 AND qm.type = em.type) p JOIN embedded q ON q.memory_id = a JOIN embedded e ON e.memory_id = b WHERE similarity >= 0.15) WHERE rank <= 5""",
+    "search_within_ids": "SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, id) AS rn FROM queries, memory_item WHERE id IN ('mem_3', 'mem_17', 'mem_68', 'mem_199', 'mem_x')",
     "embedding_missing": "SELECT id, type FROM memory_item WHERE id NOT IN (SELECT memory_id FROM memory_embedding)",
     "adaptive_weights": "SELECT query_id, round(vector_weight, 6) AS vector_weight, round(text_weight, 6) AS text_weight FROM weights",
     "search_stats": f"SELECT lower(trim(regexp_replace(query, '{WHITE}', ' ', 'g'))) AS query, count(*) AS text_hits, sum(item_id % 3)::BIGINT AS vector_hits, count(*) AS total_searches FROM query_log GROUP BY 1",
@@ -233,7 +237,7 @@ CLEAN = {
       UNION ALL SELECT 'embedding_memory', count(*) FROM memory_embedding WHERE memory_id NOT IN (SELECT id FROM memory_item)
       UNION ALL SELECT 'link_source', count(*) FROM memory_link WHERE source_id NOT IN (SELECT id FROM memory_item) UNION ALL SELECT 'link_target', count(*) FROM memory_link WHERE target_id NOT IN (SELECT id FROM memory_item)
       UNION ALL SELECT 'feedback_memory', count(*) FROM feedback_event WHERE memory_id NOT IN (SELECT id FROM memory_item)""",
-    "query_latency": "SELECT count(*) AS n, min(time_ms) AS least, max(time_ms) AS most, round(avg(time_ms), 5) AS mean, quantile_cont(time_ms, 0.5) AS median, round(quantile_cont(time_ms, 0.95), 5) AS p95 FROM query_log",
+    "query_latency": "SELECT count(*) AS n, min(time_ms) AS least, max(time_ms) AS most, round(avg(time_ms), 5) AS mean, quantile_disc(time_ms, 0.5) AS median, round(quantile_disc(time_ms, 0.95), 5) AS p95 FROM query_log",
     "pin_next_version": f"SELECT id, pinned OR (n < 120 AND n % 4 = 0) AS pinned, CASE WHEN NOT pinned AND n < 120 AND n % 4 = 0 THEN {AS_OF} ELSE last_accessed END AS last_accessed FROM memory_item",
     "hard_delete_cascade": "SELECT 'memory_item' AS table_name, count(*) AS n FROM memory_item WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'memory_embedding', count(*) FROM memory_embedding WHERE memory_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'memory_link', count(*) FROM memory_link WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'feedback_event', count(*) FROM feedback_event WHERE memory_id NOT IN (SELECT id FROM gone)",
     "change_tags": "SELECT id, array_to_string(list_filter(CASE WHEN tags[1] = 'en' THEN [tags[1], tags[2], 'new'] ELSE [tags[1], tags[2], 'new', 'en'] END, lambda t: t <> 'src1'), ',') AS tags FROM memory_item",

@@ -33,6 +33,17 @@ SOME = Filters(types=("semantic", "episodic"))
 THRESHOLD = 0.15
 
 
+#: The stored inverted index of each folder's memories, made by the first search of a session.
+_indexes: dict[tuple[str, str], DataFrame] = {}
+
+
+def index(spark, d):
+    key = spark.sparkContext.applicationId, d
+    if key not in _indexes:
+        _indexes[key] = search.stored_index(M.memory_item(spark, d))
+    return _indexes[key]
+
+
 def vectors(spark, d):
     e = M.memory_embedding(spark, d).where(c("memory_id").isin("mem_0", "mem_1", "mem_2"))
     return e.select(F.concat(F.lit("q"), (F.substring("memory_id", 5, 9).cast("int") + 1).cast("string")).alias("query_id"), c("embedding").alias("vector"))
@@ -51,7 +62,7 @@ def embedded(spark, d):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     one = M.queries_table(spark).where("query_id = 'q1'")
-    return search.text_search(M.memory_item(spark, d), one, AS_OF, SOME, 10).select("query_id", "rank", "id", "type", "score", "recall_reason")
+    return search.text_search(M.memory_item(spark, d), one, AS_OF, SOME, 10, index=index(spark, d)).select("query_id", "rank", "id", "type", "score", "recall_reason")
 
 
 # Scans and filters
@@ -74,19 +85,18 @@ def tokens_clean(spark, d):
 
 
 _on_memories("postings", search.postings)
-_on_memories("doc_lengths", lambda m: search.doc_lengths(search.postings(m)))
+_on_memories("doc_lengths", lambda m: search.doc_lengths(search.indexed(m)))
 
 
 @query
 def fts_match_and(spark, d):
     m = M.memory_item(spark, d)
-    return search.fts_match(search.postings(m), M.queries_table(spark), m)
+    return search.fts_match(index(spark, d), M.queries_table(spark), m)
 
 
 @query
 def fts_bm25_topk(spark, d):
-    m = M.memory_item(spark, d)
-    out = search.bm25(search.postings(m), M.queries_table(spark)).withColumn("bm25", F.round("bm25", 6))
+    out = search.bm25(index(spark, d), M.queries_table(spark)).withColumn("bm25", F.round("bm25", 6))
     return search.top(out, 30, F.desc("bm25"), "id")
 
 
@@ -96,17 +106,17 @@ def _ranked(hits):
 
 @query
 def text_search_batch(spark, d):
-    return _ranked(search.text_search(M.memory_item(spark, d), M.queries_table(spark), AS_OF, SOME, 10))
+    return _ranked(search.text_search(M.memory_item(spark, d), M.queries_table(spark), AS_OF, SOME, 10, index=index(spark, d)))
 
 
 @query
 def text_search_counters(spark, d):
-    return _ranked(search.text_search(M.memory_item(spark, d), M.queries_table(spark), AS_OF, Filters(), 5, usage="counters"))
+    return _ranked(search.text_search(M.memory_item(spark, d), M.queries_table(spark), AS_OF, Filters(), 5, usage="counters", index=index(spark, d)))
 
 
 @query
 def text_search_batch_usage(spark, d):
-    return _ranked(search.text_search(M.memory_item(spark, d), M.queries_table(spark), AS_OF, Filters(), 5, usage="batch"))
+    return _ranked(search.text_search(M.memory_item(spark, d), M.queries_table(spark), AS_OF, Filters(), 5, usage="batch", index=index(spark, d)))
 
 
 @query
@@ -164,8 +174,7 @@ def vector_l2_similarity(spark, d):
 @query
 def vec_text_outer_union(spark, d):
     v = search.vector_search(embedded(spark, d), vectors(spark, d), 20, THRESHOLD).select("query_id", c("memory_id").alias("id"), c("similarity").alias("vector_score"))
-    m = M.memory_item(spark, d)
-    t = search.bm25(search.postings(m), M.queries_table(spark)).select("query_id", "id", F.round("bm25", 6).alias("text_score"))
+    t = search.bm25(index(spark, d), M.queries_table(spark)).select("query_id", "id", F.round("bm25", 6).alias("text_score"))
     return search.outer_by_union(v, t)
 
 
@@ -174,6 +183,19 @@ def embedding_missing(spark, d):
     return M.memory_item(spark, d).join(M.memory_embedding(spark, d).select(c("memory_id").alias("id")), "id", "left_anti").select("id", "type")
 
 
+@query
+def find_similar(spark, d):
+    asked = many_vectors(spark, d).select(c("query_id").alias("id"))
+    return search.find_similar(M.memory_item(spark, d), embedded(spark, d), asked, 5, THRESHOLD)
+
+
+@query
+def search_within_ids(spark, d):
+    """With a filter of ids the text of a query does not count."""
+    some = Filters(ids=("mem_3", "mem_17", "mem_68", "mem_199", "mem_x"))
+    return search.text_candidates(M.memory_item(spark, d), M.queries_table(spark), some, 10).select("query_id", "id", "rn")
+
+
 @query
 def word_hash_bucket(spark, d):
     words = M.memory_item(spark, d).select(F.explode(T.embedding_tokens(c("content"))).alias("word")).distinct()
@@ -196,7 +218,7 @@ def adaptive_weights(spark, d):
 
 @query
 def hybrid_topk(spark, d):
-    out = search.hybrid_search(M.memory_item(spark, d), embedded(spark, d), M.queries_table(spark), vectors(spark, d), AS_OF, SOME, 10, THRESHOLD)
+    out = search.hybrid_search(M.memory_item(spark, d), embedded(spark, d), M.queries_table(spark), vectors(spark, d), AS_OF, SOME, 10, THRESHOLD, index=index(spark, d))
     return out.select("query_id", "rank", "id", "text_score", "vector_score", "final_score")
 
 
@@ -362,7 +384,7 @@ _on_memories("format_bytes", lambda m: m.select("id", T.format_bytes(F.length("c
 
 
 def _hits(spark, d):
-    return search.text_search(M.memory_item(spark, d), M.queries_table(spark), AS_OF, Filters(importance_min=0.5), 10).withColumn("final_score", F.round("score", 5))
+    return search.text_search(M.memory_item(spark, d), M.queries_table(spark), AS_OF, Filters(importance_min=0.5), 10, index=index(spark, d)).withColumn("final_score", F.round("score", 5))
 
 
 _queries["inject_budget_fold"] = lambda spark, d: context.inject(_hits(spark, d), 400, 5)
