@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
-from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import delete, finished, scratch, settings, shared_dir, stored, writing  # noqa: F401
+
 #: White space of every contract: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -23,71 +21,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets one of its
-    own; on a cluster a folder of one machine would lose data, so there it must be set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="recollect-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/recollect/{name}-{uuid.uuid4().hex}"
-
-
-@contextmanager
-def settings(spark: SparkSession, **pairs: str) -> Iterator[None]:
-    """Session settings (dots as double underscores) for the writes inside, then as they were."""
-    names = {k.replace("__", "."): v for k, v in pairs.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def writing(spark: SparkSession):
-    """While this holds, Spark deletes a finished write's shuffle files at once and not when the driver collects garbage."""
-    return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
-
-
-#: Folders of stored tables that are still referred to.
-_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back: its lineage ends there."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    with writing(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _folders[out] = path
-    return out
-
-
-def finished(*tables: DataFrame) -> None:
-    """Deletes the folders of stored tables that nothing reads any more."""
-    for t in tables:
-        path = _folders.pop(t, None)
-        if path:
-            delete(t.sparkSession, path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 class Log:
     """What an index in a folder holds: (kind, number) of each change, in order, appended to one small JSON table."""
 

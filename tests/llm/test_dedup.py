@@ -33,7 +33,7 @@ CASES = {
     "suffix": (lambda d: suffix_dedup(d, 400), ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), lambda r: brute.suffix(r, 400)),
     "suffix short": (lambda d: suffix_dedup(d, 40), ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), lambda r: brute.suffix(r, 40)),
     "substring": (lambda d: substring_dedup(d, 50), ("doc_id", "n_words", "n_removed", "kept_sha256"), lambda r: brute.substring(r, 50)),
-    "substring short": (lambda d: substring_dedup(d, 8, batches=3), ("doc_id", "n_words", "n_removed", "kept_sha256"), lambda r: brute.substring(r, 8)),
+    "substring short": (lambda d: substring_dedup(d, 8, batches=(0.3, 0.5, 0.8)), ("doc_id", "n_words", "n_removed", "kept_sha256"), lambda r: brute.substring(r, 8)),
     "lines": (line_dedup, ("doc_id", "n_lines", "n_dropped", "kept_sha256"), brute.lines),
     "exact": (exact_dedup, ("doc_id", "keep_id", "group_size", "kept", "text_sha256"), brute.exact),
 }
@@ -267,4 +267,4 @@ def test_passage_twice_in_one_document(spark, frame, apart):
         got += rows(dedup_batch(index, frame(part)), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert sorted(got) == sorted(brute.substring(some, 50))
     own = frame([r for r in some if r[0] >= 20 or r[0] < 10])
-    check(substring_dedup(own, 50, batches=2), ("doc_id", "n_words", "n_removed", "kept_sha256"), brute.substring([tuple(r) for r in own.select("doc_id", "text").collect()], 50))
+    check(substring_dedup(own, 50, batches=(0.5,)), ("doc_id", "n_words", "n_removed", "kept_sha256"), brute.substring([tuple(r) for r in own.select("doc_id", "text").collect()], 50))
