@@ -40,6 +40,19 @@ THRESHOLDS = (
     ("cache_performance", "critical", 50.0, "lt", 30, 300),
 )
 
+#: Metric kind, threshold, value from which it is critical.
+MONITOR_RULES = (("memory", 80.0, 90.0), ("cpu", 70.0, 90.0), ("database", 100.0, 150.0), ("query", 1000.0, 2000.0))
+
+#: Type, importance, privacy scope, days to live (None: no end).
+TYPE_DEFAULTS = (("working", 0.3, "private", 2), ("episodic", 0.6, "private", 90), ("semantic", 0.8, "team", None), ("procedural", 0.7, "team", 180))
+
+#: Parts of a tool's name and the category that the first of them gives.
+TOOL_CATEGORIES = ((("memory", "remember", "recall"), "memory"), (("search", "find"), "search"), (("cleanup", "forget"), "maintenance"), (("performance", "monitor"), "monitoring"))
+
+#: What no query may hold, whatever the case.
+FORBIDDEN_IN_QUERIES = ("<script", "javascript:", "on[a-zA-Z0-9_]+[ \\t\\n\\r]*=")
+LONGEST_QUERY = 1000
+
 #: English stop words.
 ENGLISH_STOP_WORDS = """the a an and or but in on at to for of with by from up about into through during before after above below
     down out off over under again further then once here there when where why how all any both each few more most
@@ -74,6 +87,49 @@ TECHNICAL_QUERIES = "api|sql|http|json|xml|css|html|js|ts|react|vue|angular|node
 TECHNICAL_WORDS = "^[a-z]+_[a-z]+|api|sdk|http|json|xml|sql|db|ui|ux|ai|ml|nlp|react|vue|angular|node|python|java|typescript"
 
 
+@dataclass(frozen=True)
+class Preset:
+    """What a kind of prompt asks for: types, days back (None: all), least importance and token budget."""
+
+    kind: str
+    types: tuple[str, ...] | None
+    recent_days: int | None
+    importance_min: float
+    budget: int
+
+
+#: Fixed values.
+PRESETS = {
+    "conversation": Preset("conversation", ("episodic", "semantic"), 30, 0.4, 1000),
+    "task": Preset("task", ("procedural", "semantic"), None, 0.5, 1200),
+    "learning": Preset("general", ("semantic", "procedural"), None, 0.6, 1500),
+    "project": Preset("task", None, None, 0.0, 1000),
+}
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What a deployment sets; from_env reads it from variables of these names in capitals."""
+
+    embedding_dimensions: int = 512
+    search_default_limit: int = 10
+    search_max_limit: int = 50
+
+    @classmethod
+    def from_env(cls, env) -> "Settings":
+        return cls(**{f: int(env[f.upper()]) for f in cls.__dataclass_fields__ if f.upper() in env})
+
+    def errors(self) -> list[str]:
+        out = []
+        if self.embedding_dimensions <= 0:
+            out.append("embedding_dimensions is not positive")
+        if self.search_default_limit <= 0 or self.search_max_limit <= 0:
+            out.append("a search limit is not positive")
+        elif self.search_default_limit > self.search_max_limit:
+            out.append("search_default_limit is above search_max_limit")
+        return out
+
+
 @dataclass(frozen=True)
 class RankWeights:
     relevance: float = 0.5

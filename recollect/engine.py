@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .config import Filters
+from .config import PRESETS, Filters
 from .operators import context, dml, forgetting, search
 
 
@@ -62,6 +63,28 @@ class MemoryEngine:
         hits = search.text_search(self.memories, queries, self.now(), filters, 2 * most).withColumnRenamed("score", "final_score")
         return context.prompt(context.inject(hits, budget, most), self.memories, queries)
 
+    def inject_preset(self, queries: DataFrame, preset: str, most: int = 10) -> DataFrame:
+        """query_id, content, memories_used, token_count of a client's context: conversation, task, learning or project."""
+        p = PRESETS[preset]
+        since = self.now() - timedelta(days=p.recent_days) if p.recent_days else None
+        filters = Filters(types=p.types, time_from=since, importance_min=p.importance_min)
+        hits = search.text_search(self.memories, queries, self.now(), filters, most).withColumnRenamed("score", "final_score")
+        kept = context.compress(hits, p.budget, most).join(hits.select("query_id", "id", F.col("final_score").alias("score")), ["query_id", "id"])
+        return context.client_context(kept, self.memories, queries, p.kind)
+
+    def export(self, kind: str, filters: Filters = Filters()) -> DataFrame:
+        return context.exported(search.apply_filters(self.memories, filters), kind)
+
+    def written_out(self, path: str) -> MemoryEngine:
+        """The same tables read back from Parquet under a path, so that a long row of changes does not pile up in one plan."""
+        out = {}
+        for name in ("memories", "embeddings"):
+            df = getattr(self, name)
+            if df is not None:
+                df.write.mode("errorifexists").parquet(f"{path}/{name}")
+                out[name] = self.spark.read.schema(df.schema).parquet(f"{path}/{name}")
+        return replace(self, **out)
+
     def cleanup(self, dry_run: bool = True, soft: float = 0.6, hard: float = 0.8) -> tuple[MemoryEngine, DataFrame]:
         if dry_run:
             return self, forgetting.policy_stats(self.memories, self.now())

@@ -128,3 +128,33 @@ def cosine(a: Column, b: Column) -> Column:
 
 def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+
+
+def cosine_or_zero(a: Column, b: Column) -> Column:
+    """Cosine without negative values; 0 if the sizes differ."""
+    return F.greatest(F.lit(0.0), F.coalesce(cosine(a, b), F.lit(0.0)))
+
+
+def bm25_share(score: Column) -> Column:
+    """A BM25 score between 0 and 1."""
+    return score / (score + 2.0)
+
+
+def score_between(score: Column, low: Column, high: Column) -> Column:
+    """Where a score lies between two others, from 0 to 1; 0 if they are equal."""
+    return F.when(low == high, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (score - low) / (high - low))))
+
+
+def usage_by_access(last_accessed: Column, as_of) -> Column:
+    return F.coalesce(F.exp(-age_days(last_accessed, as_of) / 30), F.lit(0.1))
+
+
+def first_score(*scores: Column) -> Column:
+    """The first score that is neither null nor 0, else 0."""
+    return F.coalesce(*[F.nullif(s, F.lit(0.0)) for s in scores], F.lit(0.0))
+
+
+def shared_weights(vector: Column, text: Column) -> tuple[Column, Column]:
+    """Two weights that add up to 1; 0.6 and 0.4 if both are 0."""
+    total = vector + text
+    return F.when(total > 0, vector / total).otherwise(0.6), F.when(total > 0, text / total).otherwise(0.4)

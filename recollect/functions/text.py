@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import STOP_WORDS, TECHNICAL_QUERIES, TECHNICAL_WORDS
+from ..config import FORBIDDEN_IN_QUERIES, LONGEST_QUERY, STOP_WORDS, TECHNICAL_QUERIES, TECHNICAL_WORDS, TOOL_CATEGORIES
 
 #: Letters whose marks full-text search folds away, and what they become.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -177,3 +177,27 @@ def query_complexity(sql: Column) -> Column:
         n = n + F.when(F.contains(sql, F.lit(word)), points).otherwise(0)
     n = n + F.when(F.size(F.regexp_extract_all(sql, F.lit("SELECT"), F.lit(0))) > 1, 2).otherwise(0)
     return F.when(n <= 1, "simple").when(n <= 3, "medium").otherwise("complex")
+
+
+def query_error(query: Column) -> Column:
+    """empty, too_long or forbidden; null for a query that may be asked."""
+    bad = F.lit(False)
+    for p in FORBIDDEN_IN_QUERIES:
+        bad = bad | query.rlike(f"(?i){p}")
+    blank = query.isNull() | (F.regexp_replace(query, WHITE, "") == "")
+    return F.when(blank, "empty").when(F.length(query) > LONGEST_QUERY, "too_long").when(bad, "forbidden")
+
+
+def truncated(text: Column, tokens: int = 8191) -> Column:
+    """A text's first 4 characters a token."""
+    return F.substring(text, 1, 4 * tokens)
+
+
+def tool_category(name: Column) -> Column:
+    out = F.lit("other")
+    for parts, category in reversed(TOOL_CATEGORIES):
+        hit = F.lit(False)
+        for p in parts:
+            hit = hit | F.contains(name, F.lit(p))
+        out = F.when(hit, category).otherwise(out)
+    return out

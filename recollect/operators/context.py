@@ -84,6 +84,33 @@ def prompt(injected: DataFrame, memories: DataFrame, queries: DataFrame) -> Data
     return queries.join(parts, "query_id", "left").select("query_id", F.when(F.col("p").isNull(), "관련 기억을 찾을 수 없습니다.").otherwise(F.concat(head, body, F.lit(end))).alias("prompt"))
 
 
+#: The lines around a client's context by its kind.
+HEADERS = {"conversation": "💬 관련 대화 기록:", "task": "📋 관련 작업 기록:", "general": "🧠 관련 기억:"}
+NOTHING = {"conversation": "💬 관련 대화 기록이 없습니다.", "task": "📋 관련 작업 기록이 없습니다.", "general": "🧠 관련 기억이 없습니다."}
+
+
+def client_context(kept: DataFrame, memories: DataFrame, queries: DataFrame, kind: str = "general") -> DataFrame:
+    """query_id, content, memories_used, token_count: a system message of the kept memories (query_id, position, id, text, and
+    score where there is one), or what is said where there are none."""
+    score = F.col("score") if "score" in kept.columns else F.lit(None).cast("double")
+    x = kept.withColumn("_score", score).select("query_id", "position", "id", "text", "_score").join(memories.select("id", "type", "importance", "tags", "created_at"), "id")
+    filled = F.round(F.col("importance") * 5).cast("int")
+    tags = F.when(F.coalesce(F.size("tags"), F.lit(0)) > 0, F.concat(F.lit(" ["), F.array_join("tags", ", "), F.lit("]"))).otherwise("")
+    shown = F.when(F.coalesce(F.col("_score"), F.lit(0.0)) != 0, F.concat(F.lit(" (관련도: "), F.format_string("%.1f", F.round(F.col("_score") * 100, 1)), F.lit("%)"))).otherwise("")
+    entry = F.concat(
+        F.col("position").cast("string"), F.lit(". "), _icon(EXPORT_ICONS, "📝"), F.lit(" "), F.col("text"), tags, shown,
+        F.lit("\n   "), F.repeat(F.lit("★"), filled), F.repeat(F.lit("☆"), 5 - filled), F.lit(" "), _iso("created_at"),
+    )
+    parts = x.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", entry.alias("s")))).alias("p"))
+    body = F.array_join(F.transform("p", lambda s: s["s"]), "\n\n")
+    n = F.coalesce(F.size("p"), F.lit(0))
+    end = F.concat(F.lit("\n💡 위의 "), n.cast("string"), F.lit('개 기억을 참고하여 "'), F.col("query"), F.lit('"에 대해 답변해주세요.'))
+    whole = F.concat_ws("\n\n", F.lit(HEADERS[kind]), body, end)
+    none = F.concat(F.lit(NOTHING[kind] + '\n\n💡 "'), F.col("query"), F.lit('"에 대해 새로운 정보로 답변해주세요.'))
+    out = queries.join(parts, "query_id", "left").select("query_id", F.when(F.col("p").isNull(), none).otherwise(whole).alias("content"), F.when(F.col("p").isNull(), 0).otherwise(n).alias("memories_used"))
+    return out.withColumn("token_count", T.mixed_tokens(F.col("content")))
+
+
 def within_budget(buffers: DataFrame) -> DataFrame:
     """session_id, position, id, text, tokens: the turns of each working-memory buffer that fit its token budget, in order."""
     items = F.transform("items", lambda x: F.struct(x["turn"].cast("string").alias("id"), F.coalesce(x["text"], F.lit("")).alias("text"), T.quarter_tokens(F.coalesce(x["text"], F.lit(""))).alias("tokens")))
@@ -126,3 +153,8 @@ def markdown(m: DataFrame) -> DataFrame:
 
 def json_lines(m: DataFrame) -> DataFrame:
     return m.select("id", F.to_json(F.struct(*m.columns)).alias("json"))
+
+
+def exported(m: DataFrame, kind: str) -> DataFrame:
+    """id and the memory as csv, json or markdown."""
+    return {"csv": csv_lines, "json": json_lines, "markdown": markdown}[kind](m)

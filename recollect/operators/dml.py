@@ -126,3 +126,15 @@ def memory_links(links: DataFrame) -> DataFrame:
     kinds = ("cause_of", "derived_from", "duplicates", "contradicts")
     lists = [F.array_join(F.sort_array(F.collect_list(F.when(F.col("relation_type") == k, F.col("target_id")))), ",").alias(k) for k in kinds]
     return links.groupBy(F.col("source_id").alias("id")).agg(*lists)
+
+
+def expired_buffers(buffers: DataFrame, as_of) -> DataFrame:
+    """Working-memory buffers whose time is over."""
+    return buffers.where(F.col("expires_at") <= F.lit(as_of))
+
+
+def buffer_snapshots(buffers: DataFrame, as_of) -> DataFrame:
+    """The episodic memory (id, type, content, created_at) that is left of each expired buffer: a line for each turn."""
+    line = lambda x: F.concat(F.coalesce(x["role"], F.lit("")), F.lit(": "), F.coalesce(x["text"], F.lit("")))
+    content = F.array_join(F.transform("items", line), "\n")
+    return expired_buffers(buffers, as_of).select(F.concat(F.lit("mem_wm_"), F.col("session_id").cast("string")).alias("id"), F.lit("episodic").alias("type"), content.alias("content"), F.lit(as_of).alias("created_at"))

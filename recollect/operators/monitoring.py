@@ -87,12 +87,70 @@ def cooled(alerts: DataFrame) -> DataFrame:
     return ordered.mapInPandas(run, schema)
 
 
-def first_active(metrics: DataFrame, limit: float = 80.0) -> DataFrame:
-    """The first value over the limit of each metric and day: while it is unresolved no other is raised."""
+def first_active(metrics: DataFrame, rules=(("*", 80.0, 90.0),)) -> DataFrame:
+    """The first value over its kind's threshold of each metric and day: while it is unresolved no other is raised.
+
+    rules: kind, threshold, value from which it is critical; the kind * stands for every metric.
+    """
+    of = lambda i: F.coalesce(*[F.lit(r[i]) if r[0] == "*" else F.when(F.col("metric") == r[0], r[i]) for r in rules])
     w = Window.partitionBy("metric", "day").orderBy("ts", "id")
-    over = metrics.where(F.col("value") > limit).withColumn("day", F.date_trunc("day", "ts"))
+    over = metrics.where(F.col("value") > of(1)).withColumn("day", F.date_trunc("day", "ts"))
     over = over.withColumn("n", F.row_number().over(w)).where("n = 1")
-    return over.select("metric", "day", "id", "value", F.when(F.col("value") > 90, "critical").otherwise("warning").alias("severity"))
+    return over.select("metric", "day", "id", "value", F.when(F.col("value") > of(2), "critical").otherwise("warning").alias("severity"))
+
+
+def _since(rows: DataFrame, as_of, hours) -> DataFrame:
+    return rows if hours is None else rows.where(F.unix_micros("ts") >= F.unix_micros(F.lit(as_of)) - F.lit(hours * 3_600_000_000))
+
+
+def alert_stats(alerts: DataFrame, key: str, as_of, hours: float | None = 24) -> DataFrame:
+    """Alerts of the last hours by level or metric, every known one with its number, 0 too."""
+    values = C.LEVELS if key == "level" else C.METRICS
+    return zero_filled(_since(alerts, as_of, hours).groupBy(key).agg(n_rows().alias("n")), key, values)
+
+
+def alert_summary(alerts: DataFrame, as_of, hours: float | None = 24) -> DataFrame:
+    """total, active, resolved, avg_resolution_ms (0 if none is resolved) of the last hours' alerts (resolved, resolved_at)."""
+    ms = (F.unix_micros("resolved_at") - F.unix_micros("ts")) / 1000
+    mean = F.coalesce(F.round(F.avg(F.when(F.col("resolved"), ms)), 4), F.lit(0.0))
+    return _since(alerts, as_of, hours).agg(n_rows().alias("total"), F.count_if(~F.col("resolved")).alias("active"), F.count_if("resolved").alias("resolved"), mean.alias("avg_resolution_ms"))
+
+
+def search_alerts(alerts: DataFrame, level=None, metric=None, resolved=None, time_from=None, time_to=None, limit: int | None = None) -> DataFrame:
+    """Alerts that pass every test that is set, the newest first."""
+    for test in [
+        None if level is None else F.col("level") == level,
+        None if metric is None else F.col("metric") == metric,
+        None if resolved is None else F.col("resolved") == F.lit(resolved),
+        None if time_from is None else F.col("ts") >= F.lit(time_from),
+        None if time_to is None else F.col("ts") <= F.lit(time_to),
+    ]:
+        alerts = alerts if test is None else alerts.where(test)
+    out = alerts.orderBy(F.desc("ts"), F.desc("id"), "level")
+    return out if limit is None else out.limit(limit)
+
+
+def without_old_alerts(alerts: DataFrame, as_of, hours: float = 24) -> DataFrame:
+    """alerts but resolved ones from before the last hours."""
+    old = F.unix_micros("ts") < F.unix_micros(F.lit(as_of)) - F.lit(hours * 3_600_000_000)
+    return alerts.where(~(F.col("resolved") & old))
+
+
+def tool_metrics(runs: DataFrame) -> DataFrame:
+    """tool, executions, successes, error_rate, mean_ms of tool runs (tool, ok, time_ms)."""
+    share = F.count_if(~F.col("ok")) / n_rows()
+    return runs.groupBy("tool").agg(n_rows().alias("executions"), F.count_if("ok").alias("successes"), F.round(share, 6).alias("error_rate"), F.round(F.avg("time_ms"), 5).alias("mean_ms"))
+
+
+def find_tools(tools: DataFrame, part: str) -> DataFrame:
+    """Tools (name, description) that have the part in either, whatever the case."""
+    p = F.lit(part.lower())
+    return tools.where(F.contains(F.lower("name"), p) | F.contains(F.lower("description"), p))
+
+
+def write_json_by_day(rows: DataFrame, path: str, at: str = "ts") -> None:
+    """Appends rows as JSON lines in a folder for each day."""
+    rows.withColumn("date", F.to_date(at)).write.mode("append").partitionBy("date").json(path)
 
 
 def trend(metrics: DataFrame, last: int = 10) -> DataFrame:

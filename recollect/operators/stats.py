@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import scoring as S
 
+
 def n_rows():
     return F.count(F.lit(1))
 
@@ -125,3 +126,34 @@ def latency_stats(log: DataFrame, value: str = "time_ms") -> DataFrame:
     """n, min, max, mean, and median and 95th percentile by rank: each is one of the values, nothing is interpolated."""
     ranked = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
     return log.agg(n_rows().alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), 5).alias("mean"), ranked(0.5).alias("median"), F.round(ranked(0.95), 5).alias("p95"))
+
+
+def with_type_defaults(m: DataFrame) -> DataFrame:
+    """m (with a type) and default_importance, default_scope and ttl_days of that type."""
+    defaults = m.sparkSession.createDataFrame(list(C.TYPE_DEFAULTS), "type string, default_importance double, default_scope string, ttl_days int")
+    return m.join(defaults, "type", "left")
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, n, n_columns of each table."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(n_rows().alias("n")).select(F.lit(name).alias("table_name"), "n", F.lit(len(df.columns)).alias("n_columns"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def missing_tables(spark, required) -> list[str]:
+    """Which of the required tables the session's catalog lacks."""
+    return [t for t in required if not spark.catalog.tableExists(t)]
+
+
+def embedding_backup(m: DataFrame, e: DataFrame) -> DataFrame:
+    """memory_id, type, content, dim, model, embedding: what a rebuild of the embeddings replaces."""
+    return e.join(m.select(F.col("id").alias("memory_id"), "type", "content"), "memory_id").select("memory_id", "type", "content", "dim", "model", "embedding")
+
+
+def rebuilt(m: DataFrame, sparse: DataFrame) -> DataFrame:
+    """memories, embedded, empty: how many memories a new set of embeddings (id, bucket, weight) covers."""
+    has = sparse.select("id").distinct().withColumn("has", F.lit(True))
+    return m.select("id").join(has, "id", "left").agg(n_rows().alias("memories"), F.count("has").alias("embedded"), F.count_if(F.col("has").isNull()).alias("empty"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from ..config import CATEGORIES, HALF_LIFE_DAYS, METRICS, SEVERITIES, STOP_WORDS, TECHNICAL_QUERIES, TECHNICAL_WORDS, THRESHOLDS, TTL_HARD_DAYS, TTL_SOFT_DAYS
+from ..config import CATEGORIES, HALF_LIFE_DAYS, LEVELS, METRICS, MONITOR_RULES, SEVERITIES, STOP_WORDS, TECHNICAL_QUERIES, TECHNICAL_WORDS, THRESHOLDS, TTL_HARD_DAYS, TTL_SOFT_DAYS, TYPE_DEFAULTS
 from ..functions.text import ACCENTED, PLAIN
 from ..sources.memory import QUERIES
 
@@ -83,6 +83,8 @@ TABLES = {
     "metric_stream": f"SELECT event_id AS id, ts::TIMESTAMP AS ts, {_list(METRICS)}[event_id % 6 + 1] AS metric, value FROM events WHERE event_type <> 'error'",
     "thresholds": f"SELECT * FROM (VALUES {_values(THRESHOLDS)}) t(metric, level, threshold, op, duration, cooldown)",
     "alerts": "SELECT id, ts, metric, level, value, threshold::DOUBLE AS threshold, cooldown FROM metric_stream JOIN thresholds USING (metric) WHERE CASE WHEN op = 'gt' THEN value > threshold ELSE value < threshold END",
+    "alert_log": "SELECT *, id % 4 = 0 AS resolved, CASE WHEN id % 4 = 0 THEN ts + to_minutes(id % 30) END AS resolved_at FROM alerts",
+    "wm_buffer": f"SELECT conv_id AS session_id, {AS_OF} - to_hours(conv_id - 48) AS expires_at, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS content FROM conversations GROUP BY conv_id",
     "query_log": "SELECT item_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS query, ((item_id * 7) % 120)::DOUBLE AS time_ms FROM benchmark",
     "queries": f"SELECT * FROM (VALUES {_values(QUERIES)}) t(query_id, query)",
     "cleaned": f"SELECT query_id, query, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(trim(query), '{WHITE}', ' ', 'g'), '[^a-zA-Z0-9가-힣 ]', ' ', 'g'), ' '), lambda w: w <> '' AND NOT list_contains({STOP}, lower(w))), ' ') AS cleaned FROM queries",
@@ -102,6 +104,8 @@ TABLES = {
     "actions": f"""SELECT f.id, forget_score, forget_score >= 0.6 AND {age("created_at")} >= {_case("type", TTL_SOFT_DAYS, "1e9")} AS soft,
   forget_score >= 0.62 AND {age("created_at")} >= {_case("type", TTL_HARD_DAYS, "1e9")} AS hard, needs_review AS review FROM features f JOIN schedule USING (id)""",
     "vector_pairs": "SELECT query_id, memory_id, round(list_dot_product(vector, embedding) / (sqrt(list_dot_product(vector, vector)) * sqrt(list_dot_product(embedding, embedding))), 6) AS similarity FROM embedded, vectors",
+    "many_pairs": """SELECT q.memory_id AS query_id, e.memory_id, round(list_dot_product(q.embedding, e.embedding) / (sqrt(list_dot_product(q.embedding, q.embedding)) * sqrt(list_dot_product(e.embedding, e.embedding))), 6) AS similarity,
+  round(greatest(0.0, 1 - list_distance(q.embedding, e.embedding)), 6) AS near FROM (SELECT * FROM memory_embedding WHERE n % 20 = 0) q, embedded e""",
     "embed_words": f"SELECT id, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(content), '[^a-z0-9_ \\t\\n\\r\\f\\x0B가-힣]', ' ', 'g'), '{WHITE}'), lambda w: length(w) > 1 AND NOT list_contains({STOP}, w))) AS word FROM texts",
     "word_stats": f"""SELECT id, word, n, abs(hash) % 512 AS bucket, n * idf AS tfidf, n * ln(CASE WHEN n > 3 THEN 0.8 WHEN regexp_matches(word, '^[0-9_가-힣]') AND length(word) > 2 THEN 1.3 WHEN regexp_matches(word, '{TECHNICAL_WORDS}') THEN 1.5 ELSE 1.0 END::DOUBLE) AS lf
   FROM (SELECT id, word, count(*) AS n FROM embed_words GROUP BY id, word) JOIN word_hash USING (word)""",
@@ -195,6 +199,9 @@ CLEAN = {
     "vector_topk": top("vector_pairs", "query_id, memory_id, similarity", "similarity DESC, memory_id", 10).replace("FROM vector_pairs", "FROM vector_pairs WHERE similarity >= 0.15"),
     "vector_topk_by_type": top("(SELECT v.* FROM vector_pairs v JOIN memory_item m ON m.id = v.memory_id WHERE type = 'semantic' AND similarity >= 0.15)", "query_id, memory_id, similarity", "similarity DESC, memory_id", 10),
     "vector_l2_similarity": top("(SELECT query_id, memory_id, round(greatest(0.0, 1 - list_distance(vector, embedding)), 6) AS similarity FROM embedded, vectors)", "query_id, memory_id, similarity", "similarity DESC, memory_id", 5),
+    "vector_topk_many": top("(SELECT * FROM many_pairs WHERE similarity >= 0.15)", "query_id, memory_id, similarity", "similarity DESC, memory_id", 10),
+    "vector_topk_by_type_many": top("(SELECT v.* FROM many_pairs v JOIN memory_item m ON m.id = v.memory_id WHERE type = 'semantic' AND similarity >= 0.15)", "query_id, memory_id, similarity", "similarity DESC, memory_id", 10),
+    "vector_l2_similarity_many": top("(SELECT query_id, memory_id, near AS similarity FROM many_pairs)", "query_id, memory_id, similarity", "similarity DESC, memory_id", 5),
     "vec_text_outer_union": "SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.id, t.id) AS id, vector_score, text_score FROM (SELECT query_id, memory_id AS id, similarity AS vector_score, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, memory_id) AS rank FROM vector_pairs WHERE similarity >= 0.15 QUALIFY rank <= 20) v FULL JOIN (SELECT query_id, id, round(bm25, 6) AS text_score FROM bm25) t ON v.query_id = t.query_id AND v.id = t.id",
     "find_similar": """SELECT id, similar_id, similarity, rank FROM (SELECT q.memory_id AS id, e.memory_id AS similar_id, similarity, row_number() OVER (PARTITION BY q.memory_id ORDER BY similarity DESC, e.memory_id) AS rank FROM (
       SELECT q.memory_id AS a, e.memory_id AS b, round(list_dot_product(q.embedding, e.embedding) / (sqrt(list_dot_product(q.embedding, q.embedding)) * sqrt(list_dot_product(e.embedding, e.embedding))), 6) AS similarity
@@ -263,6 +270,31 @@ CLEAN = {
     "alert_counts": "SELECT metric, level, count(*) AS n FROM alerts GROUP BY metric, level",
     "monitor_alerts": "SELECT metric, date_trunc('day', ts)::TIMESTAMP AS day, id, round(value, 6) AS value, CASE WHEN value > 90 THEN 'critical' ELSE 'warning' END AS severity FROM metric_stream WHERE value > 80 QUALIFY row_number() OVER (PARTITION BY metric, date_trunc('day', ts) ORDER BY ts, id) = 1",
     "metric_trend": "SELECT metric, round(first, 6) AS first, round(last, 6) AS last, CASE WHEN points < 2 OR first = 0 THEN 'stable' WHEN (last - first) / first > 0.1 THEN 'increasing' WHEN (last - first) / first < -0.1 THEN 'decreasing' ELSE 'stable' END AS trend FROM (SELECT metric, max_by(value, n) AS first, min_by(value, n) AS last, count(*) AS points FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY ts DESC, id DESC) AS n FROM metric_stream) WHERE n <= 10 GROUP BY metric)",
+    "alert_stats_level": f"SELECT level, count(id) AS n FROM (SELECT unnest({_list(LEVELS)}) AS level) LEFT JOIN (SELECT * FROM alert_log WHERE ts >= {AS_OF} - INTERVAL 480 HOURS) USING (level) GROUP BY level",
+    "alert_stats_metric": f"SELECT metric, count(id) AS n FROM (SELECT unnest({_list(METRICS)}) AS metric) LEFT JOIN (SELECT * FROM alert_log WHERE ts >= {AS_OF} - INTERVAL 480 HOURS) USING (metric) GROUP BY metric",
+    "alert_summary": "SELECT count(*) AS total, count(*) FILTER (NOT resolved) AS active, count(*) FILTER (resolved) AS resolved, coalesce(round(avg((epoch_us(resolved_at) - epoch_us(ts)) / 1000.0), 4), 0.0) AS avg_resolution_ms FROM alert_log",
+    "alert_search": "SELECT id, ts, metric, level FROM alert_log WHERE level = 'critical' AND NOT resolved AND ts >= TIMESTAMP '2024-01-05'",
+    "alert_cleanup": f"SELECT id, metric, level, resolved FROM alert_log WHERE NOT (resolved AND ts < {AS_OF} - INTERVAL 240 HOURS)",
+    "monitor_rules": f"SELECT metric, date_trunc('day', ts)::TIMESTAMP AS day, id, round(value, 6) AS value, CASE WHEN value > critical THEN 'critical' ELSE 'warning' END AS severity FROM (SELECT id, ts, ['memory', 'cpu', 'database', 'query'][id % 4 + 1] AS metric, value * [1.0, 1.0, 2.0, 25.0][id % 4 + 1]::DOUBLE AS value FROM metric_stream) JOIN (VALUES {_values(MONITOR_RULES)}) r(metric, least, critical) USING (metric) WHERE value > least QUALIFY row_number() OVER (PARTITION BY metric, date_trunc('day', ts) ORDER BY ts, id) = 1",
+    "latest_error_state": "SELECT category, id AS seq, severity, resolved FROM error_log QUALIFY row_number() OVER (PARTITION BY category ORDER BY ts DESC, id DESC) = 1",
+    "tool_metrics": "SELECT 'tool_' || (item_id % 5) AS tool, count(*) AS executions, count(*) FILTER (item_id % 7 <> 0) AS successes, round(count(*) FILTER (item_id % 7 = 0) / count(*)::DOUBLE, 6) AS error_rate, round(avg(time_ms), 5) AS mean_ms FROM query_log GROUP BY 1",
+    "tool_categories": "SELECT name, CASE WHEN regexp_matches(name, 'memory|remember|recall') THEN 'memory' WHEN regexp_matches(name, 'search|find') THEN 'search' WHEN regexp_matches(name, 'cleanup|forget') THEN 'maintenance' WHEN regexp_matches(name, 'performance|monitor') THEN 'monitoring' ELSE 'other' END AS category FROM tools",
+    "tool_search": "SELECT * FROM tools WHERE contains(lower(name), 'me') OR contains(lower(description), 'me')",
+    "query_errors": "SELECT query, CASE WHEN trim(query) = '' THEN 'empty' WHEN length(query) > 1000 THEN 'too_long' WHEN regexp_matches(lower(query), '<script|javascript:|on[a-z0-9_]+[ ]*=') THEN 'forbidden' ELSE '' END AS error FROM asked",
+    "rank_bm25_share": value("importance * 10 / (importance * 10 + 2.0::DOUBLE)"),
+    "rank_score_between": value("greatest(0.0::DOUBLE, least(1.0::DOUBLE, (importance - 0.2::DOUBLE) / (0.7::DOUBLE - 0.2::DOUBLE)))"),
+    "rank_usage_by_access": value(f"coalesce(exp(-{age('last_accessed')}::DOUBLE / 30), 0.1::DOUBLE)"),
+    "rank_relevance_simple": f"SELECT id, round(CASE WHEN content = '' THEN 0.0::DOUBLE ELSE 0.3::DOUBLE * {bm25_simple("'the of tion tion'", 'content')} + 0.05::DOUBLE * {tag_match("'the of tion tion'", 'tags')} END, 6) AS value FROM (SELECT *, {words('content')} AS cw FROM memory_item)",
+    "rank_first_score": value("coalesce(nullif(importance * (view_count % 2), 0), nullif(importance / 2, 0), 0.0::DOUBLE)"),
+    "rank_vector_share": value("CASE WHEN view_count + cite_count > 0 THEN view_count / (view_count + cite_count)::DOUBLE ELSE 0.6::DOUBLE END"),
+    "truncated_length": value("length(substr(content, 1, 100))::DOUBLE"),
+    "type_defaults": f"SELECT id, type, default_importance::DOUBLE AS default_importance, default_scope, ttl_days::INT AS ttl_days FROM memory_item LEFT JOIN (VALUES {_values([['NULL' if x is None else x for x in r] for r in TYPE_DEFAULTS]).replace(chr(39) + 'NULL' + chr(39), 'NULL')}) t(type, default_importance, default_scope, ttl_days) USING (type)",
+    "table_counts": "SELECT 'memory_item' AS table_name, count(*) AS n, 13 AS n_columns FROM memory_item UNION ALL SELECT 'memory_embedding', count(*), 5 FROM memory_embedding UNION ALL SELECT 'memory_link', count(*), 3 FROM memory_link",
+    "embedding_backup": "SELECT memory_id, type, content, dim, model FROM memory_embedding e JOIN memory_item m ON m.id = e.memory_id",
+    "cosine_all": "SELECT e.memory_id, CASE WHEN n % 2 = 1 THEN 0.0 ELSE greatest(0.0, round(list_dot_product(vector, embedding) / (sqrt(list_dot_product(vector, vector)) * sqrt(list_dot_product(embedding, embedding))), 6)) END AS similarity FROM embedded e, vectors v WHERE v.query_id = 'q1'",
+    "command_feedback": f"SELECT id AS memory_id, 'helpful' AS event, 3.0::DOUBLE AS score, {AS_OF} AS created_at FROM memory_item WHERE n < 120 AND n % 4 = 0 AND NOT pinned",
+    "wm_expired": f"SELECT session_id, expires_at FROM wm_buffer WHERE expires_at <= {AS_OF}",
+    "wm_snapshot": f"SELECT 'mem_wm_' || session_id AS id, 'episodic' AS type, content, {AS_OF} AS created_at FROM wm_buffer WHERE expires_at <= {AS_OF}",
     "query_slow_topk": "SELECT query, count(*) AS runs, round(avg(time_ms), 5) AS avg_ms FROM query_log GROUP BY query HAVING round(avg(time_ms), 5) > 50 ORDER BY avg_ms DESC, query LIMIT 10",
     "newest_errors": "SELECT id, severity, ts FROM error_log QUALIFY row_number() OVER (PARTITION BY severity ORDER BY ts DESC, id DESC) <= 5",
     "query_complexity": "SELECT query, CASE WHEN p <= 1 THEN 'simple' WHEN p <= 3 THEN 'medium' ELSE 'complex' END AS complexity FROM (SELECT query, 2 * contains(query, 'JOIN')::INT + contains(query, 'GROUP BY')::INT + contains(query, 'ORDER BY')::INT + contains(query, 'HAVING')::INT + 2 * contains(query, 'UNION')::INT + 2 * (len(regexp_extract_all(query, 'SELECT')) > 1)::INT AS p FROM sql_log)",
@@ -283,10 +315,12 @@ def batch_result(status: str, step: int) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .queries import SQL_LOG
+    from .queries import ASKED, SQL_LOG, TOOLS
 
     quoted = ", ".join("('" + q.replace("'", "''") + f"', {n})" for q, n in SQL_LOG)
     extras = dict.fromkeys(("query_complexity", "query_pattern_freq"), f"sql_log AS (SELECT * FROM (VALUES {quoted}) t(query, n))")
+    extras |= dict.fromkeys(("tool_categories", "tool_search"), f"tools AS (SELECT * FROM (VALUES {_values(TOOLS)}) t(name, description))")
+    extras["query_errors"] = f"asked AS (SELECT * FROM (VALUES {_values([(q,) for q in ASKED])}) t(query))"
     out = {}
     for name, body in CLEAN.items():
         if body.startswith("WITH RECURSIVE"):
@@ -298,6 +332,13 @@ def oracle_sql() -> dict[str, str]:
         out[name] = sql(RANKED, text_search(where, limit, usage))
     text = "texts AS (SELECT id, content FROM memory_item)"
     out["word_hash_bucket"] = _embed("SELECT word, hash, abs(hash) % 512 AS bucket, round(idf, 6) AS idf FROM word_hash", text)
+    out["word_hash_base36"] = _embed("SELECT word, lower(to_base(abs(hash), 36)) AS hash FROM word_hash", text)
+    out["embedding_rebuild"] = _embed("SELECT (SELECT count(*) FROM texts) AS memories, count(DISTINCT id) AS embedded, (SELECT count(*) FROM texts) - count(DISTINCT id) AS empty FROM cells", text)
+    client = """(SELECT query_id, position, position || '. ' || CASE type WHEN 'working' THEN '⚡' WHEN 'episodic' THEN '📅' WHEN 'semantic' THEN '🧠' ELSE '🔧' END || ' ' || substr(content, 1, 80) || ' [' || tags[1] || ', ' || tags[2] || ']' || chr(10) || '   ' || repeat('★', round(importance * 5)::INT) || repeat('☆', 5 - round(importance * 5)::INT) || ' ' || strftime(created_at, '%Y-%m-%d %H:%M:%S') AS s
+      FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, id) AS position FROM bm25 QUALIFY position <= 3) JOIN memory_item USING (id))"""
+    shown = f"""(SELECT query_id, CASE WHEN count(s) = 0 THEN '📋 관련 작업 기록이 없습니다.' || chr(10) || chr(10) || '💡 "' || any_value(query) || '"에 대해 새로운 정보로 답변해주세요.'
+      ELSE '📋 관련 작업 기록:' || chr(10) || chr(10) || string_agg(s, chr(10) || chr(10) ORDER BY position) || chr(10) || chr(10) || chr(10) || '💡 위의 ' || count(s) || '개 기억을 참고하여 "' || any_value(query) || '"에 대해 답변해주세요.' END AS content, count(s)::INT AS memories_used FROM queries LEFT JOIN {client} USING (query_id) GROUP BY query_id)"""
+    out["context_client"] = sql(f"SELECT query_id, content, memories_used, (length(regexp_replace(content, '[^가-힣]', '', 'g')) + ceil(round(len(regexp_extract_all(content, '[a-zA-Z]+')) * 1.3, 9)) + length(regexp_replace(content, '[a-zA-Z가-힣]', '', 'g')))::BIGINT AS token_count FROM {shown}")
     out["light_embed_sparse"] = _embed("SELECT id, bucket, round(weight, 6) AS weight FROM cells", text)
     both = "texts AS (SELECT id, content FROM memory_item UNION ALL SELECT query_id, query FROM queries)"
     out["light_similarity_topk"] = _embed(top("(SELECT q.id AS query_id, d.id, round(sum(q.weight * d.weight), 6) AS similarity FROM cells d JOIN cells q USING (bucket) WHERE q.id IN (SELECT query_id FROM queries) AND d.id NOT IN (SELECT query_id FROM queries) GROUP BY q.id, d.id)", "query_id, id, similarity", "similarity DESC, id", 10), both)

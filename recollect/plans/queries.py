@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import AS_OF, Filters
+from ..config import AS_OF, MONITOR_RULES, Filters
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import context, dml, forgetting, monitoring, search, stats
@@ -135,6 +135,13 @@ feature("rank_usage", lambda: S.usage(c("view_count"), c("cite_count"), c("edit_
 feature("rank_bm25_simple", lambda: S.simple_bm25(F.lit("the of tion tion"), c("content")))
 feature("rank_tag_jaccard", lambda: S.tag_match(F.lit("fr src3 other"), c("tags")))
 feature("rank_title_hit", lambda: T.title_hit(F.lit("tion"), F.substring("content", 1, 20)))
+feature("rank_bm25_share", lambda: S.bm25_share(c("importance") * 10))
+feature("rank_score_between", lambda: S.score_between(c("importance"), F.lit(0.2), F.lit(0.7)))
+feature("rank_usage_by_access", lambda: S.usage_by_access(c("last_accessed"), AS_OF))
+feature("rank_relevance_simple", lambda: S.relevance(F.lit("the of tion tion"), c("content"), c("tags")))
+feature("rank_first_score", lambda: S.first_score(c("importance") * (c("view_count") % 2), c("importance") / 2))
+feature("rank_vector_share", lambda: S.shared_weights(c("view_count").cast("double"), c("cite_count").cast("double"))[0])
+feature("truncated_length", lambda: F.length(T.truncated(c("content"), 25)).cast("double"))
 feature("calc_importance", lambda: S.content_importance(c("content"), F.size("tags"), c("type")))
 
 
@@ -150,6 +157,14 @@ def vector_topk_by_type(spark, d):
     return search.vector_search(embedded(spark, d).join(kept, "memory_id", "left_semi"), vectors(spark, d), 10, THRESHOLD)
 
 
+@query
+def cosine_all(spark, d):
+    """Every embedding against the first; those of odd numbers are cut, so that their size differs."""
+    one = vectors(spark, d).where("query_id = 'q1'").select("vector")
+    e = embedded(spark, d).select("memory_id", F.when(F.substring("memory_id", 5, 18).cast("long") % 2 == 1, F.slice("embedding", 1, 8)).otherwise(c("embedding")).alias("e"))
+    return e.crossJoin(F.broadcast(one)).select("memory_id", F.round(S.cosine_or_zero(c("e"), c("vector")), 6).alias("similarity"))
+
+
 @query
 def vector_topk_many(spark, d):
     return search.vector_search(embedded(spark, d), many_vectors(spark, d), 10, THRESHOLD).select("query_id", "memory_id", "similarity", "rank")
@@ -196,6 +211,12 @@ def search_within_ids(spark, d):
     return search.text_candidates(M.memory_item(spark, d), M.queries_table(spark), some, 10).select("query_id", "id", "rn")
 
 
+@query
+def word_hash_base36(spark, d):
+    words = M.memory_item(spark, d).select(F.explode(T.embedding_tokens(c("content"))).alias("word")).distinct()
+    return words.select("word", T.hash_base36(c("word")).alias("hash"))
+
+
 @query
 def word_hash_bucket(spark, d):
     words = M.memory_item(spark, d).select(F.explode(T.embedding_tokens(c("content"))).alias("word")).distinct()
@@ -274,6 +295,10 @@ _queries["embedding_invalid"] = lambda spark, d: stats.invalid_vectors(M.memory_
 _queries["connectivity_stats"] = lambda spark, d: stats.connectivity(M.memory_item(spark, d), M.memory_embedding(spark, d))
 _queries["feedback_recent"] = lambda spark, d: stats.recent_feedback(M.feedback_event(spark, d), ("helpful", "edited", "neglected")).select("event", "n", "memory_id", "event_id", "score")
 _queries["constraint_violations"] = lambda spark, d: stats.violations(M.memory_item(spark, d), M.memory_embedding(spark, d), M.memory_link(spark, d), M.feedback_event(spark, d))
+_on_memories("type_defaults", lambda m: stats.with_type_defaults(m.select("id", "type")).select("id", "type", "default_importance", "default_scope", "ttl_days"))
+_queries["table_counts"] = lambda spark, d: stats.table_counts({"memory_item": M.memory_item(spark, d), "memory_embedding": M.memory_embedding(spark, d), "memory_link": M.memory_link(spark, d)})
+_queries["embedding_backup"] = lambda spark, d: stats.embedding_backup(M.memory_item(spark, d), M.memory_embedding(spark, d)).select("memory_id", "type", "content", "dim", "model")
+_on_memories("embedding_rebuild", lambda m: stats.rebuilt(m, search.light_embedding(m.select("id", "content"))))
 _queries["query_latency"] = lambda spark, d: stats.latency_stats(M.query_log(spark, d))
 
 
@@ -345,6 +370,13 @@ def feedback_append(spark, d):
     return dml.feedback_rows(rows, AS_OF)
 
 
+@query
+def command_feedback(spark, d):
+    return dml.status_feedback(dml.pin_status(M.memory_item(spark, d), _ids(spark, 4)), AS_OF)
+
+
+_queries["wm_expired"] = lambda spark, d: dml.expired_buffers(M.wm_buffer(spark, d), AS_OF).select("session_id", "expires_at")
+_queries["wm_snapshot"] = lambda spark, d: dml.buffer_snapshots(M.wm_buffer(spark, d), AS_OF)
 _on_memories("working_ttl_cleanup", lambda m: dml.expired_working(m, AS_OF).select("id", "created_at"))
 _on_memories("export_csv", context.csv_lines)
 _on_memories("export_markdown", context.markdown)
@@ -374,6 +406,47 @@ SQL_LOG = (
 _queries["query_complexity"] = lambda spark, d: monitoring.complexity(spark.createDataFrame(list(SQL_LOG), "query string, n bigint"))
 _queries["query_pattern_freq"] = lambda spark, d: monitoring.filter_columns(spark.createDataFrame(list(SQL_LOG), "query string, n bigint"))
 
+
+
+def _alerts(spark, d):
+    a = monitoring.triggered(M.metric_stream(spark, d), monitoring.thresholds(spark))
+    return a.withColumn("resolved", c("id") % 4 == 0).withColumn("resolved_at", F.when(c("resolved"), F.timestamp_micros(F.unix_micros("ts") + (c("id") % 30) * 60_000_000)))
+
+
+_queries["alert_stats_level"] = lambda spark, d: monitoring.alert_stats(_alerts(spark, d), "level", AS_OF, 24 * 20)
+_queries["alert_stats_metric"] = lambda spark, d: monitoring.alert_stats(_alerts(spark, d), "metric", AS_OF, 24 * 20)
+_queries["alert_summary"] = lambda spark, d: monitoring.alert_summary(_alerts(spark, d), AS_OF, None)
+_queries["alert_search"] = lambda spark, d: monitoring.search_alerts(_alerts(spark, d), level="critical", resolved=False, time_from=datetime(2024, 1, 5)).select("id", "ts", "metric", "level")
+_queries["alert_cleanup"] = lambda spark, d: monitoring.without_old_alerts(_alerts(spark, d), AS_OF, 24 * 10).select("id", "metric", "level", "resolved")
+
+
+@query
+def monitor_rules(spark, d):
+    """Values of four kinds, each on the scale of its rule."""
+    kind = F.element_at(F.array(*map(F.lit, ("memory", "cpu", "database", "query"))), (c("id") % 4 + 1).cast("int"))
+    scaled = c("value") * F.when(c("id") % 4 == 2, 2.0).when(c("id") % 4 == 3, 25.0).otherwise(1.0)
+    m = M.metric_stream(spark, d).select("id", "ts", kind.alias("metric"), scaled.alias("value"))
+    return monitoring.first_active(m, MONITOR_RULES).withColumn("value", F.round("value", 6))
+
+
+@query
+def latest_error_state(spark, d):
+    e = M.error_log(spark, d).select("category", "ts", c("id").alias("seq"), "severity", "resolved")
+    return monitoring.latest_state(e, "category").select("category", "seq", "severity", "resolved")
+
+
+@query
+def tool_metrics(spark, d):
+    runs = M.query_log(spark, d).select(F.concat(F.lit("tool_"), (c("item_id") % 5).cast("string")).alias("tool"), (c("item_id") % 7 != 0).alias("ok"), "time_ms")
+    return monitoring.tool_metrics(runs)
+
+
+TOOLS = (("remember", "Stores a memory"), ("recall", "Finds memories"), ("search_local", "Local search"), ("cleanup_all", "Cleans up"), ("forget", "Deletes"), ("performance_stats", "Shows performance"), ("pin", "Pins"))
+_queries["tool_categories"] = lambda spark, d: spark.createDataFrame(list(TOOLS), "name string, description string").select("name", T.tool_category(c("name")).alias("category"))
+_queries["tool_search"] = lambda spark, d: monitoring.find_tools(spark.createDataFrame(list(TOOLS), "name string, description string"), "Me")
+ASKED = ("what is this", "", "   ", "a <SCRIPT>x", "JavaScript: y", "x onload = 1", "only one")
+_queries["query_errors"] = lambda spark, d: spark.createDataFrame([(q,) for q in ASKED], "query string").select("query", F.coalesce(T.query_error(c("query")), F.lit("")).alias("error"))
+
 # Scalars and context
 _on_memories("extract_tags", lambda m: m.select("id", F.array_join(T.extracted_tags(c("content")), ",").alias("tags")))
 _on_memories("token_estimate", lambda m: m.select("id", T.quarter_tokens(c("content")).alias("quarter"), T.mixed_tokens(c("content")).alias("mixed")))
@@ -387,6 +460,15 @@ def _hits(spark, d):
     return search.text_search(M.memory_item(spark, d), M.queries_table(spark), AS_OF, Filters(importance_min=0.5), 10, index=index(spark, d)).withColumn("final_score", F.round("score", 5))
 
 
+@query
+def context_client(spark, d):
+    """Each query's three best by BM25, as a client's context."""
+    best = search.top(search.bm25(index(spark, d), M.queries_table(spark)).withColumn("bm25", F.round("bm25", 6)), 3, F.desc("bm25"), "id", name="position")
+    m = M.memory_item(spark, d)
+    kept = best.join(m.select("id", F.substring("content", 1, 80).alias("text")), "id")
+    return context.client_context(kept, m, M.queries_table(spark), "task")
+
+
 _queries["inject_budget_fold"] = lambda spark, d: context.inject(_hits(spark, d), 400, 5)
 _queries["inject_prompt"] = lambda spark, d: context.prompt(context.inject(_hits(spark, d), 400, 5), M.memory_item(spark, d), M.queries_table(spark))
 _queries["context_compress"] = lambda spark, d: context.compress(_hits(spark, d), 1200, 10)
