@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_slices, texts
+from .common import finished, stored, text_slices, texts
 from .components import components
 
 SHINGLE = 3
@@ -58,22 +58,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
 
 
-def _within(a: np.ndarray, b: np.ndarray, radius: int, pivot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of all fingerprints of a and b at most radius bits apart.
+def distance_table(fp: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints to the pivots, a row for each fingerprint."""
+    return np.bitwise_count(fp[:, None] ^ pivot).astype(np.int16)
 
-    Coordinates are distances to the pivots. By the triangle inequality no coordinate of a pair differs by more
-    than the pair's distance, so pairs go as soon as one coordinate differs by more than the radius; sorting b by
-    the first coordinate leaves a range for each of a. The survivors are verified on the fingerprints.
+
+def _within(a: np.ndarray, b: np.ndarray, ta: np.ndarray, tb: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j) of all fingerprints of a and b, with their distance tables, at most radius bits apart.
+
+    By the triangle inequality no coordinate of a pair differs by more than the pair's distance, so a pair goes if
+    its largest coordinate difference is above the radius. Sorting b by the first coordinate leaves a range for each of
+    a; the survivors of all coordinates are verified on the fingerprints.
     """
-    tables = [(np.bitwise_count(a ^ p).astype(np.int16), np.bitwise_count(b ^ p).astype(np.int16)) for p in pivot]
-    order = np.argsort(tables[0][1], kind="stable")
-    first = tables[0][1][order]
-    low, high = np.searchsorted(first, tables[0][0] - radius, "left"), np.searchsorted(first, tables[0][0] + radius, "right")
+    order = np.argsort(tb[:, 0], kind="stable")
+    first = tb[order, 0]
+    low, high = np.searchsorted(first, ta[:, 0] - radius, "left"), np.searchsorted(first, ta[:, 0] + radius, "right")
     n = high - low
     i = np.repeat(np.arange(len(a)), n)
     j = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-    for da, db in tables[1:]:
-        keep = np.abs(da[i] - db[j]) <= radius
+    for k in range(1, ta.shape[1]):
+        keep = np.abs(ta[i, k] - tb[j, k]) <= radius
         i, j = i[keep], j[keep]
     keep = np.bitwise_count(a[i] ^ b[j]) <= radius
     return i[keep], j[keep]
@@ -97,10 +101,11 @@ def _links(radius: int, pivot: np.ndarray):
     """From rows (bucket, x, y, side, fp), a bucket's chunk pair all in one partition and in order, a link (src, dst)
     from each fingerprint to the smallest that it reaches within its chunk pair."""
 
-    def work(side: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def work(side: np.ndarray, fp: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        i, j = _within(fp[a], fp[b] if len(b) else fp[a], radius, pivot)
-        root = _forest(len(fp), a[i], (b if len(b) else a)[j])
+        b = b if len(b) else a
+        i, j = _within(fp[a], fp[b], table[a], table[b], radius)
+        root = _forest(len(fp), a[i], b[j])
         moved = np.flatnonzero(root != np.arange(len(fp)))
         return fp[moved], fp[root[moved]]
 
@@ -120,14 +125,15 @@ def _links(radius: int, pivot: np.ndarray):
             else:
                 rest = None
             side, fp = t.column("side").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+            table = distance_table(fp, pivot)
             src, dst = [], []
-            pair = ends - starts == 2  # most buckets: no need for a table
-            a, b = fp[starts[pair]], fp[starts[pair] + 1]
-            near = np.bitwise_count(a ^ b) <= radius
-            src.append(a[near])
-            dst.append(b[near])
+            pair = starts[ends - starts == 2]  # all buckets of two at once
+            near = pair[np.abs(table[pair] - table[pair + 1]).max(1, initial=0) <= radius]
+            near = near[np.bitwise_count(fp[near] ^ fp[near + 1]) <= radius]
+            src.append(fp[near])
+            dst.append(fp[near + 1])
             for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
-                u, v = work(side[s:e], fp[s:e])
+                u, v = work(side[s:e], fp[s:e], table[s:e])
                 src.append(u)
                 dst.append(v)
             u, v = np.concatenate(src).view(np.int64), np.concatenate(dst).view(np.int64)
@@ -154,29 +160,32 @@ def near_links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> D
         signed = mask - (1 << 64) if mask >= 1 << 63 else mask
         keys.append(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(signed))))
     d = prints.select("fp", F.explode(F.array(*keys)).alias("bucket"))
-    counts = d.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     # Written out, so that both sides of the join are plain exchanges and a hot bucket's rows can be split.
-    d = d.join(stored(counts, "buckets"), "bucket")
+    counts = stored(d.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n >= 2"), "buckets")
+    d = d.join(counts, "bucket")
     parts = F.ceil(F.col("n") / chunk)
     d = d.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")))
     # A part meets every part once: (x, y) with x <= y; the lower one is side 0, the other side 1.
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     d = d.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp")
     d = d.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "side", "fp")
-    return d.mapInArrow(_links(radius, pivots()), "src bigint, dst bigint").distinct()
+    links = stored(d.mapInArrow(_links(radius, pivots()), "src bigint, dst bigint").distinct(), "links")
+    finished(counts)
+    return links
 
 
 def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id for every row of docs."""
     d = stored(fingerprints(docs), "fingerprints")
     groups = d.groupBy("fp").agg(F.min("doc_id").alias("owner"))
-    links = stored(near_links(d.select("fp").distinct(), radius), "links")
+    links = near_links(d.select("fp").distinct(), radius)
     roots = components(links)
     # The component of a fingerprint that has no link is its own group.
     named = groups.join(roots, groups.fp == roots.node, "left").select("fp", "owner", F.coalesce("root", "fp").alias("root"))
     owners = named.groupBy("root").agg(F.min("owner").alias("component_id"))
     # Written out for the same reason: a hot fingerprint's rows.
     named = stored(named.join(owners, "root").select("fp", "component_id"), "named")
+    finished(links)
     return d.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -185,6 +194,8 @@ def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Links are at most radius differing bits; component_id is the smallest doc_id that a row's links reach. Texts
     without words, null included, have fingerprint zero and link like any other. Rows of equal doc_id are
-    rows like others. A null doc_id never names a component unless it has no other.
+    rows like others. A null doc_id never names a component unless it has no other. A bit that is set in exactly half
+    the shingles is 0. A long text is one fingerprint in the task that has its row. Columns but doc_id and text are not
+    read, so their names can't clash.
     """
     return classes(docs, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
