@@ -25,6 +25,8 @@ class MemoryEngine:
         return self.as_of or datetime.now()
 
     def _ids(self, ids) -> DataFrame:
+        if len(ids) > 100:
+            raise ValueError("at most 100 ids at a time")
         return self.spark.createDataFrame([(i,) for i in ids], "id string")
 
     def remember(self, rows: DataFrame) -> MemoryEngine:

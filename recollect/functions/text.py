@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import FORBIDDEN_IN_QUERIES, LONGEST_QUERY, STOP_WORDS, TECHNICAL_QUERIES, TECHNICAL_WORDS, TOOL_CATEGORIES
 
-#: Letters whose marks full-text search folds away, and what they become.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _marked() -> tuple[str, str]:
+    """Lower-case Latin letters with one mark, and the letters that full-text search takes them for."""
+    found = {}
+    for i in range(0xC0, 0x1F00):
+        base, *marks = unicodedata.normalize("NFD", chr(i))
+        if len(marks) == 1 and "a" <= base <= "z":
+            found[chr(i)] = base
+    return "".join(found), "".join(found.values())
+
+
+ACCENTED, PLAIN = _marked()
 WHITE = r"[ \t\n\r\f\x0B]+"
 WORD = "[A-Za-z0-9_가-힣]"
 

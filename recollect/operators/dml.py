@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.memory import MEMORY
+from ..storage import stored
 
 
 def remember(memories: DataFrame, new: DataFrame, as_of) -> DataFrame:
@@ -113,11 +114,16 @@ def expired_working(memories: DataFrame, as_of, days: int = 2) -> DataFrame:
 
 
 def tag_tables(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """memory_tag (tag_id, name), numbered by name, and memory_item_tag (memory_id, tag_id)."""
+    """memory_tag (tag_id, name), numbered by name, and memory_item_tag (memory_id, tag_id).
+
+    Names are numbered range by range: each range counts its own, and the ranges' sums, one row each, shift them.
+    """
     pairs = memories.select(F.col("id").alias("memory_id"), F.explode(F.array_distinct("tags")).alias("name"))
-    names = pairs.select("name").distinct()
-    # Names are few next to memories; a large dictionary would be numbered by ranges instead.
-    tags = names.select(F.dense_rank().over(Window.orderBy("name")).alias("tag_id"), "name")
+    names = stored(pairs.select("name").distinct().repartitionByRange("name").withColumn("part", F.spark_partition_id()), "tag-names")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = names.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("name"))
+    tags = names.withColumn("own", own).join(F.broadcast(shift), "part").select((F.col("own") + F.col("shift")).cast("int").alias("tag_id"), "name")
     return tags, pairs.join(tags, "name").select("memory_id", "tag_id")
 
 

@@ -162,6 +162,12 @@ def trend(metrics: DataFrame, last: int = 10) -> DataFrame:
     return ends.select("metric", F.round("first", 6).alias("first"), F.round("last", 6).alias("last"), F.when(flat, "stable").when(change > 0.1, "increasing").when(change < -0.1, "decreasing").otherwise("stable").alias("trend"))
 
 
+def query_stats(log: DataFrame, ms: float = 50) -> DataFrame:
+    """runs, queries, avg_ms over all runs, and slow: how many queries take longer than ms on average."""
+    q = log.groupBy("query").agg(n_rows().alias("n"), F.sum("time_ms").alias("sum"))
+    return q.agg(F.sum("n").alias("runs"), n_rows().alias("queries"), F.round(F.sum("sum") / F.sum("n"), 5).alias("avg_ms"), F.count_if(F.col("sum") / F.col("n") > ms).alias("slow"))
+
+
 def slow_queries(log: DataFrame, ms: float = 50, limit: int = 10) -> DataFrame:
     q = log.groupBy("query").agg(n_rows().alias("runs"), F.round(F.avg("time_ms"), 5).alias("avg_ms"))
     return q.where(F.col("avg_ms") > ms).orderBy(F.desc("avg_ms"), "query").limit(limit)

@@ -125,6 +125,11 @@ def text_candidates(memories: DataFrame, queries: DataFrame, filters: Filters, l
     return top(both, 3 * limit, score.desc() if best_first else score.asc(), F.desc("created_at"), "id", name="rn").drop("created_at")
 
 
+def page(hits: DataFrame, size: int, number: int) -> DataFrame:
+    """Page number (from 0) of each query's ranked hits."""
+    return hits.where((F.col("rank") > size * number) & (F.col("rank") <= size * (number + 1)))
+
+
 def with_duplication(candidates: DataFrame) -> DataFrame:
     """candidates with dup: the largest word Jaccard with any candidate of the query before it (by rn), 0 for the first.
 

@@ -17,6 +17,10 @@ def pin_stats(m: DataFrame) -> DataFrame:
     return m.agg(n_rows().alias("total"), F.count_if("pinned").alias("pinned"), F.count_if(~F.col("pinned")).alias("unpinned"), F.round(F.avg("importance"), 5).alias("avg_importance"))
 
 
+def delete_stats(m: DataFrame) -> DataFrame:
+    return m.agg(n_rows().alias("total"), F.count_if("pinned").alias("pinned"), F.count_if(~F.col("pinned")).alias("deletable"), F.round(F.avg("importance"), 5).alias("avg_importance"))
+
+
 def type_stats(m: DataFrame, as_of, days: int = 30) -> DataFrame:
     old = S.age_days(F.col("created_at"), as_of) > days
     return m.groupBy("type").agg(n_rows().alias("total"), F.count_if("pinned").alias("pinned"), F.count_if(old).alias("old"), F.round(F.avg("importance"), 5).alias("avg_importance"))

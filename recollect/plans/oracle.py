@@ -186,6 +186,10 @@ CLEAN = {
     "doc_lengths": "SELECT * FROM lengths",
     "fts_match_and": "SELECT query_id, id FROM postings JOIN terms USING (term) JOIN need USING (query_id) GROUP BY query_id, id, need HAVING count(*) = need UNION ALL SELECT query_id, id FROM queries, memory_item WHERE query_id NOT IN (SELECT query_id FROM need)",
     "fts_bm25_topk": top("(SELECT query_id, id, round(bm25, 6) AS bm25 FROM bm25)", "query_id, id, bm25", "bm25 DESC, id", 30),
+    "fts_second_page": "SELECT query_id, id, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, id) AS rank FROM bm25 QUALIFY rank BETWEEN 11 AND 20",
+    "delete_stats": "SELECT count(*) AS total, count(*) FILTER (pinned) AS pinned, count(*) FILTER (NOT pinned) AS deletable, round(avg(importance), 5) AS avg_importance FROM memory_item",
+    "forget_distribution": "SELECT type, count(id) AS n FROM (VALUES ('working'), ('episodic'), ('semantic'), ('procedural')) v(type) LEFT JOIN (SELECT * FROM memory_item WHERE NOT pinned) USING (type) GROUP BY type",
+    "query_stats": "SELECT sum(n)::BIGINT AS runs, count(*) AS queries, round(sum(s) / sum(n), 5) AS avg_ms, count(*) FILTER (s / n > 50) AS slow FROM (SELECT query, count(*) AS n, sum(time_ms) AS s FROM query_log GROUP BY query)",
     "similar_logged_queries": f"""SELECT * FROM (SELECT a.q AS query, b.q AS other, round(len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w))::DOUBLE, 6) AS overlap FROM (
       SELECT DISTINCT q, list_distinct(string_split(q, ' ')) AS w FROM (SELECT lower(trim(regexp_replace(query, '{WHITE}', ' ', 'g'))) AS q FROM query_log)) a JOIN (
       SELECT DISTINCT q, list_distinct(string_split(q, ' ')) AS w FROM (SELECT lower(trim(regexp_replace(query, '{WHITE}', ' ', 'g'))) AS q FROM query_log)) b ON a.q < b.q) WHERE overlap >= 0.3""",
@@ -314,6 +318,62 @@ def batch_result(status: str, step: int) -> str:
   SELECT 'mem_' || i AS id FROM range(0, 120, {step}) t(i) UNION ALL SELECT 'mem_none') c LEFT JOIN memory_item m ON m.id = c.id) GROUP BY status"""
 
 
+def summarised(source: str) -> str:
+    """The rows of a source (with text and budget) and their summary of so many tokens."""
+    strip = "regexp_replace({}, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g')"
+    return f"""SELECT *, CASE WHEN len(words) <= most THEN text WHEN n_s <= 2 THEN array_to_string(words[1:greatest(most, 0)], ' ') || '...'
+    ELSE long || CASE WHEN length(long) < length(text) THEN '...' ELSE '' END END AS summary FROM (
+  SELECT *, first || CASE WHEN take > 0 THEN ' ' || array_to_string(middle[1:take], ' ') ELSE '' END || CASE WHEN rest - take > 0 THEN ' ' || last ELSE '' END AS long FROM (
+    SELECT *, greatest(0, CASE WHEN rest > 0 AND n_s > 2 THEN least(rest - len(string_split(last, ' ')), len(middle)) ELSE 0 END) AS take FROM (
+      SELECT *, most - len(string_split(first, ' ')) AS rest, string_split(array_to_string(s[2:n_s - 1], '. '), ' ') AS middle FROM (
+        SELECT *, len(s) AS n_s, {strip.format('s[1]')} AS first, {strip.format('s[len(s)]')} AS last FROM (
+          SELECT *, string_split(text, ' ') AS words, floor(round(budget / 1.5, 9))::INT AS most,
+            list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(regexp_replace(x, '{WHITE}', ' ', 'g')) <> '') AS s FROM ({source}))))))"""
+
+
+def shortened(source: str) -> str:
+    """The rows of a source (with content) and its summary of 200 characters as short."""
+    return f"""SELECT *, CASE WHEN length(content) <= 200 THEN content WHEN taken = 0 THEN substr(content, 1, 200) || '...' ELSE array_to_string(s[1:taken], '.') || '.' END AS short FROM (
+  SELECT *, coalesce(list_max(list_filter(range(1, len(s) + 1), lambda k: list_bool_and(list_transform(range(1, k + 1), lambda j: coalesce(list_sum(list_transform(s[1:j - 1], lambda x: length(x) + 1)), 0) + length(s[j]) <= 200)))), 0) AS taken
+  FROM (SELECT *, regexp_split_to_array(content, '[.!?]+')[1:250] AS s FROM ({source})))"""
+
+
+def mixed_tokens(x: str) -> str:
+    return f"(length(regexp_replace({x}, '[^가-힣]', '', 'g')) + ceil(round(len(regexp_extract_all({x}, '[a-zA-Z]+')) * 1.3, 9)) + length(regexp_replace({x}, '[a-zA-Z가-힣]', '', 'g')))::BIGINT"
+
+
+def folded(key: str, limit: str) -> str:
+    """Common table fold over items (key, n, id, text, tokens, short, short_tokens): what fits goes in, whole or short."""
+    whole, brief = f"f.used + i.tokens <= {limit}", f"f.used + i.short_tokens <= {limit}"
+    return f"""fold AS (SELECT {key}, 0::BIGINT AS n, 0::BIGINT AS used, false AS taken, NULL::VARCHAR AS id, NULL::VARCHAR AS text, 0::BIGINT AS tokens FROM (SELECT DISTINCT {key} FROM items)
+  UNION ALL SELECT i.{key}, i.n, f.used + CASE WHEN {whole} THEN i.tokens WHEN {brief} THEN i.short_tokens ELSE 0 END, {whole} OR {brief}, i.id, CASE WHEN {whole} THEN i.text ELSE i.short END, CASE WHEN {whole} THEN i.tokens ELSE i.short_tokens END
+  FROM fold f JOIN items i ON i.{key} = f.{key} AND i.n = f.n + 1)"""
+
+
+def contexts() -> dict[str, str]:
+    """Summaries and greedy choices under a budget."""
+    best = "(SELECT query_id, id, content, row_number() OVER (PARTITION BY query_id ORDER BY round(round(score, 5) + importance, 6) DESC, id) AS n FROM ranked QUALIFY n <= {})"
+    hits = text_search("importance >= 0.5", 10, "constant")
+    chosen = "SELECT {0}, row_number() OVER (PARTITION BY {0} ORDER BY n)::INT AS position, id, text, tokens FROM fold WHERE taken"
+    recursive = lambda q: q.replace("WITH ", "WITH RECURSIVE ", 1)
+    items = f"items AS (SELECT query_id, n, id, summary AS text, ceil(length(summary) / 4)::BIGINT AS tokens, '' AS short, 1000000000::BIGINT AS short_tokens FROM ({summarised('SELECT query_id, n, id, content AS text, 80 AS budget FROM ' + best.format(5))}))"
+    inject = f"{hits}, {items}, {folded('query_id', '400')}"
+    out = {"inject_budget_fold": recursive(sql(chosen.format("query_id"), inject))}
+    section = """'## ' || position || '. ' || CASE type WHEN 'working' THEN '🧠' WHEN 'episodic' THEN '📝' WHEN 'semantic' THEN '📚' ELSE '⚙️' END || ' ' || upper(type) || ' 기억' || chr(10) || '**중요도**: ' || repeat('★', ceil(round(importance * 5, 9))::INT)
+      || printf(' (%.2f)', importance) || chr(10) || '**내용**: ' || text || chr(10) || chr(10)"""
+    body = f"""SELECT query_id, CASE WHEN count(id) = 0 THEN '관련 기억을 찾을 수 없습니다.' ELSE '# 관련 기억 (' || count(id) || '개)' || chr(10) || chr(10) || '**검색 쿼리**: "' || any_value(query) || '"' || chr(10) || chr(10) || string_agg({section}, '' ORDER BY position)
+      || '---' || chr(10) || '*이 기억들은 현재 대화와 관련된 맥락 정보입니다. 참고하여 더 정확하고 관련성 높은 답변을 제공하세요.*' END AS prompt
+      FROM queries LEFT JOIN (SELECT p.*, m.type, m.importance FROM ({chosen.format("query_id")}) p JOIN memory_item m USING (id)) USING (query_id) GROUP BY query_id"""
+    out["inject_prompt"] = recursive(sql(body, inject))
+    both = shortened(f"SELECT query_id, n, id, content FROM {best.format(10)}")
+    items = f"items AS (SELECT query_id, n, id, content AS text, {mixed_tokens('content')} AS tokens, short, {mixed_tokens('short')} AS short_tokens FROM ({both}))"
+    out["context_compress"] = recursive(sql(chosen.format("query_id"), f"{hits}, {items}, {folded('query_id', '1200')}"))
+    items = "items AS (SELECT conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n, turn::VARCHAR AS id, coalesce(text, '') AS text, ceil(length(coalesce(text, '')) / 4)::BIGINT AS tokens, '' AS short, 1000000000::BIGINT AS short_tokens FROM conversations)"
+    out["wm_buffer_budget"] = recursive(sql(chosen.format("session_id"), f"{items}, {folded('session_id', '300')}"))
+    out["budget_summary"] = sql(f"SELECT id, summary FROM ({summarised('SELECT id, content AS text, 60 AS budget FROM memory_item')})")
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     from .queries import ASKED, SQL_LOG, TOOLS
 
@@ -354,6 +414,7 @@ hybrid AS (SELECT query_id, id, coalesce(score, 0.0) AS text_score, coalesce(sim
 SELECT id, metric, level FROM kept"""
     head = sql("SELECT id, metric, level FROM alerts")
     out["alert_cooldown"] = head[: head.rindex(" SELECT id, metric")].replace("WITH ", "WITH RECURSIVE ", 1) + cooled
+    out |= contexts()
     out["pin_batch"] = sql(batch_result("WHEN pinned THEN 'already_pinned' ELSE 'pinned'", 4))
     out["unpin_batch"] = sql(batch_result("WHEN NOT pinned THEN 'already_unpinned' WHEN importance > 0.8 THEN 'requires_confirmation' ELSE 'unpinned'", 17))
     out["forget_batch"] = sql(batch_result("WHEN pinned THEN 'pinned' ELSE 'soft_deleted'", 3))

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import AS_OF, MONITOR_RULES, Filters
+from ..config import AS_OF, MONITOR_RULES, TYPES, Filters
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import context, dml, forgetting, monitoring, search, stats
@@ -100,6 +100,12 @@ def fts_bm25_topk(spark, d):
     return search.top(out, 30, F.desc("bm25"), "id")
 
 
+@query
+def fts_second_page(spark, d):
+    out = search.bm25(index(spark, d), M.queries_table(spark)).withColumn("bm25", F.round("bm25", 6))
+    return search.page(search.top(out, 20, F.desc("bm25"), "id"), 10, 1)
+
+
 def _ranked(hits):
     return hits.select("query_id", "rank", "id", F.round("relevance", 5).alias("relevance"), F.round("recency", 5).alias("recency"), "importance_score", F.round("usage", 5).alias("usage"), F.round("dup", 5).alias("dup"), "score", "recall_reason")
 
@@ -278,6 +284,8 @@ def optimal_interval(spark, d):
 
 # Statistics
 _on_memories("pin_stats", stats.pin_stats)
+_on_memories("delete_stats", stats.delete_stats)
+_on_memories("forget_distribution", lambda m: stats.zero_filled(m.where("not pinned").groupBy("type").agg(F.count(F.lit(1)).alias("n")), "type", TYPES))
 _on_memories("type_stats", lambda m: stats.type_stats(m, AS_OF))
 _on_memories("wide_counts", stats.wide_counts)
 _on_memories("scope_stats", stats.scope_stats)
@@ -395,6 +403,7 @@ _queries["alert_cooldown"] = lambda spark, d: monitoring.cooled(monitoring.trigg
 _queries["monitor_alerts"] = lambda spark, d: monitoring.first_active(M.metric_stream(spark, d)).withColumn("value", F.round("value", 6))
 _queries["metric_trend"] = lambda spark, d: monitoring.trend(M.metric_stream(spark, d))
 _queries["query_slow_topk"] = lambda spark, d: monitoring.slow_queries(M.query_log(spark, d))
+_queries["query_stats"] = lambda spark, d: monitoring.query_stats(M.query_log(spark, d))
 _queries["newest_errors"] = lambda spark, d: monitoring.newest(M.error_log(spark, d), 5, "severity").select("id", "severity", "ts")
 
 SQL_LOG = (
