@@ -1,7 +1,7 @@
 """Substring dedup of word windows against a log-structured index of fingerprints.
 
 The index holds, for the windows of all documents so far, one entry per minimiser (an eight-word gram) and
-surroundings (all the windows that share that minimiser): a hash, a digest and where they stand first. Each batch adds one
+surroundings (all the windows that share that minimiser): a hash, a digest and the first document. Each batch adds one
 immutable run of entries, sorted by hash; a new batch is merge-joined with every run, what matches is verified on the
 texts' windows, and runs are compacted into one as they grow in number.
 
@@ -80,8 +80,8 @@ def _fingerprints(window: int):
 class FingerprintIndex:
     """Sorted immutable runs of window fingerprints in a folder, which goes on where it ended.
 
-    A run is two tables. ``entries``: each gram with its surroundings and the first place of the two, bucketed by gram and
-    part and sorted. ``grams``: one row a gram, with the number of its entries and their range, bucketed by gram
+    A run is two tables. ``entries``: each gram with its surroundings and the smallest doc_id that has them, bucketed by
+    gram and part and sorted. ``grams``: one row a gram, with the number of its entries and their range, bucketed by gram
     and sorted. Both are read bucket by bucket without a shuffle, and as each bucket is one file, without a sort. A gram of
     more than PART entries has several parts, so a passage that very many documents go on from differently is
     spread over the buckets. The texts are not copied: whoever opens an index that has runs gives the documents
@@ -109,7 +109,7 @@ class FingerprintIndex:
     def table(self, kind: str, run: int) -> DataFrame:
         if (kind, run) not in self._names:
             schema, keys, order = {
-                "entries": ("gram bigint, part int, around bigint, beyond int, doc_id bigint, twin int, pos int", "gram, part", "gram, part, around, beyond"),
+                "entries": ("gram bigint, part int, around bigint, beyond int, doc_id bigint", "gram, part", "gram, part, around, beyond"),
                 "grams": ("gram bigint, low bigint, high bigint, n bigint, parts int", "gram", "gram"),
             }[kind]
             self._names[kind, run] = bucketed(self.spark, f"{self.path}/{kind}-{run}", schema, keys, order, self.buckets)
@@ -122,9 +122,9 @@ class FingerprintIndex:
         self._names.clear()
 
     @staticmethod
-    def _firsts(places: DataFrame) -> DataFrame:
-        """Each gram and its surroundings with the place of the smallest doc_id."""
-        return places.groupBy(*ENTRY).agg(F.min(F.struct("doc_id", "twin", "pos")).alias("x")).select(*ENTRY, "x.doc_id", "x.twin", "x.pos")
+    def _firsts(rows: DataFrame) -> DataFrame:
+        """Each gram and its surroundings with the smallest doc_id that has them, and in how many rows they are."""
+        return rows.groupBy(*ENTRY).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
 
     def _parted(self, entries: DataFrame, run: int) -> DataFrame:
         """entries with the part that their gram and surroundings have in a run."""
@@ -140,8 +140,9 @@ class FingerprintIndex:
                 make().select(*t.columns).write.insertInto(self._names[kind, run])
                 self.spark.catalog.refreshTable(self._names[kind, run])
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Adds a batch (doc_id, text, twin) as a run; returns notes (doc_id, twin, pos, settled) on its and the history's windows."""
+    def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Adds a batch (doc_id, text, twin) as a run. Returns notes on windows: of the batch's rows (doc_id, twin, notes: pos,
+        settled), and of the history's documents the grams that ask for comparison (doc_id, grams), None without history."""
         if len(self.runs) > self.most_runs:
             self.compact()
         history, run = self.runs, max(self.log.numbers("run"), default=0) + 1
@@ -156,31 +157,33 @@ class FingerprintIndex:
                 known = known.join(t.hint("merge"), "gram", "left").select("gram", F.least("low", "l").alias("low"), F.greatest("high", "h").alias("high"))
             mixed = stored(known.where("low <> high").select("gram"), "mixed-grams")
             # The history's owners of the batch's entries, and its entries of mixed grams.
-            owners, others = [firsts.select(*ENTRY, F.col("doc_id").alias("owner"))], []
+            owners, others = [firsts.select(*ENTRY, F.col("doc_id").alias("owner"), "n")], []
             for h in history:
                 t = self.table("entries", h).hint("merge")
-                owners.append(self._parted(firsts.select(*ENTRY), h).join(t, ["gram", "part", "around", "beyond"]).select(*ENTRY, F.col("doc_id").alias("owner")))
+                owners.append(self._parted(firsts.select(*ENTRY), h).join(t, ["gram", "part", "around", "beyond"]).select(*ENTRY, F.col("doc_id").alias("owner"), F.lit(1).cast("long").alias("n")))
                 parts = mixed.join(self.table("grams", h).hint("merge"), "gram").select("gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-                others.append(parts.join(t, ["gram", "part"]).select("doc_id", "twin", "pos", F.lit(False).alias("settled")))
+                others.append(parts.join(t, ["gram", "part"]).select("doc_id", "gram"))
             owner = reduce(DataFrame.unionByName, owners)
             if history:
-                owner = owner.groupBy(*ENTRY).agg(F.min("owner").alias("owner"))
-            owner = stored(owner.join(mixed.withColumn("mixed", F.lit(True)), "gram", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))), "owners")
-            others = [stored(o, "history-places") for o in others]
+                owner = owner.groupBy(*ENTRY).agg(F.min("owner").alias("owner"), F.sum("n").alias("n"))
+            # An entry that one row alone has says something only where its gram is mixed.
+            owner = owner.join(mixed.withColumn("mixed", F.lit(True)), "gram", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
+            owner = stored(owner.where("n > 1 or mixed").drop("n"), "owners")
+            asked = stored(reduce(DataFrame.unionByName, others).groupBy("doc_id").agg(F.collect_set("gram").alias("grams")), "history-grams") if others else None
         finished(mixed, firsts)
         # Both sides are written out, so that a hot gram's rows can be split. An owner's own places are all compared.
         mine = places.join(owner, ENTRY).where("owner < doc_id or mixed")
         mine = mine.select("doc_id", "twin", "pos", (F.col("owner") < F.col("doc_id")).alias("settled"))
         self.docs = batch if self.docs is None else self.docs.unionByName(batch)
         self.log.add("run", run)
-        out = stored(reduce(DataFrame.unionByName, others, mine).groupBy("doc_id", "twin").agg(F.collect_set(F.struct("pos", "settled")).alias("notes")), "notes")
-        finished(places, owner, *others)
-        return out
+        notes = stored(mine.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("pos", "settled")).alias("notes")), "notes")
+        finished(places, owner)
+        return notes, asked
 
     def compact(self) -> None:
         """Merges all runs into one."""
         old, run = self.runs, max(self.log.numbers("run"), default=0) + 1
-        every = reduce(DataFrame.unionByName, [self.table("entries", r).drop("part") for r in old])
+        every = reduce(DataFrame.unionByName, [self.table("entries", r).select(*ENTRY, "doc_id") for r in old])
         firsts = stored(self._firsts(every), "compacted")
         self._write(firsts, run)
         self.log.add("run", run, "compacted", run)
@@ -229,7 +232,8 @@ def _windows(window: int):
             n_notes, notes = flat(part.column("notes"))
             pos, settled = (notes.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "settled"))
             settled = settled.astype(bool)
-            busy = np.flatnonzero(n_notes)
+            n_grams, grams = flat(part.column("grams"))
+            busy = np.flatnonzero(n_notes + n_grams)
             ids, twin = part.column("doc_id"), part.column("twin")
             words: dict[int, list[bytes]] = {}
             start = end = doc = first = last = owner = np.zeros(0, np.int64)
@@ -241,6 +245,10 @@ def _windows(window: int):
                 done, ask = np.zeros(len(lay.anchor), bool), np.zeros(len(lay.anchor), bool)
                 done[at[settled]] = True
                 ask[at[~settled]] = True
+                if n_grams.any():  # anchors of the history's documents with a gram in question
+                    doc_of = np.searchsorted(lay.offsets, lay.anchor, "right") - 1
+                    mine = np.stack([doc_of, lay.grams[lay.anchor].view(np.int64)], 1)
+                    ask |= _among(mine, np.stack([np.repeat(np.arange(len(busy)), n_grams[busy]), grams.to_numpy()], 1))
                 p = lay.windows[ranges(lay.run_first[ask], lay.run_end[ask])]
                 own = np.searchsorted(lay.offsets, p, "right") - 1
                 if len(p):
@@ -311,35 +319,41 @@ def dedup_batch(index: FingerprintIndex, batch: DataFrame) -> DataFrame:
     window = index.window
     batch = identified(batch).drop("doc")
     past = index.docs
-    notes = index.add(batch)
-    now = batch.join(notes, ["doc_id", "twin"], "left").withColumn("current", F.lit(True))
+    notes, asked = index.add(batch)
+    no_grams, no_notes = F.lit(None).cast("array<bigint>").alias("grams"), F.lit(None).cast("array<struct<pos:int,settled:boolean>>").alias("notes")
+    # Merge joins, whatever the number of notes: the plan is the same at every size.
+    now = batch.join(notes.hint("merge"), ["doc_id", "twin"], "left").select("doc_id", "text", "twin", "notes", no_grams, F.lit(True).alias("current"))
     if past is not None:
-        now = now.unionByName(past.select("doc_id", "text", "twin").join(notes, ["doc_id", "twin"]).withColumn("current", F.lit(False)))
+        now = now.unionByName(past.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "twin", no_notes, "grams", F.lit(False).alias("current")))
     found = stored(now.mapInArrow(_windows(window), FOUND), "windows")
-    finished(notes)
+    finished(notes, *([] if asked is None else [asked]))
     # The smallest doc_id with a window owns it. Each window is one row then, however many documents have it.
     least_, mine = F.min("doc_id").alias("doc_id"), F.min(F.when(F.col("current"), F.col("doc_id"))).alias("mine")
     owned = found.where("hash is not null").groupBy("hash", "more").agg(least_, mine).where("doc_id = mine")
     owned = stored(owned.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "more")).alias("owned")), "owned-windows")
-    rest = found.where("text is not null").select("doc_id", "text", "settled", "asked").join(owned, "doc_id", "left")
+    rest = found.where("text is not null").select("doc_id", "text", "settled", "asked").join(owned.hint("merge"), "doc_id", "left")
     done = rest.mapInArrow(_finish(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
     return found.where("kept_sha256 is not null").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(done)
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = 3, most_runs: int = 1) -> DataFrame:
+#: Where the query's batches end, as shares of the documents: the runs of the first two are compacted before the third.
+BATCHES = (0.25, 0.5)
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: tuple[float, ...] = BATCHES, most_runs: int = 1) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs.
 
-    Batches by ascending doc_id go through an index one after another; it is compacted before a batch that finds more than
-    most_runs runs, and deleted at the end. Null text has no words. Rows with a null doc_id are neither smaller nor larger
+    Batches by ascending doc_id (batches: the shares at which they end) go through an index one after another; it is
+    compacted before a batch that finds more than most_runs runs, and deleted at the end. Null text has no words. Rows with a null doc_id are neither smaller nor larger
     than others: they keep all words. Rows that repeat a doc_id are one document for the comparison and each gets its row.
-    Other columns are not read, so their names can't clash. A text is one piece of work and takes about 60 times its size
+    Other columns are not read, so their names can't clash. A text is one piece of work and takes about 30 times its size
     while it is looked at.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     index = FingerprintIndex(spark, window=window, most_runs=most_runs, buckets=max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES)))
-    cuts = docs.select("doc_id").dropna().approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+    cuts = docs.select("doc_id").dropna().approxQuantile("doc_id", list(batches), 0.01) if batches else []
     edges = [None, *sorted(set(cuts)), None]
     out = None
     for low, high in zip(edges[:-1], edges[1:], strict=True):
@@ -353,7 +367,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = 3, mos
     index.close()
     delete(spark, index.path)
     if cuts:
-        nulls = identified(docs.where("doc_id is null")).withColumns({"current": F.lit(True), "notes": F.lit(None).cast("array<struct<pos:int,settled:boolean>>")})
-        found = nulls.select("doc_id", "text", "twin", "notes", "current").mapInArrow(_windows(window), FOUND)
+        nulls = identified(docs.where("doc_id is null")).withColumns({"current": F.lit(True), "notes": F.lit(None).cast("array<struct<pos:int,settled:boolean>>"), "grams": F.lit(None).cast("array<bigint>")})
+        found = nulls.select("doc_id", "text", "twin", "notes", "grams", "current").mapInArrow(_windows(window), FOUND)
         out = out.unionByName(found.select("doc_id", "n_words", "n_removed", "kept_sha256"))
     return out
