@@ -37,8 +37,9 @@ LENGTH = 400
 GRAM = 8
 SLICE = 1 << 20
 TOKENS = 5
-SUFFIX = "t0 bigint, t1 int, t2 int, t3 int, t4 int, around bigint, beyond int, doc bigint, twin int, pos int"
-KEY = ["t0", "t1", "t2", "t3", "t4", "around", "beyond", "doc", "twin", "pos"]
+SUFFIX = "t0 bigint, t1 int, t2 int, t3 int, t4 int, around bigint, beyond int, pos int, doc bigint, twin int"
+#: The place last, its position first: sampled documents part equal suffixes by their positions, as all documents do.
+KEY = ["t0", "t1", "t2", "t3", "t4", "around", "beyond", "pos", "doc", "twin"]
 AROUND = ["around", "beyond"]
 #: Text whose suffixes are one bucket (about as much again in memory, three times while it is sorted).
 BUCKET_BYTES = 64 << 20
@@ -48,14 +49,18 @@ SAMPLED, SPLITTERS = 20, 10_000
 
 def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """96 bits of each stretch's digest, as a long and an int column."""
-    view = memoryview(np.ascontiguousarray(data))
-    digest = xxhash.xxh3_128_digest
-    if seed is None:
-        found = [digest(view[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-    else:
-        found = [digest(view[a:b], c) for a, b, c in zip(start.tolist(), end.tolist(), seed.tolist(), strict=True)]
-    both = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
-    return both[:, 0].copy(), (both[:, 1] >> 32).astype(np.int32)
+    view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_128_digest
+    first, second = np.zeros(len(start), np.int64), np.zeros(len(start), np.int32)
+    for lo in range(0, len(start), 65536):
+        here = slice(lo, lo + 65536)
+        places = zip(start[here].tolist(), end[here].tolist(), strict=True)
+        if seed is None:
+            found = [digest(view[a:b]) for a, b in places]
+        else:
+            found = [digest(view[a:b], c) for (a, b), c in zip(places, seed[here].tolist(), strict=True)]
+        both = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+        first[here], second[here] = both[:, 0], both[:, 1] >> 32
+    return first, second
 
 
 class Layout:
@@ -102,8 +107,7 @@ class Layout:
 def suffix_columns(part: pa.RecordBatch, length: int) -> list[np.ndarray]:
     """The columns of KEY for all suffixes of some texts."""
     doc, columns = Layout(*text_bytes(part.column("text")), length).suffixes()
-    columns[-1:-1] = [part.column("doc").to_numpy()[doc], part.column("twin").to_numpy()[doc]]
-    return columns
+    return [*columns, part.column("doc").to_numpy()[doc], part.column("twin").to_numpy()[doc]]
 
 
 class Splitters:
@@ -154,7 +158,7 @@ def _sample(length: int):
         for part in text_slices(batches, SLICE):
             columns = suffix_columns(part, length)
             # By place and document, so that every suffix of texts that are copies of each other has its chance.
-            keep = np.flatnonzero(mix((columns[-1].astype(np.int64) + columns[-3] * 31).view(np.uint64)) % np.uint64(8) == 0)
+            keep = np.flatnonzero(mix((columns[-3].astype(np.int64) + columns[-2] * 31).view(np.uint64)) % np.uint64(8) == 0)
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], KEY)
 
     return run
@@ -375,8 +379,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A byte goes if a string of `length` bytes that covers it starts anywhere else too, in any row, this one included.
     Texts are UTF-8, null is empty; matches end with their text. Rows that repeat doc_id are documents like others; rows
     that are equal in doc_id and text are each other's copies. Other columns are not read, so their names can't clash. A text
-    is one piece of work and takes about 150 times its size while it is looked at, so one of more than 10 MB or so
-    wants executors with more than 1.5 GB for each Python worker.
+    is one piece of work and takes about 100 times its size while it is looked at, so one of more than 10 MB or so
+    wants executors with more than 1 GB for each Python worker.
     """
     spark = docs.sparkSession
     d = identified(docs)
