@@ -57,8 +57,9 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights=WEIGHTS, repe
     each source's taken words are its target's whole part. quality: doc_id, weight (over 0; 1 where
     missing). Prefix sums run over the sums of key cells, at most `cells` rows a source, and row by
     row only inside the cell that holds the edge; no source is ever sorted in one task. Rows with equal
-    doc_id have equal keys and go by size. Empty documents take 0 words. No row or column is lost:
-    clashing column names are dropped before the join.
+    doc_id have equal keys and go by size; rows equal in both are alike. Empty documents take 0 words. A long text is a number
+    once it is counted. No row is lost: columns but doc_id, source and text are dropped before the join, so their names
+    can't clash.
     """
     d = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     if quality is not None:

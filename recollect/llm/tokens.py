@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, scratch, stored, text_slices
+from .common import SPACE, delete, scratch, stored, text_slices, writing
 
 LIMIT = 2048
 CACHE = "digest string, n_tokens bigint"
@@ -122,16 +122,22 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: TokenCache | None
 
     The cache's key is a digest of the text with white space collapsed (which can't change a count) and of the
     tokenizer file. One text of each digest that the cache lacks is encoded and the counts are appended; every
-    row then looks its count up. Null text is empty: 0 bytes and tokens.
+    row then looks its count up. Null text is empty: 0 bytes and tokens. Rows that repeat a doc_id or a text get a row each.
+    A long text is encoded whole in one task. Columns but doc_id and text are not read, so their names can't clash. A cache
+    made here is deleted once the counts are written out.
     """
     spark = docs.sparkSession
+    own = cache is None
     cache = cache or TokenCache(spark)
     version = tokenizer_version(tokenizer_path)
     text = F.coalesce("text", F.lit(""))
     d = docs.select("doc_id", text.alias("text"), F.md5(F.concat(F.lit(version), F.regexp_replace(text, SPACE, " ")).cast("binary")).alias("digest"))
     rows = stored(d.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "token-rows")
     misses = d.select("digest", "text").join(cache.read(), "digest", "left_anti").dropDuplicates(["digest"])
-    cache.append(misses.mapInArrow(_encode(tokenizer_path), CACHE))
+    with writing(spark):
+        cache.append(misses.mapInArrow(_encode(tokenizer_path), CACHE))
     # Written out, so that both sides of the join below are plain exchanges and a hot digest's rows can be split.
     counts = stored(cache.read().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
+    if own:
+        delete(spark, cache.path)
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

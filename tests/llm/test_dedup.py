@@ -268,3 +268,25 @@ def test_passage_twice_in_one_document(spark, frame, apart):
     assert sorted(got) == sorted(brute.substring(some, 50))
     own = frame([r for r in some if r[0] >= 20 or r[0] < 10])
     check(substring_dedup(own, 50, batches=(0.5,)), ("doc_id", "n_words", "n_removed", "kept_sha256"), brute.substring([tuple(r) for r in own.select("doc_id", "text").collect()], 50))
+
+
+def test_repeated_rows_of_every_dedup(frame, odd):
+    twice = odd + odd[3:8] + [(5, "another text of document five with quite other words than those before")]
+    for case, (run, columns, plain) in CASES.items():
+        if case not in ("lines", "suffix"):  # there rows of one doc_id are one document, or each other's copies
+            check(run(frame(twice)), columns, plain(twice))
+    assert len(rows(line_dedup(frame(twice)), "doc_id")) == len(rows(suffix_dedup(frame(twice)), "doc_id")) == len(twice)
+
+
+def test_a_very_long_text(frame):
+    """Three megabytes in one row, beyond every slice, and copies of its middle in two others."""
+    rng = np.random.default_rng(18)
+    words = [f"w{x}" for x in rng.integers(0, 10**9, 300_000)]
+    part = " ".join(words[150_000:150_200])
+    some = [(1, " ".join(words)), (2, part), (3, f"before {part} after"), (4, "short")]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup(frame(some)).collect()}
+    assert got[2] == (len(part), 1) and got[4] == (0, 0) and got[1][1] == 1 and len(part) <= got[1][0] <= len(part) + 2
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup(frame(some)).collect()}
+    assert got == {1: 0, 2: 200, 3: 200, 4: 0}
+    assert {r["doc_id"]: r["n_dropped"] for r in line_dedup(frame(some)).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert len(rows(simhash_dedup(frame(some)), "doc_id")) == len(rows(exact_dedup(frame(some)), "doc_id")) == 4

@@ -275,3 +275,88 @@ def test_mix_of_odd_rows(spark, frame, odd):
 def test_cells_do_not_change_the_sample(spark, frame, corpus):
     a, b = (sorted(map(tuple, mix(frame(corpus), cells=n).collect())) for n in (2, 65536))
     assert a == b
+
+
+def plain_features(text):
+    """Trigram counts and style shares of one text, byte by byte."""
+    b = (text or "").encode()
+    digits = bytes(48 if 48 <= x <= 57 else x for x in b)
+    grams, style = np.zeros(quality.HASHED), np.zeros(quality.STYLE)
+    for i in range(len(b) - 2):
+        h = (digits[i] * 0x9E3779B1 + digits[i + 1] * 0x85EBCA77 + digits[i + 2] * 0xC2B2AE3D) % 2**32 >> 21
+        grams[h] += 1
+    words = b.split()
+    at = [lambda x: 65 <= x <= 90, lambda x: 33 <= x <= 126 and not chr(x).isalnum() and x not in b",.", lambda x: x in b" \t\n\x0b\x0c\r", lambda x: x >= 128, lambda x: x == 10, lambda x: 48 <= x <= 57]
+    for j, f in enumerate(at):
+        style[j] = sum(map(f, b)) / max(1, len(b))
+    same = lambda u, v: (len(u), sum(u), u[0]) == (len(v), sum(v), v[0])
+    style[6] = sum(same(u, v) for u, v in zip(words, words[1:])) / max(1, len(words))
+    style[7] = sum(len(w) <= 2 for w in words) / max(1, len(words))
+    return grams, style
+
+
+def test_quality_against_plain_votes(spark, frame, corpus):
+    """Every score against votes over all labelled texts, from features, axes and neighbours worked out one text at a time."""
+    some = corpus[:90] + [(900, None), (901, ""), (902, "ab"), (903, "A1! " * 40), (5, "a second text of document five")]
+    good = {d: d % 3 == 0 for d, _ in corpus[:70]}
+    labels = spark.createDataFrame([(d, int(v)) for d, v in good.items()], "doc_id bigint, quality int")
+    got = sorted((r["doc_id"], r["score"]) for r in quality.quality_scores(frame(some), labels).collect())
+
+    def x(t, idf):
+        grams, style = plain_features(t)
+        v = np.log1p(grams) * idf
+        return np.r_[v / max(1e-9, np.linalg.norm(v)), np.sqrt(style)]
+
+    learned = [(d, t) for d, t in some if d in good and zlib.crc32(str(d).encode()) % 5]
+    idf = np.log((1 + len(learned)) / (1 + sum((plain_features(t)[0] > 0).astype(int) for _, t in learned))) + 1
+    m = np.stack([x(t, idf) for _, t in learned])
+    y = np.array([good[d] for d, _ in learned], float)
+    _, axes = np.linalg.eigh(m.T @ m)
+    axes = axes[:, ::-1][:, :48]
+    v = m @ axes
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    expected = []
+    for d, t in some:
+        p = x(t, idf) @ axes
+        if plain_features(t)[0].sum() == 0 or np.linalg.norm(p) <= 1e-9:
+            expected.append((d, y.mean()))
+            continue
+        cos = v @ p / np.linalg.norm(p)
+        near = np.argsort(-cos, kind="stable")[:25]
+        w = np.maximum(cos[near], 1e-6) ** 20
+        expected.append((d, (w * y[near]).sum() / w.sum()))
+    expected.sort()
+    assert [d for d, _ in got] == [d for d, _ in expected]
+    off = np.abs(np.array([s for _, s in got]) - np.array([s for _, s in expected]))
+    # A neighbour at the 25th place may differ by rounding to single precision.
+    assert np.quantile(off, 0.95) < 0.01 and off.max() < 0.2
+
+
+def test_repeated_rows(spark, frame, odd):
+    """Rows that repeat a doc_id, or a doc_id and a text, are rows like others in every operator."""
+    twice = odd + odd[3:8] + [(5, "another text of document five with quite other words")]
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (1, "one two three four five six seven eight nine ten")], "item_id bigint, text string")
+    labels = spark.createDataFrame([(5, 1), (5, 0), (9, 0)], "doc_id bigint, quality int")
+    assert token_counts(frame(twice), PATH).count() == len(twice)
+    assert langid.language_id(frame(twice)).count() == len(twice)
+    assert quality.quality_scores(frame(twice), labels).count() == len(twice)
+    mixed = mix(frame(twice)).collect()
+    assert len(mixed) == len(twice) and sum(r["taken"] for r in mixed) == int(mixed[0]["target"] + 1e-6)
+    holders = [d for d, t in twice if t and "one two three four five six seven eight nine ten" in " ".join(t.lower().split())]
+    assert sorted(r["doc_id"] for r in decontam.contaminated(frame(twice), bench).collect() if r["doc_id"]) == sorted(d for d in holders * 2 if d)
+
+
+def test_a_very_long_text(spark, frame):
+    """Ten megabytes in one row, beyond every slice, and a copy of its middle elsewhere."""
+    rng = np.random.default_rng(17)
+    words = [f"w{x}" for x in rng.integers(0, 10**9, 1_000_000)]
+    long, part = " ".join(words), " ".join(words[500_000:500_200])
+    some = [(1, long), (2, part), (3, "short")]
+    assert len(long) > 10_000_000
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts(frame(some), PATH).collect()}
+    assert got[1] > 1_000_000
+    assert {r["doc_id"]: r["size"] for r in mix(frame(some)).collect()} == {1: 1_000_000, 2: 200, 3: 1}
+    assert quality.quality_scores(frame(some), spark.createDataFrame([(2, 1), (3, 0)], "doc_id bigint, quality int")).count() == 3
+    assert langid.language_id(frame(some)).count() == 3
+    bench = spark.createDataFrame([(7, " ".join(words[700_000:700_030]))], "item_id bigint, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame(some), bench).collect()] == [(1, 7)]
