@@ -1,5 +1,8 @@
 """Closed-form cases of settings, presets, exports, sinks, migration and searches that have no SQL twin of their own."""
 
+import os
+import subprocess
+import sys
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -13,6 +16,7 @@ from recollect.operators import context, dml, monitoring, search, stats
 from recollect.sources import memory as M
 
 SF = "/root/testdata/sf0.001"
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def one(spark, column, *values):
@@ -145,3 +149,18 @@ def test_working_memory_that_expires(spark):
     assert [(r["id"], r["type"], r["content"]) for r in got] == [("mem_wm_1", "episodic", "user: hello\nassistant: ")]
     m = M.memory_item(spark, SF)
     assert dml.remember(m, dml.buffer_snapshots(b, AS_OF), AS_OF).count() == m.count() + 1
+
+
+def test_package_reaches_workers_from_another_folder(tmp_path):
+    """A session in another working directory, whose workers do not find the package by themselves."""
+    code = f"""
+import sys, tempfile
+sys.path.insert(0, {ROOT!r})
+import __spark_entry__ as entry
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("rows", entry.queries()["vector_topk"](spark, {SF!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows " in done.stdout, done.stderr[-2000:]
