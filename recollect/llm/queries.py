@@ -11,11 +11,14 @@ from .exact import exact_dedup
 from .langid import language_id
 from .lines import line_dedup
 from .mixing import label_weights, mix
+from .ngramjoin import ngram_jaccard_join
 from .quality import quality_scores
 from .simhash import simhash_dedup
+from .spelling import spelling_variants
 from .substring import substring_dedup
 from .suffix import suffix_dedup
 from .tokens import token_counts
+from .whitening import whitening
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +64,18 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir), weights).drop("source").withColumn("target", F.round("target", 4))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(documents(spark, sf_dir))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict:
     every = (
         op1_simhash_dedup,
@@ -73,6 +88,9 @@ def queries() -> dict:
         op8_decontaminate,
         op9_line_dedup,
         op10_mix_sources,
+        op11_ngram_jaccard_join,
+        op12_spelling_variants,
+        op13_whitening,
     )
     return {f.__name__: f for f in every}
 

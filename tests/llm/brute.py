@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import xxhash
@@ -101,3 +102,67 @@ def exact(rows):
         keep = min((e for e in group if e is not None), default=None)
         out.append((d, keep, len(group), d == keep, sha(t.encode())))
     return out
+
+
+def _lowered(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def jaccard_join(rows, k=5):
+    """(doc_id, set size, component) of every row, from all pairs that share a shingle."""
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(_lowered(t))
+        sets.append({" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    holders = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for j, n in Counter(j for g in s for j in holders[g] if j < i).items():
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    ids = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            ids[find(i)] = min(ids.get(find(i), d), d)
+    return [(d, len(sets[i]), ids.get(find(i)) if sets[i] else d) for i, (d, _) in enumerate(rows)]
+
+
+def one_edit(a, b):
+    """Whether exactly one inserted, deleted or replaced code point turns a into b."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    short, long = sorted((a, b), key=len)
+    return len(long) == len(short) + 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def spelling(rows):
+    n = Counter()
+    for d, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            low = _lowered(run)
+            h = zlib.crc32(f"{'null' if d is None else d}:{low}".encode())
+            n[low[: h % len(low)] + low[h % len(low) + 1 :] if h % 31 == 0 else low] += 1
+    n = {w: c for w, c in n.items() if len(w) >= 7 and c >= 2}
+    forms, counts = {}, {}
+    for w in n:
+        near = [v for v in n if abs(len(v) - len(w)) < 2 and one_edit(w, v)]
+        counts[w] = len(near)
+        best = min(near, key=lambda v: (-n[v], v), default=None)
+        forms[w] = best if best is not None and n[best] >= 10 * n[w] else None
+    out = []
+    for w in n:
+        end = w
+        while forms[end]:
+            end = forms[end]
+        out.append((w, forms[w], end, n[w], counts[w], n.get(forms[w])))
+    return out
