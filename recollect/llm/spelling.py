@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import finished, stored, text_offsets
-from .repeats import ranges
+from .repeats import ranges, runs
 
 #: A word has so many code points and occurrences at least.
 LENGTH, TIMES = 7, 2
@@ -22,7 +22,9 @@ RATIO = 10
 #: Words of a block scanned in one piece of work; larger blocks are dealt out as pairs of chunks.
 CHUNK = 20_000
 #: Rows of whole blocks that are scanned together.
-TOGETHER = 100_000
+TOGETHER = 50_000
+#: Ranges of lists that are gone through side by side.
+ACTIVE = 1 << 20
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -92,17 +94,15 @@ def common_prefixes(flat: np.ndarray, start: np.ndarray, size: np.ndarray, fresh
     return lcp
 
 
-def scan(flat: np.ndarray, start: np.ndarray, size: np.ndarray, fresh: np.ndarray, ask: np.ndarray, first: np.ndarray, last: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def scan(flat: np.ndarray, start: np.ndarray, size: np.ndarray, lcp: np.ndarray, ask: np.ndarray, first: np.ndarray, last: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (index in ask, word) one edit apart, of queries and words of their sorted lists first..last - 1.
 
-    flat, start, size: code points of all words, the listed ones first, where fresh begins a list. ask: the queries' words;
+    flat, start, size: code points of all words, the listed ones first; lcp: what those share with the one before. ask: the queries' words;
     their lists agree with them on keep code points. The edit matrix of a query has a row for each prefix of
     a word, of which three cells can be 1 or less. Words that follow each other in the list share the rows of their
     common prefix: the list is gone through as ranges that share a prefix, each split where the common prefix of
     neighbours ends, so a row is made once for all words of a range. A range whose row is above one edit is skipped.
     """
-    n = len(fresh)
-    lcp = common_prefixes(flat, start[:n], size[:n], fresh)
     order = np.argsort(lcp, kind="stable")
     ends = np.searchsorted(lcp[order], np.arange(int(lcp.max(initial=0)) + 2))
     q, low, high, depth = np.arange(len(ask)), first.copy(), last.copy(), keep.copy()
@@ -183,7 +183,13 @@ def _near(t: pa.Table) -> pa.RecordBatch:
     asked, first, last = asked[some], first[some], last[some]
     ask = len(listed) + np.flatnonzero(some)
     keep = t.column("keep").to_numpy()[asked].astype(np.int64)
-    i, j = scan(flat, start, size, fresh, ask, first, last, keep)
+    # A query has no more ranges at a time than its list has words: so many queries together as ACTIVE allows.
+    together = np.cumsum(last - first) // ACTIVE
+    lcp = common_prefixes(flat, start[: len(listed)], size[: len(listed)], fresh)
+    found = [scan(flat, start, size, lcp, ask[a:b], first[a:b], last[a:b], keep[a:b]) for a, b in zip(*runs(together), strict=True)]
+    shift = runs(together)[0]
+    i = np.concatenate([f[0] + a for f, a in zip(found, shift, strict=True)]) if found else np.zeros(0, np.int64)
+    j = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
     # Pairs that the forward scan finds are not counted again by the backward one: those share a long enough prefix,
     # which is the end of the reversed words.
     behind = back[asked[i]]
