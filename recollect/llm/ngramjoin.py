@@ -7,22 +7,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import finished, stored, text_slices, texts
+from .common import finished, stored, text_bytes, text_slices, texts
 from .components import components
-from .nearcopies import shingles
 from .repeats import mix, ranges, runs
+from .shingles import SHINGLE, shingles
 from .simhash import _forest
 
-SHINGLE = 5
 #: Sets link if PART * intersection >= LIMIT * union.
 PART, LIMIT = 100, 80
 #: Token orders: rarest first in each, tokens of one frequency by an own permutation.
 ORDERS = 3
 #: Shingles that one task counts at once.
 COUNTED = 1 << 22
+#: Bytes of a token on its way, and compressed bytes of text worked on at once.
+WIDTH, SLICE = 6, 1 << 20
+#: Bits of the largest sketch of a set.
+SKETCH = 1 << 15
 #: Sets compared with each other in one piece of work; larger buckets are dealt out as pairs of chunks.
 CHUNK = 512
 #: Columns of a dense table of sets and tokens.
@@ -40,14 +44,17 @@ def permuted(tokens: np.ndarray, order: int) -> np.ndarray:
 
 
 def _digested(k: int):
-    """doc_id, row, text, h1, h2 (128 bits of the set; 0, 0 of an empty one) and n_shingles of every row."""
+    """doc_id, row, text (compressed), h1, h2 (128 bits of the set; 0, 0 of an empty one) and n_shingles of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=3)
         for part in text_slices(batches):
-            sets, at = shingles(texts(part.column("text")), k)
+            bodies = texts(part.column("text"))
+            sets, at = shingles(bodies, k)
+            packed = pa.array([small.compress(b) for b in bodies], pa.binary())
             h = [xxhash.xxh3_128_intdigest(sets[a:b].tobytes()) if b > a else 0 for a, b in zip(at[:-1], at[1:], strict=True)]
             h1, h2 = (pa.array(np.array([x >> s & (2**64 - 1) for x in h], np.uint64).view(np.int64)) for s in (64, 0))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), part.column("text"), h1, h2, pa.array(np.diff(at))], ["doc_id", "row", "text", "h1", "h2", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), packed, h1, h2, pa.array(np.diff(at))], ["doc_id", "row", "text", "h1", "h2", "n_shingles"])
 
     return run
 
@@ -56,8 +63,9 @@ def _dealt(k: int, buckets: int):
     """From rows (key, text) the tokens by bucket, packed: bucket, keys and sizes of the sets, tokens, and the set of each token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
-            sets, at = shingles(texts(part.column("text")), k)
+        large = zstandard.ZstdDecompressor()
+        for part in text_slices(batches, SLICE):
+            sets, at = shingles([large.decompress(b) for b in texts(part.column("text"))], k)
             n = np.diff(at)
             owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
             bucket = (mix(sets) % np.uint64(buckets)).astype(np.int64)
@@ -68,14 +76,27 @@ def _dealt(k: int, buckets: int):
             rows: list[list] = [[], [], [], [], []]
             for a, b in zip(first.tolist(), ends.tolist(), strict=True):
                 own, place = np.unique(owner[a:b], return_inverse=True)
-                for column, x in zip(rows, (bucket[a], keys[own], n[own], sets[a:b].view(np.int64), place.astype(np.int32)), strict=True):
+                for column, x in zip(rows, (bucket[a], keys[own], n[own], packed(sets[a:b]), place.astype(np.int32)), strict=True):
                     column.append(x)
-            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["bucket", "keys", "sizes", "tokens", "owner"])
 
     return run
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """The low WIDTH bytes of each token; the high ones are known from the bucket but for a few bits, which nothing needs."""
+    return np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+
+
+def unpacked(col: pa.Array) -> np.ndarray:
+    """The tokens of all rows end to end."""
+    data, _ = text_bytes(col)
+    out = np.zeros((len(data) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = data.reshape(-1, WIDTH)
+    return out.reshape(-1).view(np.int64)
+
+
 def groups_of(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
     """The rows of each group of equal values of names, from batches in which groups are whole and in a row."""
     rest = None
@@ -104,7 +125,7 @@ def _counted(parts: int):
             lengths = np.diff(owner.offsets.to_numpy())
             place = owner.flatten().to_numpy() + np.repeat(shift, lengths)
             key, size = keys.flatten().to_numpy()[place], sizes.flatten().to_numpy()[place]
-            token = tokens.flatten().to_numpy()
+            token = unpacked(tokens)
             order = np.argsort(token, kind="stable")
             token, key, size = token[order], key[order], size[order]
             first, ends = runs(token)
@@ -126,6 +147,14 @@ def _counted(parts: int):
     return run
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """A bit for each token, at a place that its hash says, of twice as many bits as tokens or more (SKETCH at most), packed."""
+    bits = min(SKETCH, max(8, 1 << int(2 * len(tokens) - 1).bit_length()))
+    out = np.zeros(bits, bool)
+    out[(mix(tokens) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
 def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From the rows of parts: key, size, tokens (those that other sets hold too, sorted) and the prefix of each order, of
     every set whose prefixes are not made of tokens of its own alone."""
@@ -150,17 +179,18 @@ def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner = np.repeat(np.arange(len(fine)), held)
         start = np.cumsum(held) - held
         columns = [pa.array(key[start]), pa.array(own[fine]), _lists(token, held)]
+        columns.append(pa.array([sketch(token[a : a + n]) for a, n in zip(start.tolist(), held.tolist(), strict=True)], pa.binary()))
         for k in range(ORDERS):
             order = np.lexsort((permuted(token, k), df, owner))
             columns.append(_lists(token[order][ranges(start, start + left)], left))
-        yield pa.RecordBatch.from_arrays(columns, ["key", "size", "tokens", *(f"p{k}" for k in range(ORDERS))])
+        yield pa.RecordBatch.from_arrays(columns, ["key", "size", "tokens", "sketch", *(f"p{k}" for k in range(ORDERS))])
 
 
 def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-SETS = "key bigint, size bigint, tokens array<bigint>, " + ", ".join(f"p{k} array<bigint>" for k in range(ORDERS))
+SETS = "key bigint, size bigint, tokens array<bigint>, sketch binary, " + ", ".join(f"p{k} array<bigint>" for k in range(ORDERS))
 
 
 def shared_sets(texts_: DataFrame, total: int, k: int, counted: int = COUNTED) -> DataFrame:
@@ -169,7 +199,7 @@ def shared_sets(texts_: DataFrame, total: int, k: int, counted: int = COUNTED) -
     buckets = max(1, -(-total // counted))
     n = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = n
-    packed = texts_.mapInArrow(_dealt(k, max(buckets, n)), "bucket bigint, keys array<bigint>, sizes array<bigint>, tokens array<bigint>, owner array<int>")
+    packed = texts_.mapInArrow(_dealt(k, max(buckets, n)), "bucket bigint, keys array<bigint>, sizes array<bigint>, tokens binary, owner array<int>")
     packed = packed.repartition(n, "bucket").sortWithinPartitions("bucket")
     back = packed.mapInArrow(_counted(parts), "part bigint, keys array<bigint>, sizes array<bigint>, tokens array<bigint>, df array<bigint>, owner array<int>")
     back = back.repartition(n, "part").sortWithinPartitions("part")
@@ -194,19 +224,57 @@ def _overlaps(values: pa.ListArray, n: int, a: np.ndarray, b: np.ndarray) -> np.
     return both
 
 
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of both sides of a piece (of side 0 alone, twice, where it is the only one), and which pairs are of different
+    components and near enough in size to link."""
+    side, size, root = (t.column(c).to_numpy() for c in ("side", "size", "root"))
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    b = b if len(b) else a
+    near = PART * np.minimum(size[a][:, None], size[b][None, :]) >= LIMIT * np.maximum(size[a][:, None], size[b][None, :])
+    return a, b, near & (root[a][:, None] != root[b][None, :])
+
+
+def possible(t: pa.Table) -> np.ndarray:
+    """Rows of a piece that the sketches let link with another of it.
+
+    A set has at least as many tokens that another lacks as its sketch has bits that the other's lacks, if both are folded
+    to one length. Sets that link have nearly as many tokens that others hold too, so their sketches are of one length or of
+    neighbouring ones.
+    """
+    a, b, near = _sides(t)
+    if not near.any():
+        return a[:0]
+    size, held = t.column("size").to_numpy(), t.column("held").to_numpy().astype(np.int64)
+    data, at = text_bytes(t.column("sketch").combine_chunks())
+    length = np.diff(at)
+    found = np.zeros_like(near)
+    for n in np.unique(length).tolist():
+        i, j = (np.flatnonzero((length[x] == n) | (length[x] == 2 * n)) for x in (a, b))
+        if not len(i) or not len(j):
+            continue
+        tables = []
+        for rows in (a[i], b[j]):
+            bits = np.zeros((len(rows), 8 * n), bool)
+            for k, r in enumerate(rows.tolist()):
+                own = np.unpackbits(data[at[r] : at[r + 1]])
+                bits[k] = own if len(own) == 8 * n else own[: 8 * n] | own[8 * n :]
+            tables.append(bits.astype(np.float32))
+        both = tables[0] @ tables[1].T
+        most = np.minimum((held[a[i]] - tables[0].sum(1))[:, None], (held[b[j]] - tables[1].sum(1))[None, :]) + both
+        fine = most * (PART + LIMIT) >= LIMIT * (size[a[i]][:, None] + size[b[j]][None, :])
+        fine &= np.minimum(length[a[i]][:, None], length[b[j]][None, :]) == n
+        found[np.ix_(i, j)] |= fine
+    found &= near
+    return np.unique(np.r_[a[found.any(1)], b[found.any(0)]])
+
+
 def linked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of a piece, one of each side (or of side 0 where it is the only one), whose sets link.
 
     The pairs that share a prefix token under every order are the candidates; the sets of these alone are compared.
     """
-    side, size = t.column("side").to_numpy(), t.column("size").to_numpy()
-    root = t.column("root").to_numpy()
-    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    b = b if len(b) else a
-    if not len(a):
-        return a, a
-    apart = root[a][:, None] != root[b][None, :]
-    near = apart & (PART * np.minimum(size[a][:, None], size[b][None, :]) >= LIMIT * np.maximum(size[a][:, None], size[b][None, :]))
+    a, b, near = _sides(t)
+    size = t.column("size").to_numpy()
     for k in range(ORDERS):
         if not near.any():
             return a[:0], a[:0]
@@ -221,6 +289,17 @@ def linked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return a[i[fine]], b[j[fine]]
 
 
+PIECE = "bucket bigint, x bigint, y bigint, side int, root bigint, key bigint"
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of pieces (with size, held and sketch) that may link within their piece."""
+    for t in groups_of(batches, ("bucket", "x", "y")):
+        rows = possible(t)
+        if len(rows):
+            yield from t.select(["bucket", "x", "y", "side", "root", "key"]).take(pa.array(rows)).combine_chunks().to_batches()
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (bucket, x, y, side, root, key, size, tokens, p0, ...), a piece all in one partition and in order, a link
     (src, dst) from each set to the first that it reaches within its piece."""
@@ -234,11 +313,16 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(pieces: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """Links of pieces (bucket, x, y, side, root, key): each piece gets its sets and is compared in one go."""
+    """Links of pieces (bucket, x, y, side, root, key). Sketches, a fiftieth of the sets, go out first; the sets
+    themselves to those rows only that may link by them."""
     p = stored(pieces, f"{name}-pieces")
-    full = p.hint("merge").join(sets, "key").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "side", "key")
+    order = ("bucket", "x", "y", "side", "key")
+    brief = sets.select("key", "size", F.size("tokens").alias("held"), "sketch")
+    some = p.hint("merge").join(brief, "key").repartition("bucket", "x", "y").sortWithinPartitions(*order)
+    some = stored(some.mapInArrow(_possible, PIECE), f"{name}-possible")
+    full = some.hint("merge").join(sets.drop("sketch"), "key").repartition("bucket", "x", "y").sortWithinPartitions(*order)
     out = stored(full.mapInArrow(_links, "src bigint, dst bigint").distinct(), f"{name}-links")
-    finished(p)
+    finished(p, some)
     return out
 
 
@@ -289,13 +373,14 @@ def ngram_jaccard_join(docs: DataFrame, k: int = SHINGLE, chunk: int = CHUNK, co
     links with nothing, not even another empty one. A null doc_id names no component unless its component has no
     other. A very long text is one piece of work. An empty table gives no row; other columns are not read.
 
-    Equal sets are one. Tokens are 64-bit hashes of shingles. Tokens that no other set holds drop out once they are counted; what
+    Equal sets are one. Tokens are hashes of shingles, of which 48 bits are compared. Tokens that no other set holds drop out once they are counted; what
     is left of a set goes into buckets by its prefix tokens under the first order. In each bucket the first set is
     compared with all others; then sets of one bucket that are in different components still, with each other. Every
-    comparison takes pairs that share a prefix token under all orders and verifies them on the sets.
+    comparison drops what its sketches rule out, takes pairs that share a prefix token under all orders and verifies
+    them on the sets.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    d = stored(d.mapInArrow(_digested(k), "doc_id bigint, row bigint, text string, h1 bigint, h2 bigint, n_shingles bigint"), "digested")
+    d = stored(d.mapInArrow(_digested(k), "doc_id bigint, row bigint, text binary, h1 bigint, h2 bigint, n_shingles bigint"), "digested")
     groups = d.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("row").alias("key"), F.min("doc_id").alias("owner"), F.max("n_shingles").alias("n"))
     groups = stored(groups, "sets")
     total = groups.agg(F.sum("n")).first()[0] or 0
