@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from datetime import datetime
 
 AS_OF = datetime(2024, 1, 31)
@@ -59,27 +59,20 @@ ENGLISH_STOP_WORDS = """the a an and or but in on at to for of with by from up a
     other some such no nor not only own same so than too very can will just should now is are was were be been being
     have has had do does did would could may might must shall this that these those i you he she it we they me him her
     us them my your his its our their myself yourself himself herself itself ourselves yourselves themselves"""
-#: Korean stop words. Particles, pronouns, numbers, adverbs and conjunctions as they are; interjections as
-#: vowels with each ending; nouns alone and with the ending that they take; adnominal forms.
-KOREAN_STOP_WORDS = """이 가 을 를 에 에서 로 으로 와 과 도 는 은 의 에게 한테 부터 까지 만 조차 마저 까지도 조차도 마저도
-    그 저 그것 저것 이것 그들 저들 이들 나 너 우리 너희 그녀 자신 자기 본인 당신 여러분 누구 어느 어떤 무엇 어디 언제 왜 어떻게
-    하나 둘 셋 넷 다섯 여섯 일곱 여덟 아홉 열 첫째 둘째 셋째 두 세 네
-    매우 아주 정말 진짜 너무 완전 정말로 진짜로 가장 더 더욱 훨씬 많이 조금 약간 좀 잘 못 안 아니 아닌 아니야 아니에요 아닙니다
-    그냥 그저 단지 이미 벌써 아직 여전히 다시 또 또다시 바로 곧 즉시 여기 거기 저기 언제나 항상 어디서 어디에
-    그리고 그러나 하지만 그런데 그래서 따라서 그러므로 그러면 그럼 또한 또는 혹은 아니면 그러니까 그러니
-    아하 어라 오호 우와 어머 어머나 것 거 게 수 때 때문 때문에 모든 특별한 일반적인 보통의 평범한 특수한"""
-KOREAN_VOWELS, KOREAN_CALLS = "아 어 오 우", ("", "이", "이고")
-KOREAN_NOUNS = """경우+에 상황+에서 문제+가 방법+으로 과정+에서 결과+로 이유+로 목적+으로 의미+로 내용+을 형태+로 종류+의 부분+을 전체+를
-    일부+를 대부분+을 각각+의 개별+적으로 공통+으로 특별+히 일반+적으로 보통+으로 평범+하게 특수+하게"""
-
-
-def korean_stop_words() -> list[str]:
-    calls = [v + end for end in KOREAN_CALLS for v in KOREAN_VOWELS.split()]
-    nouns = [w for x in KOREAN_NOUNS.split() for w in (x.split("+")[0], x.replace("+", ""))]
-    return [*KOREAN_STOP_WORDS.split(), *calls, *nouns]
-
-
-STOP_WORDS = tuple(dict.fromkeys([*ENGLISH_STOP_WORDS.split(), *korean_stop_words()]))
+#: Korean stop words.
+KOREAN_STOP_WORDS = """이, 가, 을, 를, 에, 에서, 로, 으로, 와, 과, 도, 는, 은, 의, 에게, 한테, 부터, 까지, 만, 조차, 마저, 까지도, 조차도, 마저도,
+    그, 저, 그것, 저것, 이것, 그들, 저들, 이들, 나, 너, 우리, 너희, 그녀, 자신, 자기, 본인, 당신, 여러분, 누구, 어느, 어떤, 무엇, 어디, 언제, 왜, 어떻게,
+    하나, 둘, 셋, 넷, 다섯, 여섯, 일곱, 여덟, 아홉, 열, 첫째, 둘째, 셋째, 두, 세, 네,
+    매우, 아주, 정말, 진짜, 너무, 완전, 정말로, 진짜로, 가장, 더, 더욱, 훨씬, 많이, 조금, 약간, 좀, 잘, 못, 안, 아니, 아닌, 아니야, 아니에요, 아닙니다,
+    그냥, 그저, 단지, 이미, 벌써, 아직, 여전히, 다시, 또, 또다시, 바로, 곧, 즉시, 여기, 거기, 저기, 언제나, 항상, 어디서, 어디에,
+    그리고, 그러나, 하지만, 그런데, 그래서, 따라서, 그러므로, 그러면, 그럼, 또한, 또는, 혹은, 아니면, 그러니까, 그러니,
+    아, 어, 오, 우, 아이, 어이, 오이, 우이, 아하, 어라, 오호, 우와, 어머, 어머나, 아이고, 어이고, 오이고, 우이고,
+    것, 거, 게, 수, 때, 때문, 때문에, 경우, 경우에, 상황, 상황에서, 문제, 문제가, 방법, 방법으로, 과정, 과정에서, 결과, 결과로, 이유, 이유로,
+    목적, 목적으로, 의미, 의미로, 내용, 내용을, 형태, 형태로, 종류, 종류의, 부분, 부분을, 전체, 전체를, 일부, 일부를, 대부분, 대부분을, 모든, 모든 것을,
+    각각, 각각의, 개별, 개별적으로, 공통, 공통으로, 특별, 특별히, 일반, 일반적으로, 보통, 보통으로, 평범, 평범하게, 특수, 특수하게,
+    특별한, 일반적인, 보통의, 평범한, 특수한"""
+
+STOP_WORDS = tuple(dict.fromkeys([*ENGLISH_STOP_WORDS.split(), *(w.strip() for w in KOREAN_STOP_WORDS.split(","))]))
 
 #: Words that make a query technical.
 TECHNICAL_QUERIES = "api|sql|http|json|xml|css|html|js|ts|react|vue|angular|node|python|java|c\\+\\+|go|rust|docker|kubernetes|aws|azure|gcp"
@@ -169,6 +162,11 @@ class Filters:
     tags: tuple[str, ...] | None = None
     importance_min: float | None = None
     importance_max: float | None = None
+    project: str | None = None
+
+    def applied(self) -> dict:
+        """The filters that are set, by name."""
+        return {f.name: getattr(self, f.name) for f in fields(self) if getattr(self, f.name) is not None}
 
     def errors(self) -> list[str]:
         out = []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 
@@ -13,9 +14,11 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package to the session's Python files, once, unless workers find it by PYTHONPATH or the working directory."""
+    """Adds the package to the session's Python files, once. Only workers of a local master share the driver's PYTHONPATH and
+    working directory; where they find it there it is not added."""
     places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    if ROOT in map(os.path.abspath, filter(None, places)) or spark.sparkContext.applicationId in _shipped:
+    local = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
+    if (local and ROOT in map(os.path.abspath, filter(None, places))) or spark.sparkContext.applicationId in _shipped:
         return
     _shipped.add(spark.sparkContext.applicationId)
     folder = tempfile.mkdtemp(prefix="recollect-")

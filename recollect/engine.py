@@ -30,7 +30,13 @@ class MemoryEngine:
         return self.spark.createDataFrame([(i,) for i in ids], "id string")
 
     def remember(self, rows: DataFrame) -> MemoryEngine:
-        return replace(self, memories=dml.remember(self.memories, rows, self.now()))
+        """New memories; where the engine has embeddings, with theirs."""
+        new = dml.remember(self.memories, rows, self.now())
+        if self.embeddings is None:
+            return replace(self, memories=new)
+        e = search.dense(search.light_embedding(rows.select("id", "content")))
+        e = e.select(F.col("id").alias("memory_id"), "embedding", F.size("embedding").alias("dim"), F.lit("light").alias("model"), F.lit(self.now()).alias("created_at"))
+        return replace(self, memories=new, embeddings=self.embeddings.unionByName(e))
 
     def recall(self, queries: DataFrame, filters: Filters = Filters(), limit: int = 10, vectors: DataFrame | None = None) -> DataFrame:
         """Hybrid search if there are embeddings and query vectors, else text search."""
@@ -60,9 +66,17 @@ class MemoryEngine:
             tables["embeddings"] = (self.embeddings, ("memory_id",))
         return replace(self, **dml.cascade(tables, gone)), status
 
-    def inject(self, queries: DataFrame, budget: int = 1000, most: int = 5, filters: Filters = Filters(importance_min=0.5)) -> DataFrame:
-        """query_id, prompt of the memories that fit the token budget."""
-        hits = search.text_search(self.memories, queries, self.now(), filters, 2 * most).withColumnRenamed("score", "final_score")
+    def inject(self, queries: DataFrame, budget: int = 1000, most: int = 5, filters: Filters = Filters(importance_min=0.5), vectors: DataFrame | None = None) -> DataFrame:
+        """query_id, prompt of the memories that fit the token budget: by hybrid search, vectors before words, where there are
+        embeddings and query vectors (made from the queries' words if none are given), else by words alone."""
+        if self.embeddings is None:
+            hits = search.text_search(self.memories, queries, self.now(), filters, 2 * most).withColumnRenamed("score", "final_score")
+        else:
+            if vectors is None:
+                made = search.dense(search.light_embedding(queries.select(F.col("query_id").alias("id"), F.col("query").alias("content"))))
+                vectors = made.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+            hits = search.hybrid_search(self.memories, self.embeddings, queries, vectors, self.now(), filters, 2 * most, vector_weight=0.7, text_weight=0.3)
+            hits = hits.join(self.memories.select("id", "content", "importance"), "id")
         return context.prompt(context.inject(hits, budget, most), self.memories, queries)
 
     def inject_preset(self, queries: DataFrame, preset: str, most: int = 10) -> DataFrame:

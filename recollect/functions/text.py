@@ -213,3 +213,8 @@ def tool_category(name: Column) -> Column:
             hit = hit | F.contains(name, F.lit(p))
         out = F.when(hit, category).otherwise(out)
     return out
+
+
+def parsed_tags(text: Column) -> Column:
+    """Tags from their JSON text; an empty list where it is null or no list of texts."""
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))

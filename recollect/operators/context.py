@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.memory import MEMORY
 
 ICONS = {"working": "🧠", "episodic": "📝", "semantic": "📚", "procedural": "⚙️"}
 EXPORT_ICONS = {"working": "⚡", "episodic": "📅", "semantic": "🧠", "procedural": "🔧"}
@@ -155,6 +156,11 @@ def json_lines(m: DataFrame) -> DataFrame:
     return m.select("id", F.to_json(F.struct(*m.columns)).alias("json"))
 
 
+def from_json_lines(lines: DataFrame) -> DataFrame:
+    """Memories from their JSON (json); a line that is none gives a row of nulls, which a create call refuses."""
+    return lines.select(F.from_json("json", MEMORY).alias("m")).select("m.*")
+
+
 def exported(m: DataFrame, kind: str) -> DataFrame:
     """id and the memory as csv, json or markdown."""
     return {"csv": csv_lines, "json": json_lines, "markdown": markdown}[kind](m)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..sources.memory import MEMORY
 from ..storage import stored
+from .stats import refusals
 
 
 def remember(memories: DataFrame, new: DataFrame, as_of) -> DataFrame:
@@ -39,9 +40,26 @@ def forget_status(memories: DataFrame, commands: DataFrame, hard: bool = False,
     return _status(memories, commands, F.when(F.col("pinned"), "pinned").otherwise(done))
 
 
-def batch_result(status: DataFrame) -> DataFrame:
-    """status, ids in order, n: one row per outcome."""
-    return status.groupBy("status").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"), F.count(F.lit(1)).alias("n"))
+def batch_result(status: DataFrame, by=()) -> DataFrame:
+    """by..., status, ids in order, n: one row per outcome, of each batch where by names its columns. A batch is the 100 ids at
+    most that a call takes, so a row's ids are."""
+    return status.groupBy(*by, "status").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"), F.count(F.lit(1)).alias("n"))
+
+
+def split_batch(rows: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame, Observation]:
+    """accepted, refused, observed: new rows (id and the columns of memories) one by one. refused has errors: what is wrong with
+    a row's values, repeated (an id that comes again in the batch: the first by content stays) or exists.
+
+    observed has the numbers accepted and refused once one of the two has been written.
+    """
+    w = Window.partitionBy("id").orderBy("content")
+    known = memories.select("id", F.lit(True).alias("_known")).distinct()
+    marked = rows.withColumn("_n", F.row_number().over(w)).join(known, "id", "left")
+    errors = F.concat_ws(",", F.nullif(refusals(), F.lit("")), F.when(F.col("_n") > 1, "repeated"), F.when(F.col("_known"), "exists"))
+    seen = Observation("batch")
+    marked = marked.withColumn("errors", errors).drop("_n", "_known")
+    marked = marked.observe(seen, F.count_if(F.col("errors") == "").alias("accepted"), F.count_if(F.col("errors") != "").alias("refused"))
+    return marked.where("errors = ''").drop("errors"), marked.where("errors <> ''"), seen
 
 
 def set_pinned(memories: DataFrame, status: DataFrame, as_of) -> DataFrame:
@@ -127,11 +145,13 @@ def tag_tables(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tags, pairs.join(tags, "name").select("memory_id", "tag_id")
 
 
-def memory_links(links: DataFrame) -> DataFrame:
-    """A row per memory with its link targets by relation, in order."""
+def memory_links(links: DataFrame, part_size: int = 1000) -> DataFrame:
+    """id, part, and the memory's link targets by relation, in order, so many of each relation to a row."""
     kinds = ("cause_of", "derived_from", "duplicates", "contradicts")
+    w = Window.partitionBy("source_id", "relation_type").orderBy("target_id")
+    numbered = links.withColumn("part", F.floor((F.row_number().over(w) - 1) / part_size))
     lists = [F.array_join(F.sort_array(F.collect_list(F.when(F.col("relation_type") == k, F.col("target_id")))), ",").alias(k) for k in kinds]
-    return links.groupBy(F.col("source_id").alias("id")).agg(*lists)
+    return numbered.groupBy(F.col("source_id").alias("id"), "part").agg(*lists)
 
 
 def expired_buffers(buffers: DataFrame, as_of) -> DataFrame:

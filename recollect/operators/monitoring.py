@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -65,38 +65,101 @@ def triggered(metrics: DataFrame, limits: DataFrame) -> DataFrame:
 def cooled(alerts: DataFrame) -> DataFrame:
     """alerts without those that come before the cooldown of the last kept one of the same metric and level is over.
 
-    What is kept depends on what was kept before, so a key's alerts are gone through in order: as a sorted stream over
-    one key's rows with a state of one timestamp, never as one array.
+    An alert that no other of its key comes before within the cooldown is kept in any case, so a key's alerts fall into
+    runs, numbered without putting a key in order whole: days count the runs' beginnings and are summed up. What is
+    kept inside a run depends on what was kept before, so a run alone is gone through in order, with a state of one time.
     """
     import pandas as pd
 
     def run(frames):
-        last: dict = {}
+        last = None
         for pdf in frames:
             keep = []
-            for key, at, wait in zip(zip(pdf.metric, pdf.level, strict=True), pdf.us, pdf.cooldown, strict=True):
-                before = last.get(key)
-                ok = before is None or at - before >= wait * 1_000_000
-                keep.append(ok)
-                if ok:
-                    last[key] = at
-            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)].drop(columns="us")
+            for key, at, wait in zip(zip(pdf.metric, pdf.level, pdf.run, strict=True), pdf.us, pdf.cooldown, strict=True):
+                keep.append(last is None or last[0] != key or at - last[1] >= wait * 1_000_000)
+                if keep[-1]:
+                    last = (key, at)
+            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)].drop(columns=["us", "run"])
 
     schema = ", ".join(f"{c} {t}" for c, t in alerts.dtypes)
-    ordered = alerts.withColumn("us", F.unix_micros("ts")).repartition("metric", "level").sortWithinPartitions("metric", "level", "us", "id")
+    a = _days(alerts.withColumn("us", F.unix_micros("ts")), ("metric", "level"))
+    own = Window.partitionBy("metric", "level", "day").orderBy("us", "id")
+    before = F.coalesce(F.lag("us").over(own), F.col("last_us"))
+    a = a.withColumn("start", F.coalesce(F.col("us") - before >= F.col("cooldown").cast("long") * 1_000_000, F.lit(True)).cast("long"))
+    counts = a.groupBy("metric", "level", "day").agg(F.sum("start").alias("starts"))
+    earlier = F.coalesce(F.sum("starts").over(Window.partitionBy("metric", "level").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    a = a.join(counts.select("metric", "level", "day", earlier.alias("earlier")), ["metric", "level", "day"])
+    a = a.withColumn("run", F.col("earlier") + F.sum("start").over(own))
+    ordered = a.select(*alerts.columns, "us", "run").repartition("metric", "level", "run").sortWithinPartitions("metric", "level", "run", "us", "id")
     return ordered.mapInPandas(run, schema)
 
 
+def _days(rows: DataFrame, keys) -> DataFrame:
+    """rows (us) with day and last_us: the last time of the key before that day. A key has one row of its days in a window."""
+    d = rows.withColumn("day", F.floor(F.col("us") / 86_400_000_000))
+    last = d.groupBy(*keys, "day").agg(F.max("us").alias("last"))
+    before = last.select(*keys, "day", F.lag("last").over(Window.partitionBy(*keys).orderBy("day")).alias("last_us"))
+    return d.join(before, [*keys, "day"])
+
+
+def until_resolved(events: DataFrame) -> DataFrame:
+    """id, metric, ts of alerts over events (id, ts, metric, resolve): the first value over its threshold after each resolve
+    of the metric. While an alert is active no other is raised; of one time resolves come first.
+
+    An event's segment is the number of resolves up to it: those of earlier days from a row a day, those of its own day from
+    a window over that day. The first event of a segment is a minimum.
+    """
+    e = events.withColumn("day", F.date_trunc("day", "ts"))
+    per_day = e.groupBy("metric", "day").agg(F.count_if("resolve").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("metric").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    e = e.join(per_day.select("metric", "day", earlier.alias("earlier")), ["metric", "day"])
+    own = Window.partitionBy("metric", "day").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
+    e = e.withColumn("segment", F.col("earlier") + F.count_if("resolve").over(own)).where(~F.col("resolve"))
+    first = e.groupBy("metric", "segment").agg(F.min(F.struct("ts", "id")).alias("first"))
+    return first.select("first.id", "metric", "first.ts")
+
+
+def over_threshold(metrics: DataFrame, rules) -> DataFrame:
+    """The values (id, ts, metric, value) over their kind's threshold. rules as for first_active."""
+    return metrics.where(F.col("value") > _rule(rules, 1))
+
+
+def _rule(rules, i: int):
+    return F.coalesce(*[F.lit(r[i]) if r[0] == "*" else F.when(F.col("metric") == r[0], r[i]) for r in rules])
+
+
+def cycle(events: DataFrame, errors: DataFrame, step: str = "1 hour") -> DataFrame:
+    """start, seconds, requests, hits, lookups, errors of each window in which there was something.
+
+    events: ts, hit, lookup of requests; errors: ts. The windows of both are counted first and then joined, whichever there is.
+    """
+    w = F.window("ts", step)
+    ok = events.groupBy(w).agg(n_rows().alias("requests"), F.count_if("hit").alias("hits"), F.count_if("lookup").alias("lookups"))
+    both = ok.join(errors.groupBy(w).agg(n_rows().alias("errors")), "window", "full_outer")
+    return both.select(F.col("window.start").alias("start"), (F.unix_seconds("window.end") - F.unix_seconds("window.start")).alias("seconds"), "requests", "hits", "lookups", "errors")
+
+
+def cycle_metrics(windows: DataFrame) -> DataFrame:
+    """ts, metric, value from windows of a cycle: error_rate (% of all), throughput (a second) and cache_performance (% of
+    lookups that hit); a value of 0 is not looked at, so it gives no row."""
+    n, bad = F.coalesce("requests", F.lit(0)), F.coalesce("errors", F.lit(0))
+    rates = F.create_map(
+        F.lit("error_rate"), F.when(n + bad > 0, bad / (n + bad) * 100),
+        F.lit("throughput"), n / F.col("seconds"),
+        F.lit("cache_performance"), F.when(F.col("lookups") > 0, F.col("hits") / F.col("lookups") * 100),
+    )
+    return windows.select(F.col("start").alias("ts"), F.explode(rates).alias("metric", "value")).where("value > 0")
+
+
 def first_active(metrics: DataFrame, rules=(("*", 80.0, 90.0),)) -> DataFrame:
-    """The first value over its kind's threshold of each metric and day: while it is unresolved no other is raised.
+    """The first value over its kind's threshold of each metric and day, as if each day's alert were resolved at its end.
 
     rules: kind, threshold, value from which it is critical; the kind * stands for every metric.
     """
-    of = lambda i: F.coalesce(*[F.lit(r[i]) if r[0] == "*" else F.when(F.col("metric") == r[0], r[i]) for r in rules])
     w = Window.partitionBy("metric", "day").orderBy("ts", "id")
-    over = metrics.where(F.col("value") > of(1)).withColumn("day", F.date_trunc("day", "ts"))
+    over = over_threshold(metrics, rules).withColumn("day", F.date_trunc("day", "ts"))
     over = over.withColumn("n", F.row_number().over(w)).where("n = 1")
-    return over.select("metric", "day", "id", "value", F.when(F.col("value") > of(2), "critical").otherwise("warning").alias("severity"))
+    return over.select("metric", "day", "id", "value", F.when(F.col("value") > _rule(rules, 2), "critical").otherwise("warning").alias("severity"))
 
 
 def _since(rows: DataFrame, as_of, hours) -> DataFrame:
@@ -173,6 +236,41 @@ def slow_queries(log: DataFrame, ms: float = 50, limit: int = 10) -> DataFrame:
     return q.where(F.col("avg_ms") > ms).orderBy(F.desc("avg_ms"), "query").limit(limit)
 
 
+#: What ends a WHERE clause.
+CLAUSE = r"(?i)WHERE\s+(.+?)(?:\s+ORDER|\s+GROUP|\s+LIMIT|$)"
+
+
+def query_columns(sql: Column) -> tuple[Column, Column, Column]:
+    """The table that an SQL text reads first, the columns that its conditions are on (in order, each once) and those that it is ordered by."""
+    table = F.regexp_extract(sql, r"(?i)FROM\s+(\w+)", 1)
+    where = F.regexp_extract(sql, CLAUSE, 1)
+    conditions = F.transform(F.split(where, "AND|OR"), lambda c: F.regexp_extract(c, r"(\w+)\s*[=<>!]", 1))
+    order = F.regexp_extract(sql, r"(?i)ORDER BY\s+(.+?)(?:\s+LIMIT|$)", 1)
+    ordered = F.transform(F.split(order, ","), lambda c: F.split(F.trim(c), " ")[0])
+    some = lambda a: F.array_distinct(F.filter(a, lambda c: c != ""))
+    return table, some(conditions), some(ordered)
+
+
+def index_advice(log: DataFrame, often: int = 10, very_often: int = 50, slow_ms: float = 1000) -> DataFrame:
+    """table, columns, kind, n, time_ms, priority: which indexes a log of queries (query, time_ms) asks for.
+
+    single: a column that more than `often` runs have a condition on. combined: the columns of a query (conditions, then
+    order) whose runs take more than slow_ms together. pair: two columns that are in the conditions of more than `often` runs
+    together, for which one index serves where two would be read. Runs are counted by query first, columns and
+    pairs come from the different queries.
+    """
+    table, conditions, ordered = query_columns(F.col("query"))
+    q = log.groupBy("query").agg(n_rows().alias("n"), F.sum("time_ms").alias("time_ms"))
+    q = q.select(table.alias("table"), conditions.alias("conditions"), F.array_distinct(F.concat(conditions, ordered)).alias("all"), "n", "time_ms").where("table <> ''")
+    pairs = F.flatten(F.transform("conditions", lambda a: F.transform(F.filter("conditions", lambda b: a < b), lambda b: F.array(a, b))))
+    of = lambda columns, kind: q.select("table", F.explode(columns).alias("columns"), F.lit(kind).alias("kind"), "n", "time_ms")
+    found = of(F.transform("conditions", lambda c: F.array(c)), "single").unionByName(of(pairs, "pair"))
+    found = found.unionByName(q.where((F.size("all") > 1) & (F.col("time_ms") > slow_ms)).select("table", F.col("all").alias("columns"), F.lit("combined").alias("kind"), "n", "time_ms"))
+    sums = found.groupBy("table", F.array_join("columns", ",").alias("columns"), "kind").agg(F.sum("n").alias("n"), F.round(F.sum("time_ms"), 4).alias("time_ms"))
+    high = (F.col("kind") == "combined") | (F.col("n") > very_often)
+    return sums.where((F.col("kind") == "combined") | (F.col("n") > often)).withColumn("priority", F.when(high, "high").otherwise("medium"))
+
+
 def filter_columns(sql_log: DataFrame) -> DataFrame:
     """column_name, n, priority: how often SQL texts (query, n) filter by a column, and what an index on it would be worth."""
     found = F.regexp_extract_all("query", F.lit(r"(?:WHERE|AND|OR)\s+([a-zA-Z_.]+)\s*(?:=|<|>|IN|LIKE)"), F.lit(1))

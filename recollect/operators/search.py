@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import STOP_WORDS, TYPES, Filters, RankWeights
 from ..functions import scoring as S
 from ..functions import text as T
-from ..storage import stored
+from .vectors import vector_search
 
 
 def apply_filters(memories: DataFrame, f: Filters) -> DataFrame:
@@ -29,6 +28,7 @@ def apply_filters(memories: DataFrame, f: Filters) -> DataFrame:
         (f.tags, lambda: F.arrays_overlap("tags", F.array(*map(F.lit, f.tags)))),
         (f.importance_min, lambda: c("importance") >= f.importance_min),
         (f.importance_max, lambda: c("importance") <= f.importance_max),
+        (f.project, lambda: c("project_id") == f.project),
     ]
     for value, test in tests:
         if value is not None:
@@ -55,11 +55,6 @@ def indexed(memories: DataFrame) -> DataFrame:
     return each.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"), (F.min("pos") == 0).alias("head")).select("id", "term", "tf", "dl", "head")
 
 
-def stored_index(memories: DataFrame) -> DataFrame:
-    """The inverted index, written out in order of terms: searches read their terms' row groups."""
-    return stored(indexed(memories).sortWithinPartitions("term"), "postings")
-
-
 def postings(memories: DataFrame) -> DataFrame:
     """id, term, tf over content, tags and source."""
     return indexed(memories).select("id", "term", "tf")
@@ -75,27 +70,39 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(terms).alias("term"))
 
 
-def fts_match(posting: DataFrame, queries: DataFrame, ids: DataFrame) -> DataFrame:
+def _matching(index, terms: DataFrame) -> DataFrame:
+    """id, term, tf, dl of the terms. index: rows as from indexed(), or a stored index, which reads the terms' parts only."""
+    if isinstance(index, DataFrame):
+        return index.select("id", "term", "tf", "dl").join(terms.select("term").distinct(), "term", "left_semi")
+    return index.postings(terms)
+
+
+def fts_match(index, queries: DataFrame, ids: DataFrame) -> DataFrame:
     """query_id, id of the memories that hold all terms. A query without terms matches every id with rank 0."""
     terms = query_terms(queries)
     need = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    hits = posting.join(terms, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"))
+    hits = _matching(index, terms).join(terms, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"))
     some = hits.join(need, "query_id").where("n = need").select("query_id", "id")
     return some.unionByName(queries.join(need, "query_id", "left_anti").select("query_id").crossJoin(ids.select("id")))
 
 
-def bm25(index: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, id, bm25 of the memories that hold all terms of a query that has some. index: as from indexed()."""
+def bm25(index, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, id, bm25 of the memories that hold all terms of a query that has some. index: rows as from indexed(), or a
+    stored index, which knows the number of memories and their mean length."""
     terms = query_terms(queries)
     need = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    total = index.where("head").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("mean"))
     # Only postings of query terms go on: few, and they carry their lengths into the scores.
-    mine = index.select("id", "term", "tf", "dl").join(terms.select("term").distinct(), "term", "left_semi")
+    mine = _matching(index, terms)
     df = mine.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if isinstance(index, DataFrame):
+        total = index.where("head").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("mean"))
+        df = df.crossJoin(F.broadcast(total))  # total is one row
+    else:
+        docs, mean = index.totals()
+        df = df.withColumn("docs", F.lit(docs)).withColumn("mean", F.lit(mean).cast("double"))
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
-    weights = df.crossJoin(F.broadcast(total)).select("term", "mean", idf.alias("idf"))  # total is one row
-    scored = mine.join(weights, "term").select("id", "term", part.alias("part"))
+    scored = mine.join(df.select("term", "mean", idf.alias("idf")), "term").select("id", "term", part.alias("part"))
     out = scored.join(terms, "term").groupBy("query_id", "id").agg(F.sum("part").alias("bm25"), F.count(F.lit(1)).alias("n"))
     return out.join(need, "query_id").where("n = need").select("query_id", "id", "bm25")
 
@@ -106,7 +113,7 @@ def top(df: DataFrame, k: int, *order, by=("query_id",), name: str = "rank") ->
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
-def text_candidates(memories: DataFrame, queries: DataFrame, filters: Filters, limit: int, best_first: bool = True, index: DataFrame | None = None) -> DataFrame:
+def text_candidates(memories: DataFrame, queries: DataFrame, filters: Filters, limit: int, best_first: bool = True, index=None) -> DataFrame:
     """query_id, id, bm25, rn: three times limit matches of each query, filters first.
 
     A query without terms matches every memory alike, and with a filter of ids no query's text counts; all such queries
@@ -117,7 +124,7 @@ def text_candidates(memories: DataFrame, queries: DataFrame, filters: Filters, l
     if filters.ids is None:
         terms = query_terms(queries).select("query_id").distinct()
         every = every.join(terms, "query_id", "left_anti")
-        scored = bm25(stored_index(memories) if index is None else index, queries).join(kept, "id").select("id", "query_id", "bm25", "created_at")
+        scored = bm25(indexed(memories) if index is None else index, queries).join(kept, "id").select("id", "query_id", "bm25", "created_at")
     newest = kept.orderBy(F.desc("created_at"), "id").limit(3 * limit)
     plain = every.crossJoin(F.broadcast(newest)).select("id", "query_id", F.lit(0.0).alias("bm25"), "created_at")
     both = plain if filters.ids is not None else scored.unionByName(plain)
@@ -146,7 +153,7 @@ def with_duplication(candidates: DataFrame) -> DataFrame:
     return grouped.select("query_id", F.inline(F.transform("items", one)))
 
 
-def text_search(memories: DataFrame, queries: DataFrame, as_of, filters: Filters = Filters(), limit: int = 10, usage: str = "constant", weights: RankWeights = RankWeights(), best_first: bool = True, index: DataFrame | None = None) -> DataFrame:
+def text_search(memories: DataFrame, queries: DataFrame, as_of, filters: Filters = Filters(), limit: int = 10, usage: str = "constant", weights: RankWeights = RankWeights(), best_first: bool = True, index=None) -> DataFrame:
     """The limit best memories of each query with their features, score, reason and rank.
 
     usage: constant (as for one view), counters, or batch (counters scaled between the query's candidates). index: the stored
@@ -176,69 +183,6 @@ def text_search(memories: DataFrame, queries: DataFrame, as_of, filters: Filters
     return top(c, limit, F.desc("score"), "rn")
 
 
-def _matrix(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of an array column that have its most usual length (all of one table, as a rule), and those rows' numbers."""
-    n = np.array(pc.fill_null(pc.list_value_length(col), -1))
-    size = int(np.bincount(n[n >= 0]).argmax()) if (n >= 0).any() else 0
-    rows = np.flatnonzero(n == size)
-    return pc.take(col, pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), size), rows
-
-
-def _nearest(shared, limit: int, threshold: float, score: str):
-    """Of each batch the rows that may be among a query's limit best: blocked products with all query vectors of their size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left = batch
-            while len(left):  # one size of vector after the other
-                e, rows = _matrix(left.column("embedding"))
-                names, q = shared.value.get(e.shape[1], ((), None))
-                if len(names):
-                    dot = e @ q.T
-                    ne, nq = (e * e).sum(1), (q * q).sum(1)
-                    if score == "cosine":
-                        norm = np.sqrt(ne)[:, None] * np.sqrt(nq)[None, :]
-                        s = np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
-                    else:
-                        s = np.maximum(0.0, 1 - np.sqrt(np.maximum(0.0, ne[:, None] + nq[None, :] - 2 * dot)))
-                    s = np.round(s, 6)
-                    k = min(limit, len(e))
-                    least = np.partition(s, len(e) - k, axis=0)[len(e) - k]  # ties stay for the final order
-                    i, j = np.nonzero((s >= least) & (s >= threshold))
-                    ids = left.column("memory_id").take(pa.array(rows[i]))
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(j)), ids, pa.array(s[i, j])], ["query_id", "memory_id", "similarity"])
-                rest = np.setdiff1d(np.arange(len(left)), rows)
-                left = left.take(pa.array(rest)) if len(rows) else left.slice(0, 0)
-
-    return run
-
-
-def vector_search(embeddings: DataFrame, queries: DataFrame, limit: int = 10, threshold: float = 0.7, score: str = "cosine", most_queries: int = 4096) -> DataFrame:
-    """query_id, memory_id, similarity, rank: each query vector (query_id, vector) against all embeddings of its size.
-
-    One pass over the embeddings as blocked matrix products: the query set is a stated set, broadcast while it has at most
-    most_queries vectors; a larger set is cut into that many at a time by hash, each a pass of its own. What moves is
-    limit rows a query and batch.
-    """
-    spark = embeddings.sparkSession
-    parts = 1
-    rows = queries.select("query_id", "vector").limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        parts = -(-2 * queries.count() // most_queries)
-    out = None
-    for k in range(parts):
-        if parts > 1:
-            rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k).select("query_id", "vector").collect()
-        by_size: dict[int, list] = {}
-        for r in rows:
-            if r["vector"] is not None:
-                by_size.setdefault(len(r["vector"]), []).append(r)
-        shared = spark.sparkContext.broadcast({n: ([r["query_id"] for r in own], np.array([r["vector"] for r in own], np.float64)) for n, own in by_size.items()})
-        hits = embeddings.select("memory_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_nearest(shared, limit, threshold, score), "query_id string, memory_id string, similarity double")
-        out = hits if out is None else out.unionByName(hits)
-    return top(out, limit, F.desc("similarity"), "memory_id")
-
-
 def find_similar(memories: DataFrame, embeddings: DataFrame, ids: DataFrame, limit: int = 5, threshold: float = 0.5, exclude_self: bool = False) -> DataFrame:
     """id, similar_id, similarity, rank: for each given memory (id) the memories of its own type with the nearest embeddings.
     The memory itself is among them unless exclude_self."""
@@ -271,7 +215,7 @@ def combine(text: DataFrame, vector: DataFrame, weights: DataFrame) -> DataFrame
     both = text.join(vector, ["query_id", "id"], "full_outer").join(weights, "query_id")
     t, v = F.coalesce("text_score", F.lit(0.0)), F.coalesce("vector_score", F.lit(0.0))
     reason = S.reasons((t > 0.7, "텍스트 매칭"), (v > 0.8, "벡터 유사도"), ((t > 0.5) & (v > 0.5), "하이브리드 매칭"), other="하이브리드 검색 결과")
-    only = F.format_string("벡터 유사도: %.3f", v)
+    only = F.format_string("벡터 유사도: %.3f", F.round(v + 1e-9, 3))
     return both.select(
         "query_id", "id", t.alias("text_score"), v.alias("vector_score"),
         F.round(t * F.col("text_weight") + v * F.col("vector_weight") + 1e-9, 6).alias("final_score"),
@@ -279,7 +223,7 @@ def combine(text: DataFrame, vector: DataFrame, weights: DataFrame) -> DataFrame
     )
 
 
-def hybrid_search(memories: DataFrame, embeddings: DataFrame, queries: DataFrame, vectors: DataFrame, as_of, filters: Filters = Filters(), limit: int = 10, threshold: float = 0.5, vector_weight: float = 0.6, text_weight: float = 0.4, index: DataFrame | None = None) -> DataFrame:
+def hybrid_search(memories: DataFrame, embeddings: DataFrame, queries: DataFrame, vectors: DataFrame, as_of, filters: Filters = Filters(), limit: int = 10, threshold: float = 0.5, vector_weight: float = 0.6, text_weight: float = 0.4, index=None) -> DataFrame:
     """Text search and vector search, each for twice the limit and with all filters, joined and weighted."""
     text = text_search(memories, queries, as_of, filters, 2 * limit, index=index).select("query_id", "id", F.col("score").alias("text_score"))
     allowed = apply_filters(memories, filters).select(F.col("id").alias("memory_id"))
@@ -289,6 +233,73 @@ def hybrid_search(memories: DataFrame, embeddings: DataFrame, queries: DataFrame
     return top(out, limit, F.desc("final_score"), "id")
 
 
+def two_stage(memories: DataFrame, embeddings: DataFrame, queries: DataFrame, vectors: DataFrame, as_of, filters: Filters = Filters(), limit: int = 10, each: int = 50, threshold: float = 0.0, keep: float = 0.35, balance: float = 0.8, weights: RankWeights = RankWeights(), index=None) -> DataFrame:
+    """query_id, rank, id, score, mmr: the `each` best of both arms as candidates, scored as one, those of at least keep
+    chosen one after the other by balance * score - (1 - balance) * the largest cosine with one chosen before.
+
+    A query has twice `each` candidates at most, so the choice goes through one bounded group of a query.
+    """
+    text = text_candidates(memories, queries.join(query_terms(queries).select("query_id").distinct(), "query_id", "left_semi"), filters, -(-each // 3), index=index)
+    text = text.where(F.col("rn") <= each).select("query_id", "id")
+    kept = apply_filters(memories, filters)
+    near = vector_search(embeddings.join(kept.select(F.col("id").alias("memory_id")), "memory_id", "left_semi"), vectors.join(queries.select("query_id"), "query_id", "left_semi"), each, threshold)
+    both = text.unionByName(near.select("query_id", F.col("memory_id").alias("id"))).distinct()
+    c = both.join(kept, "id").join(queries, "query_id").join(vectors.select("query_id", "vector"), "query_id", "left")
+    c = c.join(embeddings.select(F.col("memory_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")), "id", "left")
+    w = Window.partitionBy("query_id")
+    raw = S.raw_usage(F.col("view_count"), F.col("cite_count"), F.col("edit_count"))
+    c = c.withColumn("raw_usage", raw).withColumn("cosine", F.coalesce(S.cosine(F.col("vector"), F.col("embedding")), F.lit(0.0)))
+    score = S.final_score(
+        S.relevance(F.col("query"), F.col("content"), F.col("tags"), cosine=F.col("cosine")),
+        S.recency(F.col("created_at"), F.col("type"), as_of),
+        S.importance(F.col("importance"), F.col("pinned"), F.col("type")),
+        S.batch_usage(F.col("raw_usage"), F.min("raw_usage").over(w), F.max("raw_usage").over(w)),
+        F.lit(0.0),
+        weights,
+    )
+    scored = c.select("query_id", "id", F.round(score, 6).alias("score"), "embedding").where(F.col("score") >= keep)
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id").reset_index(drop=True)
+        unit = [None if e is None or not np.linalg.norm(e) else np.asarray(e, float) / np.linalg.norm(e) for e in rows.embedding]
+        near, left, out = np.zeros(len(rows)), list(range(len(rows))), []
+        for rank in range(1, limit + 1):
+            if not left:
+                break
+            mmr = [round(balance * rows.score[i] - (1 - balance) * near[i], 6) for i in left]
+            at = max(range(len(left)), key=lambda k: (mmr[k], -k))
+            i = left.pop(at)
+            out.append((rows.query_id[i], rank, rows.id[i], rows.score[i], mmr[at]))
+            for j in left:
+                if unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]):
+                    near[j] = max(near[j], round(float(unit[i] @ unit[j]), 6))
+        return pd.DataFrame(out, columns=["query_id", "rank", "id", "score", "mmr"])
+
+    return scored.groupBy("query_id").applyInPandas(choose, "query_id string, rank int, id string, score double, mmr double")
+
+
+def keyword_search(memories: DataFrame, queries: DataFrame, index=None, filters: Filters = Filters()) -> DataFrame:
+    """query_id, id by the index where it is available, else by looking for the whole query in every text.
+
+    An index is available if it has memories. Without one each query is a scan for a substring, one after the other, so
+    that way is for few queries: their texts come to the driver.
+    """
+    kept = apply_filters(memories, filters)
+    if index is not None and index.available():
+        return fts_match(index, queries, kept).join(kept.select("id"), "id", "left_semi").select("query_id", "id")
+    out = kept.sparkSession.createDataFrame([], "query_id string, id string")
+    for r in queries.select("query_id", "query").collect():
+        out = out.unionByName(like_search(kept, r["query"]).select(F.lit(r["query_id"]).alias("query_id"), "id"))
+    return out
+
+
+def compressed(hits: DataFrame, most: int = 100, ratio: float = 0.7) -> DataFrame:
+    """Of each query's hits (rank, score) the first most / ratio, cut to the most best by score, with the number there was."""
+    wide = hits.where(F.col("rank") <= math.ceil(most / ratio))
+    n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    return top(wide.withColumn("original_count", n).drop("rank"), most, F.desc("score"), "id")
+
+
 def outer_by_union(vector: DataFrame, text: DataFrame) -> DataFrame:
     """The two arms joined as left join united with what only text has, without repeats."""
     left = vector.join(text, ["query_id", "id"], "left").select("query_id", "id", "vector_score", "text_score")
@@ -296,6 +307,14 @@ def outer_by_union(vector: DataFrame, text: DataFrame) -> DataFrame:
     return left.union(right).distinct()
 
 
+def weighted_union(vector: DataFrame, text: DataFrame, limit: int = 10, threshold: float = 0.7, vector_weight: float = 0.6, text_weight: float = 0.4) -> DataFrame:
+    """query_id, id, similarity, rank: the arms as one, weighted, cut to limit; what is below the threshold goes after the cut."""
+    both = outer_by_union(vector, text)
+    score = F.coalesce("vector_score", F.lit(0.0)) * vector_weight + F.coalesce("text_score", F.lit(0.0)) * text_weight
+    best = top(both.select("query_id", "id", F.round(score + 1e-9, 6).alias("similarity")), limit, F.desc("similarity"), "id")
+    return best.where(F.col("similarity") >= threshold)
+
+
 def light_embedding(texts: DataFrame, dims: int = 512) -> DataFrame:
     """id, bucket, weight: the hashed, weighted and normalised embedding of each text (id, content), without its zeros."""
     words = texts.select("id", F.explode(T.embedding_tokens(F.col("content"), ())).alias("word"))
@@ -326,11 +345,18 @@ def light_similarity(memories: DataFrame, queries: DataFrame, limit: int = 10, t
     return top(hits.where(F.col("similarity") >= threshold), limit, F.desc("similarity"), "id")
 
 
-def related_by_tag(memories: DataFrame, ids) -> DataFrame:
-    """id, related_id, shared for the given memories and all that share a tag, themselves included."""
-    tags = memories.select("id", F.explode(F.array_distinct("tags")).alias("tag"))
-    mine = tags.where(F.col("id").isin(*ids))
-    return mine.join(tags.withColumnRenamed("id", "related_id"), "tag").groupBy("id", "related_id").agg(F.count(F.lit(1)).alias("shared"))
+def related_by_tag(memories: DataFrame, ids: DataFrame, limit: int = 5) -> DataFrame:
+    """id, related_id, shared, rank: for each given memory (id) the limit + 1 newest that share a tag with it, itself perhaps among
+    them, and how many tags they share.
+
+    Those are among the limit + 1 newest of each of its tags, so a tag that a third of all memories have brings no more
+    rows than a rare one.
+    """
+    tags = memories.select("id", "created_at", F.array_distinct("tags").alias("tags"), F.explode(F.array_distinct("tags")).alias("tag"))
+    newest = top(tags.select("tag", F.col("id").alias("related_id"), F.col("tags").alias("others"), "created_at"), limit + 1, F.desc("created_at"), "related_id", by=("tag",)).drop("rank")
+    mine = tags.join(ids.select("id").distinct(), "id", "left_semi").select("id", "tag", "tags")
+    pairs = mine.join(newest, "tag").select("id", "related_id", "created_at", F.size(F.array_intersect("tags", "others")).alias("shared")).distinct()
+    return top(pairs, limit + 1, F.desc("created_at"), "related_id", by=("id",)).select("id", "related_id", "shared", "rank")
 
 
 def search_stats(log: DataFrame) -> DataFrame:

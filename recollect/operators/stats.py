@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -58,7 +58,15 @@ def dim_histogram(e: DataFrame) -> DataFrame:
 
 
 def model_stats(e: DataFrame) -> DataFrame:
-    return e.groupBy("model").agg(n_rows().alias("n"), F.round(F.avg("dim"), 5).alias("avg_dim"))
+    """A row of each model, the most frequent first."""
+    return e.groupBy("model").agg(n_rows().alias("n"), F.round(F.avg("dim"), 5).alias("avg_dim")).orderBy(F.desc("n"), "model")
+
+
+def dim_ids(e: DataFrame, part_size: int = 1000) -> DataFrame:
+    """dim, part, n, ids: the ids of each dimension in order, so many to a row, joined by commas."""
+    w = Window.partitionBy("dim").orderBy("memory_id")
+    numbered = e.select("dim", "memory_id", F.floor((F.row_number().over(w) - 1) / part_size).alias("part"))
+    return numbered.groupBy("dim", "part").agg(n_rows().alias("n"), F.array_join(F.sort_array(F.collect_list("memory_id")), ",").alias("ids"))
 
 
 def connectivity(m: DataFrame, e: DataFrame) -> DataFrame:
@@ -114,8 +122,8 @@ def violations(m: DataFrame, e: DataFrame, links: DataFrame, feedback: DataFrame
     return out
 
 
-def invalid_memories(m: DataFrame) -> DataFrame:
-    """id, errors of rows that a create call would refuse."""
+def refusals() -> Column:
+    """Why a create call would refuse a row, joined by commas; empty for one that it takes."""
     c = F.col
     tests = [
         (c("content").isNull() | (c("content") == ""), "content"),
@@ -123,13 +131,51 @@ def invalid_memories(m: DataFrame) -> DataFrame:
         (~c("importance").between(0, 1), "importance"),
         (~c("privacy_scope").isin(*C.SCOPES), "privacy_scope"),
     ]
-    return m.select("id", F.concat_ws(",", *[F.when(t, n) for t, n in tests]).alias("errors")).where("errors <> ''")
+    return F.concat_ws(",", *[F.when(t, n) for t, n in tests])
 
 
-def latency_stats(log: DataFrame, value: str = "time_ms") -> DataFrame:
-    """n, min, max, mean, and median and 95th percentile by rank: each is one of the values, nothing is interpolated."""
-    ranked = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-    return log.agg(n_rows().alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), 5).alias("mean"), ranked(0.5).alias("median"), F.round(ranked(0.95), 5).alias("p95"))
+def invalid_memories(m: DataFrame) -> DataFrame:
+    """id, errors of rows that a create call would refuse."""
+    return m.select("id", refusals().alias("errors")).where("errors <> ''")
+
+
+def order_statistics(rows: DataFrame, value: str, shares, by=(), bins: int = 1024) -> DataFrame:
+    """by..., share, value: of each group the value that has floor(n * share) others before it in order; nulls do not count.
+
+    Equal values are counted first. Then each rank is searched for by counts: the values' range is cut into bins, of which
+    the one that holds the rank is cut again, and only its values are put in order. No group is sorted whole.
+    """
+    keys = list(by) or ["_all"]
+    base = rows.where(F.col(value).isNotNull()).withColumn("_all", F.lit(0)).groupBy(*keys, F.col(value).alias("v")).agg(n_rows().alias("n"))
+    ends = base.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("total"))
+    share = F.explode(F.array(*[F.lit(float(x)) for x in shares]))
+    wanted = ends.select(*keys, share.alias("share"), "low", "high", "total", F.lit(0).cast("long").alias("before"))
+    rank = F.least(F.floor(F.col("total") * F.col("share")), F.col("total") - 1)
+    wanted = wanted.select(*keys, "share", "low", "high", rank.alias("rank"), "before")
+    within = Window.partitionBy(*keys, "share").rowsBetween(Window.unboundedPreceding, -1)
+    inside = (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))
+    for _ in range(2):
+        width = F.col("high") - F.col("low")
+        at = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("low")) / width * bins))).otherwise(0)
+        cut = base.join(wanted, keys).where(inside).groupBy(*keys, "share", "rank", "before", at.alias("bin"))
+        cut = cut.agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        cut = cut.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(within.orderBy("bin")), F.lit(0)))
+        held = (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n"))
+        wanted = cut.where(held).select(*keys, "share", "low", "high", "rank", "before")
+    last = base.join(wanted, keys).where(inside)
+    last = last.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(within.orderBy("v")), F.lit(0)))
+    return last.where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n"))).select(*by, "share", F.col("v").alias("value"))
+
+
+def latency_stats(log: DataFrame, value: str = "time_ms", by=()) -> DataFrame:
+    """n, least, most, mean, and median and 95th percentile by rank, of each group: the values that have floor(n / 2) and
+    floor(0.95 * n) others before them in order. Each is one of the values, nothing is interpolated."""
+    ranks = order_statistics(log, value, (0.5, 0.95), by)
+    pick = lambda p: F.max(F.when(F.col("share") == p, F.col("value")))
+    log = log.where(F.col(value).isNotNull())
+    own = log.groupBy(*by).agg(n_rows().alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), 5).alias("mean"))
+    ranks = ranks.groupBy(*by).agg(pick(0.5).alias("median"), F.round(pick(0.95), 5).alias("p95"))
+    return own.join(ranks, list(by)) if by else own.crossJoin(ranks)  # one row each
 
 
 def with_type_defaults(m: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 
 from ..config import CATEGORIES, HALF_LIFE_DAYS, LEVELS, METRICS, MONITOR_RULES, SEVERITIES, STOP_WORDS, TECHNICAL_QUERIES, TECHNICAL_WORDS, THRESHOLDS, TTL_HARD_DAYS, TTL_SOFT_DAYS, TYPE_DEFAULTS
 from ..functions.text import ACCENTED, PLAIN
-from ..sources.memory import QUERIES
+from ..sources.memory import QUERIES, TOOLS
 
 
 def _list(values) -> str:
@@ -75,7 +75,7 @@ TABLES = {
   FROM documents d LEFT JOIN used USING (doc_id)""",
     "memory_embedding": f"SELECT 'mem_' || vec_id AS memory_id, vec_id AS n, embedding::DOUBLE[] AS embedding, len(embedding)::INT AS dim, 'model_' || (label % 3) AS model, {AS_OF} - to_minutes(vec_id) AS created_at FROM embeddings",
     "embedded": "SELECT e.* FROM memory_embedding e WHERE EXISTS (SELECT 1 FROM memory_item m WHERE m.id = e.memory_id)",
-    "vectors": "SELECT 'q' || (n + 1) AS query_id, embedding AS vector FROM memory_embedding WHERE n < 3",
+    "vectors": "SELECT 'q' || (n // 20 + 1) AS query_id, embedding AS vector FROM memory_embedding WHERE n % 20 = 0",
     "feedback_event": "SELECT 'mem_' || user_id AS memory_id, CASE event_type WHEN 'view' THEN 'used' WHEN 'purchase' THEN 'helpful' WHEN 'signup' THEN 'edited' WHEN 'error' THEN 'not_helpful' WHEN 'click' THEN 'neglected' END AS event, value AS score, ts::TIMESTAMP AS created_at, event_id FROM events",
     "memory_link": """SELECT 'mem_' || first AS source_id, 'mem_' || doc_id AS target_id, 'duplicates' AS relation_type FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id > first
   UNION ALL SELECT 'mem_' || doc_id, 'mem_' || (doc_id // 2), 'derived_from' FROM documents WHERE doc_id % 2 = 0 AND doc_id > 0""",
@@ -86,6 +86,19 @@ TABLES = {
     "alert_log": "SELECT *, id % 4 = 0 AS resolved, CASE WHEN id % 4 = 0 THEN ts + to_minutes(id % 30) END AS resolved_at FROM alerts",
     "wm_buffer": f"SELECT conv_id AS session_id, {AS_OF} - to_hours(conv_id - 48) AS expires_at, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS content FROM conversations GROUP BY conv_id",
     "query_log": "SELECT item_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS query, ((item_id * 7) % 120)::DOUBLE AS time_ms FROM benchmark",
+    "asked": "SELECT query_id, query FROM queries UNION ALL SELECT 'q' || (item_id + 9), query FROM query_log",
+    "sql_log": """SELECT CASE event_id % 5 WHEN 0 THEN 'SELECT id FROM memory_item WHERE type = ' || q || event_type || q || ' AND pinned = ' || (event_id % 2) WHEN 1 THEN 'SELECT id FROM memory_item WHERE importance > 0.' || (user_id % 10) || ' ORDER BY created_at'
+  WHEN 2 THEN 'SELECT COUNT(*) FROM memory_embedding e JOIN memory_item m ON m.id = e.memory_id WHERE dim = 512 GROUP BY type'
+  WHEN 3 THEN 'SELECT id FROM feedback_event WHERE memory_id = ' || q || 'mem_' || user_id || q || ' AND event = ' || q || event_type || q || ' ORDER BY created_at DESC LIMIT 5'
+  ELSE 'SELECT id FROM memory_link UNION SELECT id FROM memory_tag WHERE source_id > ' || (event_id % 7) END AS query, value AS time_ms FROM (SELECT *, chr(39) AS q FROM events)""",
+    "tools": f"SELECT DISTINCT {_list(TOOLS)}[event_id % {len(TOOLS)} + 1] || '_' || user_id AS name, 'Runs for ' || event_type AS description FROM events",
+    "cycle": """SELECT coalesce(a.hour, b.hour) AS ts, coalesce(requests, 0) AS requests, coalesce(errors, 0) AS errors, coalesce(hits, 0) AS hits, coalesce(lookups, 0) AS lookups FROM (
+  SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) AS requests, count(*) FILTER (event_type = 'view') AS hits, count(*) FILTER (event_type IN ('view', 'click')) AS lookups FROM events WHERE event_type <> 'error' GROUP BY 1) a
+  FULL JOIN (SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY 1) b ON a.hour = b.hour""",
+    "cycle_metrics": """SELECT ts, metric, value FROM (SELECT ts, 'error_rate' AS metric, errors / (requests + errors)::DOUBLE * 100 AS value FROM cycle UNION ALL SELECT ts, 'throughput', requests / 3600::DOUBLE FROM cycle
+  UNION ALL SELECT ts, 'cache_performance', hits / lookups::DOUBLE * 100 FROM cycle WHERE lookups > 0) WHERE value > 0""",
+    "advised": """SELECT query, count(*) AS n, sum(time_ms) AS time_ms, regexp_extract(query, 'FROM (\\w+)', 1) AS "table", list_filter(['type', 'pinned', 'importance', 'dim', 'memory_id', 'event', 'source_id'],
+  lambda c: list_contains(regexp_extract_all(regexp_extract(query, 'WHERE (.+?)( ORDER| GROUP| LIMIT|$)', 1), '(\\w+) *[=<>!]', 1), c)) AS conditions, list_filter([nullif(regexp_extract(query, 'ORDER BY (\\w+)', 1), '')], lambda c: c IS NOT NULL) AS ordered FROM sql_log GROUP BY query""",
     "queries": f"SELECT * FROM (VALUES {_values(QUERIES)}) t(query_id, query)",
     "cleaned": f"SELECT query_id, query, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(trim(query), '{WHITE}', ' ', 'g'), '[^a-zA-Z0-9가-힣 ]', ' ', 'g'), ' '), lambda w: w <> '' AND NOT list_contains({STOP}, lower(w))), ' ') AS cleaned FROM queries",
     "terms": f"SELECT DISTINCT query_id, unnest({tokens('cleaned')}) AS term FROM cleaned",
@@ -118,10 +131,17 @@ TABLES = {
   CASE WHEN technical THEN 0.8 WHEN phrase THEN 0.4 WHEN short THEN 0.7 ELSE 0.6 END::DOUBLE AS v, CASE WHEN technical THEN 0.2 WHEN phrase THEN 0.6000000000000001 WHEN short THEN 0.30000000000000004 ELSE 0.4 END::DOUBLE AS t FROM (
     SELECT query_id, regexp_matches(q, '^({TECHNICAL_QUERIES})$') AS technical, len(string_split(q, ' ')) >= 3 AS phrase, length(q) <= 10 AS short FROM (
       SELECT query_id, lower(trim(regexp_replace(query, '{WHITE}', ' ', 'g'))) AS q FROM queries)))""",
-    "gone": "SELECT 'mem_' || i AS id FROM range(0, 120, 3) t(i) JOIN memory_item m ON m.id = 'mem_' || i WHERE NOT pinned",
+    "gone": "SELECT id FROM memory_item WHERE n % 3 = 0 AND NOT pinned",
+    "changed_item": "SELECT * REPLACE (CASE WHEN n % 10 = 0 THEN 'changed tion ' || content ELSE content END AS content) FROM memory_item WHERE n % 10 <> 5",
 }
 
 
+for _name in ("postings", "lengths", "bm25"):
+    TABLES[f"changed_{_name}"] = re.sub(r"\b(memory_item|postings|lengths)\b", lambda m: {"memory_item": "changed_item"}.get(m[0], f"changed_{m[0]}"), TABLES[_name])
+#: For queries over asked() in place of the fixed ones.
+ASKED = {"fixed": TABLES["queries"], "asked": TABLES["asked"].replace("FROM queries", "FROM fixed"), "queries": "SELECT * FROM asked"}
+
+
 def text_search(where: str, limit: int, usage: str) -> str:
     """Common tables candidates, features and ranked for one set of filters."""
     use = {"constant": "ln(2.0::DOUBLE) / 10", "counters": f"CASE WHEN {raw_usage()} = 0 THEN 0.1 ELSE least(1.0::DOUBLE, {raw_usage()} / 10) END", "batch": f"CASE WHEN min({raw_usage()}) OVER q = max({raw_usage()}) OVER q THEN 0.5 ELSE ({raw_usage()} - min({raw_usage()}) OVER q) / (max({raw_usage()}) OVER q - min({raw_usage()}) OVER q + 1e-6) END"}[usage]
@@ -145,20 +165,21 @@ RANKED = """SELECT query_id, rank, id, round(relevance, 5) AS relevance, round(r
 SOME = "type IN ('semantic', 'episodic')"
 
 
-def sql(body: str, extra: str = "") -> str:
-    """body with the common tables that it names, and those that they name, before it."""
+def sql(body: str, extra: str = "", over: dict | None = None) -> str:
+    """body with the common tables that it names, and those that they name, before it. over: other versions of some."""
+    tables = TABLES | (over or {})
     found: list[str] = []
     open_: set[str] = set()
 
     def need(text: str) -> None:
-        for name in TABLES:
+        for name in tables:
             if name not in found and name not in open_ and re.search(rf"(?:FROM|JOIN|,)\s+{name}(?!\w)", text):
                 open_.add(name)
-                need(TABLES[name])
+                need(tables[name])
                 found.append(name)
 
     need(extra + body)
-    parts = [f"{n} AS ({TABLES[n]})" for n in found] + ([extra] if extra else [])
+    parts = [f"{n} AS ({tables[n]})" for n in found] + ([extra] if extra else [])
     return (f"WITH {', '.join(parts)} " if parts else "") + body
 
 
@@ -178,7 +199,7 @@ CLEAN = {
     "filter_tags_any": "SELECT id, array_to_string(tags, ',') AS tags FROM memory_item WHERE list_has_any(tags, ['fr', 'src3'])",
     "filter_importance_range": "SELECT id, importance FROM memory_item WHERE importance BETWEEN 0.3::DOUBLE AND 0.6::DOUBLE",
     "recent_days": f"SELECT id, created_at FROM memory_item WHERE created_at >= {AS_OF} - INTERVAL 30 DAYS",
-    "related_by_tag": "SELECT a.id, b.id AS related_id, count(*) AS shared FROM (SELECT DISTINCT id, unnest(tags) AS tag FROM memory_item) a JOIN (SELECT DISTINCT id, unnest(tags) AS tag FROM memory_item) b USING (tag) WHERE a.id IN ('mem_5', 'mem_8') GROUP BY a.id, b.id",
+    "related_by_tag": "SELECT a.id, b.id AS related_id, len(list_intersect(a.tags, b.tags))::INT AS shared, row_number() OVER (PARTITION BY a.id ORDER BY b.created_at DESC, b.id)::INT AS rank FROM memory_item a, memory_item b WHERE a.n % 20 = 0 AND list_has_any(a.tags, b.tags) QUALIFY rank <= 6",
     "like_search": "SELECT id, type FROM memory_item WHERE (content ILIKE '%tion%' OR array_to_string(tags, ',') ILIKE '%tion%' OR source ILIKE '%tion%') AND type = 'semantic'",
     "like_search_leaky": "SELECT id, type FROM memory_item WHERE content ILIKE '%src1%' OR array_to_string(tags, ',') ILIKE '%src1%' OR source ILIKE '%src1%' AND type = 'semantic'",
     "tokens_clean": f"SELECT query_id, cleaned, lower(trim(regexp_replace(query, '{WHITE}', ' ', 'g'))) AS normal FROM cleaned",
@@ -248,14 +269,33 @@ CLEAN = {
       UNION ALL SELECT 'embedding_memory', count(*) FROM memory_embedding WHERE memory_id NOT IN (SELECT id FROM memory_item)
       UNION ALL SELECT 'link_source', count(*) FROM memory_link WHERE source_id NOT IN (SELECT id FROM memory_item) UNION ALL SELECT 'link_target', count(*) FROM memory_link WHERE target_id NOT IN (SELECT id FROM memory_item)
       UNION ALL SELECT 'feedback_memory', count(*) FROM feedback_event WHERE memory_id NOT IN (SELECT id FROM memory_item)""",
-    "query_latency": "SELECT count(*) AS n, min(time_ms) AS least, max(time_ms) AS most, round(avg(time_ms), 5) AS mean, quantile_disc(time_ms, 0.5) AS median, round(quantile_disc(time_ms, 0.95), 5) AS p95 FROM query_log",
-    "pin_next_version": f"SELECT id, pinned OR (n < 120 AND n % 4 = 0) AS pinned, CASE WHEN NOT pinned AND n < 120 AND n % 4 = 0 THEN {AS_OF} ELSE last_accessed END AS last_accessed FROM memory_item",
+    "query_latency": "SELECT n, min(time_ms) AS least, max(time_ms) AS most, round(avg(time_ms), 5) AS mean, max(time_ms) FILTER (r = floor(n * 0.5::DOUBLE)) AS median, round(max(time_ms) FILTER (r = floor(n * 0.95::DOUBLE)), 5) AS p95 FROM (SELECT time_ms, count(*) OVER () AS n, row_number() OVER (ORDER BY time_ms) - 1 AS r FROM query_log) GROUP BY n",
+    "metric_latency": "SELECT metric, n, round(min(value), 6) AS least, round(max(value), 6) AS most, round(avg(value), 5) AS mean, round(max(value) FILTER (r = floor(n * 0.5::DOUBLE)), 6) AS median, round(max(value) FILTER (r = floor(n * 0.95::DOUBLE)), 5) AS p95 FROM (SELECT metric, value, count(*) OVER (PARTITION BY metric) AS n, row_number() OVER (PARTITION BY metric ORDER BY value) - 1 AS r FROM metric_stream) GROUP BY metric, n",
+    "embedding_dim_ids": "SELECT dim, part, count(*) AS n, string_agg(memory_id, ',' ORDER BY memory_id) AS ids FROM (SELECT dim, memory_id, (row_number() OVER (PARTITION BY dim ORDER BY memory_id) - 1) // 100 AS part FROM memory_embedding) GROUP BY dim, part",
+    "index_after_changes": "SELECT id, term, tf, dl FROM changed_postings JOIN changed_lengths USING (id)",
+    "search_index_status": "SELECT true AS available, true AS table_exists, (SELECT count(*) FROM lengths) AS record_count, (SELECT round(avg(dl), 5) FROM lengths) AS mean, count(DISTINCT term) AS terms, sum(tf)::BIGINT AS tokens FROM postings",
+    "vector_index_status": "SELECT true AS available, true AS table_exists, count(*) AS record_count, 64 AS dimensions FROM embedded",
+    "create_batch": """SELECT id, concat_ws(',', nullif(concat_ws(',', CASE WHEN content IS NULL OR content = '' THEN 'content' END, CASE WHEN n % 7 = 0 THEN 'type' END, CASE WHEN importance > 1 THEN 'importance' END, CASE WHEN n % 17 = 0 THEN 'privacy_scope' END), ''),
+      CASE WHEN again > 1 THEN 'repeated' END, CASE WHEN n < 50 THEN 'exists' END) AS errors, count(*) AS n FROM (
+      SELECT *, row_number() OVER (PARTITION BY id ORDER BY content NULLS FIRST) AS again FROM (
+        SELECT id, n, CASE WHEN n % 11 = 0 THEN importance * 5 ELSE importance END AS importance, CASE WHEN n % 13 = 0 THEN '' WHEN n % 26 = 1 THEN NULL ELSE content END AS content FROM memory_item
+        UNION ALL SELECT id, n, CASE WHEN n % 11 = 0 THEN importance * 5 ELSE importance END, '~ ' || CASE WHEN n % 13 = 0 THEN '' WHEN n % 26 = 1 THEN NULL ELSE content END FROM memory_item WHERE n % 19 = 0)) GROUP BY 1, 2""",
+    "json_round_trip": "SELECT id, type, importance, pinned, created_at, array_to_string(tags, ',') AS tags, length(content) AS length FROM memory_item",
+    "tags_parse": "SELECT id, CASE WHEN n % 5 = 0 THEN '' ELSE array_to_string(tags, ',') END AS tags FROM memory_item",
+    "index_advice": """SELECT "table", columns, kind, sum(n)::BIGINT AS n, round(sum(time_ms), 4) AS time_ms, CASE WHEN kind = 'combined' OR sum(n) > 50 THEN 'high' ELSE 'medium' END AS priority FROM (
+      SELECT "table", unnest(conditions) AS columns, 'single' AS kind, n, time_ms FROM advised UNION ALL SELECT "table", array_to_string(list_sort(conditions), ','), 'pair', n, time_ms FROM advised WHERE len(conditions) = 2
+      UNION ALL SELECT "table", array_to_string(list_concat(conditions, ordered), ','), 'combined', n, time_ms FROM advised WHERE len(conditions) + len(ordered) > 1 AND time_ms > 1000) GROUP BY "table", columns, kind HAVING kind = 'combined' OR sum(n) > 10""",
+    "monitor_until_resolved": """SELECT id, metric, ts FROM (SELECT *, count(*) FILTER (resolve) OVER (PARTITION BY metric ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS segment FROM (SELECT *, id % 29 = 0 AS resolve FROM metric_stream WHERE id % 29 = 0 OR value > 80))
+      WHERE NOT resolve QUALIFY row_number() OVER (PARTITION BY metric, segment ORDER BY ts, id) = 1""",
+    "monitoring_cycle": "SELECT ts, metric, round(value, 6) AS value FROM cycle_metrics",
+    "cycle_alerts": "SELECT epoch(ts)::BIGINT AS id, metric, level, round(value, 6) AS value FROM cycle_metrics JOIN thresholds USING (metric) WHERE CASE WHEN op = 'gt' THEN value > threshold ELSE value < threshold END",
+    "pin_next_version": f"SELECT id, pinned OR n % 4 = 0 AS pinned, CASE WHEN NOT pinned AND n % 4 = 0 THEN {AS_OF} ELSE last_accessed END AS last_accessed FROM memory_item",
     "hard_delete_cascade": "SELECT 'memory_item' AS table_name, count(*) AS n FROM memory_item WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'memory_embedding', count(*) FROM memory_embedding WHERE memory_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'memory_link', count(*) FROM memory_link WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'feedback_event', count(*) FROM feedback_event WHERE memory_id NOT IN (SELECT id FROM gone)",
     "change_tags": "SELECT id, array_to_string(list_filter(CASE WHEN tags[1] = 'en' THEN [tags[1], tags[2], 'new'] ELSE [tags[1], tags[2], 'new', 'en'] END, lambda t: t <> 'src1'), ',') AS tags FROM memory_item",
     "upsert_embedding": "SELECT memory_id, CASE WHEN n % 2 = 0 THEN 'model_new' ELSE model END AS model, created_at FROM memory_embedding",
     "update_memories": "SELECT id, type, CASE WHEN type = 'working' THEN 0.9 ELSE importance END::DOUBLE AS importance FROM memory_item UNION ALL SELECT 'mem_new', NULL, 0.4",
     "link_dedup": "SELECT relation_type, count(*) AS n FROM memory_link GROUP BY relation_type",
-    "memory_links": "SELECT source_id AS id, '' AS cause_of, coalesce(string_agg(target_id, ',' ORDER BY target_id) FILTER (relation_type = 'derived_from'), '') AS derived_from, coalesce(string_agg(target_id, ',' ORDER BY target_id) FILTER (relation_type = 'duplicates'), '') AS duplicates, '' AS contradicts FROM memory_link GROUP BY source_id",
+    "memory_links": "SELECT source_id AS id, part, '' AS cause_of, coalesce(string_agg(target_id, ',' ORDER BY target_id) FILTER (relation_type = 'derived_from'), '') AS derived_from, coalesce(string_agg(target_id, ',' ORDER BY target_id) FILTER (relation_type = 'duplicates'), '') AS duplicates, '' AS contradicts FROM (SELECT *, (row_number() OVER (PARTITION BY source_id, relation_type ORDER BY target_id) - 1) // 1000 AS part FROM memory_link) GROUP BY source_id, part",
     "tag_bridge": "SELECT id AS memory_id, (dense_rank() OVER (ORDER BY tag))::INT AS tag_id, tag AS name FROM (SELECT DISTINCT id, unnest(tags) AS tag FROM memory_item)",
     "feedback_append": f"SELECT id AS memory_id, CASE WHEN importance > 0.5 THEN 'helpful' ELSE 'not_helpful' END AS event, importance AS score, {AS_OF} AS created_at FROM memory_item WHERE pinned",
     "working_ttl_cleanup": f"SELECT id, created_at FROM memory_item WHERE type = 'working' AND NOT pinned AND created_at < {AS_OF} - INTERVAL 2 DAYS",
@@ -282,9 +322,9 @@ CLEAN = {
     "monitor_rules": f"SELECT metric, date_trunc('day', ts)::TIMESTAMP AS day, id, round(value, 6) AS value, CASE WHEN value > critical THEN 'critical' ELSE 'warning' END AS severity FROM (SELECT id, ts, ['memory', 'cpu', 'database', 'query'][id % 4 + 1] AS metric, value * [1.0, 1.0, 2.0, 25.0][id % 4 + 1]::DOUBLE AS value FROM metric_stream) JOIN (VALUES {_values(MONITOR_RULES)}) r(metric, least, critical) USING (metric) WHERE value > least QUALIFY row_number() OVER (PARTITION BY metric, date_trunc('day', ts) ORDER BY ts, id) = 1",
     "latest_error_state": "SELECT category, id AS seq, severity, resolved FROM error_log QUALIFY row_number() OVER (PARTITION BY category ORDER BY ts DESC, id DESC) = 1",
     "tool_metrics": "SELECT 'tool_' || (item_id % 5) AS tool, count(*) AS executions, count(*) FILTER (item_id % 7 <> 0) AS successes, round(count(*) FILTER (item_id % 7 = 0) / count(*)::DOUBLE, 6) AS error_rate, round(avg(time_ms), 5) AS mean_ms FROM query_log GROUP BY 1",
-    "tool_categories": "SELECT name, CASE WHEN regexp_matches(name, 'memory|remember|recall') THEN 'memory' WHEN regexp_matches(name, 'search|find') THEN 'search' WHEN regexp_matches(name, 'cleanup|forget') THEN 'maintenance' WHEN regexp_matches(name, 'performance|monitor') THEN 'monitoring' ELSE 'other' END AS category FROM tools",
+    "tool_categories": "SELECT DISTINCT name, CASE WHEN regexp_matches(name, 'memory|remember|recall') THEN 'memory' WHEN regexp_matches(name, 'search|find') THEN 'search' WHEN regexp_matches(name, 'cleanup|forget') THEN 'maintenance' WHEN regexp_matches(name, 'performance|monitor') THEN 'monitoring' ELSE 'other' END AS category FROM tools",
     "tool_search": "SELECT * FROM tools WHERE contains(lower(name), 'me') OR contains(lower(description), 'me')",
-    "query_errors": "SELECT query, CASE WHEN trim(query) = '' THEN 'empty' WHEN length(query) > 1000 THEN 'too_long' WHEN regexp_matches(lower(query), '<script|javascript:|on[a-z0-9_]+[ ]*=') THEN 'forbidden' ELSE '' END AS error FROM asked",
+    "query_errors": f"SELECT id, CASE WHEN content IS NULL OR regexp_replace(content, '{WHITE}', '', 'g') = '' THEN 'empty' WHEN length(content) > 1000 THEN 'too_long' WHEN regexp_matches(lower(content), '<script|javascript:|on[a-z0-9_]+[ \\t\\n\\r]*=') THEN 'forbidden' ELSE '' END AS error FROM memory_item",
     "rank_bm25_share": value("importance * 10 / (importance * 10 + 2.0::DOUBLE)"),
     "rank_score_between": value("greatest(0.0::DOUBLE, least(1.0::DOUBLE, (importance - 0.2::DOUBLE) / (0.7::DOUBLE - 0.2::DOUBLE)))"),
     "rank_usage_by_access": value(f"coalesce(exp(-{age('last_accessed')}::DOUBLE / 30), 0.1::DOUBLE)"),
@@ -295,14 +335,14 @@ CLEAN = {
     "type_defaults": f"SELECT id, type, default_importance::DOUBLE AS default_importance, default_scope, ttl_days::INT AS ttl_days FROM memory_item LEFT JOIN (VALUES {_values([['NULL' if x is None else x for x in r] for r in TYPE_DEFAULTS]).replace(chr(39) + 'NULL' + chr(39), 'NULL')}) t(type, default_importance, default_scope, ttl_days) USING (type)",
     "table_counts": "SELECT 'memory_item' AS table_name, count(*) AS n, 13 AS n_columns FROM memory_item UNION ALL SELECT 'memory_embedding', count(*), 5 FROM memory_embedding UNION ALL SELECT 'memory_link', count(*), 3 FROM memory_link",
     "embedding_backup": "SELECT memory_id, type, content, dim, model FROM memory_embedding e JOIN memory_item m ON m.id = e.memory_id",
-    "cosine_all": "SELECT e.memory_id, CASE WHEN n % 2 = 1 THEN 0.0 ELSE greatest(0.0, round(list_dot_product(vector, embedding) / (sqrt(list_dot_product(vector, vector)) * sqrt(list_dot_product(embedding, embedding))), 6)) END AS similarity FROM embedded e, vectors v WHERE v.query_id = 'q1'",
-    "command_feedback": f"SELECT id AS memory_id, 'helpful' AS event, 3.0::DOUBLE AS score, {AS_OF} AS created_at FROM memory_item WHERE n < 120 AND n % 4 = 0 AND NOT pinned",
+    "cosine_all": "SELECT e.memory_id, CASE WHEN n % 2 = 1 THEN 0.0 ELSE greatest(0.0, round(list_dot_product(vector, embedding) / (sqrt(list_dot_product(vector, vector)) * sqrt(list_dot_product(embedding, embedding))), 6)) END AS similarity FROM embedded e, (SELECT list(x ORDER BY i) AS vector FROM (SELECT i, round(avg(embedding[i]), 6) AS x FROM embedded, range(1, 65) t(i) GROUP BY i)) v",
+    "command_feedback": f"SELECT id AS memory_id, 'helpful' AS event, 3.0::DOUBLE AS score, {AS_OF} AS created_at FROM memory_item WHERE n % 4 = 0 AND NOT pinned",
     "wm_expired": f"SELECT session_id, expires_at FROM wm_buffer WHERE expires_at <= {AS_OF}",
     "wm_snapshot": f"SELECT 'mem_wm_' || session_id AS id, 'episodic' AS type, content, {AS_OF} AS created_at FROM wm_buffer WHERE expires_at <= {AS_OF}",
     "query_slow_topk": "SELECT query, count(*) AS runs, round(avg(time_ms), 5) AS avg_ms FROM query_log GROUP BY query HAVING round(avg(time_ms), 5) > 50 ORDER BY avg_ms DESC, query LIMIT 10",
     "newest_errors": "SELECT id, severity, ts FROM error_log QUALIFY row_number() OVER (PARTITION BY severity ORDER BY ts DESC, id DESC) <= 5",
-    "query_complexity": "SELECT query, CASE WHEN p <= 1 THEN 'simple' WHEN p <= 3 THEN 'medium' ELSE 'complex' END AS complexity FROM (SELECT query, 2 * contains(query, 'JOIN')::INT + contains(query, 'GROUP BY')::INT + contains(query, 'ORDER BY')::INT + contains(query, 'HAVING')::INT + 2 * contains(query, 'UNION')::INT + 2 * (len(regexp_extract_all(query, 'SELECT')) > 1)::INT AS p FROM sql_log)",
-    "query_pattern_freq": "SELECT column_name, sum(n)::BIGINT AS n, CASE WHEN sum(n) > 50 THEN 'high' WHEN sum(n) > 10 THEN 'medium' ELSE 'low' END AS priority FROM (SELECT DISTINCT query, n, unnest(regexp_extract_all(query, '(?:WHERE|AND|OR)\\s+([a-zA-Z_.]+)\\s*(?:=|<|>|IN|LIKE)', 1)) AS column_name FROM sql_log) GROUP BY column_name",
+    "query_complexity": "SELECT query, CASE WHEN p <= 1 THEN 'simple' WHEN p <= 3 THEN 'medium' ELSE 'complex' END AS complexity FROM (SELECT DISTINCT query, 2 * contains(query, 'JOIN')::INT + contains(query, 'GROUP BY')::INT + contains(query, 'ORDER BY')::INT + contains(query, 'HAVING')::INT + 2 * contains(query, 'UNION')::INT + 2 * (len(regexp_extract_all(query, 'SELECT')) > 1)::INT AS p FROM sql_log)",
+    "query_pattern_freq": "SELECT column_name, sum(n)::BIGINT AS n, CASE WHEN sum(n) > 50 THEN 'high' WHEN sum(n) > 10 THEN 'medium' ELSE 'low' END AS priority FROM (SELECT DISTINCT query, n, unnest(regexp_extract_all(query, '(?:WHERE|AND|OR)\\s+([a-zA-Z_.]+)\\s*(?:=|<|>|IN|LIKE)', 1)) AS column_name FROM (SELECT query, count(*) AS n FROM sql_log GROUP BY query)) GROUP BY column_name",
     "extract_tags": "SELECT id, array_to_string(list_concat(list_concat(regexp_extract_all(content, '#([A-Za-z0-9_가-힣]+)', 1), regexp_extract_all(content, '@([A-Za-z0-9_가-힣]+)', 1)), regexp_extract_all(content, '([A-Za-z0-9_가-힣]+):', 1)), ',') AS tags FROM memory_item",
     "token_estimate": "SELECT id, ceil(length(content) / 4)::BIGINT AS quarter, (ceil(round(len(regexp_extract_all(content, '[a-zA-Z]+')) * 1.3, 9)) + length(regexp_replace(content, '[a-zA-Z]', '', 'g')))::BIGINT AS mixed FROM memory_item",
     "relative_time": f"SELECT id, CASE WHEN h >= 24 THEN (h // 24) || '일 전' WHEN h > 0 THEN h || '시간 전' ELSE '방금 전' END AS ago FROM (SELECT id, ((epoch_us({AS_OF}) - epoch_us(created_at)) // 3600000000)::BIGINT AS h FROM memory_item)",
@@ -314,8 +354,8 @@ CLEAN = {
 
 
 def batch_result(status: str, step: int) -> str:
-    return f"""SELECT status, string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n FROM (SELECT c.id, CASE WHEN m.id IS NULL THEN 'not_found' {status} END AS status FROM (
-  SELECT 'mem_' || i AS id FROM range(0, 120, {step}) t(i) UNION ALL SELECT 'mem_none') c LEFT JOIN memory_item m ON m.id = c.id) GROUP BY status"""
+    return f"""SELECT batch, status, string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n FROM (SELECT c.id, c.i // 100 AS batch, CASE WHEN m.id IS NULL THEN 'not_found' {status} END AS status FROM (
+  SELECT 'mem_' || n AS id, n AS i FROM memory_item WHERE n % {step} = 0 UNION ALL SELECT 'mem_x' || n, n FROM memory_item WHERE n % 100 = 0) c LEFT JOIN memory_item m ON m.id = c.id) GROUP BY batch, status"""
 
 
 def summarised(source: str) -> str:
@@ -374,25 +414,69 @@ def contexts() -> dict[str, str]:
     return out
 
 
-def oracle_sql() -> dict[str, str]:
-    from .queries import ASKED, SQL_LOG, TOOLS
+REASON = """CASE WHEN score IS NULL THEN '벡터 유사도: ' || printf('%.3f', round(similarity + 1e-9, 3)) WHEN similarity IS NULL THEN '텍스트 검색 결과'
+    ELSE coalesce(nullif(concat_ws(', ', CASE WHEN score > 0.7 THEN '텍스트 매칭' END, CASE WHEN similarity > 0.8 THEN '벡터 유사도' END, CASE WHEN score > 0.5 AND similarity > 0.5 THEN '하이브리드 매칭' END), ''), '하이브리드 검색 결과') END"""
+
+
+def hybrid(where: str) -> str:
+    """Common tables of a hybrid search under one set of filters."""
+    return f"""{text_search(where, 20, "constant")},
+near AS (SELECT query_id, memory_id AS id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, memory_id) AS k FROM vector_pairs JOIN memory_item m ON m.id = memory_id WHERE {where} AND similarity >= 0.15 QUALIFY k <= 20),
+hybrid AS (SELECT query_id, id, coalesce(score, 0.0) AS text_score, coalesce(similarity, 0.0) AS vector_score, round(coalesce(score, 0.0) * text_weight + coalesce(similarity, 0.0) * vector_weight + 1e-9, 6) AS final_score, {REASON} AS recall_reason
+  FROM ranked FULL JOIN near USING (query_id, id) JOIN weights USING (query_id))"""
+
+
+def hybrids() -> dict[str, str]:
+    """Searches that join both arms."""
+    out = {"hybrid_topk": sql("SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) AS rank, id, text_score, vector_score, final_score, recall_reason FROM hybrid QUALIFY rank <= 10", hybrid(SOME), ASKED)}
+    # Weights .7 and .3 before they are adapted.
+    cases = "CASE WHEN technical THEN {} WHEN phrase THEN {} WHEN short THEN {} ELSE {} END"
+    heavy = TABLES["weights"].replace(cases.format(0.8, 0.4, 0.7, 0.6), cases.format(0.8, 0.7 - 0.2, 0.7, 0.7)).replace(cases.format(0.2, 0.4 + 0.2, 0.4 - 0.1, 0.4), cases.format(0.2, 0.3 + 0.2, 0.3, 0.3))
+    best = """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(final_score + importance, 6) DESC, id) AS n, id, content AS text, 80 AS budget FROM (
+  SELECT h.*, m.content, m.importance FROM (SELECT * FROM hybrid QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) <= 10) h JOIN memory_item m USING (id)) QUALIFY n <= 5"""
+    items = f"items AS (SELECT query_id, n, id, summary AS text, ceil(length(summary) / 4)::BIGINT AS tokens, '' AS short, 1000000000::BIGINT AS short_tokens FROM ({summarised(best)}))"
+    chosen = sql("SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY n)::INT AS position, id, text, tokens FROM fold WHERE taken", f"{hybrid('importance >= 0.5')}, {items}, {folded('query_id', '400')}", ASKED | {"weights": heavy})
+    out["inject_hybrid"] = chosen.replace("WITH ", "WITH RECURSIVE ", 1)
+    weighted = "round(coalesce(vector_score, 0.0) * 0.6 + coalesce(text_score, 0.0) * 0.4 + 1e-9, 6)"
+    out["vec_hybrid_topk"] = sql(
+        f"""SELECT * FROM (SELECT query_id, id, {weighted} AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY {weighted} DESC, id) AS rank FROM (
+      SELECT query_id, memory_id AS id, similarity AS vector_score, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, memory_id) AS k FROM vector_pairs WHERE similarity >= 0 QUALIFY k <= 20)
+      FULL JOIN (SELECT query_id, id, round(bm25 / (bm25 + 2.0::DOUBLE), 6) AS text_score FROM bm25) USING (query_id, id) QUALIFY rank <= 10) WHERE similarity >= 0.05""",
+        over=ASKED,
+    )
+    usage = raw_usage()
+    stages = f"""kept AS (SELECT * FROM memory_item WHERE {SOME}),
+candidates AS (SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, created_at DESC, id) AS k FROM bm25 JOIN kept USING (id) QUALIFY k <= 50)
+  UNION SELECT query_id, id FROM (SELECT query_id, memory_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, memory_id) AS k FROM vector_pairs JOIN kept m ON m.id = memory_id JOIN queries USING (query_id) WHERE similarity >= 0 QUALIFY k <= 50)),
+cand AS (SELECT query_id, query, k.*, {words("content")} AS cw, embedding, coalesce(list_dot_product(vector, embedding) / (sqrt(list_dot_product(vector, vector)) * sqrt(list_dot_product(embedding, embedding))), 0.0) AS cosine
+  FROM candidates JOIN kept k USING (id) JOIN queries USING (query_id) LEFT JOIN vectors USING (query_id) LEFT JOIN (SELECT memory_id AS id, embedding FROM embedded) e USING (id)),
+scored AS (SELECT query_id, id, embedding, round(0.5::DOUBLE * relevance + 0.2::DOUBLE * recency + 0.2::DOUBLE * importance_score + 0.1::DOUBLE * usage, 6) AS score FROM (
+  SELECT query_id, id, embedding, CASE WHEN query = '' OR content = '' THEN 0.0 ELSE 0.6::DOUBLE * cosine + 0.3::DOUBLE * {bm25_simple("query", "content")} + 0.05::DOUBLE * {tag_match("query", "tags")} END AS relevance, {recency()} AS recency, {IMPORTANCE} AS importance_score,
+    CASE WHEN min({usage}) OVER q = max({usage}) OVER q THEN 0.5 ELSE ({usage} - min({usage}) OVER q) / (max({usage}) OVER q - min({usage}) OVER q + 1e-6) END AS usage FROM cand WINDOW q AS (PARTITION BY query_id)) WHERE score >= 0.35),
+sims AS (SELECT a.query_id, a.id AS a, b.id AS b, round(list_dot_product(a.embedding, b.embedding) / (sqrt(list_dot_product(a.embedding, a.embedding)) * sqrt(list_dot_product(b.embedding, b.embedding))), 6) AS sim FROM scored a JOIN scored b ON a.query_id = b.query_id AND a.id <> b.id WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL),
+picks AS (SELECT query_id, 1 AS rank, id, score, round(0.8::DOUBLE * score, 6) AS mmr, [id] AS chosen FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(0.8::DOUBLE * score, 6) DESC, id) = 1
+  UNION ALL SELECT query_id, rank + 1, id, score, mmr, list_append(chosen, id) FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY mmr DESC, id) AS k FROM (
+      SELECT p.query_id, p.rank, s.id, s.score, p.chosen, round(0.8::DOUBLE * s.score - 0.2::DOUBLE * greatest(0.0, coalesce(max(m.sim), 0.0)), 6) AS mmr FROM picks p JOIN scored s ON s.query_id = p.query_id AND NOT list_contains(p.chosen, s.id)
+      LEFT JOIN sims m ON m.query_id = p.query_id AND m.a = s.id AND list_contains(p.chosen, m.b) WHERE p.rank < 10 GROUP BY p.query_id, p.rank, s.id, s.score, p.chosen)) WHERE k = 1)"""
+    out["two_stage_recall"] = sql("SELECT query_id, rank, id, score, mmr FROM picks", stages, ASKED).replace("WITH ", "WITH RECURSIVE ", 1)
+    return out
+
 
-    quoted = ", ".join("('" + q.replace("'", "''") + f"', {n})" for q, n in SQL_LOG)
-    extras = dict.fromkeys(("query_complexity", "query_pattern_freq"), f"sql_log AS (SELECT * FROM (VALUES {quoted}) t(query, n))")
-    extras |= dict.fromkeys(("tool_categories", "tool_search"), f"tools AS (SELECT * FROM (VALUES {_values(TOOLS)}) t(name, description))")
-    extras["query_errors"] = f"asked AS (SELECT * FROM (VALUES {_values([(q,) for q in ASKED])}) t(query))"
+def oracle_sql() -> dict[str, str]:
     out = {}
     for name, body in CLEAN.items():
         if body.startswith("WITH RECURSIVE"):
             tables = sql(body[len("WITH RECURSIVE") :])
             out[name] = tables.replace("WITH ", "WITH RECURSIVE ", 1).replace(" steps AS", ", steps AS", 1)
         else:
-            out[name] = sql(body, extras.get(name, ""))
+            out[name] = sql(body, over=ASKED if name in ("tokens_clean", "adaptive_weights", "vec_text_outer_union") else None)
     for name, where, limit, usage in (("text_search_batch", SOME, 10, "constant"), ("text_search_counters", "true", 5, "counters"), ("text_search_batch_usage", "true", 5, "batch")):
         out[name] = sql(RANKED, text_search(where, limit, usage))
     text = "texts AS (SELECT id, content FROM memory_item)"
     out["word_hash_bucket"] = _embed("SELECT word, hash, abs(hash) % 512 AS bucket, round(idf, 6) AS idf FROM word_hash", text)
     out["word_hash_base36"] = _embed("SELECT word, lower(to_base(abs(hash), 36)) AS hash FROM word_hash", text)
+    out["embedding_swap"] = _embed("SELECT 'new' AS version, 512 AS dim, count(DISTINCT id) AS n, 0::BIGINT AS failed FROM cells UNION ALL SELECT 'new', 0, (SELECT count(*) FROM texts) - count(DISTINCT id), 0 FROM cells HAVING (SELECT count(*) FROM texts) > count(DISTINCT id) UNION ALL SELECT 'backup', 64, count(*), 0 FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)", text)
     out["embedding_rebuild"] = _embed("SELECT (SELECT count(*) FROM texts) AS memories, count(DISTINCT id) AS embedded, (SELECT count(*) FROM texts) - count(DISTINCT id) AS empty FROM cells", text)
     client = """(SELECT query_id, position, position || '. ' || CASE type WHEN 'working' THEN '⚡' WHEN 'episodic' THEN '📅' WHEN 'semantic' THEN '🧠' ELSE '🔧' END || ' ' || substr(content, 1, 80) || ' [' || tags[1] || ', ' || tags[2] || ']' || chr(10) || '   ' || repeat('★', round(importance * 5)::INT) || repeat('☆', 5 - round(importance * 5)::INT) || ' ' || strftime(created_at, '%Y-%m-%d %H:%M:%S') AS s
       FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, id) AS position FROM bm25 QUALIFY position <= 3) JOIN memory_item USING (id))"""
@@ -402,13 +486,9 @@ def oracle_sql() -> dict[str, str]:
     out["light_embed_sparse"] = _embed("SELECT id, bucket, round(weight, 6) AS weight FROM cells", text)
     both = "texts AS (SELECT id, content FROM memory_item UNION ALL SELECT query_id, query FROM queries)"
     out["light_similarity_topk"] = _embed(top("(SELECT q.id AS query_id, d.id, round(sum(q.weight * d.weight), 6) AS similarity FROM cells d JOIN cells q USING (bucket) WHERE q.id IN (SELECT query_id FROM queries) AND d.id NOT IN (SELECT query_id FROM queries) GROUP BY q.id, d.id)", "query_id, id, similarity", "similarity DESC, id", 10), both)
-    out["hybrid_topk"] = sql(
-        "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) AS rank, id, text_score, vector_score, final_score FROM hybrid QUALIFY rank <= 10",
-        text_search(SOME, 20, "constant") + f""",
-near AS (SELECT query_id, memory_id AS id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, memory_id) AS k FROM vector_pairs JOIN memory_item m ON m.id = memory_id WHERE {SOME} AND similarity >= 0.15 QUALIFY k <= 20),
-hybrid AS (SELECT query_id, id, coalesce(score, 0.0) AS text_score, coalesce(similarity, 0.0) AS vector_score, round(coalesce(score, 0.0) * text_weight + coalesce(similarity, 0.0) * vector_weight + 1e-9, 6) AS final_score
-  FROM ranked FULL JOIN near USING (query_id, id) JOIN weights USING (query_id))""",
-    )
+    out |= hybrids()
+    out["search_after_changes"] = sql(top("(SELECT query_id, id, round(bm25, 6) AS bm25 FROM changed_bm25)", "query_id, id, bm25", "bm25 DESC, id", 30), over=ASKED)
+    out["vector_index_exact_topk"] = out["vector_topk_many"]
     cooled = """, kept AS (SELECT id, metric, level, ts, cooldown FROM alerts QUALIFY row_number() OVER (PARTITION BY metric, level ORDER BY ts, id) = 1
   UNION ALL SELECT id, metric, level, ts, cooldown FROM (SELECT a.*, row_number() OVER (PARTITION BY a.metric, a.level ORDER BY a.ts, a.id) AS n FROM kept k JOIN alerts a ON a.metric = k.metric AND a.level = k.level AND a.ts >= k.ts + to_seconds(k.cooldown)) WHERE n = 1)
 SELECT id, metric, level FROM kept"""

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from ..config import AS_OF, MONITOR_RULES, TYPES, Filters
 from ..functions import scoring as S
 from ..functions import text as T
-from ..operators import context, dml, forgetting, monitoring, search, stats
+from ..operators import context, dml, forgetting, monitoring, reembed, search, stats
+from ..operators.index import SearchIndex
+from ..operators.vectors import VectorIndex
 from ..sources import memory as M
+from ..storage import scratch, state_of
 from . import oracle
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,29 +31,60 @@ def _on_memories(name: str, f) -> None:
     _queries[name] = lambda spark, d: f(M.memory_item(spark, d))
 
 
-#: Query vectors: the first three embeddings. Filters of the filtered searches.
+#: Filters of the filtered searches.
 SOME = Filters(types=("semantic", "episodic"))
 THRESHOLD = 0.15
 
 
-#: The stored inverted index of each folder's memories, made by the first search of a session.
-_indexes: dict[tuple[str, str], DataFrame] = {}
+#: The stored indexes of a session: by kind and folder the state of the folder's files and the index.
+_indexes: dict[tuple[str, str, str], tuple[str, SearchIndex | VectorIndex]] = {}
 
 
-def index(spark, d):
-    key = spark.sparkContext.applicationId, d
-    if key not in _indexes:
-        _indexes[key] = search.stored_index(M.memory_item(spark, d))
-    return _indexes[key]
+def _index(spark, d, kind, files, make):
+    """The index over a folder as its files are now: another one is made, and the old one deleted, once they have changed."""
+    key, state = (spark.sparkContext.applicationId, d, kind), state_of(spark, *(f"{d}/{f}.parquet" for f in files))
+    held = _indexes.get(key)
+    if held and held[0] == state:
+        return held[1]
+    if held:
+        held[1].drop()
+    _indexes[key] = state, make(scratch(spark, kind))
+    return _indexes[key][1]
+
+
+def release(spark) -> None:
+    """Deletes the session's stored indexes."""
+    for key in [k for k in _indexes if k[0] == spark.sparkContext.applicationId]:
+        _indexes.pop(key)[1].drop()
+
+
+def index(spark, d) -> SearchIndex:
+    def make(path):
+        out = SearchIndex(spark, path)
+        out.apply(M.memory_item(spark, d))
+        return out
+
+    return _index(spark, d, "search-index", ("documents",), make)
+
+
+def vector_index(spark, d) -> VectorIndex:
+    def make(path):
+        out = VectorIndex(spark, path)
+        out.rebuild(embedded(spark, d))
+        return out
+
+    return _index(spark, d, "vector-index", ("embeddings", "documents"), make)
 
 
 def vectors(spark, d):
-    e = M.memory_embedding(spark, d).where(c("memory_id").isin("mem_0", "mem_1", "mem_2"))
-    return e.select(F.concat(F.lit("q"), (F.substring("memory_id", 5, 9).cast("int") + 1).cast("string")).alias("query_id"), c("embedding").alias("vector"))
+    """Query vectors that grow with the table: every embedding whose id is divisible by 20, for q1, q2 and so on."""
+    n = F.substring("memory_id", 5, 18).cast("long")
+    e = M.memory_embedding(spark, d).where(n % 20 == 0)
+    return e.select(F.concat(F.lit("q"), (n / 20 + 1).cast("long").cast("string")).alias("query_id"), c("embedding").alias("vector"))
 
 
 def many_vectors(spark, d):
-    """Query vectors that grow with the table: every embedding whose id is divisible by 20."""
+    """The same by their own ids."""
     e = M.memory_embedding(spark, d).where(F.substring("memory_id", 5, 18).cast("long") % 20 == 0)
     return e.select(c("memory_id").alias("query_id"), c("embedding").alias("vector"))
 
@@ -73,7 +107,7 @@ _on_memories("filter_time_range", lambda m: search.apply_filters(m, Filters(time
 _on_memories("filter_tags_any", lambda m: search.apply_filters(m, Filters(tags=("fr", "src3"))).select("id", F.array_join("tags", ",").alias("tags")))
 _on_memories("filter_importance_range", lambda m: search.apply_filters(m, Filters(importance_min=0.3, importance_max=0.6)).select("id", "importance"))
 _on_memories("recent_days", lambda m: m.where(S.age_days(c("created_at"), AS_OF) <= 30).select("id", "created_at"))
-_on_memories("related_by_tag", lambda m: search.related_by_tag(m, ("mem_5", "mem_8")))
+_on_memories("related_by_tag", lambda m: search.related_by_tag(m, m.where(F.substring("id", 5, 18).cast("long") % 20 == 0)))
 _on_memories("like_search", lambda m: search.like_search(m, "tion", Filters(types=("semantic",))).select("id", "type"))
 _on_memories("like_search_leaky", lambda m: search.like_search(m, "src1", Filters(types=("semantic",)), leaky=True).select("id", "type"))
 
@@ -81,7 +115,38 @@ _on_memories("like_search_leaky", lambda m: search.like_search(m, "src1", Filter
 # Full text
 @query
 def tokens_clean(spark, d):
-    return M.queries_table(spark).select("query_id", T.clean_query(c("query")).alias("cleaned"), T.normal_query(c("query")).alias("normal"))
+    return M.asked(spark, d).select("query_id", T.clean_query(c("query")).alias("cleaned"), T.normal_query(c("query")).alias("normal"))
+
+
+def _changed(spark, d):
+    """Memories after updates of every tenth and deletions of every tenth other one, and an index that took them in as changes."""
+    m, n = M.memory_item(spark, d), F.substring("id", 5, 18).cast("long")
+    new = m.where(n % 10 == 0).withColumn("content", F.concat(F.lit("changed tion "), "content"))
+    out = SearchIndex(spark, scratch(spark, "changed-index"))
+    out.apply(m.where(n % 3 != 1))
+    out.apply(m.where(n % 3 == 1))
+    out.apply(upserts=new, deletes=m.where(n % 10 == 5))
+    return out
+
+
+@query
+def index_after_changes(spark, d):
+    """The postings of the index that took in the changes, run by run."""
+    return _changed(spark, d).postings()
+
+
+@query
+def search_after_changes(spark, d):
+    out = search.bm25(_changed(spark, d), M.asked(spark, d)).withColumn("bm25", F.round("bm25", 6))
+    return search.top(out, 30, F.desc("bm25"), "id")
+
+
+@query
+def search_index_status(spark, d):
+    """What the index says of itself, beside what is in its runs."""
+    i = index(spark, d)
+    s, (n, mean) = i.status(), i.totals()
+    return i.postings().agg(F.count_distinct("term").alias("terms"), F.sum("tf").alias("tokens")).select(F.lit(s["available"]).alias("available"), F.lit(s["table_exists"]).alias("table_exists"), F.lit(n).cast("long").alias("record_count"), F.round(F.lit(mean), 5).alias("mean"), "terms", "tokens")
 
 
 _on_memories("postings", search.postings)
@@ -165,8 +230,9 @@ def vector_topk_by_type(spark, d):
 
 @query
 def cosine_all(spark, d):
-    """Every embedding against the first; those of odd numbers are cut, so that their size differs."""
-    one = vectors(spark, d).where("query_id = 'q1'").select("vector")
+    """Every embedding against the mean vector; those of odd numbers are cut, so that their size differs."""
+    one = embedded(spark, d).select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.round(F.avg("x"), 6).alias("x"))
+    one = one.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
     e = embedded(spark, d).select("memory_id", F.when(F.substring("memory_id", 5, 18).cast("long") % 2 == 1, F.slice("embedding", 1, 8)).otherwise(c("embedding")).alias("e"))
     return e.crossJoin(F.broadcast(one)).select("memory_id", F.round(S.cosine_or_zero(c("e"), c("vector")), 6).alias("similarity"))
 
@@ -192,10 +258,42 @@ def vector_l2_similarity(spark, d):
     return search.vector_search(embedded(spark, d), vectors(spark, d), 5, -1.0, score="one_minus_l2")
 
 
+@query
+def vector_index_topk(spark, d):
+    """From the cells of an index nearest to each query, re-ranked exactly; a test measures the recall."""
+    i = vector_index(spark, d)
+    return i.search(many_vectors(spark, d), 10, THRESHOLD, probes=max(1, round(0.75 * len(i.state["cells"]))))
+
+
+@query
+def vector_index_exact_topk(spark, d):
+    """The same index, asked on until no cell can hold a better one."""
+    return vector_index(spark, d).search_exactly(many_vectors(spark, d), 10, THRESHOLD)
+
+
+@query
+def vector_index_status(spark, d):
+    return spark.createDataFrame([vector_index(spark, d).status()], "available boolean, table_exists boolean, record_count bigint, dimensions int")
+
+
+@query
+def vec_hybrid_topk(spark, d):
+    """Both arms joined, weighted and cut, and only then what is below the threshold dropped."""
+    v = search.vector_search(embedded(spark, d), vectors(spark, d), 20, 0.0).select("query_id", c("memory_id").alias("id"), c("similarity").alias("vector_score"))
+    t = search.bm25(index(spark, d), M.asked(spark, d)).select("query_id", "id", F.round(S.bm25_share(c("bm25")), 6).alias("text_score"))
+    return search.weighted_union(v, t, 10, 0.05)
+
+
+@query
+def two_stage_recall(spark, d):
+    """Candidates of both arms, scored as one, chosen one after the other for score and difference."""
+    return search.two_stage(M.memory_item(spark, d), embedded(spark, d), M.asked(spark, d), vectors(spark, d), AS_OF, SOME, index=index(spark, d))
+
+
 @query
 def vec_text_outer_union(spark, d):
     v = search.vector_search(embedded(spark, d), vectors(spark, d), 20, THRESHOLD).select("query_id", c("memory_id").alias("id"), c("similarity").alias("vector_score"))
-    t = search.bm25(index(spark, d), M.queries_table(spark)).select("query_id", "id", F.round("bm25", 6).alias("text_score"))
+    t = search.bm25(index(spark, d), M.asked(spark, d)).select("query_id", "id", F.round("bm25", 6).alias("text_score"))
     return search.outer_by_union(v, t)
 
 
@@ -240,13 +338,13 @@ def light_similarity_topk(spark, d):
 # Hybrid
 @query
 def adaptive_weights(spark, d):
-    return search.adaptive_weights(M.queries_table(spark)).select("query_id", F.round("vector_weight", 6).alias("vector_weight"), F.round("text_weight", 6).alias("text_weight"))
+    return search.adaptive_weights(M.asked(spark, d)).select("query_id", F.round("vector_weight", 6).alias("vector_weight"), F.round("text_weight", 6).alias("text_weight"))
 
 
 @query
 def hybrid_topk(spark, d):
-    out = search.hybrid_search(M.memory_item(spark, d), embedded(spark, d), M.queries_table(spark), vectors(spark, d), AS_OF, SOME, 10, THRESHOLD, index=index(spark, d))
-    return out.select("query_id", "rank", "id", "text_score", "vector_score", "final_score")
+    out = search.hybrid_search(M.memory_item(spark, d), embedded(spark, d), M.asked(spark, d), vectors(spark, d), AS_OF, SOME, 10, THRESHOLD, index=index(spark, d))
+    return out.select("query_id", "rank", "id", "text_score", "vector_score", "final_score", "recall_reason")
 
 
 @query
@@ -308,28 +406,52 @@ _queries["table_counts"] = lambda spark, d: stats.table_counts({"memory_item": M
 _queries["embedding_backup"] = lambda spark, d: stats.embedding_backup(M.memory_item(spark, d), M.memory_embedding(spark, d)).select("memory_id", "type", "content", "dim", "model")
 _on_memories("embedding_rebuild", lambda m: stats.rebuilt(m, search.light_embedding(m.select("id", "content"))))
 _queries["query_latency"] = lambda spark, d: stats.latency_stats(M.query_log(spark, d))
+_queries["metric_latency"] = lambda spark, d: stats.latency_stats(M.metric_stream(spark, d), "value", ("metric",)).select("metric", "n", F.round("least", 6).alias("least"), F.round("most", 6).alias("most"), "mean", F.round("median", 6).alias("median"), "p95")
+_queries["embedding_dim_ids"] = lambda spark, d: stats.dim_ids(M.memory_embedding(spark, d), 100)
+
+
+@query
+def embedding_swap(spark, d):
+    """Embeddings made anew from every text, verified and swapped in; what was there is the backup."""
+    m = M.memory_item(spark, d)
+    t = reembed.EmbeddingTable(spark, scratch(spark, "embedding-table"))
+    old = M.memory_embedding(spark, d).join(m.select(c("id").alias("memory_id")), "memory_id", "left_semi")
+    t.replace(old, m, 64)
+    new = search.dense(search.light_embedding(m.select("id", "content")))
+    new = new.select(c("id").alias("memory_id"), "embedding", F.size("embedding").alias("dim"), F.lit("light").alias("model"), F.lit(AS_OF).alias("created_at"))
+    report = t.replace(new, m, 512).select(F.lit("new").alias("version"), F.coalesce("dim", F.lit(0)).alias("dim"), "n", "failed")
+    return report.unionByName(t.backup().groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select(F.lit("backup").alias("version"), "dim", "n", F.lit(0).cast("long").alias("failed")))
 
 
 # Changes
-def _ids(spark, step, extra="mem_none"):
-    return spark.range(0, 120, step).select(F.concat(F.lit("mem_"), c("id").cast("string")).alias("id")).union(spark.createDataFrame([(extra,)], "id string"))
+def _ids(spark, d, step):
+    """Commands: the id of every step-th memory, and in each hundred one that does not exist."""
+    n = M.table(spark, d, "documents").select(c("doc_id").alias("n"))
+    some = n.where(c("n") % step == 0).select(F.concat(F.lit("mem_"), c("n").cast("string")).alias("id"))
+    return some.unionByName(n.where(c("n") % 100 == 0).select(F.concat(F.lit("mem_x"), c("n").cast("string")).alias("id")))
+
 
+def _batches(status):
+    """Commands come in batches of a hundred numbers."""
+    n = F.regexp_extract("id", "[0-9]+", 0).cast("long")
+    return dml.batch_result(status.withColumn("batch", F.floor(n / 100)), ("batch",))
 
-_queries["pin_batch"] = lambda spark, d: dml.batch_result(dml.pin_status(M.memory_item(spark, d), _ids(spark, 4)))
-_queries["unpin_batch"] = lambda spark, d: dml.batch_result(dml.unpin_status(M.memory_item(spark, d), _ids(spark, 17)))
-_queries["forget_batch"] = lambda spark, d: dml.batch_result(dml.forget_status(M.memory_item(spark, d), _ids(spark, 3)))
+
+_queries["pin_batch"] = lambda spark, d: _batches(dml.pin_status(M.memory_item(spark, d), _ids(spark, d, 4)))
+_queries["unpin_batch"] = lambda spark, d: _batches(dml.unpin_status(M.memory_item(spark, d), _ids(spark, d, 17)))
+_queries["forget_batch"] = lambda spark, d: _batches(dml.forget_status(M.memory_item(spark, d), _ids(spark, d, 3)))
 
 
 @query
 def pin_next_version(spark, d):
     m = M.memory_item(spark, d)
-    return dml.set_pinned(m, dml.pin_status(m, _ids(spark, 4)), AS_OF).select("id", "pinned", "last_accessed")
+    return dml.set_pinned(m, dml.pin_status(m, _ids(spark, d, 4)), AS_OF).select("id", "pinned", "last_accessed")
 
 
 @query
 def hard_delete_cascade(spark, d):
     m = M.memory_item(spark, d)
-    gone = dml.forget_status(m, _ids(spark, 3), hard=True, confirm=True).where("status = 'hard_deleted'")
+    gone = dml.forget_status(m, _ids(spark, d, 3), hard=True, confirm=True).where("status = 'hard_deleted'")
     tables = {"memory_item": (m, ("id",)), "memory_embedding": (M.memory_embedding(spark, d), ("memory_id",)), "memory_link": (M.memory_link(spark, d), ("source_id", "target_id")), "feedback_event": (M.feedback_event(spark, d), ("memory_id",))}
     out = None
     for name, df in dml.cascade(tables, gone).items():
@@ -338,6 +460,36 @@ def hard_delete_cascade(spark, d):
     return out
 
 
+@query
+def create_batch(spark, d):
+    """New rows of which some are broken by rule, each taken or refused for itself; ids below 50 exist already."""
+    m, n = M.memory_item(spark, d), F.substring("id", 5, 18).cast("long")
+    rows = m.withColumns({
+        "type": F.when(n % 7 == 0, "odd").otherwise(c("type")),
+        "importance": F.when(n % 11 == 0, c("importance") * 5).otherwise(c("importance")),
+        "content": F.when(n % 13 == 0, "").when(n % 26 == 1, None).otherwise(c("content")),
+        "privacy_scope": F.when(n % 17 == 0, "x").otherwise(c("privacy_scope")),
+    })
+    again = rows.where(n % 19 == 0).withColumn("content", F.concat(F.lit("~ "), "content"))
+    taken, refused, _ = dml.split_batch(rows.unionByName(again).select(*m.columns), m.where(n < 50))
+    return taken.select("id", F.lit("").alias("errors")).unionByName(refused.select("id", "errors")).groupBy("id", "errors").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def json_round_trip(spark, d):
+    """Memories written as JSON and read back."""
+    m = M.memory_item(spark, d)
+    return context.from_json_lines(context.json_lines(m).select("json")).select("id", "type", "importance", "pinned", "created_at", F.array_join("tags", ",").alias("tags"), F.length("content").alias("length"))
+
+
+@query
+def tags_parse(spark, d):
+    """Tags as JSON text, every fifth of them broken: those are taken for none."""
+    m, n = M.memory_item(spark, d), F.substring("id", 5, 18).cast("long")
+    text = F.when(n % 5 == 0, F.concat(F.lit("["), c("source"))).otherwise(F.to_json("tags"))
+    return m.select("id", F.array_join(T.parsed_tags(text), ",").alias("tags"))
+
+
 _on_memories("change_tags", lambda m: dml.change_tags(m, ("new", "en"), ("src1",)).select("id", F.array_join("tags", ",").alias("tags")))
 
 
@@ -380,7 +532,7 @@ def feedback_append(spark, d):
 
 @query
 def command_feedback(spark, d):
-    return dml.status_feedback(dml.pin_status(M.memory_item(spark, d), _ids(spark, 4)), AS_OF)
+    return dml.status_feedback(dml.pin_status(M.memory_item(spark, d), _ids(spark, d, 4)), AS_OF)
 
 
 _queries["wm_expired"] = lambda spark, d: dml.expired_buffers(M.wm_buffer(spark, d), AS_OF).select("session_id", "expires_at")
@@ -406,15 +558,26 @@ _queries["query_slow_topk"] = lambda spark, d: monitoring.slow_queries(M.query_l
 _queries["query_stats"] = lambda spark, d: monitoring.query_stats(M.query_log(spark, d))
 _queries["newest_errors"] = lambda spark, d: monitoring.newest(M.error_log(spark, d), 5, "severity").select("id", "severity", "ts")
 
-SQL_LOG = (
-    ("SELECT * FROM memory_item WHERE type = 'x' AND pinned = 1", 60),
-    ("SELECT id FROM memory_item WHERE type IN ('x') ORDER BY created_at", 15),
-    ("SELECT COUNT(*) FROM memory_item m JOIN memory_embedding e ON m.id = e.memory_id GROUP BY type", 5),
-    ("SELECT id FROM a UNION SELECT id FROM b WHERE importance > 0.5", 7),
-)
-_queries["query_complexity"] = lambda spark, d: monitoring.complexity(spark.createDataFrame(list(SQL_LOG), "query string, n bigint"))
-_queries["query_pattern_freq"] = lambda spark, d: monitoring.filter_columns(spark.createDataFrame(list(SQL_LOG), "query string, n bigint"))
+_queries["query_complexity"] = lambda spark, d: monitoring.complexity(M.sql_log(spark, d).select("query").distinct())
+_queries["query_pattern_freq"] = lambda spark, d: monitoring.filter_columns(M.sql_log(spark, d).groupBy("query").agg(F.count(F.lit(1)).alias("n")))
+_queries["index_advice"] = lambda spark, d: monitoring.index_advice(M.sql_log(spark, d))
+
+
+def _monitored(spark, d):
+    """Values over 80 of the metric stream; every event whose id is divisible by 29 resolves its metric's alert instead."""
+    m = M.metric_stream(spark, d).withColumn("resolve", c("id") % 29 == 0)
+    return m.where(c("resolve") | (c("value") > 80)).select("id", "ts", "metric", "resolve")
+
 
+_queries["monitor_until_resolved"] = lambda spark, d: monitoring.until_resolved(_monitored(spark, d))
+
+
+def _cycle(spark, d):
+    return monitoring.cycle(M.request_log(spark, d), M.error_log(spark, d))
+
+
+_queries["monitoring_cycle"] = lambda spark, d: monitoring.cycle_metrics(_cycle(spark, d)).withColumn("value", F.round("value", 6))
+_queries["cycle_alerts"] = lambda spark, d: monitoring.triggered(monitoring.cycle_metrics(_cycle(spark, d)).withColumn("id", F.unix_seconds("ts")), monitoring.thresholds(spark)).select("id", "metric", "level", F.round("value", 6).alias("value"))
 
 
 def _alerts(spark, d):
@@ -450,11 +613,9 @@ def tool_metrics(spark, d):
     return monitoring.tool_metrics(runs)
 
 
-TOOLS = (("remember", "Stores a memory"), ("recall", "Finds memories"), ("search_local", "Local search"), ("cleanup_all", "Cleans up"), ("forget", "Deletes"), ("performance_stats", "Shows performance"), ("pin", "Pins"))
-_queries["tool_categories"] = lambda spark, d: spark.createDataFrame(list(TOOLS), "name string, description string").select("name", T.tool_category(c("name")).alias("category"))
-_queries["tool_search"] = lambda spark, d: monitoring.find_tools(spark.createDataFrame(list(TOOLS), "name string, description string"), "Me")
-ASKED = ("what is this", "", "   ", "a <SCRIPT>x", "JavaScript: y", "x onload = 1", "only one")
-_queries["query_errors"] = lambda spark, d: spark.createDataFrame([(q,) for q in ASKED], "query string").select("query", F.coalesce(T.query_error(c("query")), F.lit("")).alias("error"))
+_queries["tool_categories"] = lambda spark, d: M.tools(spark, d).select("name", T.tool_category(c("name")).alias("category")).distinct()
+_queries["tool_search"] = lambda spark, d: monitoring.find_tools(M.tools(spark, d), "Me")
+_on_memories("query_errors", lambda m: m.select("id", F.coalesce(T.query_error(c("content")), F.lit("")).alias("error")))
 
 # Scalars and context
 _on_memories("extract_tags", lambda m: m.select("id", F.array_join(T.extracted_tags(c("content")), ",").alias("tags")))
@@ -478,6 +639,14 @@ def context_client(spark, d):
     return context.client_context(kept, m, M.queries_table(spark), "task")
 
 
+@query
+def inject_hybrid(spark, d):
+    """Injection by hybrid search, vectors before words, of twice the memories that go in."""
+    hits = search.hybrid_search(M.memory_item(spark, d), embedded(spark, d), M.asked(spark, d), vectors(spark, d), AS_OF, Filters(importance_min=0.5), 10, THRESHOLD, 0.7, 0.3, index=index(spark, d))
+    hits = hits.join(M.memory_item(spark, d).select("id", "content", "importance"), "id")
+    return context.inject(hits, 400, 5)
+
+
 _queries["inject_budget_fold"] = lambda spark, d: context.inject(_hits(spark, d), 400, 5)
 _queries["inject_prompt"] = lambda spark, d: context.prompt(context.inject(_hits(spark, d), 400, 5), M.memory_item(spark, d), M.queries_table(spark))
 _queries["context_compress"] = lambda spark, d: context.compress(_hits(spark, d), 1200, 10)

@@ -136,6 +136,41 @@ def queries_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(QUERIES), "query_id string, query string")
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, query: the fixed queries and the first three words of every benchmark item."""
+    more = query_log(spark, sf_dir).select(F.concat(F.lit("q"), (F.col("item_id") + 9).cast("string")).alias("query_id"), "query")
+    return queries_table(spark).unionByName(more)
+
+
+def sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query, time_ms: an SQL text for every event, of five kinds."""
+    n, text = F.col("event_id"), lambda x: x.cast("string")
+    kinds = [
+        F.concat(F.lit("SELECT id FROM memory_item WHERE type = '"), F.col("event_type"), F.lit("' AND pinned = "), text(n % 2)),
+        F.concat(F.lit("SELECT id FROM memory_item WHERE importance > 0."), text(F.col("user_id") % 10), F.lit(" ORDER BY created_at")),
+        F.lit("SELECT COUNT(*) FROM memory_embedding e JOIN memory_item m ON m.id = e.memory_id WHERE dim = 512 GROUP BY type"),
+        F.concat(F.lit("SELECT id FROM feedback_event WHERE memory_id = 'mem_"), text(F.col("user_id")), F.lit("' AND event = '"), F.col("event_type"), F.lit("' ORDER BY created_at DESC LIMIT 5")),
+        F.concat(F.lit("SELECT id FROM memory_link UNION SELECT id FROM memory_tag WHERE source_id > "), text(n % 7)),
+    ]
+    return table(spark, sf_dir, "events").select(F.element_at(F.array(*kinds), (n % 5 + 1).cast("int")).alias("query"), F.col("value").alias("time_ms"))
+
+
+#: The first parts of tool names.
+TOOLS = ("remember_note", "recall_all", "search_local", "find_similar", "cleanup_old", "forget_item", "performance_stats", "monitor_cpu", "pin")
+
+
+def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, description: a tool for each kind, user and type of event."""
+    name = F.concat_ws("_", _pick(TOOLS, F.col("event_id") % len(TOOLS)), F.col("user_id").cast("string"))
+    return table(spark, sf_dir, "events").select(name.alias("name"), F.concat(F.lit("Runs for "), F.col("event_type")).alias("description")).distinct()
+
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ts, hit, lookup of all events but errors: views hit, clicks look up in vain."""
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").where(kind != "error").select(F.col("ts").cast("timestamp").alias("ts"), (kind == "view").alias("hit"), kind.isin("view", "click").alias("lookup"))
+
+
 def migrated(df: DataFrame) -> DataFrame:
     """An older table with the columns it lacks, counters 0 where null."""
     spark = df.sparkSession

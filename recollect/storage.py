@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import tempfile
 import uuid
@@ -71,7 +73,62 @@ def finished(*tables: DataFrame) -> None:
             delete(t.sparkSession, path)
 
 
+def _at(spark: SparkSession, path: str):
+    """A path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at, fs = _at(spark, path)
+    fs.delete(at, True)
+
+
+def state_of(spark: SparkSession, *paths: str) -> str:
+    """A digest of names, sizes and times of all files under the paths: another one once a file has changed."""
+    found = []
+    for path in paths:
+        at, fs = _at(spark, path)
+        files = fs.listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
+
+
+class Versions:
+    """Numbered small JSON files in a folder, of which the last is current.
+
+    A commit writes a file aside and renames it, so readers see the state before or after it, never a part. There is one
+    writer at a time: a number that is taken already is refused.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def names(self, path: str | None = None) -> list[str]:
+        at, fs = _at(self.spark, path or self.path)
+        return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+    def numbers(self) -> list[int]:
+        return [int(n.removesuffix(".json")) for n in self.names() if n[0] != "." and n.endswith(".json")]
+
+    def current(self) -> dict | None:
+        numbers = self.numbers()
+        self.number = numbers[-1] if numbers else 0
+        return self.read(self.number) if numbers else None
+
+    def read(self, number: int) -> dict:
+        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.path}/{number:010d}.json").first()[0])
+
+    def commit(self, state: dict) -> int:
+        at, fs = _at(self.spark, f"{self.path}/{self.number + 1:010d}.json")
+        aside, _ = _at(self.spark, f"{self.path}/.{uuid.uuid4().hex}")
+        out = fs.create(aside)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if fs.exists(at) or not fs.rename(aside, at):
+            fs.delete(aside, False)
+            raise RuntimeError(f"version {self.number + 1} of {self.path} was written by someone else")
+        self.number += 1
+        return self.number

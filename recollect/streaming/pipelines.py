@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.index import SearchIndex
 from ..operators.search import light_embedding, postings
 
 
@@ -26,6 +27,20 @@ def ingest(memories: DataFrame, base: str, checkpoint: str, trigger: dict | None
     return memories.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def follow(changes: DataFrame, index: SearchIndex, checkpoint: str, trigger: dict | None = None):
+    """Starts a query that keeps a search index up with a stream of changes (op: upsert or delete, and a memory's columns).
+
+    Of several changes of one memory in a micro-batch its deletion counts. A micro-batch is one version of the index, by its
+    number, so one that is repeated after a failure is passed over if it was taken in.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        gone = batch.where("op = 'delete'").select("id").distinct()
+        index.apply(batch.where("op = 'upsert'").drop("op").join(gone, "id", "left_anti").dropDuplicates(["id"]), gone, number)
+
+    return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def hourly_errors(errors: DataFrame, late: str = "10 minutes") -> DataFrame:
     """severity, hour, n of a stream of errors (ts, severity); rows later than the watermark are dropped."""
     w = F.window("ts", "1 hour")

@@ -31,7 +31,7 @@ def test_settings():
 
 
 def test_korean_stop_words(spark):
-    assert len(STOP_WORDS) == len(set(STOP_WORDS)) and {"the", "이", "때문에", "개별적으로", "오이고"} <= set(STOP_WORDS)
+    assert len(STOP_WORDS) == len(set(STOP_WORDS)) == 318 and {"the", "이", "때문에", "개별적으로", "오이고", "모든 것을"} <= set(STOP_WORDS)
     assert one(spark, T.clean_query, "프로젝트 의 진행 상황에서 the 결과") == "프로젝트 진행"
 
 
