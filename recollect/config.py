@@ -104,16 +104,41 @@ PRESETS = {
 class Settings:
     """What a deployment sets; from_env reads it from variables of these names in capitals."""
 
+    server_name: str = "memory"
+    server_version: str = "0.1.0"
+    port: int = 3000
+    embedding_provider: str = "lightweight"
+    embedding_api_key: str | None = None
     embedding_dimensions: int = 512
     search_default_limit: int = 10
     search_max_limit: int = 50
+    forget_working_ttl: int = 48
+    forget_episodic_ttl: int = 2160
+    forget_semantic_ttl: int = -1
+    forget_procedural_ttl: int = -1
+    log_level: str = "info"
+    log_file: str | None = None
+    environment: str = "development"
 
     @classmethod
     def from_env(cls, env) -> "Settings":
-        return cls(**{f: int(env[f.upper()]) for f in cls.__dataclass_fields__ if f.upper() in env})
+        """Whole numbers where the default is one; a variable that is empty counts as not set."""
+        given = {f.name: env[f.name.upper()] for f in fields(cls) if env.get(f.name.upper())}
+        return cls(**{k: int(v) if isinstance(getattr(cls, k), int) else v for k, v in given.items()})
+
+    def ttl_hours(self) -> dict[str, int | None]:
+        """How long memories of each type live; None: no end."""
+        return {t: None if (h := getattr(self, f"forget_{t}_ttl")) < 0 else h for t in TYPES}
+
+    def model_info(self) -> dict:
+        """model, dimensions, max_tokens and whether it can be used: the light model always, another with a key."""
+        light = self.embedding_provider == "lightweight"
+        return {"model": "lightweight-hybrid" if light else self.embedding_provider, "dimensions": self.embedding_dimensions, "max_tokens": 8191, "available": light or bool(self.embedding_api_key)}
 
     def errors(self) -> list[str]:
         out = []
+        if self.embedding_provider != "lightweight" and not self.embedding_api_key:
+            out.append(f"embedding_api_key is required for {self.embedding_provider}")
         if self.embedding_dimensions <= 0:
             out.append("embedding_dimensions is not positive")
         if self.search_default_limit <= 0 or self.search_max_limit <= 0:
@@ -123,6 +148,19 @@ class Settings:
         return out
 
 
+def search_errors(query, limit=None, filters=None) -> list[str]:
+    """What is wrong with a search's parameters as a caller gives them: filters as a dict of lists and values."""
+    out = []
+    if not query or not isinstance(query, str):
+        out.append("query is not a text")
+    if limit is not None and (isinstance(limit, bool) or not isinstance(limit, (int, float)) or limit < 0):
+        out.append("limit is not a number from 0")
+    for name in ("type", "tags"):
+        if (filters or {}).get(name) and not isinstance(filters[name], (list, tuple)):
+            out.append(f"filters.{name} is not a list")
+    return out
+
+
 @dataclass(frozen=True)
 class RankWeights:
     relevance: float = 0.5

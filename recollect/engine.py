@@ -59,7 +59,7 @@ class MemoryEngine:
     def forget(self, *ids: str, hard: bool = False, confirm: bool = False) -> tuple[MemoryEngine, DataFrame]:
         status = dml.forget_status(self.memories, self._ids(ids), hard, confirm)
         if not hard:
-            return replace(self, memories=dml.set_pinned(self.memories, status, self.now())), status
+            return replace(self, memories=dml.set_pinned(self.memories, status.where("status <> 'pinned'"), self.now())), status
         gone = status.where("status = 'hard_deleted'").select("id")
         tables = {"memories": (self.memories, ("id",))}
         if self.embeddings is not None:

@@ -63,7 +63,7 @@ def split_batch(rows: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def set_pinned(memories: DataFrame, status: DataFrame, as_of) -> DataFrame:
-    """The next version after pin_status, unpin_status or a soft forget_status."""
+    """The next version after pin_status, unpin_status or a soft forget_status without the pinned ones, which it refuses."""
     s = status.where(F.col("status").isin("pinned", "unpinned", "soft_deleted"))
     changed = memories.join(s, "id", "left")
     return changed.withColumns(
@@ -75,7 +75,7 @@ def set_pinned(memories: DataFrame, status: DataFrame, as_of) -> DataFrame:
 
 
 def status_feedback(status: DataFrame, as_of, priority: float = 3.0) -> DataFrame:
-    """Feedback rows that the successful commands append."""
+    """Feedback rows that the successful commands append; those of forget_status come without the pinned ones, which it refuses."""
     s = F.col("status")
     event = F.when(s == "pinned", "helpful").when(s == "unpinned", "edited").when(s == "soft_deleted", "neglected")
     rows = status.select(F.col("id").alias("memory_id"), event.alias("event"), F.when(s == "pinned", priority).otherwise(0.0).alias("score"), F.lit(as_of).alias("created_at"))

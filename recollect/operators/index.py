@@ -73,9 +73,9 @@ class SearchIndex:
                 rows = rows.where(F.col("bucket").isin(self._buckets(asked))).join(asked, "term", "left_semi")
         return self._alive(rows).select("id", "term", "tf", "dl")
 
-    def available(self) -> bool:
-        """Whether there is anything to search in."""
-        return self.state["docs"] > 0
+    def available(self, source: str | None = None) -> bool:
+        """Whether there is anything to search in, and if a source is named, whether it is of that."""
+        return self.state["docs"] > 0 and source in (None, self.state.get("source"))
 
     def status(self) -> dict:
         """available, table_exists, record_count and the number of the current version."""
@@ -88,11 +88,11 @@ class SearchIndex:
     def _buckets(self, terms: DataFrame) -> list[int]:
         return [r["b"] for r in terms.select(self._bucket().alias("b")).distinct().collect()]
 
-    def apply(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None, batch: int | None = None) -> None:
+    def apply(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None, batch: int | None = None, source: str | None = None) -> None:
         """Takes in new or changed memories and deletions (id) as one version.
 
         A memory that is in both is new. batch: the number of a stream's micro-batch; one that was applied already is
-        passed over, so a repeated batch changes nothing.
+        passed over, so a repeated batch changes nothing. source: a name for the state of the tables that the index then is of.
         """
         if batch is not None and batch <= self.state["batch"]:
             return
@@ -112,6 +112,7 @@ class SearchIndex:
         run = self._write(new, None if new is None else new.where("head").select("id", "dl", F.lit(v).cast("long").alias("v")), dead.select("id", "v"), v)
         gone = dead.agg(F.count(F.lit(1)), F.sum("dl")).first()
         state = dict(self.state, runs=[*self.state["runs"], run], v=v, batch=self.state["batch"] if batch is None else batch)
+        state["source"] = source
         state["docs"] += run["docs"] - gone[0]
         state["tokens"] += run["tokens"] - (gone[1] or 0)
         self._commit(state)

@@ -225,6 +225,14 @@ def trend(metrics: DataFrame, last: int = 10) -> DataFrame:
     return ends.select("metric", F.round("first", 6).alias("first"), F.round("last", 6).alias("last"), F.when(flat, "stable").when(change > 0.1, "increasing").when(change < -0.1, "decreasing").otherwise("stable").alias("trend"))
 
 
+def performance_summary(metrics: DataFrame, alerts: DataFrame) -> DataFrame:
+    """metric, current (its last value), trend over the last ten, and how many of its alerts are active and there are."""
+    last = metrics.groupBy("metric").agg(F.round(F.max_by("value", F.struct("ts", "id")), 6).alias("current"))
+    raised = alerts.groupBy("metric").agg(F.count_if(~F.col("resolved")).alias("active"), n_rows().alias("total"))
+    out = last.join(trend(metrics).select("metric", "trend"), "metric").join(raised, "metric", "left")
+    return out.select("metric", "current", "trend", F.coalesce("active", F.lit(0)).alias("active"), F.coalesce("total", F.lit(0)).alias("total"))
+
+
 def query_stats(log: DataFrame, ms: float = 50) -> DataFrame:
     """runs, queries, avg_ms over all runs, and slow: how many queries take longer than ms on average."""
     q = log.groupBy("query").agg(n_rows().alias("n"), F.sum("time_ms").alias("sum"))

@@ -278,14 +278,34 @@ def two_stage(memories: DataFrame, embeddings: DataFrame, queries: DataFrame, ve
     return scored.groupBy("query_id").applyInPandas(choose, "query_id string, rank int, id string, score double, mmr double")
 
 
-def keyword_search(memories: DataFrame, queries: DataFrame, index=None, filters: Filters = Filters()) -> DataFrame:
+def projected(hits: DataFrame, memories: DataFrame, content: bool = True, metadata: bool = True) -> DataFrame:
+    """hits (query_id, id and scores) with their memories' columns: type, importance, created_at and final_score always; content or
+    an empty text; last_accessed, pinned, tags, source, privacy_scope and the arms' scores and the reason only as metadata."""
+    extra = [c for c in ("text_score", "vector_score", "recall_reason") if c in hits.columns]
+    scores = [F.col(c) for c in ("final_score", "score", "similarity") if c in hits.columns]
+    h = hits.select("query_id", "id", *(["rank"] if "rank" in hits.columns else []), *extra, S.first_score(*scores).alias("final_score"))
+    names = ["last_accessed", "pinned", "tags", "source", "privacy_scope"]
+    m = memories.select("id", "type", "importance", "created_at", (F.col("content") if content else F.lit("")).alias("content"), *(names if metadata else []))
+    out = h.join(m, "id")
+    return out if metadata else out.drop(*extra)
+
+
+def vector_recall(embeddings: DataFrame, queries: DataFrame, index=None, limit: int = 10, threshold: float = 0.7, probes: int = 8, source: str | None = None) -> DataFrame:
+    """query_id, memory_id, similarity, rank by the vector index where it is available (and made of the source that is
+    named), else by the exact search over all embeddings."""
+    if index is not None and index.available(source):
+        return index.search(queries, limit, threshold, probes)
+    return vector_search(embeddings, queries, limit, threshold)
+
+
+def keyword_search(memories: DataFrame, queries: DataFrame, index=None, filters: Filters = Filters(), source: str | None = None) -> DataFrame:
     """query_id, id by the index where it is available, else by looking for the whole query in every text.
 
-    An index is available if it has memories. Without one each query is a scan for a substring, one after the other, so
+    An index is available if it has memories, and where a source is named, if it was made of that. Without one each query is a scan for a substring, one after the other, so
     that way is for few queries: their texts come to the driver.
     """
     kept = apply_filters(memories, filters)
-    if index is not None and index.available():
+    if index is not None and index.available(source):
         return fts_match(index, queries, kept).join(kept.select("id"), "id", "left_semi").select("query_id", "id")
     out = kept.sparkSession.createDataFrame([], "query_id string, id string")
     for r in queries.select("query_id", "query").collect():

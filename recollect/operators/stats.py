@@ -49,6 +49,23 @@ def group_by_tags(m: DataFrame) -> DataFrame:
     return m.groupBy(key.alias("tags")).agg(n_rows().alias("n"), F.min("id").alias("first_id"))
 
 
+def grouped(m: DataFrame, key: str, part_size: int = 1000) -> DataFrame:
+    """key, part, n, ids: the memories of each value of type or scope in order, so many to a row, joined by commas."""
+    w = Window.partitionBy(key).orderBy("id")
+    numbered = m.select(F.coalesce(key, F.lit("unknown")).alias(key), "id").withColumn("part", F.floor((F.row_number().over(w) - 1) / part_size))
+    return numbered.groupBy(key, "part").agg(n_rows().alias("n"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
+
+
+def catalog(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, n, column_name, data_type: a row of each column of each table."""
+    out = None
+    for name, df in tables.items():
+        columns = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("data_type")) for c, t in df.dtypes])
+        one = df.agg(n_rows().alias("n")).select(F.lit(name).alias("table_name"), "n", F.inline(columns))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def dim_stats(e: DataFrame) -> DataFrame:
     return e.agg(n_rows().alias("n"), F.round(F.avg("dim"), 5).alias("avg_dim"), F.min("dim").alias("min_dim"), F.max("dim").alias("max_dim"), F.count_distinct("dim").alias("dims"))
 

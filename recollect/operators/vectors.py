@@ -117,13 +117,17 @@ class VectorIndex:
         self.versions = Versions(spark, f"{path}/manifest")
         self.state: dict = self.versions.current() or {}
 
-    def rebuild(self, embeddings: DataFrame, cells: int | None = None, seed: int = 7) -> None:
+    def available(self, source: str | None = None) -> bool:
+        """Whether there are vectors to search, and if a source is named, whether they are of that."""
+        return self.status()["available"] and source in (None, self.state.get("source"))
+
+    def rebuild(self, embeddings: DataFrame, cells: int | None = None, seed: int = 7, source: str | None = None) -> None:
         """Writes all embeddings (memory_id, embedding) of the most frequent size; rows without a vector or of norm 0 are left out."""
         e = embeddings.select("memory_id", F.col("embedding").cast("array<double>").alias("embedding"))
         e = e.withColumn("norm", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))).where("norm > 0 and not isnan(norm)")
         sizes = e.groupBy(F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("size")).limit(1).collect()
         if not sizes:
-            self._commit({"count": 0, "dimensions": 0, "cells": []})
+            self._commit({"count": 0, "dimensions": 0, "cells": [], "source": source})
             return
         size, n = sizes[0]["size"], sizes[0]["n"]
         unit = e.where(F.size("embedding") == size).select("memory_id", F.transform("embedding", lambda x: x / F.col("norm")).alias("embedding"))
@@ -148,7 +152,7 @@ class VectorIndex:
             rows = rows.hint("rebalance", "cell").sortWithinPartitions("cell")
             blocks(rows, "memory_id", "embedding", "cell").write.partitionBy("cell").parquet(base)
         shared.unpersist()
-        self._commit({"build": name, "count": n, "dimensions": size, "cells": self._summary(base, centres)})
+        self._commit({"build": name, "count": n, "dimensions": size, "cells": self._summary(base, centres), "source": source})
 
     def _summary(self, base: str, centres: np.ndarray) -> list[dict]:
         """Each cell's centre, number of vectors and least cosine to the direction of the centre."""

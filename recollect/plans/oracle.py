@@ -61,6 +61,10 @@ def bm25_simple(query: str, content: str) -> str:
     )
 
 
+#: How a title of 20 characters meets a query of several words.
+TITLE = "CASE WHEN substr(content, 1, 20) = '' THEN 0.0 WHEN lower(substr(content, 1, 20)) = 'the of tion tion' THEN 1.0 WHEN starts_with(lower(substr(content, 1, 20)), 'the of tion tion') THEN 0.5 WHEN list_has_any(list_transform(range(1, 15), lambda i: substr('the of tion tion', i, 3)), list_transform(range(1, length(substr(content, 1, 20)) - 1), lambda i: substr(lower(substr(content, 1, 20)), i, 3))) THEN 0.2 ELSE 0.0 END"
+
+
 def tag_match(query: str, tags: str) -> str:
     return f"CASE WHEN len({tags}) = 0 THEN 0.0::DOUBLE ELSE {jaccard(words(query), f'list_transform({tags}, lambda t: lower(t))')} END"
 
@@ -272,6 +276,20 @@ CLEAN = {
     "query_latency": "SELECT n, min(time_ms) AS least, max(time_ms) AS most, round(avg(time_ms), 5) AS mean, max(time_ms) FILTER (r = floor(n * 0.5::DOUBLE)) AS median, round(max(time_ms) FILTER (r = floor(n * 0.95::DOUBLE)), 5) AS p95 FROM (SELECT time_ms, count(*) OVER () AS n, row_number() OVER (ORDER BY time_ms) - 1 AS r FROM query_log) GROUP BY n",
     "metric_latency": "SELECT metric, n, round(min(value), 6) AS least, round(max(value), 6) AS most, round(avg(value), 5) AS mean, round(max(value) FILTER (r = floor(n * 0.5::DOUBLE)), 6) AS median, round(max(value) FILTER (r = floor(n * 0.95::DOUBLE)), 5) AS p95 FROM (SELECT metric, value, count(*) OVER (PARTITION BY metric) AS n, row_number() OVER (PARTITION BY metric ORDER BY value) - 1 AS r FROM metric_stream) GROUP BY metric, n",
     "embedding_dim_ids": "SELECT dim, part, count(*) AS n, string_agg(memory_id, ',' ORDER BY memory_id) AS ids FROM (SELECT dim, memory_id, (row_number() OVER (PARTITION BY dim ORDER BY memory_id) - 1) // 100 AS part FROM memory_embedding) GROUP BY dim, part",
+    "group_by_type": "SELECT type, part, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT type, id, (row_number() OVER (PARTITION BY type ORDER BY id) - 1) // 100 AS part FROM memory_item) GROUP BY type, part",
+    "group_by_scope": "SELECT privacy_scope, part, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT privacy_scope, id, (row_number() OVER (PARTITION BY privacy_scope ORDER BY id) - 1) // 100 AS part FROM memory_item) GROUP BY privacy_scope, part",
+    "catalog_columns": """SELECT table_name, n, unnest(string_split(names, ' ')) AS column_name, unnest(string_split(kinds, ' ')) AS data_type FROM (
+      SELECT 'memory_item' AS table_name, count(*) AS n, 'id type content importance privacy_scope created_at last_accessed pinned tags source view_count cite_count edit_count' AS names, 'string string string double string timestamp timestamp boolean array<string> string bigint bigint bigint' AS kinds FROM memory_item
+      UNION ALL SELECT 'memory_embedding', count(*), 'memory_id embedding dim model created_at', 'string array<double> int string timestamp' FROM memory_embedding
+      UNION ALL SELECT 'memory_link', count(*), 'source_id target_id relation_type', 'string string string' FROM memory_link)""",
+    "forget_ranking": "SELECT id, forget_score FROM features ORDER BY forget_score DESC, id LIMIT 100",
+    "unpin_and_forget_feedback": f"SELECT id AS memory_id, 'edited' AS event, 0.0::DOUBLE AS score, {AS_OF} AS created_at FROM memory_item WHERE n % 17 = 0 AND pinned AND importance <= 0.8 UNION ALL SELECT id, 'neglected', 0.0, {AS_OF} FROM memory_item WHERE n % 3 = 0 AND NOT pinned",
+    "vector_hits_with_metadata": "SELECT query_id, rank, id, type, importance, created_at, content, pinned, last_accessed, array_to_string(tags, ',') AS tags, source, privacy_scope, similarity AS final_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, memory_id) AS rank FROM vector_pairs WHERE similarity >= 0.15 QUALIFY rank <= 5) v JOIN memory_item m ON m.id = v.memory_id",
+    "compressed_search": "SELECT query_id, id, score, original_count, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, importance AS score, count(*) OVER (PARTITION BY query_id) AS original_count FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, id) AS k FROM bm25 QUALIFY k <= 15) JOIN memory_item USING (id)) QUALIFY rank <= 10",
+    "relevance_full": f"SELECT id, round(CASE WHEN content = '' THEN 0.0::DOUBLE ELSE 0.6::DOUBLE * list_dot_product(embedding, list_reverse(embedding)) / list_dot_product(embedding, embedding) + 0.3::DOUBLE * {bm25_simple("'the of tion tion'", 'content')} + 0.05::DOUBLE * {tag_match("'the of tion tion'", 'tags')} + 0.05::DOUBLE * {TITLE} END, 6) AS value FROM (SELECT *, {words('content')} AS cw FROM memory_item JOIN (SELECT memory_id AS id, embedding FROM memory_embedding) USING (id))",
+    "performance_summary": """SELECT metric, current, trend, coalesce(active, 0) AS active, coalesce(total, 0) AS total FROM (SELECT metric, round(max_by(value, (ts, id)), 6) AS current FROM metric_stream GROUP BY metric) JOIN (
+      SELECT metric, CASE WHEN points < 2 OR first = 0 THEN 'stable' WHEN (last - first) / first > 0.1 THEN 'increasing' WHEN (last - first) / first < -0.1 THEN 'decreasing' ELSE 'stable' END AS trend FROM (SELECT metric, max_by(value, n) AS first, min_by(value, n) AS last, count(*) AS points FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY ts DESC, id DESC) AS n FROM metric_stream) WHERE n <= 10 GROUP BY metric)) USING (metric)
+      LEFT JOIN (SELECT metric, count(*) FILTER (NOT resolved) AS active, count(*) AS total FROM alert_log GROUP BY metric) USING (metric)""",
     "index_after_changes": "SELECT id, term, tf, dl FROM changed_postings JOIN changed_lengths USING (id)",
     "search_index_status": "SELECT true AS available, true AS table_exists, (SELECT count(*) FROM lengths) AS record_count, (SELECT round(avg(dl), 5) FROM lengths) AS mean, count(DISTINCT term) AS terms, sum(tf)::BIGINT AS tokens FROM postings",
     "vector_index_status": "SELECT true AS available, true AS table_exists, count(*) AS record_count, 64 AS dimensions FROM embedded",
@@ -429,6 +447,7 @@ hybrid AS (SELECT query_id, id, coalesce(score, 0.0) AS text_score, coalesce(sim
 def hybrids() -> dict[str, str]:
     """Searches that join both arms."""
     out = {"hybrid_topk": sql("SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) AS rank, id, text_score, vector_score, final_score, recall_reason FROM hybrid QUALIFY rank <= 10", hybrid(SOME), ASKED)}
+    out["recall_without_metadata"] = sql("SELECT query_id, id, rank, final_score, type, importance, created_at, '' AS content FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) AS rank, id, final_score FROM hybrid QUALIFY rank <= 10) JOIN memory_item USING (id)", hybrid(SOME), ASKED)
     # Weights .7 and .3 before they are adapted.
     cases = "CASE WHEN technical THEN {} WHEN phrase THEN {} WHEN short THEN {} ELSE {} END"
     heavy = TABLES["weights"].replace(cases.format(0.8, 0.4, 0.7, 0.6), cases.format(0.8, 0.7 - 0.2, 0.7, 0.7)).replace(cases.format(0.2, 0.4 + 0.2, 0.4 - 0.1, 0.4), cases.format(0.2, 0.3 + 0.2, 0.3, 0.3))
@@ -470,7 +489,7 @@ def oracle_sql() -> dict[str, str]:
             tables = sql(body[len("WITH RECURSIVE") :])
             out[name] = tables.replace("WITH ", "WITH RECURSIVE ", 1).replace(" steps AS", ", steps AS", 1)
         else:
-            out[name] = sql(body, over=ASKED if name in ("tokens_clean", "adaptive_weights", "vec_text_outer_union") else None)
+            out[name] = sql(body, over=ASKED if name in ("tokens_clean", "adaptive_weights", "vec_text_outer_union", "compressed_search") else None)
     for name, where, limit, usage in (("text_search_batch", SOME, 10, "constant"), ("text_search_counters", "true", 5, "counters"), ("text_search_batch_usage", "true", 5, "batch")):
         out[name] = sql(RANKED, text_search(where, limit, usage))
     text = "texts AS (SELECT id, content FROM memory_item)"

@@ -48,7 +48,7 @@ def _index(spark, d, kind, files, make):
         return held[1]
     if held:
         held[1].drop()
-    _indexes[key] = state, make(scratch(spark, kind))
+    _indexes[key] = state, make(scratch(spark, kind), state)
     return _indexes[key][1]
 
 
@@ -59,18 +59,18 @@ def release(spark) -> None:
 
 
 def index(spark, d) -> SearchIndex:
-    def make(path):
+    def make(path, state):
         out = SearchIndex(spark, path)
-        out.apply(M.memory_item(spark, d))
+        out.apply(M.memory_item(spark, d), source=state)
         return out
 
     return _index(spark, d, "search-index", ("documents",), make)
 
 
 def vector_index(spark, d) -> VectorIndex:
-    def make(path):
+    def make(path, state):
         out = VectorIndex(spark, path)
-        out.rebuild(embedded(spark, d))
+        out.rebuild(embedded(spark, d), source=state)
         return out
 
     return _index(spark, d, "vector-index", ("embeddings", "documents"), make)
@@ -335,6 +335,33 @@ def light_similarity_topk(spark, d):
     return search.light_similarity(M.memory_item(spark, d), M.queries_table(spark), 10)
 
 
+@query
+def vector_hits_with_metadata(spark, d):
+    """Nearest memories with what is known of them."""
+    hits = search.vector_search(embedded(spark, d), vectors(spark, d), 5, THRESHOLD).withColumnRenamed("memory_id", "id")
+    out = search.projected(hits, M.memory_item(spark, d))
+    return out.select("query_id", "rank", "id", "type", "importance", "created_at", "content", "pinned", "last_accessed", F.array_join("tags", ",").alias("tags"), "source", "privacy_scope", "final_score")
+
+
+@query
+def recall_without_metadata(spark, d):
+    hits = search.hybrid_search(M.memory_item(spark, d), embedded(spark, d), M.asked(spark, d), vectors(spark, d), AS_OF, SOME, 10, THRESHOLD, index=index(spark, d))
+    return search.projected(hits, M.memory_item(spark, d), content=False, metadata=False)
+
+
+@query
+def compressed_search(spark, d):
+    """Of each query's first 15 by words the ten best by their importance."""
+    hits = search.top(search.bm25(index(spark, d), M.asked(spark, d)).withColumn("bm25", F.round("bm25", 6)), 100, F.desc("bm25"), "id")
+    hits = hits.join(M.memory_item(spark, d).select("id", c("importance").alias("score")), "id").select("query_id", "id", "rank", "score")
+    return search.compressed(hits, 10, 0.7)
+
+
+_queries["relevance_full"] = lambda spark, d: M.memory_item(spark, d).join(M.memory_embedding(spark, d).select(c("memory_id").alias("id"), "embedding"), "id").select(
+    "id", F.round(S.relevance(F.lit("the of tion tion"), c("content"), c("tags"), F.substring("content", 1, 20), S.cosine(c("embedding"), F.reverse("embedding"))), 6).alias("value")
+)
+
+
 # Hybrid
 @query
 def adaptive_weights(spark, d):
@@ -357,6 +384,7 @@ def search_stats(spark, d):
 _on_memories("forget_features", lambda m: forgetting.features(m.where("not pinned"), AS_OF).select("id", F.round("recency", 6).alias("recency"), F.round("usage", 6).alias("usage"), F.round("duplication_ratio", 6).alias("duplication_ratio"), "forget_score"))
 _on_memories("forget_candidates", lambda m: forgetting.reason(forgetting.features(m.where("not pinned"), AS_OF)).where("forget_score >= 0.6").select("id", "type", "forget_score", "reason"))
 _on_memories("cleanup_actions", lambda m: forgetting.cleanup(m, AS_OF, 0.6, 0.62).select("id", "forget_score", "soft", "hard", "review"))
+_on_memories("forget_ranking", lambda m: forgetting.features(m.where("not pinned"), AS_OF).orderBy(F.desc("forget_score"), "id").select("id", "forget_score").limit(100))
 _on_memories("soft_candidates", lambda m: forgetting.cleanup(m, AS_OF, 0.6, 0.62).where("soft").select("id", "forget_score"))
 _on_memories("hard_candidates", lambda m: forgetting.cleanup(m, AS_OF, 0.6, 0.62).where("hard").select("id", "forget_score"))
 _on_memories("cleanup_summary", lambda m: forgetting.cleanup(m, AS_OF, 0.6, 0.62).agg(F.count(F.lit(1)).alias("total"), F.count_if("soft").alias("soft"), F.count_if("hard").alias("hard"), F.count_if("review").alias("review")))
@@ -389,6 +417,9 @@ _on_memories("wide_counts", stats.wide_counts)
 _on_memories("scope_stats", stats.scope_stats)
 _on_memories("popular_tags", stats.popular_tags)
 _on_memories("group_by_tags", stats.group_by_tags)
+_on_memories("group_by_type", lambda m: stats.grouped(m, "type", 100))
+_on_memories("group_by_scope", lambda m: stats.grouped(m, "privacy_scope", 100))
+_queries["catalog_columns"] = lambda spark, d: stats.catalog({"memory_item": M.memory_item(spark, d), "memory_embedding": M.memory_embedding(spark, d), "memory_link": M.memory_link(spark, d)})
 _on_memories("pinned_list", lambda m: stats.pinned_list(m).select("id", "importance", "created_at"))
 _on_memories("unpin_candidates", lambda m: stats.lowest(m, True).select("id", "importance", "created_at"))
 _on_memories("delete_candidates", lambda m: stats.lowest(m, False).select("id", "importance", "created_at"))
@@ -535,6 +566,13 @@ def command_feedback(spark, d):
     return dml.status_feedback(dml.pin_status(M.memory_item(spark, d), _ids(spark, d, 4)), AS_OF)
 
 
+@query
+def unpin_and_forget_feedback(spark, d):
+    m = M.memory_item(spark, d)
+    unpinned = dml.status_feedback(dml.unpin_status(m, _ids(spark, d, 17)), AS_OF)
+    return unpinned.unionByName(dml.status_feedback(dml.forget_status(m, _ids(spark, d, 3)).where("status <> 'pinned'"), AS_OF))
+
+
 _queries["wm_expired"] = lambda spark, d: dml.expired_buffers(M.wm_buffer(spark, d), AS_OF).select("session_id", "expires_at")
 _queries["wm_snapshot"] = lambda spark, d: dml.buffer_snapshots(M.wm_buffer(spark, d), AS_OF)
 _on_memories("working_ttl_cleanup", lambda m: dml.expired_working(m, AS_OF).select("id", "created_at"))
@@ -585,6 +623,7 @@ def _alerts(spark, d):
     return a.withColumn("resolved", c("id") % 4 == 0).withColumn("resolved_at", F.when(c("resolved"), F.timestamp_micros(F.unix_micros("ts") + (c("id") % 30) * 60_000_000)))
 
 
+_queries["performance_summary"] = lambda spark, d: monitoring.performance_summary(M.metric_stream(spark, d), _alerts(spark, d))
 _queries["alert_stats_level"] = lambda spark, d: monitoring.alert_stats(_alerts(spark, d), "level", AS_OF, 24 * 20)
 _queries["alert_stats_metric"] = lambda spark, d: monitoring.alert_stats(_alerts(spark, d), "metric", AS_OF, 24 * 20)
 _queries["alert_summary"] = lambda spark, d: monitoring.alert_summary(_alerts(spark, d), AS_OF, None)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.config import AS_OF, PRESETS, STOP_WORDS, Filters, Settings
+from recollect.config import AS_OF, PRESETS, STOP_WORDS, Filters, Settings, search_errors
 from recollect.engine import MemoryEngine
 from recollect.functions import text as T
 from recollect.operators import context, dml, monitoring, search, stats
@@ -25,7 +25,11 @@ def one(spark, column, *values):
 
 
 def test_settings():
-    assert Settings().errors() == []
+    assert Settings().errors() == [] and Settings().ttl_hours() == {"working": 48, "episodic": 2160, "semantic": None, "procedural": None}
+    s = Settings.from_env({"EMBEDDING_PROVIDER": "other", "PORT": "80", "LOG_LEVEL": "", "FORGET_SEMANTIC_TTL": "5"})
+    assert (s.port, s.log_level, s.ttl_hours()["semantic"]) == (80, "info", 5) and s.errors() == ["embedding_api_key is required for other"]
+    assert Settings().model_info() == {"model": "lightweight-hybrid", "dimensions": 512, "max_tokens": 8191, "available": True} and not s.model_info()["available"]
+    assert search_errors("x", 5, {"type": ["a"]}) == [] and search_errors("", -1, {"type": "a", "tags": ("b",)}) == ["query is not a text", "limit is not a number from 0", "filters.type is not a list"]
     assert Settings.from_env({"SEARCH_MAX_LIMIT": "5", "OTHER": "x"}).errors() == ["search_default_limit is above search_max_limit"]
     assert len(Settings(embedding_dimensions=0, search_max_limit=0).errors()) == 2
 

@@ -110,6 +110,23 @@ def test_keyword_search_with_and_without_an_index(spark):
     assert empty.status() == {"available": False, "table_exists": False, "record_count": 0, "version": 0} and full.status()["record_count"] == m.count()
 
 
+def test_indexes_of_another_source_are_not_used(spark):
+    e = M.memory_embedding(spark, SF)
+    asked = e.limit(3).select(F.col("memory_id").alias("query_id"), F.col("embedding").alias("vector"))
+    index = VectorIndex(spark, scratch(spark, "vectors"))
+    hits = lambda *a, **k: {(r["query_id"], r["memory_id"]) for r in search.vector_recall(e, asked, *a, limit=5, threshold=0.0, **k).collect()}
+    exact = hits()
+    assert hits(index) == exact
+    index.rebuild(e.limit(40), source="one")
+    assert hits(index, source="two") == exact != hits(index, source="one", probes=100)
+    words = SearchIndex(spark, scratch(spark, "index"))
+    words.apply(_memories(spark, {"m1": "word"}), source="one")
+    m = _memories(spark, {"m1": "word", "m2": "words"})
+    q = spark.createDataFrame([("q", "word")], "query_id string, query string")
+    assert {r["id"] for r in search.keyword_search(m, q, words, source="one").collect()} == {"m1"}
+    assert {r["id"] for r in search.keyword_search(m, q, words, source="two").collect()} == {"m1", "m2"}
+
+
 def test_versions_refuse_a_second_writer(spark):
     path = scratch(spark, "versions")
     a, b = Versions(spark, path), Versions(spark, path)
