@@ -20,6 +20,8 @@ MIN_CHARS = 10
 STRIP = b" \t\n\x0b\x0c\r"
 REFS = "shard int, key binary, doc_id bigint"
 SLOTS, KICKS = 4, 500
+#: Filters of a shard, one above the other, before an index is compacted, and references that a shard then has.
+MOST_FILTERS, SHARD_REFS = 8, 1 << 20
 
 
 class CuckooFilter:
@@ -147,6 +149,11 @@ def _insert(mine: pd.DataFrame, stored_filters: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def _built(mine: pd.DataFrame) -> pd.DataFrame:
+    """One filter of a shard's distinct keys."""
+    return pd.DataFrame({"shard": mine["shard"].iloc[:1].to_numpy(), "blob": [CuckooFilter.of(_keys(mine["key"])).blob()]})
+
+
 def _delete(keyed: pd.DataFrame, stored_filters: pd.DataFrame) -> pd.DataFrame:
     """keyed: a shard's keys, and whether any document still holds them.
 
@@ -183,6 +190,8 @@ class LineIndex:
     and go no further. A deletion notes the references that go (``gone``) and rewrites the filters of their shards alone,
     without the keys that no document holds any more. Later decisions are as if the document had never been
     there. Changes are folders beside the old ones, named in a log, so one that fails half-way leaves the index as it was.
+    Once MOST_FILTERS batches have added filters the index is compacted: one filter a shard, of the keys that are
+    held now, and as many more shards as its references ask for.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, shards: int = 64):
@@ -191,7 +200,7 @@ class LineIndex:
         self.log = self._read_log()
         if not self.log:
             self._note("made", shards)
-        self.shards = next(x for kind, x in self.log if kind == "made")
+        self.shards = [x for kind, x in self.log if kind == "made"][-1]
 
     def _read_log(self) -> list[tuple[str, int]]:
         """(kind, number) of every change so far: the number of shards, then the versions of folders."""
@@ -218,7 +227,8 @@ class LineIndex:
         return version, self.spark.read.schema(df.schema).parquet(path)
 
     def _parts(self, kind: str, schema: str) -> list[tuple[int, DataFrame]]:
-        return [(x, self.spark.read.schema(schema).parquet(f"{self.path}/{kind}-{x}")) for k, x in self.log if k == kind]
+        since = max([x for k, x in self.log if k == "cleared"], default=0)
+        return [(x, self.spark.read.schema(schema).parquet(f"{self.path}/{kind}-{x}")) for k, x in self.log if k == kind and x >= since]
 
     def _all(self, parts: list[DataFrame], schema: str) -> DataFrame:
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
@@ -257,6 +267,27 @@ class LineIndex:
         self._put(out.where("key is not null").select("shard", "key"), "shared")
         finished(out)
         self._note("refs", version, "filters", version, "shared", version)
+        if len(self._parts("filters", "shard int, blob binary")) > MOST_FILTERS:
+            self.compact()
+
+    def compact(self, shard_refs: int | None = None) -> None:
+        """Rewrites the index without what is gone: references and shared keys as one table each, one filter a shard, and the
+        number of shards doubled until one has shard_refs (SHARD_REFS) references or fewer. Tables read from it before can't be
+        read any more."""
+        old = [(k, x) for k, x in self.log if k in ("refs", "gone", "filters", "rewritten", "shared")]
+        n, shards = self.refs.count(), self.shards
+        while n > shards * (shard_refs or SHARD_REFS):
+            shards *= 2
+        shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
+        refs = self.refs.select(shard, "key", "doc_id").repartitionByRange("shard", "key").sortWithinPartitions("shard", "key")
+        version, refs = self._put(refs, "refs")
+        self._put(refs.select("shard", "key").distinct().groupBy("shard").applyInPandas(_built, "shard int, blob binary"), "filters")
+        # A shared key that one document or none holds now may be forgotten: its filter finds it again.
+        self._put(self.shared.select("key").distinct().join(refs.select("key"), "key", "left_semi").select(shard, "key"), "shared")
+        self._note("cleared", version, "made", shards, "refs", version, "filters", version, "shared", version)
+        self.shards = shards
+        for k, x in old:
+            delete(self.spark, f"{self.path}/{k}-{x}")
 
     def delete(self, doc_ids: DataFrame) -> None:
         """doc_ids: the documents to take away."""

@@ -43,8 +43,10 @@ KEY = ["t0", "t1", "t2", "t3", "t4", "around", "beyond", "pos", "doc", "twin"]
 AROUND = ["around", "beyond"]
 #: Text whose suffixes are one bucket (about as much again in memory, three times while it is sorted).
 BUCKET_BYTES = 64 << 20
-#: Suffixes sampled for each bucket, and splitters at most; beyond them ranges are cut evenly, so the driver's part is bounded.
+#: Suffixes sampled for each range, and ranges at most, so the driver's part is bounded; more buckets are cut inside the ranges.
 SAMPLED, SPLITTERS = 20, 10_000
+#: Rows that a range looks at for the splitters inside it.
+LOOK = 1 << 18
 
 
 def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -111,22 +113,13 @@ def suffix_columns(part: pa.RecordBatch, length: int) -> list[np.ndarray]:
 
 
 class Splitters:
-    """Range bounds among suffixes, and the number of even ranges that each of theirs is cut into."""
+    """Range bounds among suffixes: quantiles of the whole rows of a sample."""
 
     def __init__(self, columns: list[np.ndarray], buckets: int):
         order = np.lexsort(columns[::-1])
-        ranges_ = max(1, min(buckets, SPLITTERS, len(order) // 4))
-        at = order[np.arange(1, ranges_) * len(order) // ranges_]
+        self.buckets = max(1, min(buckets, len(order) // 4))
+        at = order[np.arange(1, self.buckets) * len(order) // self.buckets]
         self.columns = [c[at] for c in columns]
-        self.even = -(-buckets // ranges_)
-        self.buckets = ranges_ * self.even
-        # Rows of a range agree with its bounds up to the first column in which the bounds differ: there it is cut.
-        info = [np.iinfo(c.dtype) for c in columns]
-        low, high = ([np.r_[x, c] for x, c in zip([i.min for i in info], self.columns, strict=True)], [np.r_[c, x] for x, c in zip([i.max for i in info], self.columns, strict=True)])
-        differ = np.stack([a != b for a, b in zip(low, high, strict=True)])
-        self.cut = differ.argmax(0)
-        pick = lambda side: np.array([side[k][r] for r, k in enumerate(self.cut.tolist())], np.float64)
-        self.low, self.high = pick(low), pick(high)
 
     def bucket(self, columns: list[np.ndarray]) -> np.ndarray:
         """Each suffix's bucket; buckets are in the suffixes' order."""
@@ -142,15 +135,7 @@ class Splitters:
             row = order[mine[order] == 1] - len(near)
             value = columns[0][tie[row]]
             rank[tie[row]] = np.searchsorted(first, value, "left") + passed[mine[order] == 1] - np.searchsorted(first[near], value, "left")
-        if self.even == 1:
-            return rank.astype(np.int32)
-        sub = np.zeros(len(rank), np.int64)
-        for k in np.unique(self.cut[rank]).tolist():
-            here = np.flatnonzero(self.cut[rank] == k)
-            r = rank[here]
-            share = (columns[k][here] - self.low[r]) / np.maximum(1.0, self.high[r] - self.low[r])
-            sub[here] = np.clip(share * self.even, 0, self.even - 1).astype(np.int64)
-        return (rank * self.even + sub).astype(np.int32)
+        return rank.astype(np.int32)
 
 
 def _sample(length: int):
@@ -164,9 +149,11 @@ def _sample(length: int):
     return run
 
 
-def splitters(d: DataFrame, length: int) -> Splitters:
-    """Bounds for buckets of BUCKET_BYTES of text. The sample is whole documents, of about a kilobyte of text a bucket and no
-    fewer than 64, every eighth suffix of theirs: at most SAMPLED * SPLITTERS or so come to the driver."""
+def splitters(d: DataFrame, length: int) -> tuple[Splitters, int]:
+    """Bounds for buckets of BUCKET_BYTES of text, SPLITTERS at most, and how many buckets each range between them wants.
+
+    The sample is whole documents, of about a kilobyte of text a range and no fewer than 64, every eighth suffix of theirs: at
+    most SAMPLED * SPLITTERS or so come to the driver."""
     n, size = d.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     size = size or 0
     buckets = max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
@@ -174,7 +161,8 @@ def splitters(d: DataFrame, length: int) -> Splitters:
     part = max(1, min(size // max(1, wanted), n // 64))
     rows = d.where(F.pmod(F.xxhash64("doc", "twin"), F.lit(part)) == 0).mapInArrow(_sample(length), SUFFIX)
     t = rows.toArrow()
-    return Splitters([t.column(c).to_numpy() for c in KEY], buckets)
+    bounds = Splitters([t.column(c).to_numpy() for c in KEY], min(buckets, SPLITTERS))
+    return bounds, -(-buckets // bounds.buckets) if buckets > SPLITTERS else 1
 
 
 def _suffixes(length: int, bounds):
@@ -186,6 +174,35 @@ def _suffixes(length: int, bounds):
     return run
 
 
+def _finer(even: int):
+    """The rows of one range, with their buckets in it: its own splitters are quantiles of LOOK rows that come first, which are
+    of many documents, as the range is dealt from all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def dealt(part: pa.RecordBatch, bounds: Splitters) -> pa.RecordBatch:
+            columns = [part.column(c).to_numpy() for c in KEY]
+            bucket = part.column("bucket").to_numpy() * even + bounds.bucket(columns)
+            return pa.RecordBatch.from_arrays([*(part.column(c) for c in KEY), pa.array(bucket.astype(np.int32))], [*KEY, "bucket"])
+
+        held: list[pa.RecordBatch] = []
+        bounds, rows = None, 0
+        for batch in batches:
+            if bounds is not None:
+                yield dealt(batch, bounds)
+                continue
+            held.append(batch)
+            rows += len(batch)
+            if rows >= LOOK:
+                bounds = Splitters([pa.Table.from_batches(held).column(c).to_numpy() for c in KEY], even)
+                yield from (dealt(b, bounds) for b in held)
+                held = []
+        if held and rows:
+            bounds = Splitters([pa.Table.from_batches(held).column(c).to_numpy() for c in KEY], even)
+            yield from (dealt(b, bounds) for b in held)
+
+    return run
+
+
 def multikey_order(columns: list[np.ndarray], small: int = 4096) -> np.ndarray:
     """The order of rows by columns: three-way quicksort on one column at a time, as for strings."""
     order = np.arange(len(columns[0]))
@@ -384,10 +401,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     spark = docs.sparkSession
     d = identified(docs)
-    bounds = splitters(d, length)
+    bounds, even = splitters(d, length)
     shared = spark.sparkContext.broadcast(bounds)
     suffixes = d.select("doc", "twin", "text").mapInArrow(_suffixes(length, shared), SUFFIX + ", bucket int")
-    notes, buckets = neighbours(suffixes, bounds.buckets)
+    if even > 1:  # more buckets than the driver's sample can tell apart: ranges first, each cut by its own rows
+        suffixes = suffixes.repartitionById(bounds.buckets, "bucket").mapInArrow(_finer(even), SUFFIX + ", bucket int")
+    notes, buckets = neighbours(suffixes, bounds.buckets * even)
     notes = notes.groupBy("doc", "twin").agg(F.collect_set(F.struct("pos", "settled", "shared")).alias("notes"))
     found = stored(d.join(notes, ["doc", "twin"], "left").mapInArrow(_windows(length), FOUND), "suffix-windows")
     finished(buckets)

@@ -3,7 +3,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from recollect.llm import lines as lines_module
 from recollect.llm import queries as Q
+from recollect.llm import suffix as suffix_module
 from recollect.llm.common import aligned
 from recollect.llm.components import components
 from recollect.llm.exact import DigestIndex, digests, exact_dedup
@@ -109,6 +111,26 @@ def test_splitters_keep_the_order(monkeypatch, values, buckets, most):
     assert np.bincount(bucket).max() < 4000 / min(buckets, 100) * 4
 
 
+def test_ranges_beyond_the_cap(monkeypatch, frame):
+    """More buckets than the driver's splitters: ranges are cut by their own rows, a hot first token's range too."""
+    monkeypatch.setattr(suffix_module, "SPLITTERS", 5)
+    monkeypatch.setattr(suffix_module, "BUCKET_BYTES", 4000)
+    sizes = []
+    plain = suffix_module.neighbours
+
+    def counted(suffixes, buckets):
+        sizes.extend(r["count"] for r in suffixes.groupBy("bucket").count().collect())
+        return plain(suffixes, buckets)
+
+    monkeypatch.setattr(suffix_module, "neighbours", counted)
+    rng = np.random.default_rng(6)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    unit = letters(96)
+    some = [(i, letters(300) + (unit * 9 if i % 3 == 0 else letters(700)) + letters(200)) for i in range(150)]
+    check(suffix_dedup(frame(some)), ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), brute.suffix(some, 400))
+    assert len(sizes) > 20 and max(sizes) < 4 * sum(sizes) / len(sizes)
+
+
 def test_one_passage_in_thousands_of_rows(spark, frame):
     """A 400-byte passage between differing texts: each window of its edge is alone but for the passage itself."""
     rng = np.random.default_rng(4)
@@ -185,6 +207,25 @@ def test_line_index_goes_on_where_it_ended(spark, frame, odd):
     assert {r["doc_id"] for r in LineIndex(spark, path).drops().collect()} == {d for d, _, n, _ in brute.lines(more[1:] + [(50, more[0][1])]) if n}
 
 
+def test_line_index_compacts_itself(spark, frame, monkeypatch):
+    """Many batches and deletions: few filters a shard, more shards as it grows, decisions as without any of it."""
+    monkeypatch.setattr(lines_module, "MOST_FILTERS", 3)
+    monkeypatch.setattr(lines_module, "SHARD_REFS", 20)
+    rng = np.random.default_rng(9)
+    index, now = LineIndex(spark, shards=2), {}
+    for b in range(6):
+        some = [(100 * b + i, "\n".join(f"a line of number {x}" for x in rng.integers(0, 60, 8))) for i in range(6)]
+        index.insert(frame(some))
+        now |= dict(some)
+        if b in (2, 4):
+            index.delete(spark.createDataFrame([(100 * b,), (100,)], "doc_id bigint"))
+            now = {d: t for d, t in now.items() if d not in (100 * b, 100)}
+        again = LineIndex(spark, index.path)
+        assert {r["doc_id"] for r in again.drops().collect()} == {d for d, _, n, _ in brute.lines(list(now.items())) if n}
+    assert again.shards > 2 and again.filters.groupBy("shard").count().agg({"count": "max"}).first()[0] <= 4
+    assert again.refs.count() == sum(len({x for x in t.split("\n")}) for t in now.values())
+
+
 def test_filters_decide_which_lines_are_counted(spark, frame):
     """References of keys that no filter held again are not read by the exact count."""
     index = LineIndex(spark, shards=4)
