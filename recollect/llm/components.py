@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import finished, stored
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -31,8 +31,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Stars only: a node has one link, and no root is linked on.
         many = new.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
         if not many and not new.select(F.col("v").alias("u")).distinct().join(new.select("u"), "u", "left_semi").limit(1).count():
+            finished(e)
             e = new
             break
+        finished(e)
         e = new
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -83,3 +83,67 @@ def test_near_copies_by_jaccard(spark, frame):
     got = C.near_dedup(spark, frame(rows).select(columns), SF).collect()
     assert {r["doc_id"] for r in got} == set(plain.values())
     assert {r["doc_id"]: r["component_id"] for r in near_copies(frame(rows), chunk=7).collect()} == plain
+
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def row_classes(rows):
+    """Classes of rows, as lists of their places, whose texts are near copies."""
+    sets = [decontam.shingles(brute.WORD.findall((t or "").lower())) for _, t in rows]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                root = [root[j] if x == root[i] else x for x in root]
+    out = {}
+    for i, x in enumerate(root):
+        out.setdefault(x, []).append(rows[i])
+    return list(out.values())
+
+
+def holds(kept, rows):
+    """Whether kept is one row of each class, of the smallest doc_id in it."""
+    left = list(kept)
+    for c in row_classes(rows):
+        best = min((d for d, _ in c if d is not None), default=None)
+        mine = [r for r in left if r in c and r[0] == best]
+        assert mine, c
+        left.remove(mine[0])
+    assert not left
+
+
+def test_near_dedup_goes_by_row(spark, frame):
+    x, y = " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    rows = [(3, x), (5, y), (5, x + " end"), (9, x)]
+    got = C.near_dedup(spark, frame(rows).select(COLUMNS), SF)
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(3, x), (5, y)]
+
+
+def test_near_dedup_of_repeated_rows(spark, frame, odd):
+    some = near_rows()[::5]
+    rows = [*odd, *odd, *some, *[(d // 3, t) for d, t in some], (None, None), (None, "alone without a number " * 9)]
+    got = C.near_dedup(spark, frame(rows).select(COLUMNS), SF)
+    assert got.columns == COLUMNS
+    holds([(r["doc_id"], r["text"]) for r in got.collect()], rows)
+
+
+def test_stages_of_repeated_rows(spark, frame, odd):
+    """What the other stages keep of repeated rows, ties and long texts: they decide row by row."""
+    rows = [*odd, *odd, (2, "other text under a used number"), (20, "word and more " * 30_000)]
+    docs = frame(rows).select(COLUMNS)
+    got = [(r["doc_id"], r["text"]) for r in C.quality(spark, docs, SF).collect()]
+    assert all(got.count(r) in (0, rows.count(r)) for r in rows) and set(got) <= set(rows)
+    got = [(r["doc_id"], r["text"], r["n_chars"]) for r in C.lines(spark, docs, SF).collect()]
+    plain = [(d, h) for d, _, _, h in brute.lines(rows) if d is not None]
+    assert sorted((d, brute.sha((t or "").encode())) for d, t, _ in got if d is not None) == sorted(plain)
+    assert all(n == (None if t is None else len(t)) for _, t, n in got) and len(got) == len(rows)
+    assert sum(t is None for _, t, _ in got) == sum(t is None for _, t in rows)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    more = [*rows, (30, f"before {item} after"), (30, "clean"), (None, item)]
+    got = [(r["doc_id"], r["text"]) for r in C.decontaminate(spark, frame(more).select(COLUMNS), SF).collect()]
+    assert sorted(got, key=repr) == sorted([*rows, (30, "clean")], key=repr)
+    got = C.mixture(spark, docs, SF).collect()
+    sizes = [len(brute.WORD.findall(t or "")) for _, t in rows]
+    assert sorted(r["size"] for r in got) == sorted(sizes)
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got) and abs(sum(r["taken"] for r in got) - sum(sizes)) <= 1
