@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import finished, stored, text_slices
 
 K1, B = 1.2, 0.75
 #: Words of a passage and the step from one to the next.
@@ -235,18 +235,22 @@ def _clean(shared):
     return run
 
 
-def indexes(benchmark: DataFrame) -> list:
-    """Broadcasts of at most AT_ONCE indexes of ITEMS items. The benchmark is counted first and collected in parts by hash,
-    so no more than one broadcast's items are ever at the driver; a larger benchmark means more scans of the documents."""
+def indexes(benchmark: DataFrame) -> tuple[int, Iterator]:
+    """How many passes over the documents the benchmark takes, and for each a broadcast of at most AT_ONCE indexes of ITEMS items.
+
+    The benchmark is counted first and collected in parts by hash, each when its pass begins, so no more than one part's
+    items are at the driver; a larger benchmark means more passes."""
     spark = benchmark.sparkSession
     rows = benchmark.where("item_id is not null").select("item_id", "text")
     n = rows.count()
     parts = -(-n // (ITEMS * AT_ONCE))
-    out = []
-    for k in range(parts):
-        mine = [tuple(r) for r in (rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)).collect()]
-        out.append(spark.sparkContext.broadcast([Index(mine[i : i + ITEMS]) for i in range(0, len(mine), ITEMS)]))
-    return out
+
+    def each():
+        for k in range(parts):
+            mine = [tuple(r) for r in (rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)).collect()]
+            yield spark.sparkContext.broadcast([Index(mine[i : i + ITEMS]) for i in range(0, len(mine), ITEMS)])
+
+    return parts, each()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -259,13 +263,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     48 of their words score on average. Words are \\w+ in lower case. Null or empty texts and items match nothing; items
     with a null item_id are left out; rows that repeat a doc_id or item_id are looked at each, and an item that is
     found at several places, or as good at several, is reported once with its best overlaps. Other columns are not
-    read. The index is broadcast, 16,000 items at a time (about 60 MB), and no document is shuffled, so no source
-    or copy is hot.
+    read. The index is broadcast, 16,000 items at a time (about 60 MB): where there are more, the hits of each pass are
+    written out before the next one's index is made. No document is shuffled, so no source or copy is hot.
     """
     d = docs.select("doc_id", "text")
     out = None
-    for index in indexes(benchmark):
+    passes, each = indexes(benchmark)
+    for index in each:
         hits = d.mapInArrow(_search(index), "doc_id bigint, item_id bigint, overlap double, question_overlap double, answer_overlap double")
+        if passes > 1:
+            hits = stored(hits, "contaminated")
+            index.destroy()
         out = hits if out is None else out.unionByName(hits)
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, overlap double, question_overlap double, answer_overlap double")
 
@@ -273,6 +281,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, that hold no test item."""
     packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_rest"))
-    for index in indexes(benchmark):
-        packed = packed.mapInArrow(_clean(index), packed.schema)
+    passes, each = indexes(benchmark)
+    for index in each:
+        before, packed = packed, packed.mapInArrow(_clean(index), packed.schema)
+        if passes > 1:
+            packed = stored(packed, "clean")
+            finished(before)
+            index.destroy()
     return packed.select(*[F.col("text") if c == "text" else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])

@@ -12,13 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, text_slices
+from .common import finished, held_out, stored, text_slices
 
 #: Columns of a language's table of next states: one for anything between words and its most frequent letters. Its
 #: other letters' edges are looked up in a sorted list, so every letter counts in every script.
 COLUMNS = 64
 #: Texts are parsed in pieces of so many symbols, so that many pieces can go on in step.
 PIECE = 512
+#: Languages of one model: about 13 MB each in every worker.
+MOST_LANGS = 64
 UNKNOWN = "und"
 CODE_POINTS = 0x110000
 #: Bits that name any code point.
@@ -218,27 +220,34 @@ def bits_per_symbol(s: np.ndarray, at: np.ndarray, model: Model) -> np.ndarray:
     return ((counts - literals) * model.bits + literals * LITERAL_BITS) / np.maximum(1, np.diff(at))[:, None]
 
 
+def closest(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Each text's language with the fewest normalised phrases (UNKNOWN for texts without a letter), the bits a symbol that it
+    needs and those that the runner-up needs; infinite where there is none."""
+    clear = ["" if t is None else t for t in texts]
+    letters = np.array([any(map(str.isalpha, t)) for t in clear], bool)
+    lang, least, second = [UNKNOWN] * len(texts), np.full(len(texts), np.inf), np.full(len(texts), np.inf)
+    if not model.langs or not len(texts):
+        return lang, least, second
+    s, at = symbols(clear, model.letters)
+    need = bits_per_symbol(s, at, model)
+    best = need.argmin(1)
+    for i in np.flatnonzero(letters):
+        lang[i] = model.langs[best[i]]
+    least[letters] = need.min(1)[letters]
+    if len(model.langs) > 1:
+        second[letters] = np.partition(need, 1, axis=1)[letters, 1]
+    return lang, least, second
+
+
 def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
     """The language with the fewest normalised phrases, the first by name of equal ones, and a score.
 
     Phrases are normalised by the text's length and by the bits that name a place in the sample, or a code point where the
     sample lacks the symbol, which makes them bits per symbol. The score is how much more the runner-up needs, from 0.5 for the same to 1.
     """
-    clear = ["" if t is None else t for t in texts]
-    no_letter = np.array([not any(map(str.isalpha, t)) for t in clear], bool)
-    lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    if not model.langs:
-        return lang, score
-    s, at = symbols(clear, model.letters)
-    need = bits_per_symbol(s, at, model)
-    best = need.argmin(1)
-    for i in np.flatnonzero(~no_letter):
-        lang[i] = model.langs[best[i]]
-    least = need.min(1)
-    second = np.partition(need, 1, axis=1)[:, 1] if len(model.langs) > 1 else np.full(len(texts), np.inf)
+    lang, least, second = closest(texts, model)
     with np.errstate(invalid="ignore"):
-        score = np.where(no_letter, 0.0, np.where(np.isinf(second), 1.0, second / np.maximum(1e-12, least + second)))
-    return lang, score
+        return lang, np.where(np.isinf(least), 0.0, np.where(np.isinf(second), 1.0, second / np.maximum(1e-12, least + second)))
 
 
 def _predict(model):
@@ -250,6 +259,26 @@ def _predict(model):
     return run
 
 
+def _merged(model):
+    """Rows (doc_id, text, lang_pred, least, second) with what another part of the languages says."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, 3 << 20):
+            new, new_least, new_second = closest(part.column("text").to_pylist(), model.value)
+            old, least, second = part.column("lang_pred").to_pylist(), part.column("least").to_numpy(), part.column("second").to_numpy()
+            lang = [n if x < y or (x == y and n < o) else o for o, n, x, y in zip(old, new, new_least.tolist(), least.tolist(), strict=True)]
+            four = np.sort(np.stack([least, second, new_least, new_second]), axis=0)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(lang, pa.string()), pa.array(four[0]), pa.array(four[1])], ["doc_id", "text", "lang_pred", "least", "second"])
+
+    return run
+
+
+def parts_of(docs: DataFrame) -> int:
+    """Into how many parts the languages of docs go, by hash, so that a part's model is of about MOST_LANGS languages at most."""
+    n = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).agg(F.count_distinct("lang")).first()[0]
+    return 1 if n <= MOST_LANGS else -(-2 * n // MOST_LANGS)
+
+
 def language_id(docs: DataFrame, per_language: int = 60, sample: int = 24_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs.
 
@@ -257,8 +286,21 @@ def language_id(docs: DataFrame, per_language: int = 60, sample: int = 24_000) -
     repeat a doc_id and a text are predicted alike; a null doc_id is not held out and nothing is learned from it. Of languages
     that need equally many phrases the first by name is predicted, with score 0.5. A long text is parsed whole, in
     pieces of 512 symbols: at a piece's end a phrase ends for every language. Columns but doc_id, text and lang are not
-    read, so their names can't clash.
+    read, so their names can't clash. Of more than MOST_LANGS languages a part is learned and tried at a time, each in
+    a pass over the texts that is written out, so neither the driver nor a worker holds more than a part's model.
     """
+    parts = parts_of(docs)
+    if parts > 1:
+        far = F.lit(float("inf"))
+        out = docs.select("doc_id", "text", F.lit(UNKNOWN).alias("lang_pred"), far.alias("least"), far.alias("second"))
+        for k in range(parts):
+            model = docs.sparkSession.sparkContext.broadcast(fit(docs.where(F.pmod(F.xxhash64("lang"), F.lit(parts)) == k), per_language, sample))
+            before, out = out, stored(out.mapInArrow(_merged(model), "doc_id bigint, text string, lang_pred string, least double, second double"), "languages")
+            model.destroy()
+            finished(before)
+        share = F.col("second") / F.greatest(F.lit(1e-12), F.col("least") + F.col("second"))
+        score = F.when(F.col("least") == far, 0.0).when(F.col("second") == far, 1.0).otherwise(F.round(share, 6))
+        return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", score.alias("score"))
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language, sample))
     out = docs.select("doc_id", "text").mapInArrow(_predict(model), "doc_id bigint, lang_pred string, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

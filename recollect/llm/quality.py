@@ -167,7 +167,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000
     score is the labelled neighbours' share of label 1. Texts without three bytes, null ones too, score the share of
     label 1 among all learned labels. Without any labels every score is 0.5. Rows that repeat a doc_id are
     scored each by its text; a null doc_id is not held out. Labels that repeat a doc_id count once, as the largest. Where
-    neighbours are equally near at the k-th place, the sample's order by hash of doc_id decides. A long text is one row of
+    neighbours are equally near at the k-th place, a partial sort of the sample, whose order is fixed, decides. A long text is one row of
     counts of a fixed size. Columns but doc_id and text are not read, so their names can't clash.
     """
     out = _scored(docs.select("doc_id", "text"), labels, most_labelled)

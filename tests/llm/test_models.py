@@ -123,6 +123,15 @@ def test_language_accuracy(spark):
     assert np.mean([r["lang_pred"] == d[r["doc_id"]]["lang"] for r in held]) > 0.98
 
 
+def test_languages_in_parts(spark, frame, odd, monkeypatch):
+    """Models of a part of the languages at a time decide as one of all does."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").unionByName(frame(odd).select("doc_id", "text", "lang"))
+    rows = lambda: sorted((tuple(r) for r in langid.language_id(docs).collect()), key=repr)
+    whole = rows()
+    monkeypatch.setattr(langid, "MOST_LANGS", 2)
+    assert langid.parts_of(docs) > 1 and rows() == whole
+
+
 def test_language_of_odd_rows(frame, odd):
     texts = [(20 + i, t) for i, t in enumerate(["the cat and the dog", "der hund und die katze"] * 20)]
     langs = {20 + i: ("en", "de")[i % 2] for i in range(40)} | {7: None}
@@ -241,6 +250,35 @@ def test_several_indexes(spark, frame, monkeypatch):
     assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(100 + i, i) for i in range(20)]
 
 
+def test_several_passes_clean_alike(spark, frame, monkeypatch):
+    monkeypatch.setattr(decontam, "ITEMS", 2)
+    monkeypatch.setattr(decontam, "AT_ONCE", 1)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(7)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = frame([(100 + i, "pre " + t + " post") for i, t in items] + [(5, "nothing of it"), (6, None)])
+    assert {r["doc_id"] for r in decontam.clean(docs, bench).collect()} == {5, 6} and decontam.clean(docs, bench).columns == docs.columns
+
+
+def test_long_items_are_found(spark, frame):
+    """Copies of items of 30 to 400 words with words replaced until 0.8 of the shingles are left, in longer texts."""
+    rng = np.random.default_rng(12)
+    words = np.array([f"v{i}" for i in range(20_000)])
+    share = 1 / np.arange(1, 20_001)
+    draw = lambda n: words[rng.choice(20_000, n, p=share / share.sum())].tolist()
+    items, docs = [], []
+    for n in (30, 48, 60, 100, 200, 400):
+        for _ in range(15):
+            item = draw(n)
+            copy = list(item)
+            lost = int(0.2 * (n - 4)) // 5
+            for k in range(lost):
+                copy[4 + k * ((n - 8) // max(1, lost))] = "replaced"
+            items.append((len(items), " ".join(item)))
+            docs.append((len(docs), " ".join(draw(200) + copy + draw(200))))
+    got = decontam.contaminated(frame(docs), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} >= {(i, i) for i in range(len(items))}
+
+
 @pytest.mark.parametrize("sizes", [[10, 10, 10], [1, 1, 1000], [0, 5, 5, 100], [7]])
 def test_targets_by_rounds(spark, sizes):
     """The running sums give what resharing round by round gives."""
