@@ -50,7 +50,8 @@ def indexed(memories: DataFrame) -> DataFrame:
     """id, term, tf, dl, head: the inverted index over content, tags and source. dl is the memory's number of tokens; one
     of its rows is the head, so totals over memories need no grouping. Stored once, it serves every search."""
     text = F.concat_ws(" ", "content", F.array_join("tags", " "), "source")
-    tokens = memories.select("id", T.search_tokens(text).alias("t"))
+    # Texts are dealt by id before they fall into tokens: the counts need no shuffle of tokens then.
+    tokens = memories.select("id", text.alias("x")).repartition("id").select("id", T.search_tokens(F.col("x")).alias("t"))
     each = tokens.select("id", F.size("t").cast("long").alias("dl"), F.posexplode("t").alias("pos", "term"))
     return each.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"), (F.min("pos") == 0).alias("head")).select("id", "term", "tf", "dl", "head")
 
@@ -336,8 +337,11 @@ def weighted_union(vector: DataFrame, text: DataFrame, limit: int = 10, threshol
 
 
 def light_embedding(texts: DataFrame, dims: int = 512) -> DataFrame:
-    """id, bucket, weight: the hashed, weighted and normalised embedding of each text (id, content), without its zeros."""
-    words = texts.select("id", F.explode(T.embedding_tokens(F.col("content"), ())).alias("word"))
+    """id, bucket, weight: the hashed, weighted and normalised embedding of each text (id, content), without its zeros.
+
+    Texts are dealt by id once, before they fall into words; sums over a text's words and cells need no shuffle then.
+    """
+    words = texts.select("id", "content").repartition("id").select("id", F.explode(T.embedding_tokens(F.col("content"), ())).alias("word"))
     # Stop words go after the count: each once a text.
     per_word = words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n")).where(~F.col("word").isin(*STOP_WORDS))
     w = F.col("word")
