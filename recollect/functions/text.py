@@ -64,6 +64,12 @@ def array_jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
+def set_jaccard(a: Column, b: Column) -> Column:
+    """array_jaccard of arrays without repeats: one set of them is made instead of two."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) > 0, shared / (F.size(a) + F.size(b) - shared)).otherwise(0.0)
+
+
 def trigrams(text: Column) -> Column:
     n = F.length(text)
     grams = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(text, i, F.lit(3)))

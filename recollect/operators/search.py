@@ -141,14 +141,16 @@ def page(hits: DataFrame, size: int, number: int) -> DataFrame:
 def with_duplication(candidates: DataFrame) -> DataFrame:
     """candidates with dup: the largest word Jaccard with any candidate of the query before it (by rn), 0 for the first.
 
-    A query's candidates are cut before, so they are compared as one array of three times the limit, in one pass.
+    A query's candidates are cut before, so they are compared as one array of three times the limit, in one pass; their
+    words go in as sets of 64-bit hashes.
     """
     rest = [c for c in candidates.columns if c not in ("query_id", "rn")]
-    row = F.struct("rn", *rest, T.white_words(F.col("content")).alias("w"))
+    hashed = F.array_distinct(F.transform(T.white_words(F.col("content")), lambda w: F.xxhash64(w)))
+    row = F.struct("rn", *rest, hashed.alias("w"))
     grouped = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("items"))
 
     def one(x, i):
-        before = F.transform(F.slice("items", F.lit(1), i), lambda y: T.array_jaccard(x["w"], y["w"]))
+        before = F.transform(F.slice("items", F.lit(1), i), lambda y: T.set_jaccard(x["w"], y["w"]))
         return F.struct(*[x[c].alias(c) for c in ("rn", *rest)], F.coalesce(F.array_max(before), F.lit(0.0)).alias("dup"))
 
     return grouped.select("query_id", F.inline(F.transform("items", one)))
