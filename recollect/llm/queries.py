@@ -151,5 +151,48 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, round(target, 4) AS tar
 """
 
 
+OP11 = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+), e AS MATERIALIZED (
+  SELECT doc_id, x FROM (SELECT doc_id, unnest(s) AS x FROM s) QUALIFY count(*) OVER (PARTITION BY x) > 1
+), p AS MATERIALIZED (
+  SELECT a, b FROM (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2) JOIN (SELECT doc_id AS a, len(s) AS la FROM s) USING (a) JOIN (SELECT doc_id AS b, len(s) AS lb FROM s) USING (b)
+  WHERE 100 * n >= 80 * (la + lb - n)
+), r AS (
+  SELECT doc_id, doc_id AS other FROM s
+  UNION SELECT r.doc_id, l.b FROM r JOIN (SELECT a, b FROM p UNION ALL SELECT b, a FROM p) l ON r.other = l.a
+)
+SELECT doc_id, any_value(len(s))::BIGINT AS n_shingles, min(other) AS component_id FROM r JOIN s USING (doc_id) GROUP BY doc_id
+"""
+
+#: CRC-32 byte by byte from its polynomial; near words share what is left without one code point, at the same place or as a word.
+OP12 = r"""
+WITH RECURSIVE t AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+), low AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{7,}')) AS run FROM documents)
+), h AS (
+  SELECT low, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(x) // 2 + 1), lambda i: ('0x' || substr(x, 2 * i - 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM (SELECT low, hex(encode(coalesce(doc_id::VARCHAR, 'null') || ':' || low)) AS x FROM low), t
+), v AS MATERIALIZED (
+  SELECT word, count(*) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(low, 1, (h % length(low))::BIGINT) || substr(low, (h % length(low))::BIGINT + 2) ELSE low END AS word FROM h) WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+), d AS MATERIALIZED (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)
+), near AS MATERIALIZED (
+  SELECT a.word, b.word AS other FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, v.word FROM d JOIN v ON v.word = d.rest UNION SELECT v.word, d.word FROM d JOIN v ON v.word = d.rest
+), f AS MATERIALIZED (
+  SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN other END AS form, CASE WHEN m >= 10 * v.n THEN m END AS form_n FROM v LEFT JOIN (
+    SELECT near.word, other, v.n AS m, count(*) OVER (PARTITION BY near.word) AS n_near FROM near JOIN v ON v.word = other QUALIFY row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, other) = 1) USING (word)
+), r AS (
+  SELECT word, word AS root, form AS next FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.next
+)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, root FROM r WHERE next IS NULL) USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7, "op9_line_dedup": OP9, "op10_mix_sources": OP10}
+    return {"op7_exact_dedup": OP7, "op9_line_dedup": OP9, "op10_mix_sources": OP10, "op11_ngram_jaccard_join": OP11, "op12_spelling_variants": OP12}
