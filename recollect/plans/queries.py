@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Callable
 from datetime import datetime
 
@@ -48,12 +49,16 @@ def _index(spark, d, kind, files, make):
         return held[1]
     if held:
         held[1].drop()
+    elif not any(k[0] == key[0] for k in _indexes):
+        atexit.register(release, spark)
     _indexes[key] = state, make(scratch(spark, kind), state)
     return _indexes[key][1]
 
 
 def release(spark) -> None:
-    """Deletes the session's stored indexes."""
+    """Deletes the session's stored indexes, unless it has been stopped. A program's end does so too."""
+    if spark.sparkContext._jsc is None:
+        return
     for key in [k for k in _indexes if k[0] == spark.sparkContext.applicationId]:
         _indexes.pop(key)[1].drop()
 
