@@ -22,3 +22,30 @@ def test_budget_summary_splits_once(spark):
     df = spark.createDataFrame([("One two. Three four! Five six? Seven",)], "t string")
     shown = plan(df.select(T.budget_summary(df.t, F.lit(6)).alias("s")))
     assert shown.count("[.!?]+") <= shown.count("Project") == 1
+
+
+def test_vector_tiles_are_bounded(monkeypatch):
+    """No more similarities at a time than a tile has, and hits below an earlier block's limit-th are left out."""
+    rng, seen, real = np.random.default_rng(1), [], V.similarities
+    q, e = rng.normal(size=(300, 8)), rng.normal(size=(900, 8))
+    monkeypatch.setattr(V, "TILE", 5000, raising=False)
+    monkeypatch.setattr(V, "similarities", lambda a, b, s: seen.append(len(a) * len(b)) or real(a, b, s))
+    names, ids = [f"q{i}" for i in range(300)], [f"m{i}" for i in range(900)]
+    rows = [(0, 8, names, q.tobytes(), ids[i : i + 100], e[i : i + 100].tobytes()) for i in range(0, 900, 100)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("q_block", "size", "q_ids", "q_data", "ids", "data"), r, strict=True)) for r in rows])
+    out = [(r["query_id"], r["memory_id"], r["similarity"]) for b in V._nearest(5, 0.0, "cosine")(iter([batch])) for r in b.to_pylist()]
+    s = real(q, e, "cosine")
+    for i in range(300):
+        mine = sorted((x[2] for x in out if x[0] == f"q{i}"), reverse=True)[:5]
+        assert mine == sorted(s[i][s[i] >= 0], reverse=True)[:5]
+    assert max(seen) <= 5000 and len(out) < 300 * 5 * 9 * 3 // 4
+
+
+def test_ties_of_a_block_are_cut_by_id():
+    """Vectors that are all as far from a query go on as the limit smallest ids of a block and not all."""
+    q, e = np.zeros((2, 4)), np.full((50, 4), 3.0)
+    e[7] = 0.1
+    ids = [f"m{i}" for i in range(50)]
+    batch = pa.RecordBatch.from_pylist([{"q_block": 0, "size": 4, "q_ids": ["a", "b"], "q_data": q.tobytes(), "ids": ids, "data": e.tobytes()}])
+    out = [(r["query_id"], r["memory_id"]) for b in V._nearest(3, -1.0, "one_minus_l2")(iter([batch])) for r in b.to_pylist()]
+    assert sorted(out) == [(x, m) for x in "ab" for m in ("m0", "m1", "m7")]
