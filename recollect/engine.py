@@ -34,7 +34,7 @@ class MemoryEngine:
         new = dml.remember(self.memories, rows, self.now())
         if self.embeddings is None:
             return replace(self, memories=new)
-        e = search.dense(search.light_embedding(rows.select("id", "content")))
+        e = search.light_vectors(rows.select("id", "content"))
         e = e.select(F.col("id").alias("memory_id"), "embedding", F.size("embedding").alias("dim"), F.lit("light").alias("model"), F.lit(self.now()).alias("created_at"))
         return replace(self, memories=new, embeddings=self.embeddings.unionByName(e))
 
@@ -73,7 +73,7 @@ class MemoryEngine:
             hits = search.text_search(self.memories, queries, self.now(), filters, 2 * most).withColumnRenamed("score", "final_score")
         else:
             if vectors is None:
-                made = search.dense(search.light_embedding(queries.select(F.col("query_id").alias("id"), F.col("query").alias("content"))))
+                made = search.light_vectors(queries.select(F.col("query_id").alias("id"), F.col("query").alias("content")))
                 vectors = made.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
             hits = search.hybrid_search(self.memories, self.embeddings, queries, vectors, self.now(), filters, 2 * most, vector_weight=0.7, text_weight=0.3)
             hits = hits.join(self.memories.select("id", "content", "importance"), "id")

@@ -18,6 +18,26 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("make", [search.postings, lambda m: search.doc_lengths(search.indexed(m)), lambda m: search.light_embedding(m.select("id", "content")), lambda m: search.light_vectors(m.select("id", "content"))])
+def test_words_are_summed_within_rows(spark, make):
+    m = spark.createDataFrame([("a", "x y x", ["t"], "s")], "id string, content string, tags array<string>, source string")
+    assert not any(x in plan(make(m)) for x in ("Aggregate", "Window", "Sort "))
+
+
+def test_counted(spark):
+    rows = [(["b", "a", "b", "", "b"],), ([],), (None,), (["z"],)]
+    got = spark.createDataFrame(rows, "w array<string>").select("w", T.counted(F.col("w")).alias("n")).collect()
+    assert [r["n"] and [tuple(x) for x in r["n"]] for r in got] == [[("", 1), ("a", 1), ("b", 3)], [], None, [("z", 1)]]
+
+
+def test_light_vectors_are_the_dense_cells(spark):
+    m = M.memory_item(spark, SF).select("id", "content").limit(30)
+    rows = spark.createDataFrame([*m.collect(), ("none", None), ("blank", " ")], m.schema)
+    a, b = ({r["id"]: r["embedding"] for r in x.collect()} for x in (search.light_vectors(rows), search.dense(search.light_embedding(rows))))
+    assert a.keys() == b.keys() and "blank" not in a
+    assert all(np.allclose(a[k], b[k]) and abs(np.linalg.norm(a[k]) - 1) < 1e-9 for k in a)
+
+
 def test_budget_summary_splits_once(spark):
     df = spark.createDataFrame([("One two. Three four! Five six? Seven",)], "t string")
     shown = plan(df.select(T.budget_summary(df.t, F.lit(6)).alias("s")))
