@@ -38,6 +38,22 @@ def test_light_vectors_are_the_dense_cells(spark):
     assert all(np.allclose(a[k], b[k]) and abs(np.linalg.norm(a[k]) - 1) < 1e-9 for k in a)
 
 
+def test_an_index_counts_each_text_once(spark, tmp_path, monkeypatch):
+    count, real = spark.sparkContext.accumulator(0), search.indexed
+
+    def rows(batches):
+        for b in batches:
+            count.add(len(b))
+            yield b
+
+    monkeypatch.setattr(I, "indexed", lambda m: (lambda out: out.mapInArrow(rows, out.schema))(real(m)))
+    m = M.memory_item(spark, SF).limit(20).cache()
+    i = I.SearchIndex(spark, str(tmp_path / "index"))
+    i.apply(m)
+    assert count.value == real(m).count() and i.totals()[0] == 20 == i.docs().count()
+    m.unpersist()
+
+
 def test_budget_summary_splits_once(spark):
     df = spark.createDataFrame([("One two. Three four! Five six? Seven",)], "t string")
     shown = plan(df.select(T.budget_summary(df.t, F.lit(6)).alias("s")))
