@@ -1,4 +1,5 @@
-"""Near copies by five-word Jaccard: candidates by banded min-hashes, verified on the sets, then connected components."""
+"""Near copies by five-word Jaccard: candidates by op1's fingerprint search and by banded min-hashes, verified on the sets, then
+connected components."""
 
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ from .components import components
 from .ngramjoin import leader_pieces, rest_pieces
 from .repeats import mix
 from .shingles import shingles
-from .simhash import _forest
+from .simhash import _forest, fingerprint, near_links
 
 #: Jaccard of near copies, as a fraction.
 ALIKE = (4, 5)
@@ -42,13 +43,15 @@ def bands(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches):
-        sets, at = shingles(texts(part.column("text")))
+        bodies = texts(part.column("text"))
+        sets, at = shingles(bodies)
+        prints = np.array([fingerprint(t) for t in bodies], np.uint64)
         keys = np.array([xxhash.xxh3_64_intdigest(sets[a:b].tobytes()) if b > a else 0 for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64)
         some = np.diff(at) > 0
         offsets = np.r_[0, np.cumsum(some * BANDS)].astype(np.int32)
         own = bands(sets, np.r_[at[:-1][some], at[-1]]) if some.any() else np.zeros(0, np.uint64)
         names = pa.ListArray.from_arrays(pa.array(offsets), pa.array(own.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys.view(np.int64)), names], [*part.schema.names, "key", "bands"])
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys.view(np.int64)), names, pa.array(prints.view(np.int64))], [*part.schema.names, "key", "bands", "fp"])
 
 
 def _alike(bodies: list[bytes], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,23 +116,39 @@ def _compared(pieces: DataFrame, groups: DataFrame, d: DataFrame, name: str) ->
     return links
 
 
+def print_classes(d: DataFrame) -> DataFrame:
+    """token, key of the sets (key; not that of texts without words) whose fingerprints (fp) op1's search links, directly or by
+    way of others: a token for each of its components of several sets."""
+    prints = d.where("key <> 0").select("fp", "key").distinct()
+    links = near_links(prints.select("fp").distinct())
+    # A fingerprint that has no link may be that of several sets.
+    roots = prints.join(components(links), prints.fp == F.col("node"), "left").select("key", F.coalesce("root", "fp").alias("root"))
+    out = stored(roots.select(F.xxhash64(F.lit("fp"), "root").alias("token"), "key").distinct(), "print-classes")
+    finished(links)
+    return out
+
+
 def classes(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """The rows of docs with a number (doc_id, text, row, key, rest: their other columns), stored, and key, root, owner: the
     class of each set and the smallest doc_id in it.
 
     Links join texts whose sets of five-word shingles have a Jaccard of 0.8 or more; texts without words are alike. Equal
-    sets are compared once. Sets meet in the buckets of their bands. In each bucket the first set is compared with all
+    sets are compared once. Sets meet in the components of op1's fingerprints (at most 3 bits apart, by pivot tables), and for
+    those that so few bits do not show, in the buckets of their bands. In each bucket the first set is compared with all
     others; then sets of one bucket that are in different components still, with each other.
     """
     other = [c for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*other) if other else F.struct(F.lit(None).cast("int").alias("none"))
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"), F.struct("text", rest.alias("other")).alias("rest"))
     d = d.withColumn("rest", F.struct(F.col("rest.text").isNull().alias("null"), F.col("rest.other").alias("other")))
-    schema = StructType([*d.schema.fields, StructField("key", LongType()), StructField("bands", ArrayType(LongType()))])
+    schema = StructType([*d.schema.fields, StructField("key", LongType()), StructField("bands", ArrayType(LongType())), StructField("fp", LongType())])
     d = stored(d.mapInArrow(_named, schema), "shingled")
     groups = d.groupBy("key").agg(F.min("doc_id").alias("owner"), F.min("row").alias("row"), F.first("bands").alias("bands"))
     groups = stored(groups, "sets")
-    index = stored(groups.select(F.explode("bands").alias("token"), "key", F.lit(1).alias("size")), "bands")
+    prints = print_classes(d)
+    index = groups.select(F.explode("bands").alias("token"), "key").unionByName(prints)
+    index = stored(index.withColumn("size", F.lit(1)), "bands")
+    finished(prints)
     first = _compared(leader_pieces(index, chunk), groups, d, "leader")
     roots = stored(components(first), "roots")
     pieces = rest_pieces(index, roots, chunk)

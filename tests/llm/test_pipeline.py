@@ -147,3 +147,26 @@ def test_stages_of_repeated_rows(spark, frame, odd):
     sizes = [len(brute.WORD.findall(t or "")) for _, t in rows]
     assert sorted(r["size"] for r in got) == sorted(sizes)
     assert all(0 <= r["taken"] <= 3 * r["size"] for r in got) and abs(sum(r["taken"] for r in got) - sum(sizes)) <= 1
+
+
+def test_near_dedup_meets_by_fingerprints(spark, frame, monkeypatch):
+    """Candidates come from op1's search, with its components: near copies are dropped without any band."""
+    from recollect.llm import nearcopies as N
+
+    rows = [r for r in near_rows() if r[1] and r[1].strip()]
+    prints = dict(zip([d for d, _ in rows], [c for _, _, c in brute.simhash(rows)], strict=True))
+    met = []
+    real = N.print_classes
+
+    def seen(d):
+        out = real(d)
+        met.extend((r["token"], r["doc_id"]) for r in out.join(d.select("doc_id", "key"), "key").collect())
+        return out
+
+    monkeypatch.setattr(N, "print_classes", seen)
+    monkeypatch.setattr(N, "bands", lambda sets, at: np.arange((len(at) - 1) * N.BANDS, dtype=np.uint64).reshape(-1, N.BANDS) + np.random.default_rng().integers(0, 2**62, dtype=np.uint64))
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(frame(rows)).collect()}
+    token = {d: t for t, d in met}
+    assert all((token[a] == token[b]) == (prints[a] == prints[b]) for a in token for b in token) and len(token) == len(rows)
+    plain = plain_components(rows)
+    assert len(set(got.values())) < len(rows) and all(plain[d] == plain[c] for d, c in got.items())
