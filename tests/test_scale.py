@@ -38,6 +38,32 @@ def test_light_vectors_are_the_dense_cells(spark):
     assert all(np.allclose(a[k], b[k]) and abs(np.linalg.norm(a[k]) - 1) < 1e-9 for k in a)
 
 
+def test_task_words_are_as_column_words(spark):
+    """What a task makes of lower-case texts is what the column expressions say of each word."""
+    words = ["api", "snake_case", "x9", "2024", "한국어", "가나", "_x", "javascripts", "longerword", "polynomials", "e\u0301t", "zz" * 40, "ab" * 2000]
+    rows = spark.createDataFrame([(w,) for w in words], "w string")
+    told = {r["w"]: r for r in rows.select("w", T.bucket(F.col("w")).alias("b"), T.word_idf(F.col("w")).alias("idf"), F.log(T.keyword_factor(F.col("w"), F.lit(1))).alias("f")).collect()}
+    plain = [w for w in words if "\u0301" not in w]
+    for w, b, idf, f in zip(plain, *T.word_facts(pa.array(plain)), strict=True):
+        assert (b, pytest.approx(idf), pytest.approx(f)) == (told[w]["b"], told[w]["idf"], told[w]["f"])
+    texts = ["The API, api api API; snake_case e\u0301t\u00a0x9 2024!", "", None, "the of and", "한국어 가나\x0bzz\U0001f600zz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+    tokens = {r["id"]: set(r["t"] or ()) for r in df.select("id", T.embedding_tokens(F.col("content")).alias("t")).collect()}
+    buckets = {i: {told_b for told_b in T.word_facts(pa.array(sorted(t)))[0].tolist()} if t else set() for i, t in tokens.items()}
+    got: dict = {i: set() for i in tokens}
+    for r in search.light_embedding(df).collect():
+        got[int(r["id"])].add(r["bucket"])
+    assert got == buckets
+
+
+def test_a_vector_is_made_once_and_not_for_each_place(spark):
+    """Neither the cells nor a map of them is made again for each of a vector's 512 numbers, and no regex of Spark's runs in a loop."""
+    m = spark.createDataFrame([("a", "x y x")], "id string, content string")
+    for df in (search.light_vectors(m), search.dense(search.light_embedding(m))):
+        shown = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "coalesce(map_from_entries" not in shown and "rlike" not in shown.lower()
+
+
 def test_an_index_counts_each_text_once(spark, tmp_path, monkeypatch):
     count, real = spark.sparkContext.accumulator(0), search.indexed
 
