@@ -1,5 +1,7 @@
 """What keeps a task's memory and a query's work in proportion: plans and pieces, on small tables."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -80,6 +82,40 @@ def test_an_index_counts_each_text_once(spark, tmp_path, monkeypatch):
     m.unpersist()
 
 
+@pytest.fixture(scope="module")
+def made(spark, tmp_path_factory):
+    """The index over sf0.001 in eight buckets."""
+    m = M.memory_item(spark, SF)
+    with pytest.MonkeyPatch.context() as p:
+        p.setattr(I, "BUCKET_ROWS", 20_000)
+        i = I.SearchIndex(spark, str(tmp_path_factory.mktemp("index")))
+        i.apply(m)
+    return m, i
+
+
+def test_postings_are_dealt_before_they_multiply(spark, made, monkeypatch):
+    """Of a stored index, what is grouped by query and memory lies in pieces by id: no shuffle has a row for each query and memory."""
+    m, i = made
+    monkeypatch.setattr(I, "BUCKET_ROWS", 5_000)
+    assert i.pieces() == sum(r["rows"] for r in i.state["runs"]) // 5_000 + 1 > 2
+    asked = M.asked(spark, SF)
+    scores = search.bm25(i, asked)
+    assert not re.search(r"hashpartitioning\(query_id#\d+, id#", plan(scores))
+    got, want = ({(r["query_id"], r["id"]): r["bm25"] for r in search.bm25(x, asked).collect()} for x in (i, search.indexed(m)))
+    assert len(got) > 100 and got == pytest.approx(want, abs=1e-9)
+    hits = search.fts_match(i, asked, m)
+    assert not re.search(r"hashpartitioning\(query_id#\d+, id#", plan(hits))
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, search.fts_match(search.indexed(m), asked, m).collect()))
+
+
+def test_many_query_terms_are_not_sent_to_every_task(spark, made, monkeypatch):
+    m, i = made
+    monkeypatch.setattr(search, "MOST_PAIRS", 3)
+    asked = M.queries_table(spark)
+    got = search.bm25(i, asked)
+    assert got.count() == search.bm25(search.indexed(m), asked).count() > 0
+
+
 def test_budget_summary_splits_once(spark):
     df = spark.createDataFrame([("One two. Three four! Five six? Seven",)], "t string")
     shown = plan(df.select(T.budget_summary(df.t, F.lit(6)).alias("s")))
