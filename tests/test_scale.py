@@ -12,6 +12,7 @@ from recollect.operators import index as I
 from recollect.operators import search
 from recollect.operators import vectors as V
 from recollect.sources import memory as M
+from recollect.storage import settings
 
 SF = "/root/testdata/sf0.001"
 
@@ -116,6 +117,20 @@ def test_many_query_terms_are_not_sent_to_every_task(spark, made, monkeypatch):
     assert got.count() == search.bm25(search.indexed(m), asked).count() > 0
 
 
+def test_a_write_sorts_parts(spark, tmp_path, monkeypatch):
+    """A task of an index's write takes PART_BYTES of a bucket and not whatever the session's tasks take, unless that is less."""
+    files = []
+    for k, size in enumerate((1 << 30, 20_000)):
+        monkeypatch.setattr(I, "PART_BYTES", size, raising=False)
+        i = I.SearchIndex(spark, str(tmp_path / str(k)))
+        with settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):  # so small a table is one task otherwise
+            i.apply(M.memory_item(spark, SF))
+        run = f"{i.path}/runs/{i.state['runs'][0]['name']}/postings"
+        files.append(len(spark.read.parquet(run).inputFiles()))
+    assert files[0] < files[1]
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") not in ("20000", str(1 << 30))
+
+
 def test_budget_summary_splits_once(spark):
     df = spark.createDataFrame([("One two. Three four! Five six? Seven",)], "t string")
     shown = plan(df.select(T.budget_summary(df.t, F.lit(6)).alias("s")))
