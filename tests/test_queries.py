@@ -1,5 +1,6 @@
 """Every registered query against its SQL twin, and the facade."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from recollect.config import AS_OF, Filters
 from recollect.engine import MemoryEngine
+from recollect.operators import stats
 from recollect.plans import queries as Q
 from recollect.sources import memory as M
 
@@ -66,6 +68,25 @@ def test_engine(spark):
     assert after.memories.count() == m.count() - actions.where("hard").count()
 
 
+def test_validate_memories_without_text(spark, tmp_path):
+    """Its SQL over documents of which some have an empty text or none; all fields name the content too."""
+    n, folder = F.col("doc_id"), str(tmp_path)
+    d = M.table(spark, SF, "documents").withColumn("text", F.when(n % 5 == 0, "").when(n % 7 == 0, None).when(n % 11 == 0, "  ").otherwise(F.col("text")))
+    d.write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{folder}/documents.parquet/*.parquet'")
+    M.table(spark, SF, "events").write.parquet(f"{folder}/events.parquet")
+    con.execute(f"CREATE VIEW events AS FROM '{folder}/events.parquet/*.parquet'")
+    got = Q.queries()["validate_memories"](spark, folder).select("id", "errors").collect()
+    expected = con.execute(f"SELECT id, errors FROM ({SQL['validate_memories']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(expected) and expected
+    m = M.memory_item(spark, folder).withColumn("importance", F.col("importance") * 1.5)
+    every = dict(map(tuple, stats.invalid_memories(m).collect()))
+    for i in (int(r["doc_id"]) for r in d.select("doc_id").collect()):
+        wrong = [x for x, bad in (("content", i % 5 == 0 or i % 7 == 0), ("importance", i * 7 % 11 * 0.15 > 1)) if bad]
+        assert every.get(f"mem_{i}", "") == ",".join(wrong)
+
+
 @pytest.mark.parametrize("name", ["vector_topk_many", "vector_topk_by_type_many", "vector_l2_similarity_many"])
 def test_searches_by_every_twentieth_vector(spark, name):
     kinds = {r["id"]: r["type"] for r in M.memory_item(spark, SF).select("id", "type").collect()}
